@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quorate.operators import calibration as cal
 from quorate.operators.selective import tau_star
+from quorate.session import materialise
 
 
 def mean_in_agent_order(value: Column) -> Column:
@@ -92,7 +93,7 @@ def cross_fitted_decisions(
 ) -> tuple[DataFrame, DataFrame]:
     """Thresholds and test decisions of all executions and constraints in one plan."""
     scored = score_panel(panel, roles)
-    heads = weighted_head(scored, ["exec_k", "role", "item_id", "has_doc_ref"])
+    heads = materialise(weighted_head(scored, ["exec_k", "role", "item_id", "has_doc_ref"]))
     val = heads.where("role = 'val'").select("exec_k", "eta", F.col("z_winner").alias("z"))
     thresholds = tau_star(val, ["exec_k"], c_mins)
     test = heads.where("role = 'test'").drop("role")
@@ -134,7 +135,7 @@ def baseline_solo(
     blocks = cal.isotonic_fit(cal.isotonic_levels(panel, roles))
     curve = cal.calibration_map(blocks, panel.select("agent_id", "conf"))
     rows = _with_roles(panel, roles, ["val", "test"]).join(curve, ["exec_k", "agent_id", "conf"])
-    rows = rows.withColumn("eta", F.lit(1.0) - F.col("conf_calib"))
+    rows = materialise(rows.withColumn("eta", F.lit(1.0) - F.col("conf_calib")))
     val = rows.where("role = 'val'").select("exec_k", "agent_id", "eta", "z")
     thresholds = tau_star(val, ["exec_k", "agent_id"], c_mins)
     test = rows.where("role = 'test'").select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quorate.functions import constants as C
 from quorate.operators.prefix import levels, running_totals
-from quorate.session import values_table
+from quorate.session import materialise, values_table
 
 
 def coverage_risk(decided: DataFrame, group: Sequence[str] = ()) -> DataFrame:
@@ -36,25 +36,34 @@ def abstention_metrics(decided: DataFrame, group: Sequence[str] = ()) -> DataFra
     )
 
 
-def _error_levels(df: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Distinct eta with rows and errors; tau = 1 is added as a level of no rows where absent."""
-    base = levels(
-        df.select(*group, "eta", "z"),
+def _error_levels(df: DataFrame, group: Sequence[str], extra: Sequence[float] = ()) -> DataFrame:
+    """Distinct eta with rows and errors; each ``extra`` eta is a level even where no row has it.
+
+    Extra levels enter as rows of no weight beside every row and vanish in the map-side partial
+    sums, so keep them few.
+    """
+    rows = df.select(*group, "eta", F.lit(1).alias("n"), (F.lit(1) - F.col("z")).alias("err"))
+    if extra:
+        own = F.struct("eta", "n", "err")
+        zero = F.lit(0)
+        added = [
+            F.struct(F.lit(float(t)).alias("eta"), zero.alias("n"), zero.alias("err")) for t in extra
+        ]
+        rows = rows.select(*group, F.inline(F.array(own, *added)))
+    return levels(
+        rows,
         group,
         "eta",
-        {"n": F.count("*"), "err": F.sum(F.lit(1) - F.col("z")).cast("bigint")},
+        {"n": F.sum("n").cast("bigint"), "err": F.sum("err").cast("bigint")},
     )
-    return base
 
 
 def _with_grid(base: DataFrame, group: Sequence[str], taus: Sequence[float]) -> DataFrame:
-    """Add zero-count levels for the given taus to every group."""
-    if group:
-        heads = base.select(*group).distinct()
-    else:
-        heads = base.sparkSession.range(1)
+    """Add zero-count levels for many taus to every group of a compressed level table."""
+    heads = base.select(*group).distinct() if group else base.sparkSession.range(1)
     grid = heads.withColumn("eta", F.explode(F.array(*[F.lit(float(t)) for t in taus])))
-    grid = grid.select(*group, "eta", F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("err"))
+    none = F.lit(0).cast("bigint")
+    grid = grid.select(*group, "eta", none.alias("n"), none.alias("err"))
     return (
         base.unionByName(grid)
         .groupBy(*group, "eta")
@@ -69,9 +78,7 @@ def tau_star(val: DataFrame, group: Sequence[str], c_mins: Sequence[float]) -> D
     When no candidate qualifies tau is 1.0 and ``constraint_satisfied`` is false.
     """
     group = list(group)
-    cand = running_totals(
-        _with_grid(_error_levels(val, group), group, [1.0]), group, "eta", ["n", "err"]
-    )
+    cand = running_totals(_error_levels(val, group, [1.0]), group, "eta", ["n", "err"])
     answered = F.col("before_n") + F.col("n")
     errors = F.col("before_err") + F.col("err")
     curve = cand.select(
@@ -112,9 +119,8 @@ def risk_coverage_curve(
     """Coverage, selective risk and answered rows at each tau of a uniform grid and distinct eta."""
     group = list(group)
     grid = _equal_edges(n_points - 1)
-    cum = running_totals(
-        _with_grid(_error_levels(df, group), group, grid), group, "eta", ["n", "err"]
-    )
+    base = materialise(_error_levels(df, group))
+    cum = running_totals(_with_grid(base, group, grid), group, "eta", ["n", "err"])
     answered = F.col("before_n") + F.col("n")
     return cum.select(
         *group,

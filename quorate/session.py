@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,20 +31,33 @@ def local_session(app: str = "quorate", cores: str = "*", shuffle_partitions: in
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder of the cluster.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables: the shared one that the cluster names.
 
-    The folder named by ``spark.checkpoint.dir`` wins; only when neither it nor a context
-    checkpoint folder is set (tests on one machine) is a temporary one created.
+    Only when neither ``spark.checkpoint.dir`` nor a context checkpoint folder is set, and the
+    session is local (tests on one machine), is a temporary folder created.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured is None and not sc.master.startswith("local"):
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager=True)
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        sc.setCheckpointDir(folder)
+        folder = sc.getCheckpointDir()
+    return folder
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write a table that several branches read to the shared folder and read it back.
+
+    The lineage ends in reliable files, so a lost executor repeats only later work, and each reader
+    prunes columns and pushes filters into the files.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -58,11 +71,6 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return df
 
 
-def spill_cache(df: DataFrame) -> DataFrame:
-    """Reuse within one job chain; spills to disk and is recomputed from lineage on executor loss."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def values_table(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
     """Small parameter table (plan-time constants) as an inlined local relation."""
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quorate.operators.folds import assign_folds, fold_roles
 from quorate.operators.panel import complete_grid, usable_confidence
+from quorate.session import materialise
 
 AGENTS = [1, 2, 3]
 C_MINS = [0.5, 0.7, 0.9]
@@ -57,7 +58,10 @@ def roles(spark: SparkSession) -> DataFrame:
 
 
 def folded_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel(spark, sf_dir).join(folds(spark, sf_dir).select("item_id", "fold_k"), "item_id")
+    """Panel with folds, written once: weights, calibrators and test rows all read it."""
+    return materialise(
+        panel(spark, sf_dir).join(folds(spark, sf_dir).select("item_id", "fold_k"), "item_id")
+    )
 
 
 def sufficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
