@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quorate.operators import calibration as cal
 from quorate.operators.decisions import mean_in_agent_order
 from quorate.operators.selective import aurc, auroc, risk_at_coverage
+from quorate.session import materialise
 
 
 def scored_test_panel(panel: DataFrame, roles: DataFrame) -> DataFrame:
@@ -104,16 +105,15 @@ def logistic_variant(scored: DataFrame, fit_folds: dict[int, list[int]]) -> Data
     """A6: score of a logistic model fit on the fit folds of each execution, applied to its test
     fold; one distributed training job per fold.  The penalty equals inverse strength 1."""
     columns = ["f_mean", "f_min", "f_max", "f_std", "f_refusals"]
-    base = VectorAssembler(inputCols=columns, outputCol="features").transform(
-        logistic_features(scored)
-    )
+    rows = materialise(logistic_features(scored))
+    base = VectorAssembler(inputCols=columns, outputCol="features").transform(rows)
     base = base.withColumn("label", F.col("z").cast("double"))
     sizes = {r["fold_k"]: r["n"] for r in base.groupBy("fold_k").agg(F.count("*").alias("n")).collect()}
     out = None
     for test_fold, folds in fit_folds.items():
         n_fit = sum(sizes.get(f, 0) for f in folds)
         model = LogisticRegression(
-            maxIter=1000, regParam=1.0 / n_fit, elasticNetParam=0.0, standardization=False, tol=1e-8
+            maxIter=200, regParam=1.0 / n_fit, elasticNetParam=0.0, standardization=False
         ).fit(base.where(F.col("fold_k").isin(folds)))
         part = model.transform(base.where(F.col("fold_k") == test_fold)).select(
             "item_id",

@@ -178,11 +178,13 @@ def justified_agreement(audit: DataFrame, sufficiency: DataFrame) -> DataFrame:
     )
 
 
-def adequacy_by_sufficiency(decided: DataFrame, sufficiency: DataFrame) -> DataFrame:
+def adequacy_by_sufficiency(
+    decided: DataFrame, sufficiency: DataFrame, group: Sequence[str] = ()
+) -> DataFrame:
     """System adequacy, mean eta and coverage per sufficiency level."""
     return (
         decided.join(sufficiency.where("verdict >= 0"), "item_id")
-        .groupBy("verdict")
+        .groupBy(*group, "verdict")
         .agg(
             F.count("*").alias("n"),
             F.avg("z_winner").alias("adequacy"),

@@ -47,6 +47,14 @@ def fold_roles(
     return values_table(spark, "exec_k, fold_k, role", rows)
 
 
+def fit_fold_lists(
+    n_folds: int = C.N_FOLDS, n_val: int = C.N_VAL_FOLDS, seed: int = 42
+) -> dict[int, list[int]]:
+    """Fit folds of each execution, for jobs that run once per fold."""
+    order = permute(list(range(n_folds)), seed)
+    return {k: [f for f in order if f != k][n_val:] for k in range(n_folds)}
+
+
 def fold_cover(folds: DataFrame, roles: DataFrame) -> DataFrame:
     """Items that are not in the test part exactly once (empty when the cover is right)."""
     tests = folds.join(roles.where("role = 'test'"), "fold_k", "left")

@@ -233,6 +233,22 @@ def reliability_table(df: DataFrame, group: Sequence[str], n_bins: int = C.ECE_B
     )
 
 
+def representative_fold(panel: DataFrame, n_bins: int = C.ECE_BINS) -> DataFrame:
+    """Fold whose mean raw calibration error is nearest to the median over folds; ties to the
+    smaller fold.  The tables here have one row per fold."""
+    per_fold = (
+        ece_equal_width(panel, ["fold_k", "agent_id"], n_bins)
+        .groupBy("fold_k")
+        .agg(F.avg("ece").alias("ece"))
+    )
+    middle = per_fold.agg(F.percentile("ece", F.lit(0.5))).scalar()
+    return (
+        per_fold.withColumn("distance", F.abs(F.col("ece") - middle))
+        .orderBy("distance", "fold_k")
+        .limit(1)
+    )
+
+
 def auroc_from_levels(compact: DataFrame, group: Sequence[str], score: str) -> DataFrame:
     """AUROC with midrank ties from (group, score, n, pos); null when one class is absent."""
     both = compact.withColumn("neg", F.col("n") - F.col("pos"))
