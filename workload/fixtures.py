@@ -23,12 +23,13 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order as an item, line numbers 1 to 3 as agents."""
+def panel(spark: SparkSession, sf_dir: str, first_line: int = 1) -> DataFrame:
+    """Every order as an item, three line numbers (1 to 3 by default) as agents."""
+    agent = F.col("l_linenumber") - (first_line - 1)
     lines = (
         table(spark, sf_dir, "lineitem")
-        .where("l_linenumber <= 3")
-        .groupBy(F.col("l_orderkey").alias("item_id"), F.col("l_linenumber").alias("agent_id"))
+        .where(F.col("l_linenumber").between(first_line, first_line + 2))
+        .groupBy(F.col("l_orderkey").alias("item_id"), agent.alias("agent_id"))
         .agg(
             F.round(F.max("l_discount") * 10, 1).alias("conf_raw"),
             F.max((F.col("l_linestatus") == "F").cast("int")).alias("z"),
