@@ -77,3 +77,20 @@ def refusal_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel(spark, sf_dir).where("refused").select(
         "item_id", "agent_id", F.when(F.col("agent_id") % 2 == 1, 2).otherwise(1).alias("refusal_verdict")
     )
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in load order; English sources play the norms, the others the rulings."""
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        "text",
+        F.col("doc_id").alias("load_order"),
+        F.when(F.col("lang") == "en", "norm").otherwise("ruling").alias("source_type"),
+    )
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of 64 words with an overlap of 8; the documents have single line breaks only."""
+    from quorate.operators.chunking import chunk_documents
+
+    return chunk_documents(corpus(spark, sf_dir), 64, 8, "\n")
