@@ -200,32 +200,35 @@ def html_text(page: Column) -> Column:
     return F.trim(F.regexp_replace(body, f"[{WS}]+", " "))
 
 
+def spaced(text: Column) -> Column:
+    """Words joined by single blanks."""
+    return F.array_join(words(text), " ")
+
+
+def word_runs(text: Column, size: int) -> Column:
+    """All runs of ``size`` consecutive words of a text whose words are joined by single blanks.
+
+    One pass of a zero-width pattern that captures the run ahead of each word start.
+    """
+    run = rf"(?<![^ ])(?=((?:[^ ]++ ){{{size - 1}}}[^ ]++))"
+    return F.regexp_extract_all(text, F.lit(run), 1)
+
+
 def shared_run(original: Column, new: Column, window: int = C.SHARED_RUN_WORDS) -> Column:
     """True when some run of ``window`` words of the original occurs in the new text; a shorter
     original must occur whole; an empty one never does."""
 
-    def runs(ws: Column, size: Column) -> Column:
-        last = F.size(ws) - size + 1
-        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(ws, i, size), " "))
-
     def test(b: Column) -> Column:
-        size = F.least(F.lit(window), F.size(b["o"]))
-        return F.when(size == 0, F.lit(False)).otherwise(
-            F.arrays_overlap(runs(b["o"], size), runs(b["n"], size))
-        )
+        blank = F.lit(" ")
+        whole = F.contains(F.concat(blank, b["n"], blank), F.concat(blank, b["o"], blank))
+        overlap = F.arrays_overlap(word_runs(b["o"], window), word_runs(b["n"], window))
+        size = F.size(F.split(b["o"], " "))
+        return F.when(b["o"] == "", F.lit(False)).when(size < window, whole).otherwise(overlap)
 
-    bound = F.array(F.struct(words(original).alias("o"), words(new).alias("n")))
+    bound = F.array(F.struct(spaced(original).alias("o"), spaced(new).alias("n")))
     return F.element_at(F.transform(bound, test), 1)
 
 
-def word_runs(ws: Column, size: int) -> Column:
-    """All runs of ``size`` consecutive words of a word array."""
-    last = F.size(ws) - size + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(ws, i, F.lit(size)), " "))
-
-
 def source_type(name: Column) -> Column:
     """Pseudo document, ruling or norm, by the name of the source."""
     return (

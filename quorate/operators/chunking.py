@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quorate.functions import constants as C
 from quorate.functions import text as tx
+from quorate.session import spread
 
 # Chunk positions inside one document; order over the corpus is document order, then position.
 POSITIONS = 10_000_000
@@ -22,12 +23,12 @@ def chunk_documents(
     """(chunk_id, text, source_doc, section_path, n_tokens, chunk_pos, load_order).
 
     ``documents`` has doc_id, text and load_order; any other column (such as a source type) is
-    carried along.  Chunking happens inside each row, without a shuffle; blank documents give none.
+    carried along.  Chunking happens inside each row; blank documents give none.
     """
     extra = [c for c in documents.columns if c not in ("doc_id", "text", "load_order", "section_path")]
     section = F.col("section_path") if "section_path" in documents.columns else F.lit(None).cast("string")
     name = F.col("doc_id").cast("string")
-    pieces = documents.select(
+    pieces = spread(documents, "doc_id").select(
         name.alias("source_doc"),
         section.alias("section_path"),
         F.col("load_order").alias("_doc_order"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quorate.functions import text as tx
 from quorate.operators.evaluation import anchor_hits
+from quorate.session import spread
 
 # Statuses, in the order in which they are decided.
 STATUSES = ("SEM_FONTE", "FALHA", "SEM_GANHO", "REPARADO")
@@ -20,7 +21,7 @@ def judge_replacements(documents: DataFrame, replacements: DataFrame) -> DataFra
     more words than before: SEM_GANHO.  Otherwise: REPARADO.
     """
     no_source, failed, no_gain, repaired = STATUSES
-    both = documents.join(replacements, "source_doc")
+    both = spread(documents.join(replacements, "source_doc"), "source_doc")
     new = F.coalesce("new_text", F.lit(""))
     sized = both.withColumn("words_before", tx.word_count(F.col("text"))).withColumn(
         "words_new", tx.word_count(new)
