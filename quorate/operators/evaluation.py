@@ -204,3 +204,12 @@ def rescore_difference(ours: DataFrame, stored: DataFrame, column: str) -> DataF
         F.max(F.abs(F.col("_ours") - F.col("_stored"))).alias("max_abs_difference"),
         F.count_if(F.col("_l").isNull() | F.col("_r").isNull()).alias("n_unmatched"),
     )
+
+
+def threshold_histogram(per_item: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+    """Items whose passage recall reaches each threshold."""
+    listed = F.array(*[F.lit(float(t)) for t in thresholds])
+    rows = per_item.select("passage_recall", F.explode(listed).alias("threshold"))
+    return rows.groupBy("threshold").agg(
+        F.count_if(F.col("passage_recall") >= F.col("threshold")).alias("n")
+    )

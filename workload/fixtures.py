@@ -94,3 +94,107 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quorate.operators.chunking import chunk_documents
 
     return chunk_documents(corpus(spark, sf_dir), 64, 8, "\n")
+
+
+def written_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks written once: postings, statistics, hits and fill rows all read them."""
+    return materialise(chunks(spark, sf_dir))
+
+
+def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First 12 words of each benchmark passage as a query."""
+    from quorate.functions.text import words
+
+    return table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"),
+        F.array_join(F.slice(words(F.col("text")), 1, 12), " ").alias("text"),
+    )
+
+
+# Words of a passage by which documents are looked up before the whole passage is tested.
+LOOKUP_WORDS = 6
+
+
+def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, source_doc, anchor): documents that contain a passage; the anchor is its first 40
+    characters.
+
+    A passage may start inside a word of the document, so the look-up uses its second to seventh
+    word; documents meet passages by equality on that run, then the whole passage is tested.
+    """
+    from quorate.functions import text as tx
+    from quorate.session import spread
+
+    passages = table(spark, sf_dir, "benchmark").select(
+        "item_id",
+        F.col("text").alias("passage"),
+        F.array_join(F.slice(tx.words(F.col("text")), 2, LOOKUP_WORDS), " ").alias("run"),
+    )
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    runs = documents.select(
+        "doc_id", F.explode(F.array_distinct(tx.word_runs(tx.spaced(F.col("text")), LOOKUP_WORDS))).alias("run")
+    )
+    found = runs.join(passages, "run").select("doc_id", "item_id", "passage").distinct()
+    return (
+        found.join(documents, "doc_id")
+        .where(F.contains(F.col("text"), F.col("passage")))
+        .select(
+            "item_id",
+            F.col("doc_id").cast("string").alias("source_doc"),
+            F.substring("passage", 1, 40).alias("anchor"),
+        )
+    )
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chunk_id, source_doc, load_order, source_type, embedding) from the embeddings table."""
+    v = F.col("vec_id")
+    return table(spark, sf_dir, "embeddings").select(
+        F.format_string("v%06d", v).alias("chunk_id"),
+        (v % 50).cast("string").alias("source_doc"),
+        v.alias("load_order"),
+        F.when(F.col("label") < 5, "norm").otherwise("ruling").alias("source_type"),
+        "embedding",
+    )
+
+
+def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 25th vector asks for its neighbours, under the number of the query."""
+    v = F.col("vec_id")
+    return table(spark, sf_dir, "embeddings").select(
+        (v % 25).alias("_m"), F.floor(v / 25).cast("bigint").alias("query_id"), "embedding"
+    ).where("_m = 0").drop("_m")
+
+
+def chunk_vectors(chunks: DataFrame, dim: int = 16) -> DataFrame:
+    """Hashed bag-of-terms vectors of unit length, standing in for an embedding model's table."""
+    from quorate.functions.text import tokens
+
+    return _hashed(chunks.select("chunk_id", "load_order", tokens(F.col("text")).alias("_t")), dim)
+
+
+def query_vectors(queries: DataFrame, dim: int = 16) -> DataFrame:
+    from quorate.functions.text import tokens
+
+    return _hashed(queries.select("query_id", tokens(F.col("text")).alias("_t")), dim)
+
+
+def _hashed(df: DataFrame, dim: int) -> DataFrame:
+    slot = lambda t: F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("bigint") % dim
+    counts = F.transform(
+        F.sequence(F.lit(0), F.lit(dim - 1)),
+        lambda i: F.size(F.filter("_s", lambda s: s == i)).cast("double"),
+    )
+    named = df.withColumn("_s", F.transform("_t", slot)).withColumn("_c", counts)
+    norm = F.sqrt(F.aggregate("_c", F.lit(0.0), lambda a, x: a + x * x))
+    unit = F.transform("_c", lambda x: F.try_divide(x, F.col("_n")).cast("float"))
+    out = named.withColumn("_n", norm).withColumn("embedding", F.coalesce(F.when(F.col("_n") > 0, unit), F.transform("_c", lambda x: x.cast("float"))))
+    return out.drop("_t", "_s", "_c", "_n")
+
+
+def rerank_scores(pairs: DataFrame) -> DataFrame:
+    """Given cross-encoder scores: a fixed function of the pair, in [0, 1)."""
+    from quorate.functions.rand import draw_unit
+
+    key = F.concat_ws("|", F.col("query_id").cast("string"), "chunk_id")
+    return pairs.select("query_id", "chunk_id").distinct().withColumn("rerank_score", draw_unit(key, 11))
