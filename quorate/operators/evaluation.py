@@ -213,3 +213,38 @@ def threshold_histogram(per_item: DataFrame, thresholds: Sequence[float]) -> Dat
     return rows.groupBy("threshold").agg(
         F.count_if(F.col("passage_recall") >= F.col("threshold")).alias("n")
     )
+
+
+def served_from_responses(responses: DataFrame) -> DataFrame:
+    """(item_id, combined_rank, chunk_id) of stored responses with arrays of chunk ids."""
+    return responses.select(
+        "item_id", F.posexplode("retrieved_chunk_ids").alias("_p", "chunk_id")
+    ).select("item_id", (F.col("_p") + 1).alias("combined_rank"), "chunk_id")
+
+
+def unknown_chunks(served: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Gate: served chunk ids that the index does not hold."""
+    return served.join(chunks.select("chunk_id"), "chunk_id", "left_anti").select("item_id", "chunk_id")
+
+
+def served_context(served: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Served chunks with their text and document."""
+    return served.join(chunks.select("chunk_id", "source_doc", "text"), "chunk_id")
+
+
+def paired_recall(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Recalls of two pipelines per item; expected counts must be equal on both sides."""
+    a = old.select(
+        "item_id",
+        F.col("n_expected").alias("_n"),
+        F.col("file_recall").alias("old_file"),
+        F.col("passage_recall").alias("old_passage"),
+    )
+    b = new.select(
+        "item_id",
+        "n_expected",
+        F.col("file_recall").alias("new_file"),
+        F.col("passage_recall").alias("new_passage"),
+    )
+    same = F.assert_true(F.col("_n") == F.col("n_expected"), "expected counts differ between the sides")
+    return b.join(a, "item_id").where(same.isNull()).drop("_n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -285,3 +286,12 @@ def pools(lexical: DataFrame, dense: DataFrame) -> DataFrame:
 def query_hash(text: Column) -> Column:
     """Key of a query in stored pools."""
     return F.sha2(text, 256)
+
+
+def split_top_k(total: int, k_dense: int, k_lexical: int) -> tuple[int, int]:
+    """A budget of chunks shared by the branches in the ratio of their configured depths, the dense
+    share rounded up; each branch keeps at least one."""
+    if total < 1:
+        raise ValueError("the budget must be at least one chunk")
+    dense = max(math.ceil(total * (k_dense / (k_dense + k_lexical))), 1)
+    return dense, max(total - dense, 1)

@@ -129,32 +129,31 @@ def split_index_topk(spark, sf_dir):
     return rt.lexical_search(fx.queries(spark, sf_dir), fx.written_chunks(spark, sf_dir), 10, ["source_type"])
 
 
-# Fusion over two ranked branches of the vector table: neighbours of the query, and neighbours of
-# the next query, which stand in for the lexical branch.
+# Fusion over two ranked branches of the vector table: neighbours of the query by all dimensions,
+# and by the even dimensions alone, which stand in for the lexical branch.
 
+cte("fx_dot_even", """
+SELECT q.query_id, v.chunk_id, v.source_doc, v.load_order, v.source_type,
+       round(list_dot_product(v.e, list_transform(q.e, lambda x, i: CASE WHEN i % 2 = 1 THEN x ELSE 0 END)), 9) AS score
+FROM fx_vec v CROSS JOIN fx_vecq q
+""")
 cte("fx_pools", """
 SELECT query_id, 'dense' AS branch, rank, chunk_id, source_doc, source_type, score FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, load_order) AS INTEGER) AS rank FROM fx_dot) WHERE rank <= 50
 UNION ALL
 SELECT query_id, 'lexical', rank, chunk_id, source_doc, source_type, score FROM (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, load_order DESC) AS INTEGER) AS rank FROM (
-    SELECT query_id, chunk_id, source_doc, source_type, load_order, round(1 - abs(score), 1) AS score FROM fx_dot)) WHERE rank <= 50
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, load_order) AS INTEGER) AS rank FROM fx_dot_even) WHERE rank <= 50
 """)
 
 
 def vector_pools(spark, sf_dir):
-    """A dense pool, and a pool of least related vectors in the place of the lexical one."""
+    """Two pools of 50 per query over the vector table."""
     vectors, asked = fx.vectors(spark, sf_dir), fx.vector_queries(spark, sf_dir)
-    docs = vectors.select("chunk_id", "source_doc", "source_type")
-    every = materialise(rt.dense_search(vectors, asked, 1_000_000).drop("rank").join(docs, "chunk_id"))
-    dense = rt.top_k(every, ["query_id"], [F.col("score").desc(), F.col("load_order")], 50)
-    other = every.withColumn("score", F.round(1 - F.abs("score"), 1))
-    lexical = rt.top_k(other, ["query_id"], [F.col("score").desc(), F.col("load_order").desc()], 50)
-    cols = ["query_id", "branch", "rank", "chunk_id", "source_doc", "source_type", "score"]
-    both = dense.withColumn("branch", F.lit("dense")).select(*cols).unionByName(
-        lexical.withColumn("branch", F.lit("lexical")).select(*cols)
-    )
-    return materialise(both)
+    docs = vectors.select("chunk_id", "source_doc")
+    even = F.transform("embedding", lambda x, i: F.when(i % 2 == 0, x).otherwise(F.lit(0.0).cast("float")))
+    dense = rt.dense_search(vectors, asked, 50).join(docs, "chunk_id")
+    lexical = rt.dense_search(vectors, asked.withColumn("embedding", even), 50).join(docs, "chunk_id")
+    return materialise(rt.pools(lexical, dense))
 
 
 cte("fx_union_all", """
