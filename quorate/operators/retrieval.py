@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quorate.functions import constants as C
 from quorate.functions.text import tokens
-from quorate.session import broadcast_if_small
+from quorate.session import broadcast_if_small, materialise, spread
 
 # Scores are summed as integers in this unit, so equal chunks tie exactly in every sum order.
 UNIT = 1e12
@@ -42,20 +42,34 @@ def postings(chunks: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def corpus_stats(chunks: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+def lexical_index(chunks: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """(group, chunk_id, source_doc, load_order, dl, tokens): one row per chunk, tokenised once.
+
+    Write it before searching; statistics, scores and fill rows all read it.
+    """
+    tokenised = chunks.select(
+        *group, "chunk_id", "source_doc", "load_order", tokens(F.col("text")).alias("tokens")
+    )
+    return tokenised.withColumn("dl", F.size("tokens"))
+
+
+def corpus_stats(index: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """(group, n_chunks, avgdl); chunks without tokens count too."""
-    sized = chunks.select(*group, F.size(tokens(F.col("text"))).alias("dl"))
-    return sized.groupBy(*group).agg(
+    return index.groupBy(*group).agg(
         F.count("*").alias("n_chunks"), (F.sum("dl") / F.count("*")).alias("avgdl")
     )
 
 
 def term_idf(
-    posted: DataFrame, stats: DataFrame, group: Sequence[str] = (), epsilon: float = C.BM25_EPSILON
+    index: DataFrame, group: Sequence[str] = (), epsilon: float = C.BM25_EPSILON
 ) -> DataFrame:
     """(group, term, idf, avgdl): a negative idf becomes epsilon times the mean idf of the index."""
-    counted = posted.groupBy(*group, "term").agg(F.count("*").alias("df"))
-    counted = _attach(counted, stats, group)
+    counted = (
+        index.select(*group, F.explode(F.array_distinct("tokens")).alias("term"))
+        .groupBy(*group, "term")
+        .agg(F.count("*").alias("df"))
+    )
+    counted = _attach(counted, corpus_stats(index, group), group)
     raw = F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     scored = counted.select(*group, "term", "avgdl", raw.alias("idf"))
     mean = _attach(scored, scored.groupBy(*group).agg(F.avg("idf").alias("_mean")), group)
@@ -82,70 +96,165 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
+def query_weights(queries: DataFrame, idf: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """(group, query_id, term, weight, avgdl): idf times repetitions of each query term."""
+    return idf.join(query_terms(queries), "term").select(
+        *group, "query_id", "term", (F.col("idf") * F.col("qf")).alias("weight"), "avgdl"
+    )
+
+
 def lexical_scores(
-    queries: DataFrame,
-    posted: DataFrame,
-    idf: DataFrame,
+    index: DataFrame,
+    weights: DataFrame,
     group: Sequence[str] = (),
     k1: float = C.BM25_K1,
     b: float = C.BM25_B,
 ) -> DataFrame:
-    """(group, query_id, chunk_id, source_doc, load_order, score) for chunks that share a term."""
-    wanted = idf.join(query_terms(queries), "term")
-    wanted = broadcast_if_small(wanted.select(*group, "query_id", "term", "qf", "idf", "avgdl"))
+    """(group, query_id, load_order, score) of every chunk that shares a term with a query, by a
+    join of term counts and query terms; for query sets of any size."""
+    terms = index.select(*group, "load_order", "dl", F.explode("tokens").alias("term"))
+    counted = terms.groupBy("load_order", *group, "dl", "term").agg(F.count("*").alias("tf"))
     tf = F.col("tf").cast("double")
     norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
-    part = F.col("idf") * (tf * (k1 + 1) / (tf + norm)) * F.col("qf")
-    hits = posted.join(wanted, [*group, "term"]).select(
-        *group, "query_id", "chunk_id", "source_doc", "load_order", F.round(part * UNIT).cast("bigint").alias("p")
-    )
-    return (
-        hits.groupBy("chunk_id", "source_doc", "load_order", *group, "query_id")
-        .agg(F.sum("p").alias("p"))
-        .select(*group, "query_id", "chunk_id", "source_doc", "load_order", (F.col("p") / UNIT).alias("score"))
+    part = F.col("weight") * (tf * (k1 + 1) / (tf + norm))
+    hits = counted.join(weights, [*group, "term"]).select(
+        *group, "query_id", "load_order", F.round(part * UNIT).cast("bigint").alias("p")
     )
+    return hits.groupBy(*group, "load_order", "query_id").agg((F.sum("p") / UNIT).alias("score"))
 
 
 def lexical_search(
-    queries: DataFrame, chunks: DataFrame, k: int, group: Sequence[str] = ()
+    queries: DataFrame, index: DataFrame, k: int, group: Sequence[str] = ()
 ) -> DataFrame:
-    """Top k per query (and group) by BM25; ties go to the earlier chunk.
+    """Top k per query (and group) by BM25 over a lexical index; ties go to the earlier chunk.
 
     Chunks without any query term score zero and fill the free places in load order; a query
-    without tokens gets nothing.
+    without tokens gets nothing.  When the weights of all query terms are proven to fit a bounded
+    matrix, tasks score the chunks they read and send k rows per query; otherwise term counts and
+    query terms are joined.
     """
     group = list(group)
-    posted = postings(chunks, group)
-    idf = term_idf(posted, corpus_stats(chunks, group), group)
-    scored = lexical_scores(queries, posted, idf, group)
+    weights = materialise(query_weights(queries, term_idf(index, group), group))
     order = [F.col("score").desc(), F.col("load_order")]
-    best = top_k(scored, [*group, "query_id"], order, k).drop("rank")
-
-    # The first k chunks of the load order are enough: at most k places are free and only chunks
-    # that scored can be skipped.
-    first = top_k(
-        chunks.select(*group, "chunk_id", "source_doc", "load_order"),
-        group or [F.lit(1)],
-        [F.col("load_order")],
-        k,
-    )
-    if not group:
-        first = chunks.select("chunk_id", "source_doc", "load_order").orderBy("load_order").limit(k)
-    listed = first.groupBy(*group).agg(
-        F.collect_list(F.struct("chunk_id", "source_doc", "load_order")).alias("_f")
-    )
+    n_terms = weights.select(*group, "term").distinct().count()
+    n_queries = weights.select("query_id").distinct().count()
+    if n_terms * n_queries * 8 <= QUERY_MATRIX_BYTES:
+        best = _matrix_scores(index, weights, k, group)
+    else:
+        best = lexical_scores(index, broadcast_if_small(weights), group)
+    best = top_k(best, [*group, "query_id"], order, k).drop("rank")
+
+    # The first k chunks of the load order are enough to fill with: at most k places are free, and a
+    # chunk is skipped only when it scored, which uses up one of the places.
+    slim = index.select(*group, "load_order")
+    if group:
+        first = top_k(slim, group, [F.col("load_order")], k)
+    else:
+        first = slim.orderBy("load_order").limit(k)
+    listed = first.groupBy(*group).agg(F.collect_list("load_order").alias("_f"))
     asked = queries.where(F.size(tokens(F.col("text"))) > 0).select("query_id")
     if group:
-        kinds = first.select(*group).distinct()
-        holder = kinds.select(*group).agg(F.collect_set(F.struct(*group)).alias("g"))
-        fill = asked.withColumn("_g", F.explode(holder.scalar())).select("query_id", "_g.*")
-        fill = fill.join(F.broadcast(listed), group)
+        kinds = listed.agg(F.collect_list(F.struct(*group, "_f"))).scalar()
+        fill = asked.select("query_id", F.inline(kinds))
     else:
         fill = asked.withColumn("_f", listed.scalar())
-    fill = fill.select(*group, "query_id", F.inline("_f"))
-    fill = fill.join(scored.select(*group, "query_id", "chunk_id"), [*group, "query_id", "chunk_id"], "left_anti")
+    fill = fill.select(*group, "query_id", F.explode("_f").alias("load_order"))
+    fill = fill.join(best, [*group, "query_id", "load_order"], "left_anti")
     both = best.unionByName(fill.withColumn("score", F.lit(0.0)))
-    return top_k(both, [*group, "query_id"], order, k)
+    ranked = top_k(both, [*group, "query_id"], order, k)
+    names = index.select("load_order", "chunk_id", "source_doc")
+    return ranked.join(names, "load_order").select(
+        *group, "query_id", "chunk_id", "source_doc", "load_order", "score", "rank"
+    )
+
+
+def _matrix_scores(index: DataFrame, weights: DataFrame, k: int, group: Sequence[str]) -> DataFrame:
+    """k best chunks per query and task, scored by the query-term matrix."""
+    spark = index.sparkSession
+    table = weights.toPandas()
+    table["_g"] = pd.factorize(pd.MultiIndex.from_frame(table[list(group)]))[0] if group else 0
+    key = pd.MultiIndex.from_frame(table[["_g", "term"]])
+    codes, uniques = pd.factorize(key)
+    names, columns = np.unique(table["query_id"].to_numpy(), return_inverse=True)
+    matrix = np.zeros((len(uniques), len(names)))
+    matrix[codes, columns] = table["weight"].to_numpy()
+    avgdl = table.groupby("_g")["avgdl"].first().to_dict()
+    vocabulary = table.assign(term_id=codes)[[*group, "_g", "term", "term_id"]].drop_duplicates()
+    if len(vocabulary) == 0:
+        return lexical_scores(index, weights, group)
+    vocab = spark.createDataFrame(vocabulary).withColumnRenamed("_g", "g")
+    shipped = spark.sparkContext.broadcast((names, matrix, avgdl))
+    k1, b = C.BM25_K1, C.BM25_B
+
+    terms = spread(index, "load_order").select(
+        *group, F.col("load_order").cast("bigint").alias("load_order"), "dl", F.explode("tokens").alias("term")
+    )
+    hits = terms.join(F.broadcast(vocab), [*group, "term"]).select(
+        F.col("g").cast("int").alias("g"), "load_order", F.col("dl").cast("int").alias("dl"), F.col("term_id").cast("int").alias("t")
+    )
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix, avgdl = shipped.value
+        best: dict[int, _Best] = {}
+
+        def flush(rows: np.ndarray) -> None:
+            """Rows (g, load_order, dl, term) of whole chunks."""
+            pairs, tf = np.unique(rows, axis=0, return_counts=True)
+            mean = np.array([avgdl[g] for g in pairs[:, 0]])
+            gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * pairs[:, 2] / mean))
+            starts = np.flatnonzero(np.r_[True, np.any(pairs[1:, :2] != pairs[:-1, :2], axis=1)])
+            ends = np.r_[starts[1:], len(pairs)]
+            step = max(1, MATRIX_CELLS // max(1, matrix.shape[1]))
+            i = 0
+            while i < len(starts):
+                j = max(i + 1, int(np.searchsorted(ends, starts[i] + step, side="right")))
+                lo, hi = starts[i], ends[j - 1]
+                part = gain[lo:hi, None] * matrix[pairs[lo:hi, 3]]
+                scores = np.round(np.add.reduceat(part, starts[i:j] - lo, axis=0), SCORE_DIGITS)
+                gs, order = pairs[starts[i:j], 0], pairs[starts[i:j], 1]
+                for g in np.unique(gs):
+                    own = gs == g
+                    state = best.setdefault(int(g), _Best(len(names), k))
+                    state.add(scores[own], order[own], order[own], skip_zero=True)
+                i = j
+
+        held: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            held.append(np.column_stack([batch.column(c).to_numpy().astype(np.int64) for c in range(4)]))
+            size += batch.num_rows
+            if size >= HELD_ROWS:
+                rows = np.concatenate(held)
+                # A chunk's rows are neighbours; the last chunk may go on in the next batch.
+                open_from = int(np.flatnonzero(rows[:, 1] != rows[-1, 1])[-1]) + 1 if np.any(rows[:, 1] != rows[-1, 1]) else 0
+                if open_from:
+                    flush(rows[:open_from])
+                held, size = [rows[open_from:]], len(rows) - open_from
+        if size:
+            flush(np.concatenate(held))
+        for g, state in best.items():
+            kept = state.kept
+            if kept is not None and len(kept):
+                yield pa.RecordBatch.from_pandas(
+                    pd.DataFrame(
+                        {
+                            "g": np.full(len(kept), g, dtype=np.int32),
+                            "query_id": names[kept["q"].to_numpy()],
+                            "load_order": kept["load_order"].to_numpy(),
+                            "score": kept["score"].to_numpy(),
+                        }
+                    ),
+                    preserve_index=False,
+                )
+
+    schema = f"g int, query_id {dict(weights.dtypes)['query_id']}, load_order bigint, score double"
+    found = hits.mapInArrow(score, schema)
+    if group:
+        labels = vocab.select(F.col("g").cast("int").alias("g"), *group).distinct()
+        found = found.join(F.broadcast(labels), "g")
+    return found.select(*group, "query_id", "load_order", "score")
 
 
 # Dense ---------------------------------------------------------------------------------------------
@@ -154,29 +263,38 @@ def lexical_search(
 QUERY_MATRIX_BYTES = 64 * 1024 * 1024
 SCORE_DIGITS = 9
 
+# Cells of a score block and rows of term hits that a task holds at once.
+MATRIX_CELLS = 2_000_000
+HELD_ROWS = 50_000
+
 
 class _Best:
     """Running top k per query over batches: exact, with ties to the smaller load order."""
 
     def __init__(self, n_queries: int, k: int) -> None:
         self.k = k
-        self.parts: list[list[pd.DataFrame]] = []
-        self.n_queries = n_queries
+        self.floor = np.full(n_queries, -np.inf)
         self.kept: pd.DataFrame | None = None
 
-    def add(self, scores: np.ndarray, ids: np.ndarray, order: np.ndarray) -> None:
+    def add(self, scores: np.ndarray, ids: np.ndarray, order: np.ndarray, skip_zero: bool = False) -> None:
+        if skip_zero:
+            scores = np.where(scores == 0.0, -np.inf, scores)
         n = scores.shape[0]
+        cut = self.floor
         if n > self.k:
-            cut = np.partition(scores, n - self.k, axis=0)[n - self.k]
-            rows, cols = np.nonzero(scores >= cut)
-        else:
-            rows, cols = np.nonzero(np.ones_like(scores, dtype=bool))
+            cut = np.maximum(cut, np.partition(scores, n - self.k, axis=0)[n - self.k])
+        rows, cols = np.nonzero((scores >= cut) & (scores > -np.inf))
+        if len(rows) == 0:
+            return
         new = pd.DataFrame(
             {"q": cols, "score": scores[rows, cols], "load_order": order[rows], "chunk_id": ids[rows]}
         )
-        both = new if self.kept is None else pd.concat([self.kept, new])
-        both = both.sort_values(["q", "score", "load_order"], ascending=[True, False, True], kind="mergesort")
-        self.kept = both[both.groupby("q").cumcount() < self.k]
+        both = new if self.kept is None else pd.concat([self.kept, new], ignore_index=True)
+        ranked = both.iloc[np.lexsort((both["load_order"], -both["score"], both["q"]))]
+        place = ranked.groupby("q").cumcount()
+        self.kept = ranked[place < self.k]
+        full = self.kept[place[place < self.k] == self.k - 1]
+        self.floor[full["q"].to_numpy()] = full["score"].to_numpy()
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -185,7 +303,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Top k chunks per query by inner product; ties go to the earlier chunk.
+    """Top k chunks per query by inner product; ties go to the earlier chunk.  Chunk ids are unique.
 
     ``vectors`` has chunk_id, load_order, embedding; ``queries`` query_id, embedding.  A query
     matrix of proven small size is shipped to the tasks that read the vectors, which then stay where
@@ -198,7 +316,7 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     types = dict(vectors.dtypes)
     id_type, q_type = types["chunk_id"], dict(queries.dtypes)["query_id"]
     schema = f"query_id {q_type}, chunk_id {id_type}, load_order bigint, score double"
-    slim = vectors.select("chunk_id", F.col("load_order").cast("bigint").alias("load_order"), "embedding")
+    slim = spread(vectors, "chunk_id").select("chunk_id", F.col("load_order").cast("bigint").alias("load_order"), "embedding")
     if n_queries * width * 8 <= QUERY_MATRIX_BYTES:
         partial = _with_query_matrix(slim, queries, k, schema)
     else:

@@ -101,6 +101,12 @@ def written_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(chunks(spark, sf_dir))
 
 
+def lexical_index(chunk_table: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
+    from quorate.operators import retrieval as rt
+
+    return materialise(rt.lexical_index(chunk_table, group))
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First 12 words of each benchmark passage as a query."""
     from quorate.functions.text import words

@@ -60,13 +60,12 @@ def bm25_postings(spark, sf_dir):
 
 @query("bm25_idf", r6("SELECT term, avgdl, idf FROM fx_idf CROSS JOIN fx_stats", "avgdl", "idf"))
 def bm25_idf(spark, sf_dir):
-    chunks = fx.written_chunks(spark, sf_dir)
-    return rt.term_idf(rt.postings(chunks), rt.corpus_stats(chunks))
+    return rt.term_idf(fx.lexical_index(fx.chunks(spark, sf_dir)))
 
 
 @query("bm25_topk", r6("SELECT query_id, rank, chunk_id, source_doc, load_order, score FROM fx_lexical", "score"))
 def bm25_topk(spark, sf_dir):
-    return rt.lexical_search(fx.queries(spark, sf_dir), fx.written_chunks(spark, sf_dir), 50)
+    return rt.lexical_search(fx.queries(spark, sf_dir), fx.lexical_index(fx.chunks(spark, sf_dir)), 50)
 
 
 cte("fx_vec", """
@@ -126,7 +125,8 @@ SELECT source_type, query_id, rank, chunk_id, source_doc, load_order, score FROM
     WHERE NOT EXISTS (SELECT 1 FROM fx_typed_bm25 b WHERE b.query_id = q.query_id AND b.chunk_id = f.chunk_id)))
 WHERE rank <= 10""", "score"))
 def split_index_topk(spark, sf_dir):
-    return rt.lexical_search(fx.queries(spark, sf_dir), fx.written_chunks(spark, sf_dir), 10, ["source_type"])
+    index = fx.lexical_index(fx.chunks(spark, sf_dir), ("source_type",))
+    return rt.lexical_search(fx.queries(spark, sf_dir), index, 10, ["source_type"])
 
 
 # Fusion over two ranked branches of the vector table: neighbours of the query by all dimensions,
@@ -298,7 +298,7 @@ SELECT item_id, count(*) AS n_expected, avg(f) AS file_recall, avg(p) AS passage
 
 
 def served_lexical(spark, sf_dir, chunks):
-    found = rt.lexical_search(fx.queries(spark, sf_dir), chunks, 20)
+    found = rt.lexical_search(fx.queries(spark, sf_dir), fx.lexical_index(chunks), 20)
     return materialise(found.select(F.col("query_id").alias("item_id"), F.col("rank").alias("combined_rank"), "chunk_id", "source_doc"))
 
 
