@@ -302,6 +302,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def _add_products(
+    state: _Best, rows: np.ndarray, matrix: np.ndarray, ids: np.ndarray, order: np.ndarray
+) -> None:
+    """Score rows against all queries in slices of bounded size."""
+    step = max(1, MATRIX_CELLS // max(1, len(matrix)))
+    for i in range(0, len(rows), step):
+        part = slice(i, i + step)
+        state.add(np.round(rows[part] @ matrix.T, SCORE_DIGITS), ids[part], order[part])
+
+
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Top k chunks per query by inner product; ties go to the earlier chunk.  Chunk ids are unique.
 
@@ -336,9 +346,10 @@ def _with_query_matrix(vectors: DataFrame, queries: DataFrame, k: int, schema: s
         for batch in batches:
             if batch.num_rows == 0 or len(names) == 0:
                 continue
-            scores = np.round(_matrix(batch.column("embedding")) @ matrix.T, SCORE_DIGITS)
-            state.add(
-                scores,
+            _add_products(
+                state,
+                _matrix(batch.column("embedding")),
+                matrix,
                 batch.column("chunk_id").to_pandas().to_numpy(),
                 batch.column("load_order").to_numpy(),
             )
@@ -365,10 +376,10 @@ def _block_pairs(
     """Block product: each pair of a vector block and a query block is one small task group."""
     nq = max(1, -(-queries.count() // query_block))
     nv = max(1, -(-vectors.count() // vector_block))
-    every_q = F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))
-    every_v = F.explode(F.sequence(F.lit(0), F.lit(nv - 1)))
-    left = vectors.withColumn("_v", F.pmod(F.xxhash64("chunk_id"), F.lit(nv))).withColumn("_q", every_q.cast("bigint"))
-    right = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(nq))).withColumn("_v", every_v.cast("bigint"))
+    every_q = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nq - 1).cast("bigint")))
+    every_v = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nv - 1).cast("bigint")))
+    left = vectors.withColumn("_v", F.pmod(F.xxhash64("chunk_id"), F.lit(nv))).withColumn("_q", every_q)
+    right = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(nq))).withColumn("_v", every_v)
 
     def product(v: pa.Table, q: pa.Table) -> pa.Table:
         v, q = v.combine_chunks(), q.combine_chunks()
@@ -376,8 +387,8 @@ def _block_pairs(
         state = _Best(len(names), k)
         if v.num_rows and q.num_rows:
             matrix = _matrix(q["embedding"].combine_chunks())
-            scores = np.round(_matrix(v["embedding"].combine_chunks()) @ matrix.T, SCORE_DIGITS)
-            state.add(scores, v["chunk_id"].to_pandas().to_numpy(), v["load_order"].to_numpy())
+            rows = _matrix(v["embedding"].combine_chunks())
+            _add_products(state, rows, matrix, v["chunk_id"].to_pandas().to_numpy(), v["load_order"].to_numpy())
         out = state.kept if state.kept is not None else pd.DataFrame({"q": [], "chunk_id": [], "load_order": [], "score": []})
         return pa.table(
             {
