@@ -136,9 +136,10 @@ def lexical_search(
     group = list(group)
     weights = materialise(query_weights(queries, term_idf(index, group), group))
     order = [F.col("score").desc(), F.col("load_order")]
-    n_terms = weights.select(*group, "term").distinct().count()
-    n_queries = weights.select("query_id").distinct().count()
-    if n_terms * n_queries * 8 <= QUERY_MATRIX_BYTES:
+    shape = weights.agg(
+        F.count_distinct(F.struct(*group, "term")).alias("terms"), F.count_distinct("query_id").alias("queries")
+    ).first()
+    if shape.terms * shape.queries * 8 <= QUERY_MATRIX_BYTES:
         best = _matrix_scores(index, weights, k, group)
     else:
         best = lexical_scores(index, broadcast_if_small(weights), group)
