@@ -36,8 +36,7 @@ def tokens(text: Column, remove_stop_words: bool = True) -> Column:
     clean = words(F.regexp_replace(F.lower(text), NOT_WORD, " "))
     if not remove_stop_words:
         return clean
-    stop = F.array(*[F.lit(w) for w in C.STOP_WORDS])
-    return F.filter(clean, lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    return F.filter(clean, lambda t: (F.length(t) > 1) & ~t.isin(*C.STOP_WORDS))
 
 
 def paragraphs(text: Column, separator: str = C.PARAGRAPH_SEPARATOR) -> Column:

@@ -372,6 +372,54 @@ def metric_contrasts(
     return point.join(bounds, ["a", "b", "target_coverage", "metric"], "left")
 
 
+def point_contrasts(
+    points: DataFrame,
+    pairs: Sequence[tuple[str, str]],
+    metrics: Sequence[str],
+    stratum: str,
+    replicas: int,
+    seed: int = 42,
+) -> DataFrame:
+    """Contrasts of stored operating points (``variant``), whose answering probability
+    ``p_respond`` is given per item, with shared resamples."""
+    from quorate.operators.audit import decision_metrics
+
+    names = sorted({v for pair in pairs for v in pair})
+    parts = ["p_respond", "z_winner", "textual_refusal", "refusal_verdict"]
+    kept = points.where(F.col("variant").isin(names))
+    wide = kept.groupBy("item_id", stratum, "context_sufficiency").agg(
+        *[F.max(F.when(F.col("variant") == v, F.col(c))).alias(f"{v}_{c}") for v in names for c in parts]
+    )
+    columns = ["context_sufficiency", *[f"{v}_{c}" for v in names for c in parts]]
+    cells = compress(wide, stratum, columns)
+    listed = F.array(
+        *[
+            F.struct(F.lit(v).alias("variant"), *[F.col(f"{v}_{c}").alias(c) for c in parts])
+            for v in names
+        ]
+    )
+
+    def metric_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+        long = rows.select(*keys, "w", "context_sufficiency", F.inline(listed))
+        long = long.withColumn("target_coverage", F.lit(None).cast("double"))
+        return decision_metrics(long, F.col("p_respond"), [*keys, "variant", "target_coverage"], F.col("w"))
+
+    replicated = metric_rows(replica_rows(replica_weights(cells, columns, replicas, seed)), ["replica"])
+    delta = _contrast(replicated, pairs, metrics, ["replica"])
+    bounds = delta.groupBy("a", "b", "metric").agg(
+        F.percentile("delta", F.array(F.lit(0.025), F.lit(0.975))).alias("q")
+    )
+    point = _contrast(metric_rows(cells.withColumnRenamed("_n", "w"), []), pairs, metrics, [])
+    return point.join(bounds, ["a", "b", "metric"], "left").select(
+        "a",
+        "b",
+        "metric",
+        F.col("delta").alias("delta_a_minus_b"),
+        F.col("q")[0].alias("ci_lo"),
+        F.col("q")[1].alias("ci_hi"),
+    )
+
+
 def _weighted_metrics(compact: DataFrame, coverages, keys: list[str], decision_metrics) -> DataFrame:
     group = [*keys, "variant"]
     by_level = compact.groupBy(*group, "score").agg(F.sum("w").alias("n"))

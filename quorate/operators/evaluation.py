@@ -66,12 +66,15 @@ def anchors(chunks: DataFrame) -> DataFrame:
 def anchor_hits(chunks: DataFrame, expected: DataFrame) -> DataFrame:
     """(chunk_id, source_doc, anchor) of expected anchors that a chunk of that document matches.
 
-    Plain labels meet by equality on extracted anchors; labels with other characters meet by
+    Only chunks of expected documents are read for anchors.  Plain labels meet by equality on extracted anchors; labels with other characters meet by
     document and are tested by their own pattern.
     """
     pairs = expected.select("source_doc", "anchor").distinct()
     plain = F.col("anchor").rlike(tx.ANCHOR_CHARS)
-    equal = anchors(chunks).join(pairs.where(plain), ["source_doc", "anchor"])
+    relevant = chunks.select("chunk_id", "source_doc", "text").join(
+        pairs.where(plain).select("source_doc").distinct(), "source_doc", "left_semi"
+    )
+    equal = anchors(relevant).join(pairs.where(plain), ["source_doc", "anchor"])
     odd = (
         chunks.select("chunk_id", "source_doc", "text")
         .join(pairs.where(~plain), "source_doc")

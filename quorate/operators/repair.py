@@ -21,7 +21,7 @@ def judge_replacements(documents: DataFrame, replacements: DataFrame) -> DataFra
     more words than before: SEM_GANHO.  Otherwise: REPARADO.
     """
     no_source, failed, no_gain, repaired = STATUSES
-    both = spread(documents.join(replacements, "source_doc"), "source_doc")
+    both = spread(documents, "source_doc").join(replacements, "source_doc")
     new = F.coalesce("new_text", F.lit(""))
     sized = both.withColumn("words_before", tx.word_count(F.col("text"))).withColumn(
         "words_new", tx.word_count(new)

@@ -64,6 +64,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartition rows for costly per-row work only when there are fewer partitions than slots.
 
     A table of many files or row groups already has more partitions than that and is left alone.
+    Call it on scans and projections of scans, where counting partitions runs nothing.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= slots:

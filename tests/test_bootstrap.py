@@ -111,6 +111,21 @@ def test_metric_contrasts_point_values(spark):
         assert r.ci_lo <= r.delta_a_minus_b <= r.ci_hi
 
 
+def test_point_contrasts_use_given_probabilities(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, i % 3 == 0, v, int(rng.random() < 0.5), i % 3, float(rng.integers(0, 2))) for i in range(80) for v in ("a", "b")]
+    df = spark.createDataFrame(rows, "item_id int, has_doc_ref boolean, variant string, z_winner int, context_sufficiency int, p_respond double")
+    df = df.withColumns({"textual_refusal": F.lit(False), "refusal_verdict": F.lit(None).cast("int")})
+    got = {r.metric: r for r in bs.point_contrasts(df, [("a", "b")], ["nominal_coverage", "conventional_risk"], "has_doc_ref", 200).collect()}
+    pdf = pd.DataFrame(rows, columns=["i", "s", "v", "z", "k", "p"])
+    a, b = pdf[pdf.v == "a"], pdf[pdf.v == "b"]
+    assert got["nominal_coverage"].delta_a_minus_b == pytest.approx(a.p.mean() - b.p.mean())
+    risk = lambda d: (d.p * (1 - d.z)).sum() / d.p.sum()
+    assert got["conventional_risk"].delta_a_minus_b == pytest.approx(risk(a) - risk(b))
+    for r in got.values():
+        assert r.ci_lo < r.delta_a_minus_b < r.ci_hi
+
+
 def test_exact_binomial_bounds():
     assert _exact_bounds(0, 10, 0.05) == pytest.approx((0.0, 0.308497), abs=1e-5)
     assert _exact_bounds(8, 10, 0.05) == pytest.approx((0.443905, 0.974789), abs=1e-5)

@@ -118,6 +118,31 @@ def bootstrap_contrasts(spark, sf_dir):
     )
 
 
+def stored_points(spark, sf_dir):
+    """Two stored operating points: the full system and the minimal head, both at c_min 0.7."""
+    panel = fx.folded_panel(spark, sf_dir)
+    _, full = dec.cross_fitted_decisions(panel, fx.roles(spark), [0.7])
+    cols = ["item_id", "has_doc_ref", "agent_chosen", "z_winner", "abstained"]
+    head = mean_decisions(spark, sf_dir).where("c_min = 0.7")
+    both = full.select(F.lit("full").alias("variant"), *cols).unionByName(
+        head.select(F.lit("minimal").alias("variant"), *cols)
+    )
+    refused = panel.select(
+        "item_id", F.col("agent_id").alias("agent_chosen"), F.col("refused").alias("textual_refusal")
+    )
+    suff = fx.sufficiency(spark, sf_dir).withColumnRenamed("verdict", "context_sufficiency")
+    rows = au.attach_verdicts(both.join(refused, ["item_id", "agent_chosen"]), fx.refusal_audit(spark, sf_dir))
+    p = F.when(F.col("abstained"), F.lit(0.0)).otherwise(F.lit(1.0))
+    return materialise(rows.join(suff, "item_id").withColumn("p_respond", p))
+
+
+@query("bootstrap_point_contrasts")
+def bootstrap_point_contrasts(spark, sf_dir):
+    return bs.point_contrasts(
+        stored_points(spark, sf_dir), [("full", "minimal")], au.POINT_CONTRAST_METRICS, "has_doc_ref", 200
+    )
+
+
 @query("bootstrap_rho")
 def bootstrap_rho(spark, sf_dir):
     """Unstratified interval of the all-wrong ratio, from label patterns of items."""
