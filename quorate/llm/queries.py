@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorate.llm import simhash_trie
+from quorate.llm import simhash_trie, template_tree, winnowing
 from quorate.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,76 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_trie.near_duplicates(documents(spark, sf_dir))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+@query(
+    "op3_winnowing",
+    r"""
+    WITH item_words AS (
+        SELECT DISTINCT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+        FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+    ), windows AS (
+        SELECT DISTINCT item_id, n, list_aggregate(w[i : i + n - 1], 'string_agg', ' ') AS g
+        FROM (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM item_words WHERE len(w) > 0)
+    ), doc_words AS (
+        SELECT row_number() OVER () AS r, doc_id,
+               coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+        FROM documents
+    ), grams AS (
+        SELECT r, i, n, list_aggregate(w[i : i + n - 1], 'string_agg', ' ') AS g
+        FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc_words, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)
+    ), found AS (
+        SELECT r, i, n, item_id FROM grams JOIN windows USING (n, g)
+    ), words_hit AS (
+        SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM found) GROUP BY r
+    ), items_hit AS (
+        SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+        FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY r
+    )
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM doc_words LEFT JOIN words_hit USING (r) LEFT JOIN items_hit USING (r)
+    """,
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that lie in windows of benchmark items."""
+    found = winnowing.overlap(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+    joined = F.array_join("items", ",")
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), "contaminated"
+    )
+
+
+@query(
+    "op8_template_tree",
+    r"""
+    WITH lines AS (
+        SELECT doc_id, text, i - 1 AS line, string_split(text, chr(10))[i] AS content
+        FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)
+    ), parsed AS (
+        SELECT doc_id, text, line, list_transform(list_filter(regexp_split_to_array(content, '[ 	-]+'), lambda t: t <> ''),
+            lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS t
+        FROM lines
+    ), leaves AS (
+        SELECT doc_id, text, line, k, len(t) AS n,
+               list_aggregate(t[1 : 3 + ((len(t) - 3) * k) // 4], 'string_agg', ' ') AS before,
+               coalesce(list_aggregate(t[4 + ((len(t) - 3) * (k + 1)) // 4 :], 'string_agg', ' '), '') AS after
+        FROM parsed, (SELECT unnest(range(0, 4)) AS k) WHERE len(t) >= 6
+    ), recurring AS (
+        SELECT k, n, before, after, min(doc_id) AS first FROM leaves GROUP BY ALL HAVING count(DISTINCT doc_id) > 1
+    ), gone AS (
+        SELECT DISTINCT l.doc_id, l.text, l.line FROM leaves l JOIN recurring r USING (k, n, before, after) WHERE l.doc_id > r.first
+    ), kept AS (
+        SELECT l.doc_id, l.text, count(*) AS n_lines, count(g.line) AS n_dropped,
+               coalesce(string_agg(CASE WHEN g.line IS NULL THEN content END, chr(10) ORDER BY l.line), '') AS rest
+        FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.text = g.text AND l.line = g.line GROUP BY l.doc_id, l.text
+    )
+    SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(rest) AS text_sha256
+    FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id AND d.text = k.text
+    """,
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents whose template recurs, and a digest of what stays."""
+    out, n_lines, dropped = template_tree.without_repeats(documents(spark, sf_dir))
+    return out.select("doc_id", F.col(n_lines).alias("n_lines"), F.col(dropped).alias("n_dropped"), F.sha2("text", 256).alias("text_sha256"))
