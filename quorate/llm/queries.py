@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorate.llm import simhash_trie, template_tree, winnowing
+from quorate.llm import byte_convnet, simhash_trie, speculative_bpe, template_tree, winnowing
 from quorate.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,7 +82,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT doc_id, text, i - 1 AS line, string_split(text, chr(10))[i] AS content
         FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)
     ), parsed AS (
-        SELECT doc_id, text, line, list_transform(list_filter(regexp_split_to_array(content, '[ 	-]+'), lambda t: t <> ''),
+        SELECT doc_id, text, line, list_transform(list_filter(regexp_split_to_array(content, '[ 	-
+]+'), lambda t: t <> ''),
             lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS t
         FROM lines
     ), leaves AS (
@@ -106,3 +108,23 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of all documents whose template recurs, and a digest of what stays."""
     out, n_lines, dropped = template_tree.without_repeats(documents(spark, sf_dir))
     return out.select("doc_id", F.col(n_lines).alias("n_lines"), F.col(dropped).alias("n_dropped"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("op2_byte_convnet")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents; held-out rows teach nothing."""
+    docs = documents(spark, sf_dir)
+    net = byte_convnet.train(docs, documents(spark, sf_dir, "labels"))
+    scored = byte_convnet.with_scores(docs, net)
+    predicted = (F.col("score") >= byte_convnet.THRESHOLD).cast("int")
+    return scored.select("doc_id", byte_convnet.held_out().alias("held_out"), "score", predicted.alias("predicted"))
+
+
+@query("op9_speculative_bpe")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded, as digests."""
+    coded = speculative_bpe.encode_texts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
