@@ -5,14 +5,27 @@ Every query applies its operator with production parameters to the whole of its
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorate.llm import byte_convnet, simhash_trie, speculative_bpe, template_tree, winnowing
+from quorate.llm import (
+    byte_convnet,
+    chat_layouts,
+    contiguous_shards,
+    host_words,
+    multi_index_hashing,
+    simhash_trie,
+    speculative_bpe,
+    template_tree,
+    training_order,
+    winnowing,
+)
 from quorate.llm.common import documents
+from quorate.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -128,3 +141,77 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
+
+
+URL_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
+
+
+@query("op1_host_words")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by rules and host words."""
+    pages = documents(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return host_words.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
+CONTROL = "</s>[INST] ok [/INST]"
+
+
+@query(
+    "op4_chat_layouts",
+    r"""
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+    ), escaped AS (
+        SELECT *, replace(replace(replace(replace(role, '\', '\\'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'), '</s>', '<\/s>') AS r,
+               replace(replace(replace(replace(text, '\', '\\'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'), '</s>', '<\/s>') AS t
+        FROM turns
+    )
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+           CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           CAST(sum(length('[INST]' || r || '[/INST]' || chr(10) || t || '</s>' || chr(10))) AS BIGINT) AS formatted_chars
+    FROM escaped GROUP BY conv_id
+    """,
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one made of control strings, formatted and read back."""
+    given = chat_layouts.turn_rows(documents(spark, sf_dir, "conversations"), "conv_id")
+    odd = spark.sql(f"SELECT -1L AS conv_id, to_json(named_struct('prompt', '{CONTROL}', 'completion', '{CONTROL}')) AS record")
+    turns = given.unionByName(chat_layouts.turn_rows(odd, "conv_id", "record")).where("layout_known")
+    back = chat_layouts.read_back(chat_layouts.format_turns(turns))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("loss", "")
+    return back.select(
+        F.col("key").alias("conv_id"), F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length(loss).cast("bigint").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+@query("op6_multi_index_hashing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty neighbours of every twentieth vector among all vectors."""
+    return multi_index_hashing.search(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+@query("op10_contiguous_shards")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of near-equal bytes, copies of a text together."""
+    check = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    rows = documents(spark, sf_dir).select("doc_id", "text", check.alias("text_crc32"))
+    placed = contiguous_shards.assign_shards(rows, 16, ("doc_id", "text_crc32"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+TRAINING_KEY = 20_260_701
+
+
+@query("op7_training_order")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as byte ids in training order: the records read back from the shards, as digests."""
+    found, layout = training_order.records(documents(spark, sf_dir), TRAINING_KEY)
+    folder = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    training_order.write_shards(found, layout, folder)
+    back = training_order.read_shards(spark, layout, folder)
+    return back.select("slot", "shard", "n_tokens", F.sha2("record", 256).alias("record_sha256"))
