@@ -86,3 +86,30 @@ SWEEP_SETTINGS = (
 CONTEXT_HEADER = "[DOCUMENTO %d — %s]"
 EMPTY_CONTEXT = "(Nenhum documento recuperado para esta pergunta.)"
 MISSING_CHUNK = "(chunk não encontrado no índice)"
+
+# Coverages of the decision audit, variants contrasted (first minus second), and the ratio
+# metrics with the contrasts that report them (of variants, of stored points).
+AUDIT_COVERAGES = (0.3, 0.5, 0.7, 0.9, 1.0)
+CONTRAST_PAIRS = (("A5", "A7"), ("A4", "A1"), ("A5", "A0"), ("A5", "B0"))
+METRIC_CONTRASTS = {
+    "nominal_coverage": ("points",),
+    "effective_coverage": ("variants", "points"),
+    "conventional_risk": ("points",),
+    "substantive_risk": ("variants", "points"),
+    "abstention_error_precision": ("points",),
+    "abstention_error_recall": ("points",),
+    "false_abstention_rate": ("points",),
+    "abstention_context_precision_strict": (),
+    "abstention_context_precision_broad": (),
+    "nonresponse_context_precision_strict": (),
+    "nonresponse_context_precision_broad": (),
+    "abstention_given_insufficient": (),
+    "abstention_given_partial": (),
+    "abstention_given_sufficient": (),
+    "conventional_utility": ("variants", "points"),
+    "effective_error_utility": ("variants", "points"),
+    "context_utility_strict": ("variants", "points"),
+    "context_utility_broad": ("variants", "points"),
+    "context_penalty_strict": ("variants", "points"),
+    "context_penalty_broad": ("variants", "points"),
+}

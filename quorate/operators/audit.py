@@ -7,56 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quorate.functions import constants as C
 from quorate.operators.selective import response_probability
 
-# Ratios of two sums, null when the denominator is not positive.
-RATIO_METRICS = (
-    "nominal_coverage",
-    "effective_coverage",
-    "conventional_risk",
-    "substantive_risk",
-    "abstention_error_precision",
-    "abstention_error_recall",
-    "false_abstention_rate",
-    "abstention_context_precision_strict",
-    "abstention_context_precision_broad",
-    "nonresponse_context_precision_strict",
-    "nonresponse_context_precision_broad",
-    "abstention_given_insufficient",
-    "abstention_given_partial",
-    "abstention_given_sufficient",
-    "conventional_utility",
-    "effective_error_utility",
-    "context_utility_strict",
-    "context_utility_broad",
-    "context_penalty_strict",
-    "context_penalty_broad",
-)
-
-CONTRAST_METRICS = (
-    "effective_coverage",
-    "substantive_risk",
-    "conventional_utility",
-    "effective_error_utility",
-    "context_utility_strict",
-    "context_utility_broad",
-    "context_penalty_strict",
-    "context_penalty_broad",
-)
-
-POINT_CONTRAST_METRICS = (
-    "nominal_coverage",
-    "effective_coverage",
-    "conventional_risk",
-    "substantive_risk",
-    "abstention_error_precision",
-    "abstention_error_recall",
-    "false_abstention_rate",
-    *CONTRAST_METRICS[2:],
-)
-
-# Contrasted variants, first minus second.
-CONTRAST_PAIRS = (("A5", "A0"), ("A5", "B0"))
+
+def contrast_metrics(kind: str) -> list[str]:
+    """Ratio metrics that a contrast of ``variants`` or of stored ``points`` reports."""
+    return [metric for metric, kinds in C.METRIC_CONTRASTS.items() if kind in kinds]
 
 
 def metric_parts(p: Column) -> dict[str, tuple[Column, Column]]:

@@ -2,10 +2,10 @@
 
 Rows are first compressed to cells (stratum and the columns that a statistic reads) with counts.
 Resampling n_s rows with replacement from a stratum is the same as drawing a multinomial vector of
-cell counts, so each cell gets one array of B integer weights.  The draw has two levels so that it
-is spread over tasks: how many of a stratum's picks fall into each hash bucket of its cells, and,
-inside a bucket, how the bucket's picks spread over its cells.  Both use generators seeded by
-(seed, stratum, bucket), so a retried task draws the same numbers.
+cell counts, so each cell gets an array of integer weights per block of replicas.  The draw has two
+levels so that it is spread over tasks: how many of a stratum's picks fall into each hash bucket of
+its cells, and, inside a bucket, how the bucket's picks spread over its cells.  Both use generators
+seeded by (seed, stratum, block, bucket), so a retried task draws the same numbers.
 """
 
 from __future__ import annotations
@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 from quorate.functions.stats import normal_cdf, normal_quantile
 from quorate.operators.prefix import running_totals
 from quorate.operators.selective import aurc_term
+from quorate.session import materialise
 
-# Replicas drawn at once inside a task; bounds its memory to cells-per-bucket x block.
+# Replicas drawn at once and cells that a draw holds: a task has so many weights whatever the replicas and the data.
 REPLICA_BLOCK = 1000
+BUCKET_CELLS = 2048
 
 
 def _stratum_seed(value: object) -> int:
@@ -37,11 +39,18 @@ def compress(df: DataFrame, stratum: str | None, columns: Sequence[str]) -> Data
 
 
 def replica_weights(
-    cells: DataFrame, columns: Sequence[str], replicas: int, seed: int = 42, buckets: int = 16
+    cells: DataFrame, columns: Sequence[str], replicas: int, seed: int = 42, buckets: int | None = None
 ) -> DataFrame:
-    """(_s, columns, _n, _first, _w): weights of replicas _first, _first + 1, ... per cell."""
+    """(_s, columns, _n, _first, _w): weights of replicas _first, _first + 1, ... per cell.
+
+    A draw is one (stratum, bucket of cells, block of replicas); there are as many buckets as the
+    number of cells asks for. All buckets of a block draw the same split of the picks over buckets.
+    """
     if replicas < 100:
         raise ValueError("at least 100 replicas are needed")
+    if buckets is None:
+        cells = materialise(cells)
+        buckets = max(1, -(-cells.count() // BUCKET_CELLS))
     keyed = cells.withColumn("_b", F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int"))
     totals = keyed.groupBy("_s", "_b").agg(F.sum("_n").alias("_bn"))
     shape = totals.groupBy("_s").agg(
@@ -51,31 +60,24 @@ def replica_weights(
     shaped = keyed.join(shape, "_s").withColumn("_sizes", F.col("_shape._bn")).withColumn(
         "_order", F.array_position(F.col("_shape._b"), F.col("_b")) - 1
     )
+    starts = F.sequence(F.lit(0), F.lit(replicas - 1), F.lit(REPLICA_BLOCK))
+    shaped = shaped.withColumn("_first", F.explode(starts))
     kept = ["_s", *columns, "_n"]
     fields = {f.name: f.dataType.simpleString() for f in shaped.schema}
     schema = ", ".join(f"`{c}` {fields[c]}" for c in kept) + ", _first int, _w array<int>"
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         sizes = np.asarray(pdf["_sizes"].iloc[0], dtype=np.int64)
-        position = int(pdf["_order"].iloc[0])
+        position, first = int(pdf["_order"].iloc[0]), int(pdf["_first"].iloc[0])
         base = _stratum_seed(pdf["_s"].iloc[0])
         pdf = pdf.sort_values(list(columns), kind="mergesort")
         counts = pdf["_n"].to_numpy(dtype=np.int64)
-        share = counts / counts.sum()
-        outer = np.random.default_rng([seed, base, 0])
-        inner = np.random.default_rng([seed, base, 1 + position])
-        parts = []
-        for first in range(0, replicas, REPLICA_BLOCK):
-            size = min(REPLICA_BLOCK, replicas - first)
-            picks = outer.multinomial(int(sizes.sum()), sizes / sizes.sum(), size=size)[:, position]
-            weights = inner.multinomial(picks, share)
-            block = pdf[kept].copy()
-            block["_first"] = np.int32(first)
-            block["_w"] = list(weights.T.astype(np.int32))
-            parts.append(block)
-        return pd.concat(parts)
-
-    return shaped.groupBy("_s", "_b").applyInPandas(draw, schema)
+        size = min(REPLICA_BLOCK, replicas - first)
+        picks = np.random.default_rng([seed, base, first, 0]).multinomial(int(sizes.sum()), sizes / sizes.sum(), size=size)
+        weights = np.random.default_rng([seed, base, first, 1 + position]).multinomial(picks[:, position], counts / counts.sum())
+        return pdf[kept].assign(_first=np.int32(first), _w=list(weights.T.astype(np.int32)))
+
+    return shaped.groupBy("_s", "_b", "_first").applyInPandas(draw, schema)
 
 
 def replica_rows(weights: DataFrame) -> DataFrame:

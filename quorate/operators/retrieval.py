@@ -15,8 +15,11 @@ from quorate.functions import constants as C
 from quorate.functions.text import tokens
 from quorate.session import broadcast_if_small, materialise, spread
 
-# Scores are summed as integers in this unit, so equal chunks tie exactly in every sum order.
+# Parts of a lexical score are summed as integers in this unit, so equal chunks tie exactly in every sum
+# order; the sum is then rounded to SCORE_DIGITS, in integers as well. Both plans follow this one rule.
 UNIT = 1e12
+SCORE_DIGITS = 9
+_ROUNDING = 1000
 
 
 def top_k(df: DataFrame, query: Sequence[str], order: Sequence[Column], k: int | Column, rank: str = "rank") -> DataFrame:
@@ -120,7 +123,9 @@ def lexical_scores(
     hits = counted.join(weights, [*group, "term"]).select(
         *group, "query_id", "load_order", F.round(part * UNIT).cast("bigint").alias("p")
     )
-    return hits.groupBy(*group, "load_order", "query_id").agg((F.sum("p") / UNIT).alias("score"))
+    up = F.sum("p") + F.lit(_ROUNDING // 2)
+    score = (up - F.pmod(up, F.lit(_ROUNDING))) / F.lit(_ROUNDING) / F.lit(10.0**SCORE_DIGITS)
+    return hits.groupBy(*group, "load_order", "query_id").agg(score.alias("score"))
 
 
 def lexical_search(
@@ -139,7 +144,9 @@ def lexical_search(
     shape = weights.agg(
         F.count_distinct(F.struct(*group, "term")).alias("terms"), F.count_distinct("query_id").alias("queries")
     ).first()
-    if shape.terms * shape.queries * 8 <= QUERY_MATRIX_BYTES:
+    if weights.where("weight < 0").limit(1).count():
+        return _with_negative_scores(queries, index, weights, k, group)
+    if max(shape.terms, k * ROW_CELLS) * shape.queries * 8 <= QUERY_MATRIX_BYTES:
         best = _matrix_scores(index, weights, k, group)
     else:
         best = lexical_scores(index, broadcast_if_small(weights), group)
@@ -147,11 +154,25 @@ def lexical_search(
 
     # The first k chunks of the load order are enough to fill with: at most k places are free, and a
     # chunk is skipped only when it scored, which uses up one of the places.
+    fill = _first_chunks(queries, index, k, group).join(best, [*group, "query_id", "load_order"], "left_anti")
+    return _named(best.unionByName(fill.withColumn("score", F.lit(0.0))), index, k, group)
+
+
+def _named(scored: DataFrame, index: DataFrame, k: int, group: Sequence[str]) -> DataFrame:
+    ranked = top_k(scored, [*group, "query_id"], [F.col("score").desc(), F.col("load_order")], k)
+    names = index.select("load_order", "chunk_id", "source_doc")
+    return ranked.join(names, "load_order").select(
+        *group, "query_id", "chunk_id", "source_doc", "load_order", "score", "rank"
+    )
+
+
+def _first_chunks(queries: DataFrame, index: DataFrame, m: int, group: Sequence[str]) -> DataFrame:
+    """(group, query_id, load_order): the first m chunks of each group for every query with tokens."""
     slim = index.select(*group, "load_order")
     if group:
-        first = top_k(slim, group, [F.col("load_order")], k)
+        first = top_k(slim, group, [F.col("load_order")], m)
     else:
-        first = slim.orderBy("load_order").limit(k)
+        first = slim.orderBy("load_order").limit(m)
     listed = first.groupBy(*group).agg(F.collect_list("load_order").alias("_f"))
     asked = queries.where(F.size(tokens(F.col("text"))) > 0).select("query_id")
     if group:
@@ -159,14 +180,29 @@ def lexical_search(
         fill = asked.select("query_id", F.inline(kinds))
     else:
         fill = asked.withColumn("_f", listed.scalar())
-    fill = fill.select(*group, "query_id", F.explode("_f").alias("load_order"))
-    fill = fill.join(best, [*group, "query_id", "load_order"], "left_anti")
-    both = best.unionByName(fill.withColumn("score", F.lit(0.0)))
-    ranked = top_k(both, [*group, "query_id"], order, k)
-    names = index.select("load_order", "chunk_id", "source_doc")
-    return ranked.join(names, "load_order").select(
-        *group, "query_id", "chunk_id", "source_doc", "load_order", "score", "rank"
-    )
+    return fill.select(*group, "query_id", F.explode("_f").alias("load_order"))
+
+
+def _with_negative_scores(
+    queries: DataFrame, index: DataFrame, weights: DataFrame, k: int, group: Sequence[str]
+) -> DataFrame:
+    """Top k when some term weight is negative, which takes an index whose mean idf is.
+
+    A chunk without any query term then ranks above one that scored below zero, so each query needs
+    its first k chunks without a score: the stretch of the load order that is looked at doubles until
+    every query has them or the index ends.
+    """
+    scored = materialise(lexical_scores(index, broadcast_if_small(weights), group))
+    keys = [*group, "query_id"]
+    total, m = index.count(), k
+    while True:
+        fill = materialise(_first_chunks(queries, index, m, group).join(scored, [*keys, "load_order"], "left_anti"))
+        asked = _first_chunks(queries, index, 1, group).select(*keys)
+        short = asked.join(fill.groupBy(*keys).count().where(F.col("count") >= k), keys, "left_anti")
+        if m >= total or not short.limit(1).count():
+            break
+        m *= 2
+    return _named(scored.unionByName(fill.withColumn("score", F.lit(0.0))), index, k, group)
 
 
 def _matrix_scores(index: DataFrame, weights: DataFrame, k: int, group: Sequence[str]) -> DataFrame:
@@ -202,7 +238,8 @@ def _matrix_scores(index: DataFrame, weights: DataFrame, k: int, group: Sequence
             """Rows (g, load_order, dl, term) of whole chunks."""
             pairs, tf = np.unique(rows, axis=0, return_counts=True)
             mean = np.array([avgdl[g] for g in pairs[:, 0]])
-            gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * pairs[:, 2] / mean))
+            tf = tf.astype(np.float64)
+            gain = tf * (k1 + 1) / (tf + k1 * ((1 - b) + b * pairs[:, 2] / mean))
             starts = np.flatnonzero(np.r_[True, np.any(pairs[1:, :2] != pairs[:-1, :2], axis=1)])
             ends = np.r_[starts[1:], len(pairs)]
             step = max(1, MATRIX_CELLS // max(1, matrix.shape[1]))
@@ -210,8 +247,9 @@ def _matrix_scores(index: DataFrame, weights: DataFrame, k: int, group: Sequence
             while i < len(starts):
                 j = max(i + 1, int(np.searchsorted(ends, starts[i] + step, side="right")))
                 lo, hi = starts[i], ends[j - 1]
-                part = gain[lo:hi, None] * matrix[pairs[lo:hi, 3]]
-                scores = np.round(np.add.reduceat(part, starts[i:j] - lo, axis=0), SCORE_DIGITS)
+                part = np.floor(matrix[pairs[lo:hi, 3]] * gain[lo:hi, None] * UNIT + 0.5).astype(np.int64)
+                sums = np.add.reduceat(part, starts[i:j] - lo, axis=0)
+                scores = ((sums + _ROUNDING // 2) // _ROUNDING) / 10.0**SCORE_DIGITS
                 gs, order = pairs[starts[i:j], 0], pairs[starts[i:j], 1]
                 for g in np.unique(gs):
                     own = gs == g
@@ -260,9 +298,10 @@ def _matrix_scores(index: DataFrame, weights: DataFrame, k: int, group: Sequence
 
 # Dense ---------------------------------------------------------------------------------------------
 
-# Largest query matrix, in bytes, that is shipped to every task.
+# Largest query matrix, in bytes, that is shipped to every task; what a task keeps for its queries is held
+# to the same bound, at so many 8-byte cells for each kept row.
 QUERY_MATRIX_BYTES = 64 * 1024 * 1024
-SCORE_DIGITS = 9
+ROW_CELLS = 4
 
 # Cells of a score block and rows of term hits that a task holds at once.
 MATRIX_CELLS = 2_000_000
@@ -321,14 +360,16 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     they are and send k rows per query and task.  A larger one is cut, like the vectors, into blocks
     that meet pairwise.
     """
-    n_queries = queries.limit(1_000_000).count()
     head = queries.select(F.size("embedding")).head()
     width = head[0] if head else 0
+    # Counting stops one row beyond what fits.
+    fits = QUERY_MATRIX_BYTES // (8 * max(width, k * ROW_CELLS, 1))
+    n_queries = queries.limit(fits + 1).count()
     types = dict(vectors.dtypes)
     id_type, q_type = types["chunk_id"], dict(queries.dtypes)["query_id"]
     schema = f"query_id {q_type}, chunk_id {id_type}, load_order bigint, score double"
     slim = spread(vectors, "chunk_id").select("chunk_id", F.col("load_order").cast("bigint").alias("load_order"), "embedding")
-    if n_queries * width * 8 <= QUERY_MATRIX_BYTES:
+    if n_queries <= fits:
         partial = _with_query_matrix(slim, queries, k, schema)
     else:
         partial = _block_pairs(slim, queries, k, schema)

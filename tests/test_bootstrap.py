@@ -103,7 +103,7 @@ def test_metric_contrasts_point_values(spark):
     pdf["refusal_verdict"] = np.where(pdf.textual_refusal, 2, None)
     pdf["refusal_verdict"] = pdf.refusal_verdict.astype("Int64")
     df = spark.createDataFrame(pdf).withColumn("refusal_verdict", F.col("refusal_verdict").cast("int"))
-    got = bs.metric_contrasts(df, au.CONTRAST_PAIRS, [0.5], ["effective_coverage"], "has_doc_ref", 100).collect()
+    got = bs.metric_contrasts(df, [("A5", "A0"), ("A5", "B0")], [0.5], ["effective_coverage"], "has_doc_ref", 100).collect()
     table = {r.variant: r.effective_coverage for r in au.metrics_by_coverage(df, [0.5]).collect()}
     assert len(got) == 2
     for r in got:

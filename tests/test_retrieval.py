@@ -234,3 +234,34 @@ def test_output_parsing(spark):
     got = [r.a for r in df.select("i", tx.answer_fields(F.col("raw")).alias("a")).orderBy("i").collect()]
     assert [g.valid_json for g in got] == [True, True, True, False, False, False]
     assert [g.confidence_raw for g in got][:3] == [0.5, 0.25, 1.0]
+
+
+def _lexical(spark, chunks, queries, k):
+    table = spark.createDataFrame([(f"c{i}", "d", i, t) for i, t in chunks], "chunk_id string, source_doc string, load_order bigint, text string")
+    asked = spark.createDataFrame(queries, "query_id bigint, text string")
+    return [
+        (r.query_id, r.load_order, r.score)
+        for r in rt.lexical_search(asked, rt.lexical_index(table), k).orderBy("query_id", "rank").collect()
+    ]
+
+
+def test_both_plans_give_one_answer_on_close_scores(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    vocabulary = [f"termo{i}" for i in range(30)]
+    chunks = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([8, 9, 200, 201])))) for i in range(150)]
+    # The same terms in other orders: sums whose parts come in another sequence must tie.
+    chunks += [(1000 + i, " ".join(rng.sample(chunks[i][1].split(), len(chunks[i][1].split())))) for i in range(40)]
+    queries = [(q, " ".join(rng.choice(vocabulary) for _ in range(12))) for q in range(10)]
+    small = _lexical(spark, chunks, queries, 25)
+    monkeypatch.setattr(rt, "QUERY_MATRIX_BYTES", 0)
+    assert _lexical(spark, chunks, queries, 25) == small
+
+
+def test_chunks_without_a_score_rank_above_negative_ones(spark):
+    chunks = [(i, "alfa") for i in range(6)] + [(6, ""), (7, ""), (8, "")]
+    got = _lexical(spark, chunks, [(1, "alfa")], 3)
+    assert [(q, o) for q, o, _ in got] == [(1, 6), (1, 7), (1, 8)] and all(s == 0 for *_, s in got)
+    got = _lexical(spark, chunks, [(1, "alfa"), (2, "beta")], 5)
+    assert [o for q, o, _ in got if q == 1] == [6, 7, 8, 0, 1] and [o for q, o, _ in got if q == 2] == [0, 1, 2, 3, 4]

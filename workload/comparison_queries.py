@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quorate.functions import constants as C
 from quorate.functions.rand import draw_unit
 from quorate.operators import agreement as ag
 from quorate.operators import audit as au
@@ -18,7 +19,11 @@ from workload.metric_queries import audit_items, mean_decisions, variant_rows
 from workload.decision_queries import _strata
 from workload.registry import query
 
-REPLICAS = 1000
+REPLICAS = 10_000
+KAPPA_REPLICAS = 4_000
+# Each replica of these recomputes ranks over all score levels.
+CURVE_REPLICAS = 1_000
+CONTRAST_REPLICAS = 200
 
 # Bootstrap ---------------------------------------------------------------------------------------
 
@@ -57,7 +62,7 @@ def bootstrap_bca(spark, sf_dir):
 
 
 @query("bootstrap_mean_law", r6("""
-SELECT agent_id, avg(z) AS adequacy, CAST(1000 AS BIGINT) AS n_resamples, true AS lower_as_normal, true AS upper_as_normal
+SELECT agent_id, avg(z) AS adequacy, CAST(10000 AS BIGINT) AS n_resamples, true AS lower_as_normal, true AS upper_as_normal
 FROM fx_panel GROUP BY 1""", "adequacy"))
 def bootstrap_mean_law(spark, sf_dir):
     """Interval of each agent's adequacy against the normal interval of a stratified mean: both
@@ -107,14 +112,14 @@ def paired_scores(spark, sf_dir, a, b):
 @query("bootstrap_aurc")
 def bootstrap_aurc(spark, sf_dir):
     paired = materialise(paired_scores(spark, sf_dir, "A5", "A7"))
-    return bs.paired_aurc_delta(paired, "has_doc_ref", 200)
+    return bs.paired_aurc_delta(paired, "has_doc_ref", CURVE_REPLICAS)
 
 
 @query("bootstrap_contrasts")
 def bootstrap_contrasts(spark, sf_dir):
     items = materialise(audit_items(spark, sf_dir))
     return bs.metric_contrasts(
-        items, au.CONTRAST_PAIRS, [0.5, 0.7], au.CONTRAST_METRICS, "has_doc_ref", 100
+        items, C.CONTRAST_PAIRS, C.AUDIT_COVERAGES, au.contrast_metrics("variants"), "has_doc_ref", CONTRAST_REPLICAS
     )
 
 
@@ -139,7 +144,7 @@ def stored_points(spark, sf_dir):
 @query("bootstrap_point_contrasts")
 def bootstrap_point_contrasts(spark, sf_dir):
     return bs.point_contrasts(
-        stored_points(spark, sf_dir), [("full", "minimal")], au.POINT_CONTRAST_METRICS, "has_doc_ref", 200
+        stored_points(spark, sf_dir), [("full", "minimal")], au.contrast_metrics("points"), "has_doc_ref", REPLICAS
     )
 
 
@@ -195,7 +200,7 @@ def kappa(spark, sf_dir):
 
 @query("kappa_interval")
 def kappa_interval(spark, sf_dir):
-    return ag.kappa_interval(annotations(spark, sf_dir), REPLICAS)
+    return ag.kappa_interval(annotations(spark, sf_dir), KAPPA_REPLICAS)
 
 
 @query("conditional_agreement", r6("""
@@ -267,17 +272,22 @@ SIDE_METRICS = [
 ]
 
 
-def side(spark, sf_dir, first_line):
-    """Item metrics of one pipeline; the lines from ``first_line`` on are its three agents."""
+# First and last line of the pipelines that are compared; old and new share out all seven lines.
+SIDES = {"old": (1, 3), "new": (4, 7), "api": (5, 7)}
+
+
+def side(spark, sf_dir, name):
+    """Item metrics of one pipeline: a range of lines, dealt to its three agents."""
+    first_line, last_line = SIDES[name]
     lines = fx.table(spark, sf_dir, "lineitem")
-    panel = fx.panel(spark, sf_dir, first_line)
+    panel = fx.panel(spark, sf_dir, first_line, last_line)
     evasive = F.col("refused") & (F.col("agent_id") % 2 == 0)
     marks = panel.select(
         "item_id", "agent_id", "z", F.col("refused").cast("int").alias("refused"),
         evasive.cast("int").alias("evasive"), (~F.col("valid_json")).cast("int").alias("failed"),
     )
     roll = pn.item_rollup(marks, fx.AGENTS, ["z", "refused", "evasive", "failed"])
-    context = lines.where(F.col("l_linenumber") >= first_line).groupBy(F.col("l_orderkey").alias("item_id")).agg(
+    context = lines.where(F.col("l_linenumber").between(first_line, last_line)).groupBy(F.col("l_orderkey").alias("item_id")).agg(
         F.count("*").alias("n_chunks"), F.sum("l_quantity").alias("words")
     )
     orders = fx.table(spark, sf_dir, "orders").select(
@@ -300,8 +310,9 @@ def side(spark, sf_dir, first_line):
     )
 
 
-def _side_sql(first: int) -> str:
-    agent = "l_linenumber - " + str(first - 1)
+def _side_sql(name: str) -> str:
+    first, last = SIDES[name]
+    agent = f"(l_linenumber - {first}) % 3 + 1"
     mod = first + 2
     return f"""
 SELECT o.o_orderkey AS item_id, o.o_orderstatus <> 'P' AS has_doc_ref, o.o_orderpriority,
@@ -321,18 +332,18 @@ LEFT JOIN (
          sum(CASE WHEN flag_n = 1 AND c < 0.3 AND g = 2 THEN 1 ELSE 0 END) AS evasive, count(*) AS present
   FROM (SELECT l_orderkey, {agent} AS g, max(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS z,
                max(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS flag_n, round(10 * max(l_discount), 1) AS c
-        FROM lineitem WHERE l_linenumber BETWEEN {first} AND {first + 2} GROUP BY 1, 2) GROUP BY 1) a ON a.l_orderkey = o.o_orderkey
-LEFT JOIN (SELECT l_orderkey, count(*) AS n_chunks, sum(l_quantity) AS words FROM lineitem WHERE l_linenumber >= {first} GROUP BY 1) c
+        FROM lineitem WHERE l_linenumber BETWEEN {first} AND {last} GROUP BY 1, 2) GROUP BY 1) a ON a.l_orderkey = o.o_orderkey
+LEFT JOIN (SELECT l_orderkey, count(*) AS n_chunks, sum(l_quantity) AS words FROM lineitem WHERE l_linenumber BETWEEN {first} AND {last} GROUP BY 1) c
   ON c.l_orderkey = o.o_orderkey
 """
 
 
-cte("fx_side_old", _side_sql(1))
-cte("fx_side_new", _side_sql(4))
+cte("fx_side_old", _side_sql("old"))
+cte("fx_side_new", _side_sql("new"))
 
 
 def pairs(spark, sf_dir):
-    paired = cp.paired_metrics(side(spark, sf_dir, 1), side(spark, sf_dir, 4), SIDE_METRICS, ["has_doc_ref"])
+    paired = cp.paired_metrics(side(spark, sf_dir, "old"), side(spark, sf_dir, "new"), SIDE_METRICS, ["has_doc_ref"])
     return cp.long_pairs(paired, SIDE_METRICS, "has_doc_ref")
 
 
@@ -372,12 +383,12 @@ SELECT CAST(CASE WHEN sufficient = 1 THEN 2 WHEN insufficient = 1 THEN 0 ELSE 1
 FROM (SELECT a.sufficient, a.insufficient, a.z_mean AS z_old, b.z_mean AS z_new FROM fx_side_old a JOIN fx_side_new b USING (item_id))
 GROUP BY 1""", "mean_a", "mean_b", "contribution"))
 def delta_decomposition(spark, sf_dir):
-    paired = cp.paired_metrics(side(spark, sf_dir, 1), side(spark, sf_dir, 4), ["z_mean"], [])
+    paired = cp.paired_metrics(side(spark, sf_dir, "old"), side(spark, sf_dir, "new"), ["z_mean"], [])
     paired = paired.join(fx.sufficiency(spark, sf_dir), "item_id")
     return cp.decomposition(paired, "verdict", "z_mean_old", "z_mean_new")
 
 
-cte("fx_side_api", _side_sql(5))
+cte("fx_side_api", _side_sql("api"))
 
 
 @query("arm_contrasts", r6("""
@@ -387,8 +398,8 @@ CROSS JOIN LATERAL (VALUES ('api', 'new', p, n), ('new', 'old', n, o), ('api', '
   "mean_a", "mean_b", "delta"))
 def arm_contrasts(spark, sf_dir):
     arms = None
-    for name, first in (("old", 1), ("new", 4), ("api", 5)):
-        one = pn.item_rollup(fx.panel(spark, sf_dir, first), fx.AGENTS, ["z"]).select(
+    for name, lines in SIDES.items():
+        one = pn.item_rollup(fx.panel(spark, sf_dir, *lines), fx.AGENTS, ["z"]).select(
             "item_id", F.col("z_mean").alias(name)
         )
         arms = one if arms is None else arms.join(one, "item_id")

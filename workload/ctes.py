@@ -43,11 +43,11 @@ def r6(sql: str, *columns: str) -> str:
 
 
 cte("fx_lines", """
-SELECT l_orderkey, l_linenumber,
+SELECT l_orderkey, (l_linenumber - 1) % 3 + 1 AS agent_id,
        round(10 * max(l_discount), 1) AS conf_raw,
        max(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS z,
        max(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS flag_n
-FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2
+FROM lineitem GROUP BY 1, 2
 """)
 cte("fx_panel", """
 SELECT o.o_orderkey AS item_id, CAST(a.agent_id AS INTEGER) AS agent_id,
@@ -57,7 +57,7 @@ SELECT o.o_orderkey AS item_id, CAST(a.agent_id AS INTEGER) AS agent_id,
        coalesce(l.conf_raw, CAST(0 AS DOUBLE)) AS conf,
        coalesce(l.flag_n = 1 AND l.conf_raw < 0.3, false) AS refused
 FROM orders o CROSS JOIN (VALUES (1), (2), (3)) AS a(agent_id)
-LEFT JOIN fx_lines l ON l.l_orderkey = o.o_orderkey AND l.l_linenumber = a.agent_id
+LEFT JOIN fx_lines l ON l.l_orderkey = o.o_orderkey AND l.agent_id = a.agent_id
 """)
 cte("fx_items", """
 SELECT o_orderkey AS item_id, o_orderstatus <> 'P' AS has_doc_ref FROM orders

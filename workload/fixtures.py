@@ -23,12 +23,15 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def panel(spark: SparkSession, sf_dir: str, first_line: int = 1) -> DataFrame:
-    """Every order as an item, three line numbers (1 to 3 by default) as agents."""
-    agent = F.col("l_linenumber") - (first_line - 1)
+def panel(spark: SparkSession, sf_dir: str, first_line: int = 1, last_line: int = 7) -> DataFrame:
+    """Every order as an item; its lines are dealt to three agents by line number, all seven by default.
+
+    A narrower range of lines stands for one of several pipelines that are compared.
+    """
+    agent = (F.col("l_linenumber") - first_line) % 3 + 1
     lines = (
         table(spark, sf_dir, "lineitem")
-        .where(F.col("l_linenumber").between(first_line, first_line + 2))
+        .where(F.col("l_linenumber").between(first_line, last_line))
         .groupBy(F.col("l_orderkey").alias("item_id"), agent.alias("agent_id"))
         .agg(
             F.round(F.max("l_discount") * 10, 1).alias("conf_raw"),
@@ -108,12 +111,11 @@ def lexical_index(chunk_table: DataFrame, group: tuple[str, ...] = ()) -> DataFr
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First 12 words of each benchmark passage as a query."""
+    """Each whole benchmark passage as a query."""
     from quorate.functions.text import words
 
     return table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"),
-        F.array_join(F.slice(words(F.col("text")), 1, 12), " ").alias("text"),
+        F.col("item_id").alias("query_id"), F.array_join(words(F.col("text")), " ").alias("text")
     )
 
 
@@ -122,33 +124,36 @@ LOOKUP_WORDS = 6
 
 
 def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, source_doc, anchor): documents that contain a passage; the anchor is its first 40
-    characters.
+    """(item_id, source_doc, anchor): documents that contain a passage; the anchor is the passage.
 
-    A passage may start inside a word of the document, so the look-up uses its second to seventh
-    word; documents meet passages by equality on that run, then the whole passage is tested.
+    A passage may start or end inside a word of the document, so the look-up uses words inside it: up
+    to LOOKUP_WORDS of them, fewer for a short passage. Documents meet passages by equality on runs
+    whose first word is one of the passages' (tested in the scan, so few runs are made), then the whole
+    passage is tested. Passages of one or two words have no inner word and are refused.
     """
     from quorate.functions import text as tx
-    from quorate.session import spread
+    from quorate.session import broadcast_if_small, spread
 
+    inner = F.least(F.size("w") - 2, F.lit(LOOKUP_WORDS))
     passages = table(spark, sf_dir, "benchmark").select(
-        "item_id",
-        F.col("text").alias("passage"),
-        F.array_join(F.slice(tx.words(F.col("text")), 2, LOOKUP_WORDS), " ").alias("run"),
+        "item_id", F.col("text").alias("passage"), tx.words(F.col("text")).alias("w")
     )
+    passages = passages.select("item_id", "passage", inner.alias("n"), F.array_join(F.slice("w", 2, F.greatest(inner, F.lit(0))), " ").alias("run"))
+    # At most LOOKUP_WORDS values above zero.
+    lengths = sorted(r.n for r in passages.select("n").distinct().collect())
+    if lengths and lengths[0] < 1:
+        raise ValueError("a passage needs at least three words")
     documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    runs = documents.select(
-        "doc_id", F.explode(F.array_distinct(tx.word_runs(tx.spaced(F.col("text")), LOOKUP_WORDS))).alias("run")
-    )
-    found = runs.join(passages, "run").select("doc_id", "item_id", "passage").distinct()
+    side = broadcast_if_small(passages)
+    found = None
+    for n in lengths:
+        runs = documents.select("doc_id", F.explode(F.array_distinct(tx.word_runs(tx.spaced(F.col("text")), n))).alias("run"))
+        one = runs.join(side.where(F.col("n") == n), "run").select("doc_id", "item_id", "passage")
+        found = one if found is None else found.unionByName(one)
     return (
-        found.join(documents, "doc_id")
+        found.distinct().join(documents, "doc_id")
         .where(F.contains(F.col("text"), F.col("passage")))
-        .select(
-            "item_id",
-            F.col("doc_id").cast("string").alias("source_doc"),
-            F.substring("passage", 1, 40).alias("anchor"),
-        )
+        .select("item_id", F.col("doc_id").cast("string").alias("source_doc"), F.col("passage").alias("anchor"))
     )
 
 
@@ -165,11 +170,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 25th vector asks for its neighbours, under the number of the query."""
-    v = F.col("vec_id")
-    return table(spark, sf_dir, "embeddings").select(
-        (v % 25).alias("_m"), F.floor(v / 25).cast("bigint").alias("query_id"), "embedding"
-    ).where("_m = 0").drop("_m")
+    """Every vector asks for its neighbours, under its own number."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 def chunk_vectors(chunks: DataFrame, dim: int = 16) -> DataFrame:

@@ -467,11 +467,11 @@ def audit_items(spark, sf_dir):
 SELECT i.variant, c.target_coverage, least(greatest((c.target_coverage * l.total - l.n0) / l.n, 0), 1) AS a, i.z,
        CAST(i.refused AS INTEGER) AS t, u.refusal_verdict AS v, s.verdict AS k, 1 AS w
 FROM fx_variants i JOIN fx_var_levels l ON l.variant = i.variant AND l.score = i.score
-CROSS JOIN (SELECT CAST(c AS DOUBLE) AS target_coverage FROM (VALUES (0.3), (0.5), (0.7)) v(c)) c
+CROSS JOIN (SELECT CAST(c AS DOUBLE) AS target_coverage FROM (VALUES (0.3), (0.5), (0.7), (0.9), (1.0)) v(c)) c
 JOIN fx_sufficiency s ON s.item_id = i.item_id
 LEFT JOIN fx_audit u ON u.item_id = i.item_id AND u.agent_id = i.agent_chosen"""), *_METRIC_COLUMNS))
 def decision_metrics_by_coverage(spark, sf_dir):
-    return au.metrics_by_coverage(materialise(audit_items(spark, sf_dir)), [0.3, 0.5, 0.7])
+    return au.metrics_by_coverage(materialise(audit_items(spark, sf_dir)), C.AUDIT_COVERAGES)
 
 
 @query("operating_point", r6(_METRIC_SQL.format(group="c_min", rows="""

@@ -15,10 +15,10 @@ from workload.registry import query
 from workload.text_queries import tokens_sql, words_sql
 
 cte("fx_queries", f"""
-SELECT item_id AS query_id, array_to_string(({words_sql('text')})[1:12], ' ') AS text FROM benchmark
+SELECT item_id AS query_id, array_to_string({words_sql('text')}, ' ') AS text FROM benchmark
 """)
 cte("fx_expected", """
-SELECT b.item_id, CAST(d.doc_id AS VARCHAR) AS source_doc, substr(b.text, 1, 40) AS anchor
+SELECT b.item_id, CAST(d.doc_id AS VARCHAR) AS source_doc, b.text AS anchor
 FROM documents d JOIN benchmark b ON contains(d.text, b.text)
 """)
 cte("fx_tokens", f"SELECT chunk_id, source_doc, load_order, {tokens_sql('text')} AS t FROM fx_chunks")
@@ -40,7 +40,7 @@ SELECT q.query_id, p.chunk_id, p.source_doc, p.load_order,
 FROM fx_qterms q JOIN fx_idf i USING (term) JOIN fx_postings p USING (term) CROSS JOIN fx_stats s GROUP BY 1, 2, 3, 4
 """)
 cte("fx_lexical", """
-SELECT query_id, rank, chunk_id, source_doc, load_order, score FROM (
+SELECT query_id, rank, chunk_id, source_doc, load_order, round(score, 9) AS score FROM (
   SELECT query_id, chunk_id, source_doc, load_order, score,
          CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, load_order) AS INTEGER) AS rank
   FROM (
@@ -72,7 +72,7 @@ cte("fx_vec", """
 SELECT printf('v%06d', vec_id) AS chunk_id, CAST(vec_id % 50 AS VARCHAR) AS source_doc, vec_id AS load_order,
        CASE WHEN label < 5 THEN 'norm' ELSE 'ruling' END AS source_type, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
 """)
-cte("fx_vecq", "SELECT vec_id // 25 AS query_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 25 = 0")
+cte("fx_vecq", "SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings")
 cte("fx_dot", """
 SELECT q.query_id, v.chunk_id, v.source_doc, v.load_order, v.source_type, round(list_dot_product(v.e, q.e), 9) AS score FROM fx_vec v CROSS JOIN fx_vecq q
 """)
@@ -117,7 +117,7 @@ FROM fx_typed_tokens) WHERE rn <= 10
 
 
 @query("split_index_topk", r6("""
-SELECT source_type, query_id, rank, chunk_id, source_doc, load_order, score FROM (
+SELECT source_type, query_id, rank, chunk_id, source_doc, load_order, round(score, 9) AS score FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY source_type, query_id ORDER BY round(score, 9) DESC, load_order) AS INTEGER) AS rank FROM (
     SELECT * FROM fx_typed_bm25
     UNION ALL SELECT f.source_type, q.query_id, f.chunk_id, f.source_doc, f.load_order, 0
