@@ -15,14 +15,60 @@ from quorate.operators.gates import require_empty
 FILE_POSITIONS = 1_000_000_000_000
 
 
-def read_json_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(file, stem, raw): each JSON file as one text."""
+def _named(lines: DataFrame) -> DataFrame:
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    return spark.read.text(list(paths), wholetext=True).select(
+    return lines.select(
         name.alias("file"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), F.col("value").alias("raw")
     )
 
 
+def read_json_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(file, stem, raw): each JSON file as one text; for files that one task can hold.
+
+    Larger sources are JSON lines: ``read_json_lines`` splits them.
+    """
+    return _named(spark.read.text(list(paths), wholetext=True))
+
+
+def read_json_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(file, stem, raw): each line of JSON-lines files as one text; files are split among tasks."""
+    return _named(spark.read.text(list(paths))).where(F.trim("raw") != "")
+
+
+def existing(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """The paths that are there, in order, on whatever file system they name."""
+    found = []
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            found.append(path)
+    return found
+
+
+def _start(raw: Column) -> Column:
+    return F.regexp_extract(raw, r"^[\s\x{feff}]*(\S)", 1)
+
+
+def _parsed(files: DataFrame, schema: str) -> Column:
+    """The JSON text of each file read as ``schema``; a file that does not parse is an error.
+
+    Every record is a variant of its own, so the size of a file is not bounded by that of one value.
+    """
+    where = F.col("file") if "file" in files.columns else F.lit("a record")
+    failed = F.raise_error(F.concat(F.lit("not a JSON list or object: "), where))
+    opening = "[" if schema.startswith("array") else "{"
+    # Tested again here: the planner may run the parser before the filter by opening.
+    return F.when(_start(F.col("raw")) == opening, F.coalesce(F.from_json("raw", schema, {"mode": "FAILFAST"}), failed))
+
+
+def _lists_and_objects(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files that hold a list and files that hold an object; any other content is an error."""
+    failed = F.raise_error(F.concat(F.lit("neither a list nor an object: "), F.substring("raw", 1, 80)))
+    start = _start(F.col("raw"))
+    known = files.where(F.when(start.isin("[", "{"), True).otherwise(failed.cast("boolean")))
+    return known.where(start == "["), known.where(start == "{")
+
+
 def _path(field: str) -> str:
     return f"$['{field}']"
 
@@ -54,11 +100,6 @@ def value_text(v: Column) -> Column:
     return F.when(v.isNull() | F.is_variant_null(v), F.lit("")).when(_is(v, "ARRAY"), lines).otherwise(_flat_text(v))
 
 
-def _explode_variant(df: DataFrame, column: str) -> DataFrame:
-    """Rows (pos, key, value) for the elements of a JSON array or the fields of an object."""
-    return df.lateralJoin(df.sparkSession.tvf.variant_explode(F.col(column).outer()))
-
-
 def _first_field(v: Column, fields: Sequence[str], kind: str) -> Column:
     return F.coalesce(*[F.try_variant_get(v, _path(f), kind) for f in fields])
 
@@ -67,34 +108,26 @@ def corpus_records(files: DataFrame) -> DataFrame:
     """(file, doc_id, text, pos) of corpus files; ids and texts under any of the known field names.
 
     A list gives its objects (id by position when none is named, blank texts dropped); one object
-    with a file name and data gives itself; any other object maps ids to values.
+    with a file name and data gives itself; any other object maps ids to values. A file that is no
+    JSON list or object stops the job.
     """
-    parsed = files.withColumn("_v", F.try_parse_json("raw")).where(F.col("_v").isNotNull()).drop("raw")
-    single = F.try_variant_get("_v", "$.filename", "string").isNotNull() & F.try_variant_get(
-        "_v", "$.filedata", "variant"
-    ).isNotNull()
-    is_list = _is(F.col("_v"), "ARRAY")
-    one = parsed.where(single & ~is_list).select(
-        "file",
-        F.try_variant_get("_v", "$.filename", "string").alias("doc_id"),
-        value_text(F.try_variant_get("_v", "$.filedata", "variant")).alias("text"),
-        F.lit(0).alias("pos"),
+    lists, objects = _lists_and_objects(files)
+    mapped = objects.select("file", _parsed(objects, "map<string,variant>").alias("_m"))
+    name, data = F.col("_m")["filename"], F.col("_m")["filedata"]
+    single = name.isNotNull() & data.isNotNull()
+    one = mapped.where(single).select(
+        "file", F.try_variant_get(name, "$", "string").alias("doc_id"), value_text(data).alias("text"), F.lit(0).alias("pos")
     )
-    rest = _explode_variant(parsed.where(is_list | ~single).withColumn("_list", is_list), "_v")
+    keyed = mapped.where(~single).select("file", F.posexplode("_m").alias("pos", "doc_id", "value"))
+    keyed = keyed.select("file", "doc_id", value_text(F.col("value")).alias("text"), "pos")
+    listed = lists.select("file", "stem", F.posexplode(_parsed(lists, "array<variant>")).alias("pos", "value"))
     value = F.col("value")
     named = F.coalesce(
         _first_field(value, C.ID_FIELDS, "string"), F.concat("stem", F.format_string("_%05d", F.col("pos")))
     )
     body = F.coalesce(_first_field(value, C.TEXT_FIELDS, "variant"), value)
-    many = rest.where(~F.col("_list") | _is(value, "OBJECT")).select(
-        "file",
-        F.when(F.col("_list"), named).otherwise(F.col("key")).alias("doc_id"),
-        F.when(F.col("_list"), value_text(body)).otherwise(value_text(value)).alias("text"),
-        "pos",
-        "_list",
-    )
-    kept = many.where(~F.col("_list") | (tx.strip(F.col("text")) != "")).drop("_list")
-    return one.unionByName(kept)
+    many = listed.where(_is(value, "OBJECT")).select("file", named.alias("doc_id"), value_text(body).alias("text"), "pos")
+    return one.unionByName(keyed).unionByName(many.where(tx.strip(F.col("text")) != ""))
 
 
 def merge_corpora(parts: Sequence[DataFrame]) -> DataFrame:
@@ -109,6 +142,14 @@ def merge_corpora(parts: Sequence[DataFrame]) -> DataFrame:
     )
 
 
+def read_corpora(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Several corpora merged in the given order; missing files are skipped."""
+    there = existing(spark, paths)
+    if not there:
+        return spark.createDataFrame([], "doc_id string, text string, load_order bigint")
+    return merge_corpora([corpus_records(read_json_files(spark, [p])) for p in there])
+
+
 def synthetic_ids(documents: DataFrame) -> DataFrame:
     """Gate of a curated corpus: documents with an id made from an item's references."""
     name = F.col("doc_id")
@@ -117,6 +158,8 @@ def synthetic_ids(documents: DataFrame) -> DataFrame:
 
 def read_curated_corpus(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Corpus in the given file order; a missing file is an error, and so are synthetic ids."""
+    if missing := sorted(set(paths) - set(existing(spark, paths))):
+        raise FileNotFoundError(f"a curated corpus needs all its files; missing: {missing}")
     documents = merge_corpora([corpus_records(read_json_files(spark, [p])) for p in paths])
     require_empty(synthetic_ids(documents), "synthetic document ids in a curated corpus")
     return documents
@@ -146,12 +189,12 @@ def question_items(files: DataFrame) -> DataFrame:
     A file is a list of records, an object with "questions", or an object of records; entries that
     are not objects are skipped.
     """
-    parsed = files.withColumn("_v", F.try_parse_json("raw")).where(F.col("_v").isNotNull())
-    inner = F.try_variant_get("_v", "$.questions", "variant")
-    parsed = parsed.select(F.when(_is(F.col("_v"), "OBJECT"), F.coalesce(inner, "_v")).otherwise(F.col("_v")).alias("_v"))
-    return items_from_records(
-        _explode_variant(parsed, "_v").where(_is(F.col("value"), "OBJECT")).select("value")
-    )
+    lists, objects = _lists_and_objects(files)
+    inner = F.from_json("raw", "struct<questions:array<variant>>")["questions"]
+    values = F.when(F.size(inner) > 0, inner).otherwise(F.map_values(_parsed(objects, "map<string,variant>")))
+    records = lists.select(F.explode(_parsed(lists, "array<variant>")).alias("value"))
+    records = records.unionByName(objects.select(F.explode(values).alias("value")))
+    return items_from_records(records.where(_is(F.col("value"), "OBJECT")))
 
 
 def items_from_records(records: DataFrame, value: str = "value") -> DataFrame:

@@ -195,6 +195,26 @@ def test_json_files_round_trip(spark, tmp_path):
         rec.read_curated_corpus(spark, [str(tmp_path / "b.json")])
 
 
+def test_bad_and_missing_files_do_not_pass_silently(spark, tmp_path):
+    (tmp_path / "good.json").write_text('\n {"questions": [{"question_number": 3, "question_text": "q"}, 7]}', encoding="utf-8")
+    (tmp_path / "cut.json").write_text('[{"id": "x", "text": "um"}, {"id": ', encoding="utf-8")
+    (tmp_path / "word.json").write_text('"just text"', encoding="utf-8")
+    (tmp_path / "lines.jsonl").write_text('[{"id": "p", "text": "1"}]\n\n{"q": "2", "r": "3"}\n', encoding="utf-8")
+    at = lambda n: str(tmp_path / n)
+    assert [r.item_id for r in rec.question_items(rec.read_json_files(spark, [at("good.json")])).collect()] == ["q_0003"]
+    for name in ("cut.json", "word.json"):
+        for load in (rec.corpus_records, rec.question_items):
+            with pytest.raises(Exception):
+                load(rec.read_json_files(spark, [at(name)])).collect()
+    lines = rec.corpus_records(rec.read_json_lines(spark, [at("lines.jsonl")])).collect()
+    assert {(r.doc_id, r.text) for r in lines} == {("p", "1"), ("q", "2"), ("r", "3")}
+    (tmp_path / "a.json").write_text('{"a": "1"}', encoding="utf-8")
+    assert rec.read_corpora(spark, [at("none.json"), at("a.json")]).count() == 1
+    assert rec.read_corpora(spark, [at("none.json")]).count() == 0
+    with pytest.raises(FileNotFoundError):
+        rec.read_curated_corpus(spark, [at("a.json"), at("none.json")])
+
+
 def test_agent_folders_partitions_and_exports(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a", 0.5, 0, 1), (2, "b", 0.7, 1, 0)], "item_id int, agent_id string, c_min double, fold_k int, z int")
     base = str(tmp_path / "resp")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quorate.functions import text as tx
@@ -13,7 +15,8 @@ from quorate.operators import prompts as pr
 from quorate.operators import retrieval as rt
 from quorate.operators import selective as sel
 from quorate.plans import ladder
-from quorate.session import materialise
+from quorate.operators.gates import require_empty
+from quorate.session import materialise, shared_folder
 from quorate.sources import records as rec
 from quorate.sources import tables as tb
 from quorate.streaming import resume
@@ -52,6 +55,28 @@ def corpus_records(spark, sf_dir):
     return rec.corpus_records(corpus_files(spark, sf_dir))
 
 
+@query("curated_corpus", with_ctes("""
+SELECT doc_id, text, CASE WHEN part = 1 THEN 1000000000000 ELSE 0 END AS load_order FROM (
+  SELECT doc_id, text, CASE WHEN file LIKE '%5.json' THEN 1 ELSE 0 END AS part FROM fx_corpus)"""))
+def curated_corpus(spark, sf_dir):
+    """The corpus stored as two JSON-lines files and read back in their order; a line is one small corpus."""
+    files = corpus_files(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    last = F.col("file").endswith("5.json")
+    for name, part in (("a", files.where(~last)), ("b", files.where(last))):
+        # A line names its file by itself, as the folder's own file names say nothing.
+        part.select(F.concat_ws("\t", "stem", "raw").alias("value")).write.text(f"{folder}/{name}")
+    parts = []
+    for name in ("a", "b"):
+        lines = rec.read_json_lines(spark, [f"{folder}/{name}"])
+        cut = F.split("raw", "\t", 2)
+        lines = lines.select(F.concat(cut[0], F.lit(".json")).alias("file"), cut[0].alias("stem"), cut[1].alias("raw"))
+        parts.append(rec.corpus_records(lines).withColumn("pos", F.lit(0)))
+    merged = rec.merge_corpora(parts)
+    require_empty(rec.synthetic_ids(merged), "synthetic document ids in a curated corpus")
+    return merged
+
+
 @query("corpus_merge", with_ctes("""
 SELECT coalesce(b.doc_id, a.doc_id) AS doc_id, coalesce(b.text, a.text) AS text,
        CASE WHEN a.doc_id IS NOT NULL THEN a.pos ELSE 1000000000000 + b.pos END AS load_order
