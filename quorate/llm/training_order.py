@@ -1,6 +1,6 @@
 """Training-order materialisation of token ids.
 
-Texts become fixed-length sequences of token ids. Every sequence has a dense number; a keyed Feistel
+Texts become a stream of token ids in fixed-length sequences. Every sequence has a dense number; a keyed Feistel
 permutation of the numbers, with cycle-walking where the domain is no power of four, gives each its global
 slot without any sort. Slots are dealt by range to shards of a fixed number of records, and every record
 has the same stride, so the record of a slot is found by arithmetic: a run that stopped after any number
@@ -71,56 +71,65 @@ def permuted(numbers: np.ndarray, count: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def sequences_of(text: str, length: int = LENGTH) -> F.Column:
-    """Sequences of a text: its bytes and one end mark, in pieces of ``length``."""
-    return F.ceil((F.coalesce(F.octet_length(text), F.lit(0)) + 1) / length).cast("bigint")
-
-
 def records(docs: DataFrame, key: int, length: int = LENGTH, per_shard: int = RECORDS) -> tuple[DataFrame, Layout]:
-    """(doc_id, part, slot, n_tokens, record) for every sequence of every row, and the layout.
-
-    Token ids are the UTF-8 bytes of the text, END after its last; the last sequence of a text is filled
-    with PAD. A null text is empty and has one sequence. Sequences are numbered by partition of ``docs``
-    and place in it: counts per partition are summed first (a number per partition), so ``docs`` must be a
-    stored table, whose partitions and their rows are the same each time it is read. Repeated rows have
-    sequences of their own. Columns other than doc_id and text are ignored.
+    """(doc_id, slot, n_tokens, record) for every sequence, and the layout.
+
+    Token ids are the UTF-8 bytes of the texts, each followed by END; a null text is empty. The texts of a
+    partition are one stream, cut into sequences of ``length``; only its last sequence is filled up, with
+    PAD. ``doc_id`` is that of the text in which the sequence begins. Sequences are numbered by partition of
+    ``docs`` and place in it: sizes per partition are summed first (a number per partition), so ``docs`` must
+    be a stored table, whose partitions and their rows are the same each time it is read; a change is
+    noticed and refused. Repeated rows are written each time; columns other than doc_id and text are ignored.
     """
     rows = docs.select("doc_id", "text")
-    counted = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(sequences_of("text", length)).alias("n")).collect()
-    sizes = {r["p"]: r["n"] for r in counted}
+    tokens = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)
+    counted = rows.groupBy(F.spark_partition_id().alias("p")).agg(tokens.alias("n")).collect()
+    sizes = {r["p"]: -(-r["n"] // length) for r in counted}
     places = sorted(sizes)
     first = dict(zip(places, (np.cumsum([0, *[sizes[p] for p in places]])[:-1]).tolist()))
     layout = Layout(sum(sizes.values()), length, per_shard)
+    changed = "the table's partitions changed between two reads; store it first"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         number, end = first.get(part, 0), first.get(part, 0) + sizes.get(part, 0)
+        rest, rest_id = np.zeros(0, np.uint8), None
+
+        def batch_of(ids: pa.Array, flat: np.ndarray, filled: np.ndarray) -> pa.RecordBatch:
+            nonlocal number
+            n = len(filled)
+            slots = permuted(number + np.arange(n), layout.count, key)
+            number += n
+            if number > end:
+                raise RuntimeError(changed)
+            ends = np.arange(n + 1, dtype=np.int32) * length
+            raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+            return pa.RecordBatch.from_arrays([ids, pa.array(slots), pa.array(filled.astype(np.int32)), raw], names=["doc_id", "slot", "n_tokens", "record"])
+
         for batch in batches:
             for lo, hi, data, offsets in text_blocks(batch.column(1)):
                 n = np.diff(offsets)
-                pieces = -(-(n + 1) // length)
-                start = (np.cumsum(pieces) - pieces) * length
-                flat = np.full(int(pieces.sum()) * length, PAD, np.uint8)
-                flat[np.arange(len(data)) + np.repeat(start - offsets[:-1], n)] = data
-                flat[start + n] = END
-                doc = np.repeat(np.arange(lo, hi), pieces)
-                within = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                filled = np.minimum(length, (n + 1)[doc - lo] - within * length)
-                slots = permuted(number + np.arange(len(doc)), layout.count, key)
-                number += len(doc)
-                if number > end:
-                    raise RuntimeError("the table's partitions changed between two reads; store it first")
-                ends = np.arange(len(doc) + 1, dtype=np.int32) * length
-                raw = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(doc)), pa.array(within), pa.array(slots), pa.array(filled.astype(np.int32)), raw],
-                    names=["doc_id", "part", "slot", "n_tokens", "record"],
-                )
+                start = len(rest) + offsets[:-1] + np.arange(len(n))
+                stream = np.empty(len(rest) + len(data) + len(n), np.uint8)
+                stream[: len(rest)] = rest
+                stream[np.arange(len(data)) + np.repeat(start - offsets[:-1], n)] = data
+                stream[start + n] = END
+                ids, begin = batch.column(0).slice(lo, hi - lo), start
+                if len(rest):
+                    ids, begin = pa.concat_arrays([rest_id, ids]), np.append(0, start)
+                whole = len(stream) // length
+                owner = np.searchsorted(begin, np.arange(whole + 1) * length, side="right") - 1
+                if whole:
+                    yield batch_of(ids.take(pa.array(owner[:-1])), stream[: whole * length].copy(), np.full(whole, length))
+                rest = stream[whole * length :]
+                rest_id = ids.slice(int(owner[-1]), 1)
+        if len(rest):
+            yield batch_of(rest_id, np.append(rest, np.full(length - len(rest), PAD, np.uint8)), np.array([len(rest)]))
         if number != end:
-            raise RuntimeError("the table's partitions changed between two reads; store it first")
+            raise RuntimeError(changed)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, part bigint, slot bigint, n_tokens int, record binary"), layout
+    return rows.mapInArrow(run, f"doc_id {kind}, slot bigint, n_tokens int, record binary"), layout
 
 
 def _complete(spark: SparkSession, folder: str, layout: Layout) -> set[int]:

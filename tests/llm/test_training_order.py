@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import random
 import tempfile
-from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import types as T
@@ -37,21 +36,21 @@ def test_round_trip_and_resumption(spark):
     assert to.write_shards(found, layout, f"{base}/out") == layout.shards > 3
     back = {r.slot: r for r in to.read_shards(spark, layout, f"{base}/out").collect()}
     assert sorted(back) == list(range(layout.count))
-    parts = defaultdict(dict)
     for r in found.collect():
         assert bytes(back[r.slot].record) == bytes(r.record) and back[r.slot].n_tokens == r.n_tokens
         assert layout.at(r.slot)[0] == back[r.slot].shard
-        parts[r.doc_id, r.slot if r.part == 0 else None].update({r.part: bytes(r.record)})
-    # Every text comes back from its sequences.
-    pieces = defaultdict(list)
-    for r in sorted(found.collect(), key=lambda r: r.part):
-        pieces[r.doc_id].append(bytes(r.record)[: r.n_tokens])
-    joined = sorted(b"".join(sorted(v)) for v in pieces.values())
-    want = defaultdict(list)
-    for d, t, _ in rows:
-        data = (t or "").encode() + b"\xff"
-        want[d] += [data[i : i + 64] for i in range(0, len(data), 64)]
-    assert joined == sorted(b"".join(sorted(v)) for v in want.values())
+    # Read in the order of their numbers, sequences give back every text.
+    slots = to.permuted(np.arange(layout.count), layout.count, 9)
+    stream = b"".join(bytes(back[s].record)[: back[s].n_tokens] for s in slots.tolist())
+    assert sorted(stream.split(b"\xff")[:-1]) == sorted((t or "").encode() for _, t, _ in rows)
+    owners = {r.slot: r.doc_id for r in found.collect()}
+    at, known, of = 0, [], {t: d for d, t, _ in rows if len(t or "") > 130}
+    for s in slots.tolist():
+        known.append((at, owners[s]))
+        at += back[s].n_tokens
+    for text, d in of.items():
+        begin = stream.index(text.encode())
+        assert any(o == d for p, o in known if begin < p <= begin + len(text.encode()))
     # A record is where arithmetic says.
     shard, place = layout.at(57)
     [name] = [f for f in os.listdir(f"{base}/out/shard={shard}") if f.endswith(".txt")]
