@@ -15,7 +15,7 @@ from quorate.operators import panel as pn
 from quorate.session import materialise
 from workload import fixtures as fx
 from workload.ctes import cte, r6, with_ctes
-from workload.metric_queries import audit_items, mean_decisions, variant_rows
+from workload.metric_queries import _METRIC_SQL, audit_items, mean_decisions, variant_rows
 from workload.decision_queries import _strata
 from workload.registry import query
 
@@ -26,6 +26,16 @@ CURVE_REPLICAS = 1_000
 CONTRAST_REPLICAS = 200
 
 # Bootstrap ---------------------------------------------------------------------------------------
+#
+# Draws differ between engines, so these queries return what is exact (points, numbers of replicas) and
+# whether the interval holds its point; tests/test_bootstrap.py holds the bounds against NumPy.
+
+
+def holding(df, point=None):
+    """Interval columns replaced by ``holds``: bounds are in order, and around ``point`` where there is one."""
+    lo, hi = F.col("ci_lo") - 1e-9, F.col("ci_hi") + 1e-9
+    ok = lo <= hi if point is None else (lo <= F.col(point)) & (F.col(point) <= hi)
+    return df.withColumn("holds", F.coalesce(ok, F.lit(False))).drop("ci_lo", "ci_hi")
 
 
 def operating_cells(spark, sf_dir):
@@ -46,19 +56,25 @@ def statistics():
     }
 
 
-@query("bootstrap_percentile")
+_POINTS = """
+SELECT v.statistic, v.point{more} FROM (
+  SELECT avg(1 - a) AS cov, sum((1 - a) * (1 - z)) / sum(1 - a) AS risk, avg((1 - a) * z) AS useful, sum(a * (1 - z)) / sum(a) AS prec
+  FROM (SELECT CAST(abstained AS INTEGER) AS a, z_winner AS z FROM fx_mean_decisions WHERE c_min = 0.7))
+CROSS JOIN LATERAL (VALUES ('coverage', cov), ('selective_risk', risk), ('adequacy_useful', useful), ('abstention_precision', prec)) v(statistic, point)"""
+
+
+@query("bootstrap_percentile", r6(_POINTS.format(more=", CAST(10000 AS BIGINT) AS n_resamples, CAST(0 AS BIGINT) AS n_dropped, true AS holds"), "point"))
 def bootstrap_percentile(spark, sf_dir):
     stats = {name: bs.weighted_ratio(n, d) for name, (n, d) in statistics().items()}
-    return bs.interval_table(
-        operating_cells(spark, sf_dir), "has_doc_ref", ["abst", "z"], stats, REPLICAS
+    return holding(
+        bs.interval_table(operating_cells(spark, sf_dir), "has_doc_ref", ["abst", "z"], stats, REPLICAS), "point"
     )
 
 
-@query("bootstrap_bca")
+@query("bootstrap_bca", r6(_POINTS.format(more=", CAST(0 AS BIGINT) AS n_dropped, true AS holds"), "point"))
 def bootstrap_bca(spark, sf_dir):
-    return bs.bca_interval(
-        operating_cells(spark, sf_dir), "has_doc_ref", ["abst", "z"], statistics(), REPLICAS
-    )
+    found = bs.bca_interval(operating_cells(spark, sf_dir), "has_doc_ref", ["abst", "z"], statistics(), REPLICAS)
+    return holding(found, "point").drop("acceleration")
 
 
 @query("bootstrap_mean_law", r6("""
@@ -92,12 +108,15 @@ def bootstrap_mean_law(spark, sf_dir):
     )
 
 
-@query("bootstrap_paired_delta")
+@query("bootstrap_paired_delta", r6("""
+SELECT avg(p.z) AS mean_a, avg(h.z_winner) AS mean_b, avg(h.z_winner - p.z) AS delta, CAST(10000 AS BIGINT) AS n_resamples, true AS holds
+FROM fx_mean_head h JOIN fx_panel p ON p.item_id = h.item_id AND p.agent_id = 1""", "mean_a", "mean_b", "delta"))
 def bootstrap_paired_delta(spark, sf_dir):
     panel = fx.panel(spark, sf_dir)
     fixed = panel.where("agent_id = 1").select("item_id", F.col("z").alias("a"))
     head = dec.mean_confidence_head(panel, ["item_id", "has_doc_ref"]).withColumnRenamed("z_winner", "b")
-    return bs.paired_delta(head.join(fixed, "item_id"), "a", "b", "has_doc_ref", REPLICAS)
+    found = bs.paired_delta(head.join(fixed, "item_id"), "a", "b", "has_doc_ref", REPLICAS)
+    return holding(found, "delta").drop("includes_zero")
 
 
 def paired_scores(spark, sf_dir, a, b):
@@ -109,18 +128,40 @@ def paired_scores(spark, sf_dir, a, b):
     )
 
 
-@query("bootstrap_aurc")
+@query("bootstrap_aurc", "SELECT 'delta_aurc' AS statistic, CAST(1000 AS BIGINT) AS n_resamples, CAST(0 AS BIGINT) AS n_dropped, true AS holds")
 def bootstrap_aurc(spark, sf_dir):
     paired = materialise(paired_scores(spark, sf_dir, "A5", "A7"))
-    return bs.paired_aurc_delta(paired, "has_doc_ref", CURVE_REPLICAS)
+    return holding(bs.paired_aurc_delta(paired, "has_doc_ref", CURVE_REPLICAS))
+
+
+def _contrast_sql(metrics: str, pairs, names, extra: str = "") -> str:
+    """Differences of the metrics of two variants from a statement with a row per variant (and ``extra`` column)."""
+    listed = ", ".join(f"('{m}', x.{m} - y.{m})" for m in names)
+    both = ", ".join(f"('{a}', '{b}')" for a, b in pairs)
+    same = f" AND y.{extra} = x.{extra}" if extra else ""
+    column = f"x.{extra}, " if extra else ""
+    return f"""
+SELECT p.a, p.b, {column}v.metric, v.d AS delta_a_minus_b, true AS holds
+FROM (VALUES {both}) p(a, b) JOIN ({metrics}) x ON x.variant = p.a JOIN ({metrics}) y ON y.variant = p.b{same}
+CROSS JOIN LATERAL (VALUES {listed}) v(metric, d)"""
+
 
+_BY_COVERAGE = _METRIC_SQL.format(group="variant, target_coverage", rows="""
+SELECT i.variant, c.target_coverage, least(greatest((c.target_coverage * l.total - l.n0) / l.n, 0), 1) AS a, i.z,
+       CAST(i.refused AS INTEGER) AS t, u.refusal_verdict AS v, s.verdict AS k, 1 AS w
+FROM fx_variants i JOIN fx_var_levels l ON l.variant = i.variant AND l.score = i.score
+CROSS JOIN (SELECT CAST(c AS DOUBLE) AS target_coverage FROM (VALUES (0.3), (0.5), (0.7), (0.9), (1.0)) v(c)) c
+JOIN fx_sufficiency s ON s.item_id = i.item_id
+LEFT JOIN fx_audit u ON u.item_id = i.item_id AND u.agent_id = i.agent_chosen""")
 
-@query("bootstrap_contrasts")
+
+@query("bootstrap_contrasts", r6(_contrast_sql(_BY_COVERAGE, C.CONTRAST_PAIRS, au.contrast_metrics("variants"), "target_coverage"), "delta_a_minus_b"))
 def bootstrap_contrasts(spark, sf_dir):
     items = materialise(audit_items(spark, sf_dir))
-    return bs.metric_contrasts(
+    found = bs.metric_contrasts(
         items, C.CONTRAST_PAIRS, C.AUDIT_COVERAGES, au.contrast_metrics("variants"), "has_doc_ref", CONTRAST_REPLICAS
     )
+    return holding(found, "delta_a_minus_b")
 
 
 def stored_points(spark, sf_dir):
@@ -141,21 +182,36 @@ def stored_points(spark, sf_dir):
     return materialise(rows.join(suff, "item_id").withColumn("p_respond", p))
 
 
-@query("bootstrap_point_contrasts")
+_STORED = _METRIC_SQL.format(group="variant", rows="""
+SELECT d.variant, CASE WHEN d.abstained THEN 0 ELSE 1 END AS a, d.z_winner AS z, CAST(p.refused AS INTEGER) AS t,
+       u.refusal_verdict AS v, s.verdict AS k, 1 AS w
+FROM (SELECT 'full' AS variant, item_id, agent_chosen, z_winner, abstained FROM fx_decisions WHERE c_min = 0.7
+      UNION ALL SELECT 'minimal', item_id, agent_chosen, z_winner, abstained FROM fx_mean_decisions WHERE c_min = 0.7) d
+JOIN fx_panel p ON p.item_id = d.item_id AND p.agent_id = d.agent_chosen
+JOIN fx_sufficiency s ON s.item_id = d.item_id
+LEFT JOIN fx_audit u ON u.item_id = d.item_id AND u.agent_id = d.agent_chosen""")
+
+
+@query("bootstrap_point_contrasts", r6(_contrast_sql(_STORED, [("full", "minimal")], au.contrast_metrics("points")), "delta_a_minus_b"))
 def bootstrap_point_contrasts(spark, sf_dir):
-    return bs.point_contrasts(
+    found = bs.point_contrasts(
         stored_points(spark, sf_dir), [("full", "minimal")], au.contrast_metrics("points"), "has_doc_ref", REPLICAS
     )
+    return holding(found, "delta_a_minus_b")
 
 
-@query("bootstrap_rho")
+@query("bootstrap_rho", r6("""
+SELECT 'rho' AS statistic, avg(e1 * e2 * e3) / (avg(e1) * avg(e2) * avg(e3)) AS point, CAST(10000 AS BIGINT) AS n_resamples,
+       CAST(0 AS BIGINT) AS n_dropped, true AS holds FROM (
+  SELECT item_id, 1 - max(CASE WHEN agent_id = 1 THEN z END) AS e1, 1 - max(CASE WHEN agent_id = 2 THEN z END) AS e2,
+         1 - max(CASE WHEN agent_id = 3 THEN z END) AS e3 FROM fx_panel GROUP BY 1)""", "point"))
 def bootstrap_rho(spark, sf_dir):
     """Unstratified interval of the all-wrong ratio, from label patterns of items."""
     wide = pn.item_rollup(fx.panel(spark, sf_dir), fx.AGENTS, ["z"])
     wrong = [1 - F.col(f"z_{a}") for a in fx.AGENTS]
     rates = [bs.weighted_mean(e) for e in wrong]
     rho = F.try_divide(bs.weighted_mean(wrong[0] * wrong[1] * wrong[2]), rates[0] * rates[1] * rates[2])
-    return bs.interval_table(wide, None, [f"z_{a}" for a in fx.AGENTS], {"rho": rho}, REPLICAS)
+    return holding(bs.interval_table(wide, None, [f"z_{a}" for a in fx.AGENTS], {"rho": rho}, REPLICAS), "point")
 
 
 # Human agreement -----------------------------------------------------------------------------------
@@ -198,9 +254,9 @@ def kappa(spark, sf_dir):
     return ag.cohen_kappa(annotations(spark, sf_dir))
 
 
-@query("kappa_interval")
+@query("kappa_interval", "SELECT 'kappa' AS statistic, CAST(4000 AS BIGINT) AS n_resamples, CAST(0 AS BIGINT) AS n_dropped, true AS holds")
 def kappa_interval(spark, sf_dir):
-    return ag.kappa_interval(annotations(spark, sf_dir), KAPPA_REPLICAS)
+    return holding(ag.kappa_interval(annotations(spark, sf_dir), KAPPA_REPLICAS))
 
 
 @query("conditional_agreement", r6("""
@@ -358,9 +414,12 @@ def paired_comparison(spark, sf_dir):
     return cp.comparison_means(pairs(spark, sf_dir))
 
 
-@query("paired_comparison_intervals")
+@query("paired_comparison_intervals", r6(f"""
+SELECT v.metric, count(*) AS n, avg(v.o) AS old, avg(v.w) AS new, avg(v.w - v.o) AS delta, true AS holds
+FROM fx_side_old a JOIN fx_side_new b USING (item_id) CROSS JOIN LATERAL (VALUES {_LATERAL}) v(metric, o, w)
+WHERE v.o IS NOT NULL AND v.w IS NOT NULL GROUP BY 1""", "old", "new", "delta"))
 def paired_comparison_intervals(spark, sf_dir):
-    return cp.compare(materialise(pairs(spark, sf_dir)), "has_doc_ref", REPLICAS)
+    return holding(cp.compare(materialise(pairs(spark, sf_dir)), "has_doc_ref", REPLICAS), "delta")
 
 
 @query("cost_by_stage", r6("""

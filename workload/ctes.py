@@ -32,7 +32,9 @@ def with_ctes(body: str) -> str:
     if not order:
         return body
     recursive = "RECURSIVE " if any(name.endswith("_rec") for name in order) else ""
-    blocks = ",\n".join(f"{name} AS (\n{CTES[name]}\n)" for name in order)
+    # Blocks are computed once; several checks name a costly one more than once.
+    kind = lambda name: "" if name.endswith("_rec") else "MATERIALIZED "
+    blocks = ",\n".join(f"{name} AS {kind(name)}(\n{CTES[name]}\n)" for name in order)
     return f"WITH {recursive}{blocks}\n{body}"
 
 
