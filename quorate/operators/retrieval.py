@@ -459,6 +459,12 @@ def query_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def split_budget(total: Column, k_dense: Column, k_lexical: Column) -> tuple[Column, Column]:
+    """``split_top_k`` for columns."""
+    dense = F.greatest(F.ceil(total * (k_dense / (k_dense + k_lexical))), F.lit(1)).cast("int")
+    return dense, F.greatest(total - dense, F.lit(1)).cast("int")
+
+
 def split_top_k(total: int, k_dense: int, k_lexical: int) -> tuple[int, int]:
     """A budget of chunks shared by the branches in the ratio of their configured depths, the dense
     share rounded up; each branch keeps at least one."""

@@ -236,7 +236,8 @@ def stored_context_gate(spark, sf_dir):
 
 
 @query("content_digest", with_ctes("""
-SELECT bucket, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM (
+SELECT bucket, count(*) AS n, sha256(concat_ws(',', CAST(sum(CAST('0x' || substr(h, 1, 15) AS HUGEINT)) AS VARCHAR), CAST(sum(CAST('0x' || substr(h, 16, 15) AS HUGEINT)) AS VARCHAR),
+  CAST(sum(CAST('0x' || substr(h, 31, 15) AS HUGEINT)) AS VARCHAR), CAST(sum(CAST('0x' || substr(h, 46, 15) AS HUGEINT)) AS VARCHAR))) AS digest FROM (
   SELECT CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 64 AS bucket, sha256(doc_id || chr(10) || text) AS h FROM documents) GROUP BY 1"""))
 def content_digest(spark, sf_dir):
     return tb.content_digest(fx.table(spark, sf_dir, "documents"), "doc_id", "text", 64)
