@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from quorate.functions import constants as C
-from quorate.operators.prefix import levels, running_totals
+from quorate.operators.prefix import levels, running_totals, unit_bucket
 from quorate.session import materialise, values_table
 
 
@@ -132,15 +132,34 @@ def risk_coverage_curve(
 
 
 def nearest_curve_point(curve: DataFrame, taus: DataFrame) -> DataFrame:
-    """Curve point nearest to each wanted tau (a short table); ties to the smaller tau."""
-    points = curve.withColumn("_t", F.explode(taus.agg(F.collect_set("wanted_tau")).scalar()))
-    near = F.min_by(
-        F.struct("tau", "coverage", "selective_risk"),
-        F.struct(F.abs(F.col("tau") - F.col("_t")), F.col("tau")),
-    )
-    return points.groupBy(F.col("_t").alias("wanted_tau")).agg(near.alias("p")).select(
-        "wanted_tau", "p.tau", "p.coverage", "p.selective_risk"
-    )
+    """Curve point nearest to each wanted tau; ties to the smaller tau.
+
+    Points and wanted values are laid on one line, cut into buckets of tau; each wanted value looks at
+    the last point before it and the first from it on inside its bucket, and at the ends of the nearest
+    buckets that have points. Nothing is paired, whatever the length of either side.
+    """
+    point = F.struct("tau", "coverage", "selective_risk")
+    points = curve.select(F.col("tau").alias("t"), point.alias("p"), F.lit(None).cast("double").alias("wanted_tau"))
+    asked = taus.select(F.col("wanted_tau").cast("double").alias("wanted_tau")).distinct()
+    asked = asked.select(F.col("wanted_tau").alias("t"), F.lit(None).cast(points.schema["p"].dataType).alias("p"), "wanted_tau")
+    line = points.unionByName(asked).withColumn("_b", unit_bucket(F.col("t")))
+    order = W.partitionBy("_b").orderBy("t", F.col("wanted_tau").isNotNull())
+    before = F.last("p", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
+    after = F.first("p", ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing))
+    seen = line.select("_b", "wanted_tau", before.alias("lo"), after.alias("hi")).where("wanted_tau is not null")
+
+    # One row per bucket of the fixed number of buckets.
+    ends = line.groupBy("_b").agg(F.max_by("p", F.when(F.col("p").isNotNull(), F.col("t"))).alias("top"), F.min_by("p", F.when(F.col("p").isNotNull(), F.col("t"))).alias("bottom"))
+    along = W.orderBy("_b")
+    ends = ends.select(
+        "_b",
+        F.last("top", ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, -1)).alias("below"),
+        F.first("bottom", ignorenulls=True).over(along.rowsBetween(1, W.unboundedFollowing)).alias("above"),
+    )
+    both = seen.join(F.broadcast(ends), "_b").select("wanted_tau", F.explode(F.array("lo", "hi", "below", "above")).alias("p"))
+    gap = F.struct(F.abs(F.col("p.tau") - F.col("wanted_tau")), F.col("p.tau"))
+    near = both.where("p is not null").groupBy("wanted_tau").agg(F.min_by("p", gap).alias("p"))
+    return near.select("wanted_tau", "p.tau", "p.coverage", "p.selective_risk")
 
 
 def with_overall(df: DataFrame, stratum: str, overall: str = "all") -> DataFrame:
@@ -189,10 +208,33 @@ def ece_equal_width(df: DataFrame, group: Sequence[str], n_bins: int = C.ECE_BIN
     return _ece(df, group, edges, n_bins)
 
 
+def exact_quantiles(df: DataFrame, group: Sequence[str], key: str, probs: Sequence[float]) -> DataFrame:
+    """(group, _q): exact interpolated quantiles of a key in [0, 1], from its levels and running counts.
+
+    A quantile lies between two places of the sorted rows; only the levels that hold a wanted place are
+    kept, so no group's values meet in one buffer. Null and NaN keys are left out.
+    """
+    group = list(group)
+    known = df.where(F.col(key).isNotNull() & ~F.isnan(F.col(key).cast("double")))
+    compact = levels(known, group, key, {"n": F.count("*")})
+    cum = running_totals(compact, group, key, ["n"])
+    place = lambda p: F.lit(float(p)) * (F.col("total_n") - 1)
+    wanted = F.array(*[
+        F.struct(F.lit(i).alias("i"), place(p).alias("at"), end(place(p)).cast("bigint").alias("k"))
+        for i, p in enumerate(probs) for end in (F.floor, F.ceil)
+    ])
+    inside = F.filter(wanted, lambda w: (w["k"] >= F.col("before_n")) & (w["k"] < F.col("before_n") + F.col("n")))
+    met = cum.select(*group, F.col(key).cast("double").alias("x"), F.explode(F.array_distinct(inside)).alias("w"))
+    low, high = F.min_by("x", "w.k"), F.max_by("x", "w.k")
+    share = F.max("w.at") - F.floor(F.max("w.at"))
+    each = met.groupBy(*group, F.col("w.i").alias("i")).agg((low * (1 - share) + high * share).alias("q"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda s: s["q"])
+    return each.groupBy(*group).agg(listed.alias("_q"))
+
+
 def ece_quantile(df: DataFrame, group: Sequence[str], n_bins: int = C.ECE_BINS) -> DataFrame:
     """The same over quantile bins per group; repeated edges give empty bins."""
-    probs = F.array(*[F.lit(i / n_bins) for i in range(n_bins + 1)])
-    quantiles = df.groupBy(*group).agg(F.percentile("conf", probs).alias("_q"))
+    quantiles = exact_quantiles(df, group, "conf", [i / n_bins for i in range(n_bins + 1)])
     inner = F.slice(F.col("_q"), 2, n_bins - 1)
     quantiles = quantiles.select(
         *group, F.concat(F.array(F.lit(0.0)), inner, F.array(F.lit(1.0 + 1e-9))).alias("_edges")
@@ -327,13 +369,26 @@ def aurc(df: DataFrame, group: Sequence[str], score: str = "score") -> DataFrame
     )
 
 
+# Ranges of the row number into which the rows of one tied score are cut.
+TIE_RANGES = 1024
+
+
 def aurc_row_order(df: DataFrame, group: Sequence[str], row: str, score: str = "score") -> DataFrame:
-    """The same area with ties broken by row order, for comparison."""
+    """The same area with ties broken by a row number, for comparison.
+
+    Totals before a score come from its level; inside a level rows are cut into ranges of the row number,
+    so a score that most rows share is no single task.
+    """
+    group = list(group)
     one = df.select(*group, score, row, F.lit(1).cast("bigint").alias("n"), F.col("z").cast("bigint").alias("s"))
-    cum = running_totals(
-        one, group, score, ["n", "s"], descending=True, extra_order=[F.col(row).asc()]
-    )
-    risk = F.lit(1.0) - (F.col("before_s") + F.col("s")) / (F.col("before_n") + F.col("n"))
+    spans = one.groupBy(*group, score).agg(F.min(row).alias("_from"), F.max(row).alias("_to"))
+    before = ranked_levels(df, group, score).select(*group, score, F.col("before_n").alias("_n"), F.col("before_s").alias("_s"))
+    both = spans.join(before, [*group, score])
+    rows = one.join(both, [*group, score])
+    part = F.floor((F.col(row) - F.col("_from")) / (F.col("_to") - F.col("_from") + 1) * TIE_RANGES).cast("int")
+    cum = running_totals(rows, [*group, score], row, ["n", "s"], bucket=part)
+    answered = F.col("_n") + F.col("before_n") + F.col("n")
+    risk = F.lit(1.0) - (F.col("_s") + F.col("before_s") + F.col("s")) / answered
     return cum.groupBy(*group).agg(F.avg(risk).alias("aurc_row_order"))
 
 

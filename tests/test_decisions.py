@@ -238,3 +238,36 @@ def test_rung_verdicts_and_shares(spark):
 def test_refusal_predicate_ignores_case_and_null(spark):
     df = frame(spark, "t string", [("NÃO É POSSÍVEL RESPONDER com isso",), (None,), ("ok",), ("o contexto é insuficiente",)])
     assert [r[0] for r in df.select(pn.is_refusal(F.col("t"))).collect()] == [True, False, False, True]
+
+
+def test_row_order_area_with_one_dominant_score(spark):
+    import numpy as np
+
+    from quorate.operators import selective as sel
+
+    rng = np.random.default_rng(5)
+    scores = np.where(rng.random(4000) < 0.9, 0.5, rng.integers(0, 11, 4000) / 10)
+    z = rng.integers(0, 2, 4000)
+    df = spark.createDataFrame([("v", int(i), float(s), int(y)) for i, (s, y) in enumerate(zip(scores, z))], "variant string, item_id long, score double, z int")
+    order = np.lexsort((np.arange(4000), -scores))
+    want = np.mean(1 - np.cumsum(z[order]) / np.arange(1, 4001))
+    assert abs(sel.aurc_row_order(df, ["variant"], "item_id").first().aurc_row_order - want) < 1e-12
+
+
+def test_quantiles_and_nearest_points_against_numpy(spark):
+    import numpy as np
+
+    from quorate.operators import selective as sel
+
+    rng = np.random.default_rng(6)
+    x = np.append(np.round(rng.random(997), 2), [0.5] * 3000)
+    df = spark.createDataFrame([("a", float(v)) for v in x] + [("b", 0.25), ("c", None)], "g string, conf double")
+    probs = [i / 15 for i in range(16)]
+    got = {r.g: list(r._q) for r in sel.exact_quantiles(df, ["g"], "conf", probs).collect()}
+    assert np.allclose(got["a"], np.quantile(x, probs), atol=1e-12) and got["b"] == [0.25] * 16 and "c" not in got
+    taus = np.unique(np.round(rng.random(60), 4))
+    curve = spark.createDataFrame([(float(t), float(t) / 2, float(t) / 3) for t in taus], "tau double, coverage double, selective_risk double")
+    wanted = [0.0, 1.0, *taus[:5].tolist(), *rng.random(40).tolist(), float((taus[3] + taus[4]) / 2)]
+    asked = spark.createDataFrame([(float(w),) for w in wanted], "wanted_tau double")
+    near = {r.wanted_tau: r.tau for r in sel.nearest_curve_point(curve, asked).collect()}
+    assert near == {float(w): float(min(taus, key=lambda t: (abs(t - w), t))) for w in wanted}
