@@ -24,8 +24,8 @@ BUCKET_BITS = 14
 # Groups read to the driver at once and kept, at most.
 READ_GROUPS = 200_000
 # Cells in which the rows of a shard are numbered: leading bits of the text's hash, and parts of the row's own hash.
-CELL_BITS = 10
-CELL_PARTS = 256
+CELL_BITS = 8
+CELL_PARTS = 128
 
 
 def group_key(text: str = "text") -> Column:
@@ -47,7 +47,8 @@ class Groups:
 
     def __init__(self, sizes: DataFrame) -> None:
         """``sizes``: (key, bytes), one row per group."""
-        self.table = materialise(sizes.withColumn("bucket", _bucket(F.col("key"), BUCKET_BITS)))
+        # Sorted inside its files, so that reading a few buckets skips most of each.
+        self.table = materialise(sizes.withColumn("bucket", _bucket(F.col("key"), BUCKET_BITS)).sortWithinPartitions("bucket"))
         rows = self.table.groupBy("bucket").agg(F.sum("bytes"), F.count("*"), F.max("bytes")).collect()
         rows = sorted(tuple(r) for r in rows)
         self.buckets = [r[0] for r in rows]
@@ -60,18 +61,21 @@ class Groups:
     def _sizes(self, i: int) -> tuple[list[int], list[int]]:
         """Keys and running totals inside bucket number ``i``, with neighbours read along."""
         if i not in self.read:
-            upto, held = i + 1, self.counts[i]
-            while upto < len(self.buckets) and held + self.counts[upto] <= READ_GROUPS:
+            since, upto, held = i, i + 1, self.counts[i]
+            while since > 0 and since - 1 not in self.read and held + self.counts[since - 1] <= READ_GROUPS // 2:
+                since -= 1
+                held += self.counts[since]
+            while upto < len(self.buckets) and upto not in self.read and held + self.counts[upto] <= READ_GROUPS:
                 held += self.counts[upto]
                 upto += 1
             if sum(self.counts[j] for j in self.read) + held > 4 * READ_GROUPS:
                 self.read.clear()
-            chosen = self.table.where(F.col("bucket").between(self.buckets[i], self.buckets[upto - 1])).select("bucket", "key", "bytes")
+            chosen = self.table.where(F.col("bucket").between(self.buckets[since], self.buckets[upto - 1])).select("bucket", "key", "bytes")
             got = chosen.toArrow()
             bucket, key, size = (got.column(c).to_numpy() for c in ("bucket", "key", "bytes"))
             order = np.argsort(key)
             bucket, key, size = bucket[order], key[order], size[order]
-            for j in range(i, upto):
+            for j in range(since, upto):
                 lo, hi = np.searchsorted(bucket, self.buckets[j]), np.searchsorted(bucket, self.buckets[j], side="right")
                 self.read[j] = (key[lo:hi].tolist(), np.cumsum(size[lo:hi]).tolist())
         return self.read[i]
