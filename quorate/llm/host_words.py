@@ -165,6 +165,8 @@ def judge(pages: DataFrame, rules: Rules, unwanted: Sequence[str] = UNWANTED) ->
     shapes = groups.select("tokens").distinct()
     by_path = shapes.select(F.col("tokens").alias(shape), F.explode("tokens").alias("token")).join(weights, "token").groupBy(shape).agg(F.sum("w").alias(path_score))
 
+    # Written, so that either join has a side of its own and a host or path that most pages share can be split.
+    by_host, by_path = materialise(by_host), materialise(by_path)
     rows = pages.withColumns({"host": host, "path": path}).withColumn(shape, path_tokens(F.col("path")))
     rows = rows.join(by_host, "host", "left").join(by_path, shape, "left")
     some = F.col(host_score).isNotNull() | F.col(path_score).isNotNull()
