@@ -277,7 +277,11 @@ def reliability_table(df: DataFrame, group: Sequence[str], n_bins: int = C.ECE_B
 
 def representative_fold(panel: DataFrame, n_bins: int = C.ECE_BINS) -> DataFrame:
     """Fold whose mean raw calibration error is nearest to the median over folds; ties to the
-    smaller fold.  The tables here have one row per fold."""
+    smaller fold.  The tables here have one row per fold.
+
+    With an even number of folds the two middle ones are equally near, so distances are compared
+    at twelve digits: the noise of a sum's order must not choose.
+    """
     per_fold = (
         ece_equal_width(panel, ["fold_k", "agent_id"], n_bins)
         .groupBy("fold_k")
@@ -285,7 +289,7 @@ def representative_fold(panel: DataFrame, n_bins: int = C.ECE_BINS) -> DataFrame
     )
     middle = per_fold.agg(F.percentile("ece", F.lit(0.5))).scalar()
     return (
-        per_fold.withColumn("distance", F.abs(F.col("ece") - middle))
+        per_fold.withColumn("distance", F.round(F.abs(F.col("ece") - middle), 12))
         .orderBy("distance", "fold_k")
         .limit(1)
     )

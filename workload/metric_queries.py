@@ -214,7 +214,7 @@ WITH e AS (
       FROM fx_fpanel p JOIN (SELECT a.i, a.e AS lo, b.e AS hi FROM fx_edges a JOIN fx_edges b ON b.i = a.i + 1) b
         ON p.conf >= b.lo AND (p.conf < b.hi OR (b.i = 14 AND p.conf <= b.hi)) GROUP BY 1, 2, 3)
     GROUP BY 1, 2) GROUP BY 1)
-SELECT fold_k, ece, abs(ece - (SELECT median(ece) FROM e)) AS distance FROM e
+SELECT fold_k, ece, round(abs(ece - (SELECT median(ece) FROM e)), 12) AS distance FROM e
 ORDER BY distance, fold_k LIMIT 1""", "ece", "distance"))
 def representative_fold(spark, sf_dir):
     return sel.representative_fold(fx.folded_panel(spark, sf_dir))
