@@ -41,20 +41,30 @@ BATCH_PAIRS = 1 << 20
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: bytes, width: int = 4) -> int:
-    """SimHash of the word shingles of a text, repeats included; 0 for a text without words."""
-    words = text.translate(_LOWER).split()
+def words_of(text: bytes) -> list[bytes]:
+    return text.translate(_LOWER).split()
+
+
+def shingles(text: bytes, width: int) -> np.ndarray:
+    """Hashes of the word shingles of a text in order, repeats included; a shorter text is one shingle."""
+    words = words_of(text)
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) < width:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter((digest(joined[s:e], SEED) for s, e in spans), np.uint64, len(words) - width + 1)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in spans), np.uint64, len(words) - width + 1)
+
+
+def fingerprint(text: bytes, width: int = 4) -> int:
+    """SimHash of the word shingles of a text, repeats included; 0 for a text without words."""
+    hashes = shingles(text, width)
+    if not len(hashes):
+        return 0
     counts = np.zeros(BITS, np.int64)
     for lo in range(0, len(hashes), 1 << 16):
         part = hashes[lo : lo + (1 << 16)]
