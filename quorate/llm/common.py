@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quorate.session import materialise
 
-__all__ = ["documents", "fresh", "materialise", "text_blocks"]
+__all__ = ["documents", "fresh", "materialise", "span_hashes", "text_blocks"]
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -51,3 +51,30 @@ def text_blocks(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[in
         hi = min(max(hi, lo + 1), len(column))
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
+
+
+_BASE = 0x9E3779B97F4A7C15
+_UNDO = pow(_BASE, -1, 1 << 64)
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo 2 ** 64; the usual number is kept."""
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        known = np.full(max(n, 1 << 20), base, dtype=np.uint64)
+        known[0] = 1
+        known = np.multiply.accumulate(known)
+        if n <= 1 << 22:
+            _POWERS[base] = known
+    return known[:n]
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span values[start:end]; equal spans have equal hashes wherever they stand."""
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(values)), out=sums[1:])
+    x = (sums[ends] - sums[starts]) * _powers(_UNDO, len(values) + 1)[starts]
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

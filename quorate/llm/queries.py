@@ -17,6 +17,7 @@ from quorate.llm import (
     chat_layouts,
     contiguous_shards,
     host_words,
+    monotone_packing,
     multi_index_hashing,
     simhash_trie,
     speculative_bpe,
@@ -215,3 +216,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     training_order.write_shards(found, layout, folder)
     back = training_order.read_shards(spark, layout, folder)
     return back.select("slot", "shard", "n_tokens", F.sha2("record", 256).alias("record_sha256"))
+
+
+@query("op11_monotone_packing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 tokens."""
+    pieces = monotone_packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return pieces.select(
+        "doc_id", "start", monotone_packing.token_count().alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
