@@ -17,12 +17,14 @@ from quorate.llm import (
     chat_layouts,
     contiguous_shards,
     host_words,
+    max_sketches,
     monotone_packing,
     multi_index_hashing,
     simhash_trie,
     speculative_bpe,
     template_tree,
     training_order,
+    veb_manifest,
     winnowing,
 )
 from quorate.llm.common import documents
@@ -225,3 +227,115 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(
         "doc_id", "start", monotone_packing.token_count().alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+@query(
+    "op12_veb_manifest",
+    r"""
+    WITH RECURSIVE rows AS (
+        SELECT doc_id, lang, sha256(concat(
+                coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-'), coalesce(octet_length(encode(source)) || ':' || source, '-'),
+                coalesce(octet_length(encode(lang)) || ':' || lang, '-'), coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-'),
+                coalesce(octet_length(encode(text)) || ':' || text, '-'))) AS leaf,
+            sha256(concat(
+                coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-'), coalesce(octet_length(encode(source)) || ':' || source, '-'),
+                coalesce(octet_length(encode(lang)) || ':' || lang, '-'), coalesce(octet_length(encode(CAST(n_chars + 1 AS VARCHAR))) || ':' || (n_chars + 1), '-'),
+                coalesce(octet_length(encode(text)) || ':' || text, '-'))) AS changed
+        FROM documents
+    ), table_of_bytes AS (
+        SELECT range AS c0, range AS b FROM range(256)
+    ), crc_steps AS (
+        SELECT b, 0 AS k, CAST(b AS BIGINT) AS c FROM table_of_bytes
+        UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_steps WHERE k < 8
+    ), crc_table AS (
+        SELECT b, c FROM crc_steps WHERE k = 8
+    ), ids AS (
+        SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR) AS s FROM documents WHERE doc_id IS NOT NULL
+    ), crc AS (
+        SELECT doc_id, s, 1 AS i, CAST(4294967295 AS BIGINT) AS c FROM ids
+        UNION ALL SELECT doc_id, s, i + 1, xor(crc.c >> 8, t.c) FROM crc JOIN crc_table t ON t.b = xor(crc.c & 255, ascii(s[i])) WHERE i <= len(s)
+    ), tampered AS (
+        SELECT doc_id, xor(c, 4294967295) % 7 = 0 AS hit FROM crc WHERE i = len(s) + 1
+    ), leaves AS (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n,
+               coalesce('l' || lang, '') AS tree, row_number() OVER () AS r
+        FROM rows
+    ), lower_nodes AS (
+        SELECT tree, 0 AS level, place AS i, n, leaf AS h FROM leaves
+        UNION ALL SELECT tree, level + 1, i // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY i)) FROM lower_nodes WHERE n > 1 GROUP BY tree, level, i // 2
+    ), subroots AS (
+        SELECT tree, level AS height, h, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS n FROM lower_nodes WHERE n = 1
+    ), upper_nodes AS (
+        SELECT 0 AS level, place AS i, n, h FROM subroots
+        UNION ALL SELECT level + 1, i // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY i)) FROM upper_nodes WHERE n > 1 GROUP BY level, i // 2
+    ), steps AS (
+        SELECT r, l.tree, k.level AS level, l.place >> k.level AS i, s.h AS sibling
+        FROM leaves l JOIN (SELECT DISTINCT tree, level FROM lower_nodes WHERE n > 1) k USING (tree)
+        LEFT JOIN lower_nodes s ON s.tree = l.tree AND s.level = k.level AND s.i = xor(l.place >> k.level, 1)
+        UNION ALL
+        SELECT r, l.tree, u.height + k.level, u.place >> k.level, s.h
+        FROM leaves l JOIN subroots u USING (tree) JOIN (SELECT DISTINCT level FROM upper_nodes WHERE n > 1) k ON true
+        LEFT JOIN upper_nodes s ON s.level = k.level AND s.i = xor(u.place >> k.level, 1)
+    ), walk AS (
+        SELECT r, 0 AS level, CASE WHEN hit THEN changed ELSE leaf END AS h FROM leaves LEFT JOIN tampered USING (doc_id)
+        UNION ALL
+        SELECT w.r, w.level + 1, sha256(CASE WHEN s.i % 2 = 1 THEN s.sibling || w.h ELSE w.h || coalesce(s.sibling, '') END)
+        FROM walk w JOIN steps s ON s.r = w.r AND s.level = w.level
+    ), proofs AS (
+        SELECT r, string_agg(sibling, '' ORDER BY level) AS p FROM steps GROUP BY r
+    ), ends AS (
+        SELECT r, arg_max(h, level) AS h FROM walk GROUP BY r
+    )
+    SELECT l.doc_id, l.leaf, u.h AS subroot, t.h AS root, sha256(coalesce(p.p, '')) AS proof_sha256, e.h AS folded_root, e.h = t.h AS verified
+    FROM leaves l JOIN subroots u USING (tree) JOIN ends e USING (r) LEFT JOIN proofs p USING (r) JOIN (SELECT h FROM upper_nodes WHERE n = 1) t ON true
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash trees over all documents, and every document's proof, of which some are tampered with."""
+    changed = [F.col(c) + 1 if c == "n_chars" else F.col(c) for c in FIELDS]
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    carry = {"doc_id": F.col("doc_id"), "tampered": F.when(hit, F.lower(F.hex(veb_manifest.digest(*changed))))}
+    made = veb_manifest.manifest(documents(spark, sf_dir), FIELDS, carry=carry)
+    root = F.lit(made.root).cast("string")
+    ends = made.proofs().withColumn("folded_root", veb_manifest.folded(F.coalesce("tampered", "leaf")))
+    return ends.select(
+        "doc_id", "leaf", "subroot", root.alias("root"), F.sha2(veb_manifest.proof_text(), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == root).alias("verified"),
+    )
+
+
+@query(
+    "op13_max_sketches",
+    r"""
+    WITH words AS (
+        SELECT row_number() OVER () AS r, doc_id,
+               regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+        FROM documents
+    ), docs AS (
+        SELECT r, doc_id, w, CAST(len(w) AS BIGINT) AS n FROM words WHERE len(w) > 0
+    ), total AS (
+        SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS l FROM docs
+    ), postings AS (
+        SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM docs) GROUP BY r, t
+    ), weights AS (
+        SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM postings, total GROUP BY t, n_docs
+    ), lengths AS (
+        SELECT r, doc_id, 100 - 90 + ((90 * n * n_docs) // l) AS m FROM docs, total
+    ), item_terms AS (
+        SELECT DISTINCT item_id, t FROM (
+            SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+            FROM benchmark WHERE item_id IS NOT NULL)
+    ), scores AS (
+        SELECT item_id, r, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+        FROM item_terms JOIN weights USING (t) JOIN postings USING (t) JOIN lengths USING (r) WHERE doc_id IS NOT NULL GROUP BY item_id, r, doc_id
+    )
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 10
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that score highest for each benchmark item."""
+    return max_sketches.search(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
