@@ -10,31 +10,13 @@ from pyspark.sql import functions as F
 from quorate.functions import constants as C
 from quorate.functions import text as tx
 from quorate.operators.gates import require_empty
+from quorate.session import broadcast_if_small
+from quorate.sources.json_split import file_list, read_json_lines, read_json_values
 
 # Positions inside one file; order over a corpus is file order, then position.
 FILE_POSITIONS = 1_000_000_000_000
 
 
-def _named(lines: DataFrame) -> DataFrame:
-    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    return lines.select(
-        name.alias("file"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), F.col("value").alias("raw")
-    )
-
-
-def read_json_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(file, stem, raw): each JSON file as one text; for files that one task can hold.
-
-    Larger sources are JSON lines: ``read_json_lines`` splits them.
-    """
-    return _named(spark.read.text(list(paths), wholetext=True))
-
-
-def read_json_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(file, stem, raw): each line of JSON-lines files as one text; files are split among tasks."""
-    return _named(spark.read.text(list(paths))).where(F.trim("raw") != "")
-
-
 def existing(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     """The paths that are there, in order, on whatever file system they name."""
     found = []
@@ -49,16 +31,24 @@ def _start(raw: Column) -> Column:
     return F.regexp_extract(raw, r"^[\s\x{feff}]*(\S)", 1)
 
 
-def _parsed(files: DataFrame, schema: str) -> Column:
-    """The JSON text of each file read as ``schema``; a file that does not parse is an error.
+def _only(raw: Column, schema: str, where: Column) -> Column:
+    """A JSON text read as ``schema``; one that does not parse or holds more than one value is an error.
 
     Every record is a variant of its own, so the size of a file is not bounded by that of one value.
     """
+    failed = F.raise_error(F.concat(F.lit("not one JSON value: "), where))
+    # Inside brackets of their own, two values or a value and something behind it do not parse as one.
+    found = F.from_json(F.concat(F.lit("["), raw, F.lit("]")), f"array<{schema}>", {"mode": "FAILFAST"})
+    return F.when(F.size(found) == 1, F.coalesce(found[0], failed)).otherwise(failed)
+
+
+def _parsed(files: DataFrame, schema: str) -> Column:
+    """The whole JSON text of each file read as ``schema``."""
     where = F.col("file") if "file" in files.columns else F.lit("a record")
-    failed = F.raise_error(F.concat(F.lit("not a JSON list or object: "), where))
     opening = "[" if schema.startswith("array") else "{"
+    raw = F.regexp_replace("raw", r"^\x{feff}", "")
     # Tested again here: the planner may run the parser before the filter by opening.
-    return F.when(_start(F.col("raw")) == opening, F.coalesce(F.from_json("raw", schema, {"mode": "FAILFAST"}), failed))
+    return F.when(_start(F.col("raw")) == opening, _only(raw, schema, where))
 
 
 def _lists_and_objects(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -121,13 +111,46 @@ def corpus_records(files: DataFrame) -> DataFrame:
     keyed = mapped.where(~single).select("file", F.posexplode("_m").alias("pos", "doc_id", "value"))
     keyed = keyed.select("file", "doc_id", value_text(F.col("value")).alias("text"), "pos")
     listed = lists.select("file", "stem", F.posexplode(_parsed(lists, "array<variant>")).alias("pos", "value"))
+    return one.unionByName(keyed).unionByName(_listed_records(listed))
+
+
+def _listed_records(listed: DataFrame, *more: str) -> DataFrame:
+    """(file, doc_id, text, pos) of list entries (file, stem, pos, value): objects whose text is not blank."""
     value = F.col("value")
     named = F.coalesce(
         _first_field(value, C.ID_FIELDS, "string"), F.concat("stem", F.format_string("_%05d", F.col("pos")))
     )
     body = F.coalesce(_first_field(value, C.TEXT_FIELDS, "variant"), value)
-    many = listed.where(_is(value, "OBJECT")).select("file", named.alias("doc_id"), value_text(body).alias("text"), "pos")
-    return one.unionByName(keyed).unionByName(many.where(tx.strip(F.col("text")) != ""))
+    many = listed.where(_is(value, "OBJECT")).select(*more, "file", named.alias("doc_id"), value_text(body).alias("text"), "pos")
+    return many.where(tx.strip(F.col("text")) != "")
+
+
+def entries(values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What ``read_json_values`` and ``read_json_lines`` give, parsed: list elements and lines (path, file, stem, pos, value),
+    and members of objects (the same with key)."""
+    place = ("path", "file", "stem", "pos")
+    # Tested again here, as the planner may run the parser before other filters.
+    some = F.trim("raw") != ""
+    value = F.when((F.col("kind") != "{") & some, _only(F.col("raw"), "variant", F.col("path")))
+    member = F.when((F.col("kind") == "{") & some, _only(F.concat(F.lit("{"), "raw", F.lit("}")), "map<string,variant>", F.col("path")))
+    listed = values.where("kind <> '{'").select(*place, value.alias("value"))
+    return listed, values.where("kind = '{'").select(*place, F.explode(member).alias("key", "value"))
+
+
+def corpus_of_values(values: DataFrame) -> DataFrame:
+    """(path, file, doc_id, text, pos) like ``corpus_records``, from records that were cut out of files of any size.
+
+    A JSON line is a record as an element of a list is.
+    """
+    listed, members = entries(values)
+    # Two members of a file at most, and few files have them.
+    parts = [F.first(F.when(F.col("key") == k, F.col("value")), ignorenulls=True).alias(k) for k in ("filename", "filedata")]
+    named = members.where(F.col("key").isin("filename", "filedata")).groupBy("path", "file").agg(*parts)
+    named = named.where("filename is not null and filedata is not null")
+    one = named.select("path", "file", F.try_variant_get("filename", "$", "string").alias("doc_id"), value_text(F.col("filedata")).alias("text"), F.lit(0).cast("bigint").alias("pos"))
+    keyed = members.join(broadcast_if_small(named.select("path")), "path", "left_anti")
+    keyed = keyed.select("path", "file", F.col("key").alias("doc_id"), value_text(F.col("value")).alias("text"), "pos")
+    return one.unionByName(keyed).unionByName(_listed_records(listed, "path"))
 
 
 def merge_corpora(parts: Sequence[DataFrame]) -> DataFrame:
@@ -136,18 +159,44 @@ def merge_corpora(parts: Sequence[DataFrame]) -> DataFrame:
     for i, part in enumerate(parts):
         one = part.select("doc_id", "text", F.lit(i).alias("_file"), F.col("pos").alias("_pos"))
         merged = one if merged is None else merged.unionByName(one)
+    return _last_texts(merged)
+
+
+def _last_texts(rows: DataFrame) -> DataFrame:
+    """The last text of each id of (doc_id, text, _file, _pos), at the id's first place."""
     place = F.struct("_file", "_pos")
-    return merged.groupBy("doc_id").agg(F.max_by("text", place).alias("text"), F.min(place).alias("p")).select(
+    return rows.groupBy("doc_id").agg(F.max_by("text", place).alias("text"), F.min(place).alias("p")).select(
         "doc_id", "text", (F.col("p._file").cast("bigint") * FILE_POSITIONS + F.col("p._pos")).alias("load_order")
     )
 
 
+LINE_ENDINGS = (".jsonl", ".ndjson")
+
+
+def read_values(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """The records of JSON files of any layout; paths that end as JSON-lines files do are read as such, folders too."""
+    lines = [p for p in paths if p.rstrip("/").endswith(LINE_ENDINGS)]
+    whole = [p for p in paths if p not in lines]
+    if not lines:
+        return read_json_values(spark, whole)
+    found = read_json_lines(spark, lines)
+    return found.unionByName(read_json_values(spark, whole)) if whole else found
+
+
+def _merged_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(doc_id, text, load_order) of all files in the given order, those of one folder by name."""
+    order = dict.fromkeys(path for path, _ in file_list(spark, paths))
+    ranks = spark.createDataFrame([(p, i) for i, p in enumerate(order)], "path string, _file int")
+    found = corpus_of_values(read_values(spark, paths)).join(F.broadcast(ranks), "path")
+    return _last_texts(found.select("doc_id", "text", "_file", F.col("pos").alias("_pos")))
+
+
 def read_corpora(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Several corpora merged in the given order; missing files are skipped."""
     there = existing(spark, paths)
     if not there:
         return spark.createDataFrame([], "doc_id string, text string, load_order bigint")
-    return merge_corpora([corpus_records(read_json_files(spark, [p])) for p in there])
+    return _merged_files(spark, there)
 
 
 def synthetic_ids(documents: DataFrame) -> DataFrame:
@@ -160,7 +209,7 @@ def read_curated_corpus(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Corpus in the given file order; a missing file is an error, and so are synthetic ids."""
     if missing := sorted(set(paths) - set(existing(spark, paths))):
         raise FileNotFoundError(f"a curated corpus needs all its files; missing: {missing}")
-    documents = merge_corpora([corpus_records(read_json_files(spark, [p])) for p in paths])
+    documents = _merged_files(spark, paths)
     require_empty(synthetic_ids(documents), "synthetic document ids in a curated corpus")
     return documents
 
@@ -197,6 +246,16 @@ def question_items(files: DataFrame) -> DataFrame:
     return items_from_records(records.where(_is(F.col("value"), "OBJECT")))
 
 
+def questions_of_values(values: DataFrame) -> DataFrame:
+    """Like ``question_items``, from records that were cut out of files of any size; a JSON line is a record."""
+    listed, members = entries(values)
+    inner = F.when(_is(F.col("value"), "ARRAY"), F.try_variant_get("value", "$", "array<variant>"))
+    asked = members.where("key = 'questions'").where(F.size(inner) > 0).select("path", F.explode(inner).alias("value"))
+    other = members.join(broadcast_if_small(asked.select("path").distinct()), "path", "left_anti").select("value")
+    records = listed.select("value").unionByName(other).unionByName(asked.select("value"))
+    return items_from_records(records.where(_is(F.col("value"), "OBJECT")))
+
+
 def items_from_records(records: DataFrame, value: str = "value") -> DataFrame:
     """Canonical items from JSON records (a variant column)."""
     v = F.col(value)

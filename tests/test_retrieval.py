@@ -187,7 +187,7 @@ def test_unequal_expected_counts_stop_the_pairing(spark):
 def test_json_files_round_trip(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"id": "x", "text": " um "}, {"id": "y", "text": "dois"}]', encoding="utf-8")
     (tmp_path / "b.json").write_text('{"y": {"titulo": "novo"}, "disp_1": "z"}', encoding="utf-8")
-    read = lambda n: rec.corpus_records(rec.read_json_files(spark, [str(tmp_path / n)]))
+    read = lambda n: rec.corpus_of_values(rec.read_json_values(spark, [str(tmp_path / n)]))
     merged = {r.doc_id: r for r in rec.merge_corpora([read("a.json"), read("b.json")]).collect()}
     assert merged["x"].text == "um" and merged["y"].text == "novo" and merged["y"].load_order == 1
     assert rec.read_curated_corpus(spark, [str(tmp_path / "a.json")]).count() == 2
@@ -199,15 +199,12 @@ def test_bad_and_missing_files_do_not_pass_silently(spark, tmp_path):
     (tmp_path / "good.json").write_text('\n {"questions": [{"question_number": 3, "question_text": "q"}, 7]}', encoding="utf-8")
     (tmp_path / "cut.json").write_text('[{"id": "x", "text": "um"}, {"id": ', encoding="utf-8")
     (tmp_path / "word.json").write_text('"just text"', encoding="utf-8")
-    (tmp_path / "lines.jsonl").write_text('[{"id": "p", "text": "1"}]\n\n{"q": "2", "r": "3"}\n', encoding="utf-8")
     at = lambda n: str(tmp_path / n)
-    assert [r.item_id for r in rec.question_items(rec.read_json_files(spark, [at("good.json")])).collect()] == ["q_0003"]
+    assert [r.item_id for r in rec.questions_of_values(rec.read_json_values(spark, [at("good.json")])).collect()] == ["q_0003"]
     for name in ("cut.json", "word.json"):
-        for load in (rec.corpus_records, rec.question_items):
+        for load in (rec.corpus_of_values, rec.questions_of_values):
             with pytest.raises(Exception):
-                load(rec.read_json_files(spark, [at(name)])).collect()
-    lines = rec.corpus_records(rec.read_json_lines(spark, [at("lines.jsonl")])).collect()
-    assert {(r.doc_id, r.text) for r in lines} == {("p", "1"), ("q", "2"), ("r", "3")}
+                load(rec.read_json_values(spark, [at(name)])).collect()
     (tmp_path / "a.json").write_text('{"a": "1"}', encoding="utf-8")
     assert rec.read_corpora(spark, [at("none.json"), at("a.json")]).count() == 1
     assert rec.read_corpora(spark, [at("none.json")]).count() == 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quorate.functions import text as tx
@@ -15,7 +16,6 @@ from quorate.operators import prompts as pr
 from quorate.operators import retrieval as rt
 from quorate.operators import selective as sel
 from quorate.plans import ladder
-from quorate.operators.gates import require_empty
 from quorate.session import materialise, shared_folder
 from quorate.sources import records as rec
 from quorate.sources import tables as tb
@@ -55,26 +55,71 @@ def corpus_records(spark, sf_dir):
     return rec.corpus_records(corpus_files(spark, sf_dir))
 
 
+LAYOUTS = ("list", "object", "lines")
+FILE_ROWS = 50_000
+
+
+def stored_corpus(spark, sf_dir):
+    """The documents as real JSON files of three layouts, in order: paths of lists, objects and JSON lines."""
+    d = fx.table(spark, sf_dir, "documents")
+    files = 2 + d.count() // FILE_ROWS
+    layout = F.element_at(F.array(*[F.lit(x) for x in LAYOUTS]), (F.col("doc_id") % 3 + 1).cast("int"))
+    rows = d.select("doc_id", "text", layout.alias("layout"), F.floor(F.col("doc_id") / 3).cast("bigint").alias("k"))
+    rows = rows.withColumn("part", (F.col("k") % files).cast("int"))
+    # At most FILE_ROWS rows a file, so neither window nor file grows with the table.
+    here = Window.partitionBy("layout", "part")
+    first = F.row_number().over(here.orderBy("doc_id")) == 1
+    last = F.row_number().over(here.orderBy(F.desc("doc_id"))) == 1
+    text = F.regexp_replace(F.to_json(F.array("text")), r"^\[|\]$", "")
+    record = F.concat(F.lit('{"id": "d'), "doc_id", F.lit('", "n": [1, {"x": "}"}], "texto": '), text, F.lit("}"))
+    member = F.concat(F.lit('"d'), "doc_id", F.lit('": {"content": '), text, F.lit("}"))
+    line = (
+        F.when(F.col("layout") == "list", F.concat(F.when(first, "[").otherwise(","), record, F.when(last, "]").otherwise("")))
+        .when(F.col("layout") == "object", F.concat(F.when(first, "{").otherwise(","), member, F.when(last, "}").otherwise("")))
+        .otherwise(record)
+    )
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    lined = rows.select("layout", "part", "doc_id", line.alias("value")).repartition("layout", "part").sortWithinPartitions("layout", "part", "doc_id")
+    lined.drop("doc_id").write.partitionBy("layout", "part").text(folder)
+    stored = [f"{folder}/layout={x}/part={i}" for x in LAYOUTS[:2] for i in range(files)]
+    spark.read.text(f"{folder}/layout=lines").drop("part").write.text(f"{folder}/lines.jsonl")
+    return [p for p in rec.existing(spark, stored)], f"{folder}/lines.jsonl"
+
+
 @query("curated_corpus", with_ctes("""
-SELECT doc_id, text, CASE WHEN part = 1 THEN 1000000000000 ELSE 0 END AS load_order FROM (
-  SELECT doc_id, text, CASE WHEN file LIKE '%5.json' THEN 1 ELSE 0 END AS part FROM fx_corpus)"""))
+SELECT 'd' || doc_id AS doc_id, trim(text, ' ' || chr(10)) AS text, CASE WHEN doc_id % 3 = 2 THEN 'lines' ELSE 'whole' END AS layout,
+  CASE WHEN doc_id % 3 = 2 THEN NULL ELSE
+    (dense_rank() OVER (ORDER BY doc_id % 3 = 2, doc_id % 3, (doc_id // 3) % files) - 1) * 1000000000000
+    + row_number() OVER (PARTITION BY doc_id % 3, (doc_id // 3) % files ORDER BY doc_id) - 1 END AS load_order
+FROM documents, (SELECT 2 + count(*) // 50000 AS files FROM documents) WHERE doc_id % 3 = 1 OR trim(text, ' ' || chr(10)) <> ''"""))
 def curated_corpus(spark, sf_dir):
-    """The corpus stored as two JSON-lines files and read back in their order; a line is one small corpus."""
-    files = corpus_files(spark, sf_dir)
-    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
-    last = F.col("file").endswith("5.json")
-    for name, part in (("a", files.where(~last)), ("b", files.where(last))):
-        # A line names its file by itself, as the folder's own file names say nothing.
-        part.select(F.concat_ws("\t", "stem", "raw").alias("value")).write.text(f"{folder}/{name}")
-    parts = []
-    for name in ("a", "b"):
-        lines = rec.read_json_lines(spark, [f"{folder}/{name}"])
-        cut = F.split("raw", "\t", 2)
-        lines = lines.select(F.concat(cut[0], F.lit(".json")).alias("file"), cut[0].alias("stem"), cut[1].alias("raw"))
-        parts.append(rec.corpus_records(lines).withColumn("pos", F.lit(0)))
-    merged = rec.merge_corpora(parts)
-    require_empty(rec.synthetic_ids(merged), "synthetic document ids in a curated corpus")
-    return merged
+    """All documents written as JSON files in three layouts and read by the curated reader, in file order.
+
+    Lines have no order across the files that Spark writes, so theirs is checked to be behind the others only.
+    """
+    whole, lines = stored_corpus(spark, sf_dir)
+    found = rec.read_curated_corpus(spark, [*whole, lines])
+    is_line = F.substring("doc_id", 2, 20).cast("bigint") % 3 == 2
+    behind = F.col("load_order") >= len(whole) * rec.FILE_POSITIONS
+    layout = F.when(is_line & behind, "lines").when(~is_line & ~behind, "whole")
+    return found.select("doc_id", "text", layout.alias("layout"), F.when(~is_line, F.col("load_order")).alias("load_order"))
+
+
+@query("question_files", with_ctes("""
+SELECT printf('q_%04d', item_id) AS item_id, trim(text, ' ' || chr(10)) AS question FROM benchmark"""))
+def question_file_records(spark, sf_dir):
+    """All benchmark items written as JSON files, as records of lines and as lists under "questions", and read by the splitting readers."""
+    b = fx.table(spark, sf_dir, "benchmark")
+    text = F.regexp_replace(F.to_json(F.array("text")), r"^\[|\]$", "")
+    record = F.concat(F.lit('{"question_number": '), "item_id", F.lit(', "question_text": '), text, F.lit("}"))
+    folder = f"{shared_folder(spark)}/questions-{uuid.uuid4().hex}"
+    b.where("item_id % 2 = 0").select(record.alias("value")).write.text(f"{folder}/lines.jsonl")
+    bucket = (F.col("item_id") % (2 + b.count() // FILE_ROWS)).alias("part")
+    lists = b.where("item_id % 2 = 1").groupBy(bucket).agg(F.array_join(F.collect_list(record), ", ").alias("r"))
+    lists.select(F.concat(F.lit('{"n": 1, "questions": ['), "r", F.lit("]}")).alias("value"), "part").repartition("part").write.partitionBy("part").text(f"{folder}/lists")
+    parts = [f"{folder}/lists/part={r['part']}" for r in spark.read.text(f"{folder}/lists").select("part").distinct().collect()]
+    found = rec.questions_of_values(rec.read_values(spark, [f"{folder}/lines.jsonl", *parts]))
+    return found.select("item_id", "question")
 
 
 @query("corpus_merge", with_ctes("""
