@@ -1,8 +1,9 @@
 """Chat formatting by schema fingerprints; DataFrame functions only.
 
 Records come in many layouts: prompt and completion, instruction with input and output, lists of
-messages under several names, or one row per turn. The nested field paths of a record that matter here
-are hashed; the hash selects a declared mapping, which gives the record's canonical turns (role, text).
+messages under several names, or one row per turn. A record is a JSON object or a row of a table. The
+nested field paths of a record that matter here are hashed; the hash selects a declared mapping, which
+gives the record's canonical turns (role, text).
 Turns are then rendered with one template, with a loss mask over the assistant's texts.
 
 Template: every turn is ``[INST]role[/INST]``, a line break, the text, ``</s>`` and a line break. Inside
@@ -17,6 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 OPEN, CLOSE, END = "[INST]", "[/INST]\n", "</s>\n"
 
@@ -26,19 +28,22 @@ ROLE_NAMES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "a
 MESSAGE_FIELDS = ("content", "from", "role", "text", "value")
 LISTS = ("conversations", "dialogue", "messages")
 SCALARS = ("completion", "input", "instruction", "output", "prompt", "question", "answer", "response", "system")
+# Fields of a record that is one turn; they count only together.
+TURN_FIELDS = ("role", "text", "turn")
 
 
 @dataclass(frozen=True)
 class Mapping:
-    """Turns of a layout: fields with their roles in order, or a list with its role and text fields."""
+    """Turns of a layout: fields with their roles in order, a list with its role and text fields, or the record itself."""
 
     paths: tuple[str, ...]
     turns: tuple[tuple[str, tuple[str, ...]], ...] = ()
     messages: tuple[str, str, str] | None = None
+    one_turn: bool = False
 
 
 def _mappings() -> list[Mapping]:
-    out = []
+    out = [Mapping(TURN_FIELDS, one_turn=True)]
     for fields in (("prompt", "completion"), ("prompt", "response"), ("question", "answer"), ("instruction", "output"), ("instruction", "response")):
         for extra in ((), ("input",)) if fields[0] == "instruction" else ((),):
             for system in ((), ("system",)):
@@ -64,17 +69,29 @@ def _under(name: str) -> Callable[[Column], Column]:
 
 def fingerprint(record: Column) -> Column:
     """Hash of the field paths of a JSON record; null if it is not a JSON object."""
-    parsed = F.try_parse_json(record)
-    paths = []
-    for name in SCALARS:
-        there = F.get_json_object(record, f"$.{name}").isNotNull()
-        paths.append(F.when(there, F.array(F.lit(name))).otherwise(F.array().cast("array<string>")))
+    parsed, keys = F.try_parse_json(record), F.json_object_keys(record)
+    none = F.array().cast("array<string>")
+    paths = [F.when(F.array_contains(keys, name), F.array(F.lit(name))).otherwise(none) for name in SCALARS]
+    one_turn = F.array(*[F.lit(name) for name in TURN_FIELDS])
+    paths.append(F.when(F.size(F.array_except(one_turn, keys)) == 0, one_turn).otherwise(none))
     for name in LISTS:
         shape = F.schema_of_variant(F.try_variant_get(parsed, f"$.{name}", "variant"))
         inner = F.array_distinct(F.regexp_extract_all(shape, F.lit(r"[<, ]((?:" + "|".join(MESSAGE_FIELDS) + r")): "), 1))
         listed = F.transform(inner, _under(name))
-        paths.append(F.when(shape.startswith("ARRAY<OBJECT<"), listed).otherwise(F.array().cast("array<string>")))
-    return F.when(F.json_object_keys(record).isNotNull(), path_hash(F.concat(*paths)))
+        paths.append(F.when(shape.startswith("ARRAY<OBJECT<"), listed).otherwise(none))
+    return F.when(keys.isNotNull(), path_hash(F.concat(*paths)))
+
+
+def column_paths(df: DataFrame) -> list[str]:
+    """Field paths of a table's rows, of the fields that any mapping reads."""
+    names = set(df.columns)
+    paths = [name for name in SCALARS if name in names]
+    paths += TURN_FIELDS if names.issuperset(TURN_FIELDS) else ()
+    for name in LISTS:
+        kind = df.schema[name].dataType if name in names else None
+        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+            paths += [f"{name}[].{f}" for f in MESSAGE_FIELDS if f in kind.elementType.names]
+    return paths
 
 
 def _role(name: Column) -> Column:
@@ -85,41 +102,68 @@ def _role(name: Column) -> Column:
     return out
 
 
-def _turns(record: Column, m: Mapping) -> Column:
-    got = lambda f: F.coalesce(F.get_json_object(record, f"$.{f}"), F.lit(""))
-    joined = lambda fields: F.array_join(F.filter(F.array(*[got(f) for f in fields]), lambda t: t != ""), "\n\n")
+TURNS = "array<struct<turn:bigint,role:string,text:string>>"
+
+
+def _turns(m: Mapping, got: Callable[[str], Column], listed: Callable[[str, str, str], Column]) -> Column:
+    """Turns by a mapping; ``got`` reads a field of the record, ``listed`` (role, text) structs of a list."""
+    if m.one_turn:
+        return F.array(F.struct(got("turn").cast("bigint").alias("turn"), got("role").cast("string").alias("role"), got("text").cast("string").alias("text")))
+    full = lambda f: F.coalesce(got(f).cast("string"), F.lit(""))
+    joined = lambda fields: F.array_join(F.filter(F.array(*[full(f) for f in fields]), lambda t: t != ""), "\n\n")
     fixed = [F.struct(F.lit(role).alias("role"), joined(fields).alias("text")) for role, fields in m.turns]
-    if m.messages is None:
-        return F.array(*fixed)
-    name, role, text = m.messages
-    items = F.from_json(F.get_json_object(record, f"$.{name}"), f"array<struct<`{role}`:string,`{text}`:string>>")
-    listed = F.transform(items, lambda i: F.struct(_role(i[role]).alias("role"), F.coalesce(i[text], F.lit("")).alias("text")))
-    return F.concat(F.array(*fixed), listed) if fixed else listed
+    turns = F.array(*fixed) if fixed else None
+    if m.messages is not None:
+        items = F.transform(listed(*m.messages), lambda i: F.struct(_role(i["role"]).alias("role"), F.coalesce(i["text"], F.lit("")).alias("text")))
+        turns = F.concat(turns, items) if fixed else items
+    return F.transform(turns, lambda t, i: F.struct(i.cast("bigint").alias("turn"), t["role"].alias("role"), t["text"].alias("text")))
+
+
+def _selected(mark: Column, mappings: list[Mapping], got: Callable[[str], Column], listed: Callable[[str, str, str], Column]) -> Column:
+    """The turns by the mapping whose paths have the hash ``mark``; null if none has."""
+    out = F.lit(None).cast(TURNS)
+    for m in mappings:
+        own = _turns(m, got, listed).cast(TURNS)
+        out = F.when(mark == path_hash(F.array(*[F.lit(p) for p in m.paths])), own).otherwise(out)
+    return out
 
 
 def canonical_turns(record: Column) -> Column:
-    """Turns array<struct<role, text>> of a JSON record by the mapping its fingerprint selects; null if none does."""
-    mark, out = fingerprint(record), F.lit(None).cast("array<struct<role:string,text:string>>")
-    for m in MAPPINGS:
-        out = F.when(mark == path_hash(F.array(*[F.lit(p) for p in m.paths])), _turns(record, m)).otherwise(out)
-    return out
+    """Turns array<struct<turn, role, text>> of a JSON record by the mapping its fingerprint selects; null if none does."""
+
+    def listed(name: str, role: str, text: str) -> Column:
+        items = F.from_json(F.get_json_object(record, f"$.{name}"), f"array<struct<`{role}`:string,`{text}`:string>>")
+        return F.transform(items, lambda i: F.struct(i[role].alias("role"), i[text].alias("text")))
+
+    return _selected(fingerprint(record), MAPPINGS, lambda f: F.get_json_object(record, f"$.{f}"), listed)
+
+
+def column_turns(df: DataFrame) -> Column:
+    """Like ``canonical_turns`` for rows of a table, whose columns are the fields."""
+    paths = column_paths(df)
+    mark = path_hash(F.array(*[F.lit(p) for p in paths]).cast("array<string>"))
+    # Mappings that read other fields cannot be selected, and their fields could not be named.
+    able = [m for m in MAPPINGS if set(m.paths) <= set(paths)]
+
+    def listed(name: str, role: str, text: str) -> Column:
+        return F.transform(F.col(name), lambda i: F.struct(i[role].cast("string").alias("role"), i[text].cast("string").alias("text")))
+
+    return _selected(mark, able, F.col, listed)
 
 
 def turn_rows(df: DataFrame, key: str, record: str | None = None) -> DataFrame:
-    """(key, turn, role, text, layout_known) rows of a table in whatever layout it has.
+    """(key, turn, role, text, layout_known) rows of records in whatever layout they have.
 
-    A table with columns turn, role and text has a row per turn already; otherwise ``record`` names a
-    column of JSON records. A record without a known mapping gives one row with ``layout_known`` false
-    and null turn, role and text: nothing is dropped silently. Other columns are ignored.
+    ``record`` names a column of JSON records; without it every row of the table is a record, with its
+    columns for fields. A record that is one turn keeps its own turn number, role and text; turns of others are
+    numbered from 0. A record without a known mapping gives one row with ``layout_known`` false and
+    null turn, role and text: nothing is dropped silently. A known record without turns gives no row. Other
+    columns are ignored.
     """
-    if record is None:
-        missing = {"turn", "role", "text"} - set(df.columns)
-        if missing:
-            raise ValueError(f"no layout for a table without {sorted(missing)}; name a column of JSON records")
-        return df.select(F.col(key).alias("key"), F.col("turn").cast("bigint").alias("turn"), "role", "text", F.lit(True).alias("layout_known"))
-    known = df.select(F.col(key).alias("key"), canonical_turns(F.col(record)).alias("turns"))
-    each = known.select("key", F.col("turns").isNotNull().alias("layout_known"), F.posexplode_outer("turns").alias("turn", "t"))
-    return each.select("key", F.col("turn").cast("bigint").alias("turn"), "t.role", "t.text", "layout_known").where("turn is not null or not layout_known")
+    turns = column_turns(df) if record is None else canonical_turns(F.col(record))
+    known = df.select(F.col(key).alias("key"), turns.alias("turns"))
+    each = known.select("key", F.col("turns").isNotNull().alias("layout_known"), F.explode_outer("turns").alias("t"))
+    return each.select("key", "t.turn", "t.role", "t.text", "layout_known").where(F.col("t").isNotNull() | ~F.col("layout_known"))
 
 
 def escaped(text: Column) -> Column:

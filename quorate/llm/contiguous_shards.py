@@ -7,12 +7,14 @@ capacity cuts.
 
 Group sizes stay on the cluster as a table of their own, bucketed by hash. The driver holds one total
 per bucket, of which there is a fixed number, and reads single buckets of group sizes where a greedy
-step ends. A row's shard follows from comparing its hash with the cuts, without a join.
+step ends; a bucket of more groups than it may hold is summed up by its next bits first, as often as need
+be. A row's shard follows from comparing its hash with the cuts, without a join.
 """
 
 from __future__ import annotations
 
 import bisect
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,51 +45,89 @@ def _bucket(key: Column, bits: int) -> Column:
 
 
 class Groups:
-    """Ordered group sizes: totals of all buckets here, the sizes themselves on the cluster."""
+    """Ordered group sizes: totals of buckets here, the sizes themselves on the cluster."""
 
     def __init__(self, sizes: DataFrame) -> None:
         """``sizes``: (key, bytes), one row per group."""
         # Sorted inside its files, so that reading a few buckets skips most of each.
-        self.table = materialise(sizes.withColumn("bucket", _bucket(F.col("key"), BUCKET_BITS)).sortWithinPartitions("bucket"))
-        rows = self.table.groupBy("bucket").agg(F.sum("bytes"), F.count("*"), F.max("bytes")).collect()
-        rows = sorted(tuple(r) for r in rows)
-        self.buckets = [r[0] for r in rows]
-        self.counts = [r[2] for r in rows]
-        self.starts = [0, *np.cumsum([r[1] for r in rows]).tolist()]
+        self.table = materialise(sizes.withColumn("bucket", _bucket(F.col("key"), BUCKET_BITS)).sortWithinPartitions("bucket", "key"))
+        self.read: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
+        self.level = Level(self, self.table, 0)
+        self.total, self.largest = self.level.total, self.level.largest
+
+    def keep(self, found: dict[tuple[int, int], tuple[list[int], list[int]]]) -> None:
+        if sum(len(k) for k, _ in (*self.read.values(), *found.values())) > 4 * READ_GROUPS:
+            self.read.clear()
+        self.read.update(found)
+
+    def reach(self, position: int) -> tuple[int, int | None]:
+        """Largest group end at or before ``position``, and the key of the group that follows (None at the end)."""
+        return self.level.reach(position)
+
+
+class Level:
+    """Totals of the buckets by some more bits of a hash, among groups that share the bits before."""
+
+    def __init__(self, groups: Groups, rows: DataFrame, depth: int) -> None:
+        """``rows`` are the groups of the level; ``depth`` bits of their hashes are the same."""
+        self.groups, self.rows, self.depth = groups, rows, depth
+        self.bits = min(BUCKET_BITS, 64 - depth)
+        counted = rows.groupBy(self._part(F.col("key")).alias("part")).agg(F.sum("bytes"), F.count("*"), F.max("bytes"), F.min("key")).collect()
+        counted = sorted(tuple(r) for r in counted)
+        self.parts = [r[0] for r in counted]
+        self.counts = [r[2] for r in counted]
+        self.firsts = [r[4] for r in counted]
+        self.starts = [0, *np.cumsum([r[1] for r in counted]).tolist()]
         self.total = self.starts[-1]
-        self.largest = max((r[3] for r in rows), default=0)
-        self.read: dict[int, tuple[list[int], list[int]]] = {}
+        self.largest = max((r[3] for r in counted), default=0)
+        self.inner: dict[int, Level] = {}
+
+    def _part(self, key: Column) -> Column:
+        if not self.depth:
+            return _bucket(key, BUCKET_BITS)
+        return F.shiftrightunsigned(F.shiftleft(key, self.depth), 64 - self.bits).cast("int")
+
+    def _chosen(self, lo: int, hi: int) -> DataFrame:
+        """Groups of the parts from number ``lo`` to ``hi``."""
+        if not self.depth:
+            return self.rows.where(F.col("bucket").between(self.parts[lo], self.parts[hi]))
+        return self.rows.where(self._part(F.col("key")).between(self.parts[lo], self.parts[hi]))
 
     def _sizes(self, i: int) -> tuple[list[int], list[int]]:
-        """Keys and running totals inside bucket number ``i``, with neighbours read along."""
-        if i not in self.read:
+        """Keys and running totals inside part number ``i``, with neighbours read along."""
+        read, name = self.groups.read, lambda j: (self.depth, self.firsts[j])
+        if name(i) not in read:
             since, upto, held = i, i + 1, self.counts[i]
-            while since > 0 and since - 1 not in self.read and held + self.counts[since - 1] <= READ_GROUPS // 2:
+            while since > 0 and name(since - 1) not in read and held + self.counts[since - 1] <= READ_GROUPS // 2:
                 since -= 1
                 held += self.counts[since]
-            while upto < len(self.buckets) and upto not in self.read and held + self.counts[upto] <= READ_GROUPS:
+            while upto < len(self.parts) and name(upto) not in read and held + self.counts[upto] <= READ_GROUPS:
                 held += self.counts[upto]
                 upto += 1
-            if sum(self.counts[j] for j in self.read) + held > 4 * READ_GROUPS:
-                self.read.clear()
-            chosen = self.table.where(F.col("bucket").between(self.buckets[since], self.buckets[upto - 1])).select("bucket", "key", "bytes")
-            got = chosen.toArrow()
-            bucket, key, size = (got.column(c).to_numpy() for c in ("bucket", "key", "bytes"))
+            got = self._chosen(since, upto - 1).select("key", "bytes").toArrow()
+            key, size = got.column("key").to_numpy(), got.column("bytes").to_numpy()
             order = np.argsort(key)
-            bucket, key, size = bucket[order], key[order], size[order]
-            for j in range(since, upto):
-                lo, hi = np.searchsorted(bucket, self.buckets[j]), np.searchsorted(bucket, self.buckets[j], side="right")
-                self.read[j] = (key[lo:hi].tolist(), np.cumsum(size[lo:hi]).tolist())
-        return self.read[i]
+            key, size = key[order], size[order]
+            edges = np.searchsorted(key, [*self.firsts[since:upto]]).tolist() + [len(key)]
+            found = {name(since + j): (key[lo:hi].tolist(), np.cumsum(size[lo:hi]).tolist()) for j, (lo, hi) in enumerate(zip(edges, edges[1:]))}
+            self.groups.keep(found)
+            return found[name(i)]
+        return read[name(i)]
 
     def reach(self, position: int) -> tuple[int, int | None]:
-        """Largest group end at or before ``position``, and the key of the group that follows (None at the end)."""
         if position >= self.total:
             return self.total, None
         i = bisect.bisect_right(self.starts, position) - 1
-        keys, ends = self._sizes(i)
-        k = bisect.bisect_right(ends, position - self.starts[i])
-        return self.starts[i] + (ends[k - 1] if k else 0), keys[k]
+        inside = position - self.starts[i]
+        if self.counts[i] > READ_GROUPS and self.depth + self.bits < 64:
+            if i not in self.inner:
+                self.inner[i] = Level(self.groups, self._chosen(i, i), self.depth + self.bits)
+            end, key = self.inner[i].reach(inside)
+        else:
+            keys, ends = self._sizes(i)
+            k = bisect.bisect_right(ends, inside)
+            end, key = (ends[k - 1] if k else 0), keys[k]
+        return self.starts[i] + end, key
 
 
 def smallest_capacity(groups: Groups, shards: int) -> int:
@@ -127,8 +167,8 @@ def assign_shards(docs: DataFrame, shards: int = 16, carry: tuple[str, ...] | No
     """The columns ``carry`` of ``docs`` (all by default) with ``shard``, ``slot`` and ``size``: bytes near equal, copies of a text together.
 
     The size of a row is its text's UTF-8 bytes (null: none) plus 1. Null texts are one group, empty texts
-    another. Slots of a shard count from 0 without gaps, in the order of cells of text and doc_id hashes;
-    equal rows get different slots. The largest shard is as small as contiguous groups in hash order allow.
+    another. Slots of a shard count from 0 without gaps, in the order of cells of text hashes and of where the
+    rows are stored; equal rows get different slots, and a row that repeats very often lies in many cells. The largest shard is as small as contiguous groups in hash order allow.
     An empty table gives no rows. Carried columns named like an added one are refused. Texts that are not
     carried are not shuffled.
     """
@@ -137,8 +177,9 @@ def assign_shards(docs: DataFrame, shards: int = 16, carry: tuple[str, ...] | No
     if clash:
         raise ValueError(f"columns {sorted(clash)} would be overwritten")
     key, part, size, cell, place, base = fresh(docs, "group_key", "row_part", "row_size", "cell", "place", "base")
-    own = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(CELL_PARTS)).cast("int")
-    rows = docs.select(*carry, group_key().alias(key), own.alias(part), size_of().alias(size))
+    # A row's own number tells equal rows apart; it is written, so that every later read finds the same.
+    own = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(CELL_PARTS)).cast("int")
+    rows = materialise(docs.select(*carry, group_key().alias(key), own.alias(part), size_of().alias(size)))
     groups = Groups(rows.groupBy(F.col(key).alias("key")).agg(F.sum(size).alias("bytes")))
     shard = F.lit(0)
     for bound in cuts(groups, shards):

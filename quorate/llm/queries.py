@@ -98,8 +98,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT doc_id, text, i - 1 AS line, string_split(text, chr(10))[i] AS content
         FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)
     ), parsed AS (
-        SELECT doc_id, text, line, list_transform(list_filter(regexp_split_to_array(content, '[ 	-
-]+'), lambda t: t <> ''),
+        SELECT doc_id, text, line, list_transform(list_filter(regexp_split_to_array(content, '[ \t-\r]+'), lambda t: t <> ''),
             lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS t
         FROM lines
     ), leaves AS (

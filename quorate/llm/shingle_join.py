@@ -1,13 +1,18 @@
-"""Near copies by an exact similarity join on word shingles.
+"""Near copies by word shingles: SimHash links first, then an exact similarity join.
 
 Two texts are near copies if the Jaccard similarity of their sets of word shingles is at least
-``SIMILAR``. In any fixed order of all shingles, two such sets meet in their prefixes: the first
+``SIMILAR``. The SimHash trie finds most of them cheaply; what it proposes is confirmed on the sets. It
+cannot find all, since texts of that similarity differ in some ten bits of 64, so a prefix join completes
+it: in any fixed order of all shingles, two similar sets meet in their prefixes, the first
 n - ceil(SIMILAR * n) + 1 shingles of a set of n. The order puts shingles that a sample of the texts
 repeats last, so that common passages are rarely in a prefix; any order finds all pairs.
 
-Texts that meet in a prefix shingle are compared as whole sets: first with the smallest text of each
-shingle, which joins most groups of copies by as many comparisons as they have members; then all
-pairs of one shingle that are not connected yet. So no pair is lost that decides a component.
+One pass over the texts writes, for every row, a key of its words, the size of its set, a fingerprint, the
+prefix and a bitmap of the set; all that follows reads those narrow rows. Size and bitmap bound the overlap of
+two sets from above, so only pairs that pass are compared as sets, and only their texts are read again.
+Texts meet first the text of smallest key of each shingle, which joins groups of copies by as many
+comparisons as they have members; then those that share a shingle and are not connected yet, in blocks of
+bounded size.
 """
 
 from __future__ import annotations
@@ -16,13 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorate.llm.common import fresh, materialise
+from quorate.llm import simhash_trie
+from quorate.llm.common import fresh, materialise, span_hashes, text_blocks
 from quorate.llm.components import components
-from quorate.llm.simhash_trie import SEED, shingles, words_of
+from quorate.session import Scratch, broadcast_if_small
 
 WIDTH = 5
 # Similarity as a fraction of integers.
@@ -30,16 +35,90 @@ SIMILAR = (4, 5)
 # Texts whose shingles are counted for the order, and how many repeated shingles it keeps.
 SAMPLE = 8192
 COMMON = 50_000
-
-
-def text_key(text: bytes) -> int:
-    """Hash of the words of a text; texts of one key have the same shingles."""
-    return int(np.uint64(xxhash.xxh64_intdigest(b" ".join(words_of(text)), SEED)).view(np.int64))
-
-
-def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct shingle hashes; none for a text without words."""
-    return np.unique(shingles(text, width))
+# Words of 64 bits in the bitmap of a set.
+BITMAP = 16
+# Bits that SimHash links may differ in.
+MAX_BITS = 7
+# Texts of one shingle that meet by a plain join, and texts of a block beyond.
+FEW = 32
+BLOCK = 2048
+
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
+_BLANK = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+
+
+def text_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of all words of a block of texts, A-Z lower-cased, in order."""
+    low = _LOWER[data]
+    inside = ~_BLANK[low]
+    start = inside.copy()
+    start[1:] &= ~inside[:-1]
+    heads = offsets[:-1][offsets[:-1] < len(data)]
+    start[heads] |= inside[heads]
+    end = inside.copy()
+    end[:-1] &= ~inside[1:] | start[1:]
+    s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
+    return span_hashes(low, s, e), np.searchsorted(offsets, s, side="right") - 1
+
+
+def block_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, shingle, text) of a block: the key of the words of each text, and its distinct shingles, ascending text by text.
+
+    A text of fewer words than ``width`` is one shingle; one without words has none and key 0.
+    """
+    words, owner = text_words(data, offsets)
+    n = len(offsets) - 1
+    counts = np.bincount(owner, minlength=n)
+    first = np.cumsum(counts) - counts
+    keys = np.where(counts > 0, span_hashes(words, first, first + counts), np.uint64(0))
+    runs = max(0, len(words) - width + 1)
+    value = np.zeros(runs, np.uint64)
+    for j in range(width):
+        value = value * _STEP + words[j : j + runs]
+    value = (value ^ (value >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    value ^= value >> np.uint64(29)
+    whole = owner[:runs] == owner[width - 1 :] if runs else np.zeros(0, bool)
+    short = np.flatnonzero((counts > 0) & (counts < width))
+    value, text = np.concatenate((value[whole], keys[short])), np.concatenate((owner[:runs][whole], short))
+    order = np.lexsort((value, text))
+    value, text = value[order], text[order]
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (text[1:] != text[:-1])
+    return keys, value[new], text[new]
+
+
+def _prefixes(value: np.ndarray, text: np.ndarray, sizes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, number for each text): of every set those that a near copy must share one of; ``common`` is sorted."""
+    up, down = SIMILAR
+    rank = np.zeros(len(value), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, value), len(common) - 1)
+        rank = np.where(common[at] == value, counts[at], 0)
+    order = np.lexsort((value, rank, text))
+    lengths = np.where(sizes > 0, sizes - -(-up * sizes // down) + 1, 0)
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(len(value)) - np.repeat(first, sizes)
+    return value[order[place < np.repeat(lengths, sizes)]], lengths
+
+
+def _bitmaps(value: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """(text, word): every shingle flips one bit, so sets differ in at least as many elements as their bitmaps in bits."""
+    out = np.zeros(n * BITMAP, np.uint64)
+    bit = value & np.uint64(64 * BITMAP - 1)
+    np.bitwise_xor.at(out, text * BITMAP + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out.reshape(n, BITMAP)
+
+
+def _fingerprints(value: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """SimHash of each set; 0 for an empty one."""
+    out = np.zeros(len(sizes), np.uint64)
+    first = np.cumsum(sizes) - sizes
+    some = np.flatnonzero(sizes)
+    for bit in range(64):
+        ones = np.add.reduceat((value >> np.uint64(bit) & np.uint64(1)).astype(np.int32), first[some]) if len(some) else np.zeros(0, int)
+        out[some] |= (2 * ones > sizes[some]).astype(np.uint64) << np.uint64(bit)
+    return out
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -51,130 +130,231 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both * down >= (len(a) + len(b) - both) * up
 
 
-def prefix(found: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The shingles of a sorted set that a near copy must share one of; ``common`` is sorted."""
+def most_apart(n: int | np.ndarray | Column, m: int | np.ndarray | Column) -> int | np.ndarray | Column:
+    """Elements in which near copies of ``n`` and ``m`` shingles may differ at most."""
     up, down = SIMILAR
-    n = len(found)
-    rank = np.zeros(n, np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-        rank = np.where(common[at] == found, counts[at], 0)
-    return found[np.lexsort((found, rank))][: n - -(-up * n // down) + 1 if n else 0]
+    least = F.ceil((n + m) * up / (up + down)) if isinstance(n, Column) else -(-(n + m) * up // (up + down))
+    return n + m - 2 * least
+
 
+def _sized(n: str, m: str) -> Column:
+    up, down = SIMILAR
+    return F.least(n, m) * down >= F.greatest(n, m) * up
 
-def _bytes(value: pa.Scalar) -> bytes:
-    return value.as_buffer().to_pybytes() if value.is_valid else b""
 
+def _close(a: str, b: str) -> Column:
+    """Whether sizes and bitmaps of two structs (key, n, bits) leave room for the wanted overlap."""
+    apart = F.aggregate(F.zip_with(f"{a}.bits", f"{b}.bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return _sized(f"{a}.n", f"{b}.n") & (apart <= most_apart(F.col(f"{a}.n"), F.col(f"{b}.n")))
 
-def text_keys(rows: DataFrame) -> DataFrame:
-    """(doc_id, h, key) for every row of ``rows`` (doc_id, h, text)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = pa.array([text_key(_bytes(t)) for t in batch.column(2)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys], names=["doc_id", "h", "key"])
+def _lists(counts: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(values.view(np.int64)))
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "h", "text").mapInArrow(run, f"doc_id {kind}, h bigint, key bigint")
 
+def _signed(values: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(values).view(np.int64))
 
-def _postings(docs: DataFrame, width: int, choose, every: int = 1) -> DataFrame:
-    """(s, key, n): the shingles that ``choose`` takes of each set of n, of every so many texts."""
+
+def sampled_shingles(docs: DataFrame, every: int, width: int) -> DataFrame:
+    """(s, key): the shingles of every so many texts, by their keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = set()
-            for t in batch.column(0):
-                text = _bytes(t)
-                key = text_key(text)
-                if key in seen or key % every:
-                    continue
-                seen.add(key)
-                found = shingle_set(text, width)
-                taken = choose(found).view(np.int64)
-                same = [np.full(len(taken), key), np.full(len(taken), len(found), np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (taken, *same)], names=["s", "key", "n"])
-
-    return docs.select("text").mapInArrow(run, "s bigint, key bigint, n int")
-
-
-def common_shingles(docs: DataFrame, n_texts: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several sampled texts have, sorted, with their numbers of texts."""
-    sampled = _postings(docs, width, lambda found: found, max(1, n_texts // SAMPLE)).select("s", "key").distinct()
-    counted = sampled.groupBy("s").count().where("count > 1").orderBy(F.desc("count"), "s").limit(COMMON).collect()
-    values = np.array([r["s"] for r in counted], np.int64).view(np.uint64)
+            for _, _, data, offsets in text_blocks(batch.column(0)):
+                keys, value, text = block_sets(data, offsets, width)
+                own = keys[text]
+                chosen = own % np.uint64(every) == 0
+                yield pa.RecordBatch.from_arrays([_signed(value[chosen]), _signed(own[chosen])], names=["s", "key"])
+
+    return docs.select("text").mapInArrow(run, "s bigint, key bigint")
+
+
+def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several sampled texts have, sorted, with their numbers of texts; at most COMMON."""
+    sampled = sampled_shingles(docs, max(1, docs.count() // SAMPLE), width).distinct()
+    counted = sampled.groupBy("s").count().where("count > 1").orderBy(F.desc("count"), "s").limit(COMMON).toArrow()
+    values, counts = counted.column("s").to_numpy().view(np.uint64), counted.column("count").to_numpy()
     order = np.argsort(values)
-    return values[order], np.array([r["count"] for r in counted], np.int64)[order]
+    return values[order], counts[order]
 
 
-def _sizes_fit(a: str, b: str) -> F.Column:
-    up, down = SIMILAR
-    return F.least(a, b) * down >= F.greatest(a, b) * up
+def described(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, h, key, n, fp, bits, prefix) of every row of ``docs``; ``h`` is Spark's own hash of the text."""
+    common, counts = common_shingles(docs, width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in text_blocks(batch.column(2)):
+                keys, value, text = block_sets(data, offsets, width)
+                sizes = np.bincount(text, minlength=hi - lo)
+                prefix, lengths = _prefixes(value, text, sizes, common, counts)
+                rows = [batch.column(i).slice(lo, hi - lo) for i in (0, 1)]
+                bits = _bitmaps(value, text, hi - lo).reshape(-1)
+                lists = [_lists(np.full(hi - lo, BITMAP), bits), _lists(lengths, prefix)]
+                columns = [*rows, _signed(keys), pa.array(sizes.astype(np.int32)), _signed(_fingerprints(value, sizes)), *lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "key", "n", "fp", "bits", "prefix"])
 
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    return rows.mapInArrow(run, f"doc_id {kind}, h bigint, key bigint, n int, fp bigint, bits array<bigint>, prefix array<bigint>")
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) of text keys whose whole sets are similar."""
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def wanted_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(key, set) of the texts whose ``h`` is in ``wanted``; a task returns each key once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            keys = pa.array([text_key(_bytes(t)) for t in batch.column(0)], pa.int64())
-            yield pa.RecordBatch.from_arrays([keys, batch.column(0)], names=["key", "text"])
+            for lo, hi, data, offsets in text_blocks(batch.column(0)):
+                keys, value, text = block_sets(data, offsets, width)
+                listed = _lists(np.bincount(text, minlength=hi - lo), value)
+                new = [i for i, k in enumerate(keys.tolist()) if k not in seen and not seen.add(k)]
+                at = pa.array(new, pa.int64())
+                yield pa.RecordBatch.from_arrays([_signed(keys).take(at), listed.take(at)], names=["key", "set"])
+
+    texts = docs.select(F.xxhash64("text").alias("h"), "text").join(broadcast_if_small(wanted.select("h").distinct()), "h", "left_semi")
+    return texts.select("text").mapInArrow(run, "key bigint, set array<bigint>").dropDuplicates(["key"])
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of text keys whose whole sets are similar."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left = None, None
         for batch in batches:
-            good = []
-            for a, t, u in zip(batch.column(0), batch.column(2), batch.column(3)):
-                # Pairs of one left text mostly follow each other.
-                if a != last:
-                    last, left = a, shingle_set(_bytes(t), width)
-                good.append(similar(left, shingle_set(_bytes(u), width)))
+            sets = []
+            for i in (2, 3):
+                starts = batch.column(i).offsets.to_numpy()
+                sets.append((starts - starts[0], batch.column(i).flatten().to_numpy(zero_copy_only=False)))
+            (p, left), (q, right) = sets
+            good = [similar(left[p[i] : p[i + 1]], right[q[i] : q[i + 1]]) for i in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    pairs = scratch.store(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = docs.select("text").mapInArrow(keyed, "key bigint, text string").join(wanted, "key", "left_semi")
-    texts = materialise(texts.groupBy("key").agg(F.first("text").alias("text")))
-    both = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("u")), "b")
-    both = both.join(texts.select(F.col("key").alias("a"), F.col("text").alias("t")), "a")
-    return materialise(both.select("a", "b", "t", "u").mapInArrow(compare, "a bigint, b bigint"))
-
-
-def links(docs: DataFrame, n_texts: int, width: int = WIDTH) -> DataFrame:
-    """(a, b): links between text keys that connect all near copies, and no other texts."""
-    common, counts = common_shingles(docs, n_texts, width)
-    posted = _postings(docs, width, lambda found: prefix(found, common, counts))
-    # Only a shingle's own texts meet; most have one and go at once.
-    here = Window.partitionBy("s")
-    shared = posted.withColumn("least", F.min("key").over(here)).withColumn("most", F.max("key").over(here)).where("least < most")
-    shared = materialise(shared.select("s", "key", "n").distinct())
-    first = shared.groupBy("s").agg(F.min(F.struct("key", "n")).alias("c"))
-    stars = shared.join(first, "s").where(F.col("key") != F.col("c.key")).where(_sizes_fit("n", "c.n"))
-    found = confirmed(materialise(stars.select(F.col("c.key").alias("a"), F.col("key").alias("b")).distinct()), docs, width)
+    sets = scratch.store(wanted_sets(docs, texts.join(broadcast_if_small(wanted), "key", "left_semi"), width))
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("t")), "a")
+    both = both.join(sets.select(F.col("key").alias("b"), F.col("set").alias("u")), "b")
+    return scratch.store(both.select("a", "b", "t", "u").mapInArrow(compare, "a bigint, b bigint"))
+
+
+def simhash_pairs(texts: DataFrame) -> DataFrame:
+    """(a, b): pairs that the SimHash trie proposes, by their keys."""
+    named = texts.groupBy("fp").agg(F.min("key").alias("first"))
+    equal = texts.join(named, "fp").where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    found = simhash_trie.links(named.select("fp"), MAX_BITS)
+    found = found.join(named.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(named.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    return equal.unionByName(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
+def _with_one(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that pass by size and bitmap."""
+    one = texts.select("key", F.struct("key", "n", "bits").alias("t"))
+    met = pairs.join(one.select(F.col("key").alias("a"), F.col("t").alias("x")), "a").join(one.select(F.col("key").alias("b"), F.col("t").alias("y")), "b")
+    return met.where(_close("x", "y")).select("a", "b")
+
+
+def unconnected(shared: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): pairs of ``shared`` (s, root, t) that share a shingle, have different roots and pass by size and bitmap.
+
+    Texts meet inside size bands. Few texts of a band meet by a join; more are dealt into blocks, each of
+    which meets the others as one bounded task.
+    """
+    up, down = SIMILAR
+    apart = shared.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("s")
+    # A near copy is in the same band or the next: bands are a trifle wider than sizes may differ.
+    band = F.floor(F.log(down / up * (1 + 1e-9), F.greatest(F.col("t.n"), F.lit(1)).cast("double"))).cast("int")
+    rows = scratch.store(shared.join(broadcast_if_small(apart), "s", "left_semi").withColumn("own", band))
+    rows = rows.withColumn("band", F.explode(F.array("own", F.col("own") + 1)))
+    crowds = scratch.store(rows.groupBy("s", "band").agg(F.count("*").alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).where("x < y"))
+    rows = rows.join(broadcast_if_small(crowds.select("s", "band", "m")), ["s", "band"]).withColumn("guest", F.col("own") != F.col("band"))
+    few = rows.where(F.col("m") <= FEW).select("s", "band", "root", "t", "guest")
+    other = few.select("s", "band", F.col("root").alias("root_"), F.col("t").alias("u"), F.col("guest").alias("guest_"))
+    both = few.join(other, ["s", "band"]).where("not (guest and guest_) and t.key < u.key and root <> root_").where(_close("t", "u"))
+    pairs = both.select(F.col("t.key").alias("a"), F.col("u.key").alias("b"))
+
+    many = rows.where(F.col("m") > FEW).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    block = F.when(~F.col("guest"), F.pmod(F.xxhash64("t.key"), F.col("blocks")).cast("int"))
+    many = many.withColumn("block", block)
+    # Own texts meet their block and the ones before it; guests meet every block.
+    many = many.select("s", "band", "root", "t.*", "block", F.explode(F.sequence(F.lit(0), F.coalesce("block", F.col("blocks") - 1))).alias("at"))
+    many = many.withColumn("left", F.coalesce("block", F.lit(-1)) == F.col("at"))
+
+    def meet(table: pa.Table) -> pa.Table:
+        key, root, n = (table.column(c).to_numpy() for c in ("key", "root", "n"))
+        bits = table.column("bits").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, BITMAP)
+        left = np.flatnonzero(np.asarray(table.column("left").to_pylist(), bool))
+        found = [np.zeros((2, 0), np.int64)]
+        for lo in range(0, len(key), 64):
+            right = np.arange(lo, min(lo + 64, len(key)))
+            apart = np.bitwise_count(bits[left][:, None, :] ^ bits[right][None]).sum(axis=2)
+            a, b = n[left][:, None].astype(np.int64), n[right][None].astype(np.int64)
+            good = (apart <= most_apart(a, b)) & (np.minimum(a, b) * down >= np.maximum(a, b) * up) & (root[left][:, None] != root[right][None])
+            i, j = np.nonzero(good)
+            x, y = key[left[i]], key[right[j]]
+            found.append(np.stack((np.minimum(x, y), np.maximum(x, y))))
+        a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+        return pa.table({"a": a, "b": b})
+
+    pairs = pairs.unionByName(many.groupBy("s", "band", "at").applyInArrow(meet, "a bigint, b bigint"))
+    return pairs.distinct()
+
+
+def links(rows: DataFrame, docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """(a, b): links between text keys that connect all near copies, and no other texts. ``rows`` as ``described``."""
+    texts = rows.groupBy("key").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bits").alias("bits"), F.min("h").alias("h"))
+    texts = scratch.store(texts)
+    postings = rows.select("key", F.explode("prefix").alias("s"))
+    # Combined before the shuffle: a shingle of very many texts is one row of each task.
+    met = postings.groupBy("s").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("s", "least")
+    met = scratch.store(met)
+    shared = scratch.store(postings.join(broadcast_if_small(met.select("s")), "s", "left_semi").distinct())
+    stars = shared.join(met, "s").where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
+    first = scratch.store(simhash_pairs(texts).unionByName(stars).distinct())
+    found = confirmed(_with_one(first, texts), texts, docs, width, scratch)
     roots = components(found)
-    named = shared.join(roots, shared["key"] == roots["node"], "left").select("s", "key", "n", F.coalesce("root", "key").alias("root"))
-    named = materialise(named)
-    apart = named.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("s")
-    named = named.join(apart, "s", "left_semi")
-    other = named.select("s", F.col("key").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"))
-    rest = named.join(other, "s").where("key < b and root <> root_b").where(_sizes_fit("n", "m"))
-    rest = materialise(rest.select(F.col("key").alias("a"), "b").distinct())
-    return found.unionByName(confirmed(rest, docs, width))
+    one = texts.select("key", F.struct("key", "n", "bits").alias("t"))
+    named = shared.join(roots, shared["key"] == roots["node"], "left").select("s", "key", F.coalesce("root", "key").alias("root")).join(one, "key")
+    rest = unconnected(scratch.store(named.select("s", "root", "t")), scratch).join(first, ["a", "b"], "left_anti")
+    return found.unionByName(confirmed(rest, texts, docs, width, scratch))
+
+
+def redundant(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, h): the rows that go when one document of each group of near copies is kept. Stored."""
+    with Scratch(docs.sparkSession) as scratch:
+        rows = scratch.store(described(docs, width))
+        least = rows.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")).alias("first"), F.min("h").alias("x"), F.max("h").alias("y"), F.count("*").alias("rows"))
+        least = scratch.store(least)
+        roots = scratch.store(components(links(rows, docs, width, scratch)))
+        named = least.join(roots, least["key"] == roots["node"], "left").select("key", F.coalesce("root", "key").alias("root"), "first", "rows", "node")
+        # Only texts that are linked or stand in several rows can lose a row.
+        named = scratch.store(named.where(F.col("node").isNotNull() | (F.col("rows") > 1)))
+        keepers = named.groupBy("root").agg(F.min("first").alias("keeper"))
+        named = scratch.store(named.join(keepers, "root").select("key", "keeper"))
+        told = rows.select("key", "doc_id", "h").join(broadcast_if_small(named), "key")
+        stays = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("h") == F.col("keeper.h"))
+        return materialise(told.where(~stays).select("doc_id", "h").distinct())
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """Rows of ``docs`` that stay when one document of each group of near copies is kept.
 
-    Groups are the components of the near copies. Texts without words are copies of each other. Which
-    row of a group stays, and how rows without doc_id and repeated rows count, is as in
-    ``simhash_trie.keep_one``.
+    Groups are the components of the near copies; texts without words are copies of each other. The
+    document with the smallest doc_id of its group stays; of several rows with that doc_id in one group, one
+    (by the hash of the text). Rows without doc_id in a group that has one go; if none has one, one row
+    stays. Of rows that repeat both doc_id and text one stays. All columns are returned unchanged; an empty
+    table gives no rows. ``docs`` must be a stored table or read alike each time.
     """
-    key, mark, rank = fresh(docs, "row_key", "row_text", "row_rank")
+    key, gone_id, gone_h = fresh(docs, "row_key", "gone_id", "gone_h")
+    gone = redundant(docs, width).select(F.col("doc_id").alias(gone_id), F.col("h").alias(gone_h))
     keyed = docs.withColumn(key, F.xxhash64("text"))
-    groups = text_keys(docs.select("doc_id", F.xxhash64("text").alias("h"), "text"))
-    least = materialise(groups.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")).alias("first")))
-    roots = components(links(docs, least.count(), width))
-    named = least.join(roots, least["key"] == roots["node"], "left").select(F.coalesce("root", "key").alias("root"), "first")
-    keepers = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias(mark), F.col("first.h").alias(rank))
-    kept = keyed.join(keepers, keyed["doc_id"].eqNullSafe(keepers[mark]) & (keyed[key] == keepers[rank]), "left_semi")
-    order = Window.partitionBy("doc_id", key).orderBy(F.lit(0))
-    return kept.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).select(*docs.columns)
+    kept = keyed.join(broadcast_if_small(gone), keyed["doc_id"].eqNullSafe(gone[gone_id]) & (keyed[key] == gone[gone_h]), "left_anti")
+    repeated = docs.select("doc_id", F.xxhash64("text").alias(key)).groupBy("doc_id", key).count().where("count > 1")
+    repeated = materialise(repeated.select(F.col("doc_id").alias(gone_id), F.col(key).alias(gone_h)))
+    if repeated.isEmpty():
+        return kept.select(*docs.columns)
+    # Equal rows are combined before the shuffle; other rows are not moved.
+    again = keyed["doc_id"].eqNullSafe(repeated[gone_id]) & (keyed[key] == repeated[gone_h])
+    single = kept.join(broadcast_if_small(repeated), again, "left_anti")
+    several = kept.join(broadcast_if_small(repeated), again, "left_semi").dropDuplicates(["doc_id", key])
+    return single.unionByName(several).select(*docs.columns)

@@ -64,3 +64,22 @@ def test_layouts_become_the_same_turns(spark):
     assert all(got[k] == [None] for k in range(10, 15))
     marks = {r.id: r.m for r in table.select("id", cl.fingerprint(F.col("record")).alias("m")).collect()}
     assert marks[2] == marks[2] and marks[2] != marks[3] and marks[11] is None and marks[14] is None
+
+
+def test_rows_of_tables_select_a_mapping_too(spark):
+    say = lambda df, *more: sorted(((r.key, r.turn, r.role, r.text, r.layout_known) for r in cl.turn_rows(df, "id", *more).collect()), key=str)
+    # Records that are one turn keep their number, role and text, in JSON and in columns.
+    rows = [(1, 7, "Human", "a"), (1, None, None, None), (2, 0, "assistant", "")]
+    table = spark.createDataFrame(rows, "id long, turn int, role string, text string")
+    want = sorted(((i, t, r, x, True) for i, t, r, x in rows), key=str)
+    assert say(table) == want
+    as_json = table.select("id", F.to_json(F.struct("turn", "role", "text"), {"ignoreNullFields": "false"}).alias("record"))
+    assert say(as_json, "record") == want
+    table = spark.createDataFrame([(1, "ask", "say", "x"), (2, None, "b", "y")], "id long, prompt string, completion string, note string")
+    assert say(table) == [(1, 0, "user", "ask", True), (1, 1, "assistant", "say", True), (2, 0, "user", "", True), (2, 1, "assistant", "b", True)]
+    table = spark.createDataFrame([(1, [("human", "q"), ("gpt", "a")], "be kind"), (2, [], "s"), (3, None, None)], "id long, conversations array<struct<from:string,value:string>>, system string")
+    assert say(table) == [(1, 0, "system", "be kind", True), (1, 1, "user", "q", True), (1, 2, "assistant", "a", True), (2, 0, "system", "s", True), (3, None, None, None, False)]
+    table = spark.createDataFrame([(1, "user", "t")], "id long, role string, text string")
+    assert say(table) == [(1, None, None, None, False)]
+    marks = table.select(cl.path_hash(F.array(*[F.lit(p) for p in cl.TURN_FIELDS])).alias("a"), cl.fingerprint(F.lit('{"text": null, "turn": 1, "role": "x", "id": 2}')).alias("b")).first()
+    assert marks.a == marks.b

@@ -7,6 +7,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import types as T
 
 from quorate.llm import contiguous_shards as cs
@@ -56,6 +57,35 @@ def test_rows_and_slots(spark):
     assert cs.assign_shards(spark.createDataFrame([], DOCS), 16).count() == 0
 
 
+def test_crowded_buckets_are_refined_before_they_are_read(spark, monkeypatch):
+    monkeypatch.setattr(cs, "READ_GROUPS", 4)
+    monkeypatch.setattr(cs, "BUCKET_BITS", 3)
+    rng = random.Random(4)
+    # Most keys share their leading bits, some of them all but the last few.
+    keys = sorted({rng.randrange(1 << 61) - (1 << 62) for _ in range(40)} | {77 + (1 << 50) * i for i in range(30)} | {-5, -1, 0, 1, 2, 3, 4, 5, 6, 2**63 - 1, -(2**63)})
+    sizes = [rng.randrange(1, 50) for _ in keys]
+    groups = cs.Groups(spark.createDataFrame(list(zip(keys, sizes)), "key bigint, bytes bigint"))
+    ends = list(itertools.accumulate(sizes))
+    assert groups.total == ends[-1] and groups.largest == max(sizes) and groups.level.depth == 0
+    for position in rng.sample(range(-1, ends[-1] + 2), 60):
+        k = sum(e <= position for e in ends)
+        want = (ends[-1], None) if position >= ends[-1] else (ends[k - 1] if k else 0, keys[k])
+        assert groups.reach(max(position, 0)) == want or position < 0
+    assert groups.level.inner and any(level.inner for level in groups.level.inner.values())
+
+
+def test_clashing_columns_are_refused_and_hot_rows_are_spread(spark):
+    with pytest.raises(ValueError):
+        cs.assign_shards(spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, Slot int"))
+    rows = [(1, "same", "x")] * 3000 + [(i, "x" * 100_000 if i == 2 else f"t{i}", "x") for i in range(2, 60)]
+    got = cs.assign_shards(spark.createDataFrame(rows, DOCS), 4).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert len(got) == len(rows) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len({r.shard for r in got if r.text == "same"}) == 1
+
+
 def test_query_contract(spark):
     sf_dir = "/root/testdata/sf0.001"
     got = QUERIES["op10_contiguous_shards"](spark, sf_dir).collect()

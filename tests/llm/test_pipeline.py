@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from test_simhash_trie import slow_components, slow_fingerprint
+from test_shingle_join import plain_keepers
 from test_template_tree import plain as plain_lines
 from test_winnowing import plain as plain_overlap
 from tokenizers import Tokenizer
@@ -31,9 +31,7 @@ def test_stages_one_by_one(spark):
     assert rows[1] == {d: t for d, t in rows[0].items() if scores[d] >= 0.5}
     lines = {d: t for d, t in plain_lines(list(rows[1].items())) if t.strip() or t == rows[1][d]}
     assert rows[2] == lines
-    ids = sorted(rows[2])
-    roots = slow_components([(d, slow_fingerprint(rows[2][d])) for d in ids])
-    assert sorted(rows[3]) == sorted(set(roots)) and all(rows[3][d] == rows[2][d] for d in rows[3])
+    assert sorted(rows[3]) == plain_keepers(list(rows[2].items())) and all(rows[3][d] == rows[2][d] for d in rows[3])
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
     dirty = {d for d, *_, bad in plain_overlap(list(rows[3].items()), items) if bad}
     assert rows[4] == {d: t for d, t in rows[3].items() if d not in dirty}

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
 from quorate.llm import shingle_join as sj
+from quorate.llm.common import text_blocks
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("key", T.StringType()), T.StructField("n", T.StringType())])
 
@@ -56,9 +61,15 @@ def made(rng):
     return list(enumerate(rows))
 
 
-def test_stage_keeps_one_of_each_group_of_near_copies(spark, monkeypatch):
+@pytest.mark.parametrize("small", [False, True])
+def test_stage_keeps_one_of_each_group_of_near_copies(spark, monkeypatch, small):
     monkeypatch.setattr(sj, "SAMPLE", 50)
-    rows = made(random.Random(11))
+    if small:
+        monkeypatch.setattr(sj, "FEW", 2)
+        monkeypatch.setattr(sj, "BLOCK", 3)
+        # Without the links found first, all pairs are left to the blocks.
+        monkeypatch.setattr(sj, "simhash_pairs", lambda texts: texts.select(F.col("key").alias("a"), F.col("key").alias("b")).where("false"))
+    rows = made(random.Random(11 + small))
     table = spark.createDataFrame([(*r, "x", "y") for r in rows], DOCS)
     kept = corpus_pipeline.near_duplicates(spark, table, "")
     assert kept.columns == DOCS.names
@@ -86,3 +97,37 @@ def test_null_and_repeated_rows(spark):
     kept = sj.keep_one(spark.createDataFrame([(*r, "x", "y") for r in rows], DOCS))
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, text), (4, None), (9, "other words here")]
     assert sj.keep_one(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def sets_of(texts):
+    [(_, _, data, offsets)] = text_blocks(pa.array(texts))
+    keys, value, text = sj.block_sets(data, offsets)
+    return keys, [value[text == i] for i in range(len(texts))]
+
+
+def test_sets_keys_and_bounds():
+    rng = random.Random(5)
+    rows = [t for _, t in made(rng)]
+    keys, sets = sets_of(rows)
+    plain = [plain_set(t) for t in rows]
+    assert [len(s) for s in sets] == [len(s) for s in plain]
+    bits = [sj._bitmaps(s, np.zeros(len(s), np.int64), 1)[0] for s in sets]
+    for i in range(len(rows)):
+        for j in range(0, i, 7):
+            both = len(plain[i] & plain[j])
+            assert len(np.intersect1d(sets[i], sets[j])) == both
+            union = len(plain[i]) + len(plain[j]) - both
+            assert sj.similar(sets[i], sets[j]) == (5 * both >= 4 * union)
+            flipped = int(np.bitwise_count(bits[i] ^ bits[j]).sum())
+            assert flipped <= union - both
+            if sj.similar(sets[i], sets[j]):
+                assert flipped <= sj.most_apart(len(sets[i]), len(sets[j]))
+    words = [tuple(t.lower().split()) for t in rows]
+    assert all((keys[i] == keys[j]) == (words[i] == words[j]) for i in range(len(rows)) for j in range(i))
+
+
+def test_repeated_rows_and_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, long), (2, long + " end"), (3, "x" * 300_000), (4, "x" * 300_000)] + [(7, "same text here")] * 300
+    kept = sj.keep_one(spark.createDataFrame([(*r, "x", "y") for r in rows], DOCS))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, long), (3, "x" * 300_000), (7, "same text here")]
