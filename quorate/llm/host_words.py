@@ -5,6 +5,9 @@ by the Viterbi path of highest probability; multinomial naive Bayes then scores
 path. Its training labels are weak: a host that contains one of a list of unwanted words is a bad example,
 any other a good one; what the words of bad hosts have in common carries over to hosts without them.
 
+The listed words themselves are labels and not features, and a host's own urls are left out of the counts
+that score its words, so naive Bayes says what the list does not say. A listed word adds fixed odds.
+
 Names, words, tokens and paths are counted and joined by Spark; each distinct name is split once, each
 distinct host and path shape is scored once.
 """
@@ -27,6 +30,8 @@ LONGEST = 20
 # The unwanted words enter the model as if each were one word in so many.
 UNWANTED_SHARE = 20_000
 SMOOTHING = 0.5
+# Log odds of block that a listed word adds.
+LISTED_ODDS = 6.0
 MAX_RULES = 1_000
 
 Rules = Sequence[tuple[str, str]]
@@ -121,8 +126,8 @@ def judge(pages: DataFrame, rules: Rules, unwanted: Sequence[str] = UNWANTED) ->
     """All columns of ``pages`` (url, html) with ``host``, ``path``, ``rule``, ``verdict`` and ``block_score``.
 
     ``rule`` is the longest rule that fits, else null; ``verdict`` is its, else ``block`` if naive Bayes
-    gives at least one half, else ``allow``. ``block_score`` is the log odds of block by naive Bayes, 0 for
-    a url without any token. Null and broken urls have empty host and path and no tokens, so ``allow``. Every
+    gives at least one half, else ``allow``. ``block_score`` is the log odds of block by naive Bayes and the list,
+    0 for a url without any token. Null and broken urls have empty host and path and no tokens, so ``allow``. Every
     row is judged, repeated rows alike; null html adds no words. An empty table gives no rows. Columns of
     ``pages`` named like an added one are refused.
     """
@@ -137,7 +142,7 @@ def judge(pages: DataFrame, rules: Rules, unwanted: Sequence[str] = UNWANTED) ->
     named = hosts.select("host", "n", F.posexplode(names_of(F.col("host"))).alias("at", "name"))
     named = materialise(named)
 
-    counts = word_counts(pages, "html")
+    counts = materialise(word_counts(pages, "html"))
     total = counts.agg(F.sum("n")).first()[0] or 1
     extra = pages.sparkSession.createDataFrame([(w, max(1, total // UNWANTED_SHARE)) for w in unwanted], "word string, n bigint")
     names = named.select("name").distinct()
@@ -151,17 +156,26 @@ def judge(pages: DataFrame, rules: Rules, unwanted: Sequence[str] = UNWANTED) ->
 
     # Counts of every token in bad and good urls: host words, and path tokens under the label of their host.
     labelled = groups.join(worded.select("host", "bad"), "host", "left").select("tokens", "n", F.coalesce("bad", F.lit(False)).alias("bad"))
-    tokens = worded.select(F.explode("words").alias("token"), "bad", "n").unionByName(labelled.select(F.explode("tokens").alias("token"), "bad", "n"))
+    # What a host's own urls add to the counts of its words.
+    own = worded.select("host", "bad", "n", F.explode("words").alias("token")).where(~F.col("token").isin(list(unwanted)))
+    own = materialise(own.groupBy("host", "token", "bad").agg(F.count("*").alias("times"), F.sum("n").alias("own")))
+    tokens = own.select("token", "bad", F.col("own").alias("n")).unionByName(labelled.select(F.explode("tokens").alias("token"), "bad", "n"))
     split_n = [F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("g")]
     table = materialise(tokens.groupBy("token").agg(*split_n))
-    bad_tokens, good_tokens, vocabulary = table.agg(F.sum("b"), F.sum("g"), F.count("*")).first()
+    bad_tokens, good_tokens = table.agg(F.sum("b"), F.sum("g")).first()
     bad_urls, good_urls = labelled.agg(*split_n).first()
-    smooth = SMOOTHING * max(vocabulary, 1)
-    shift = math.log(((good_tokens or 0) + smooth) / ((bad_tokens or 0) + smooth))
+    # Smoothed by each label's share of all tokens: a token that was not seen says nothing.
+    share = ((bad_tokens or 0) + SMOOTHING) / ((bad_tokens or 0) + (good_tokens or 0) + 2 * SMOOTHING)
     prior = math.log(((bad_urls or 0) + SMOOTHING) / ((good_urls or 0) + SMOOTHING))
-    weights = table.select("token", (F.log((F.col("b") + SMOOTHING) / (F.col("g") + SMOOTHING)) + shift).alias("w"))
-
-    by_host = worded.select("host", F.explode("words").alias("token")).join(weights, "token").groupBy("host").agg(F.sum("w").alias(host_score))
+    odds_of = lambda b, g: F.log((b / share + 1) / (g / (1 - share) + 1))
+    weights = table.select("token", odds_of(F.col("b"), F.col("g")).alias("w"))
+
+    others = own.join(table, "token").select(
+        "host", "times", (F.col("b") - F.when(F.col("bad"), F.col("own")).otherwise(0)).alias("b"), (F.col("g") - F.when(F.col("bad"), 0).otherwise(F.col("own"))).alias("g")
+    )
+    by_words = others.groupBy("host").agg(F.sum(F.col("times") * odds_of(F.col("b"), F.col("g"))).alias("words_score"))
+    listed_odds = F.when(F.col("bad"), F.lit(LISTED_ODDS)).otherwise(0.0)
+    by_host = worded.where(F.size("words") > 0).join(by_words, "host", "left").select("host", (F.coalesce("words_score", F.lit(0.0)) + listed_odds).alias(host_score))
     shapes = groups.select("tokens").distinct()
     by_path = shapes.select(F.col("tokens").alias(shape), F.explode("tokens").alias("token")).join(weights, "token").groupBy(shape).agg(F.sum("w").alias(path_score))
 

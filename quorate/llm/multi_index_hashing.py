@@ -2,17 +2,21 @@
 
 Vectors become binary codes by learned rotations: the principal axes of a sample, turned so that signs
 lose least (alternating between signs and the best rotation to them); several rotations from different
-starts give a long code. Codes are split into substrings, each with its own table. If two codes differ
-in at most ``radius`` bits, some substring differs in few enough (pigeonhole), so probing every table
-with its share of the radius retrieves every code within the radius. What is retrieved is measured on
-the original vectors in double precision.
+starts give a long code. Codes are split into substrings, each with its own table from key to rows.
+
+Bits weigh as much as the query is sure of them: the distance of a code is the sum of the query's margins
+(how far it lies from the plane of a bit) over the bits that differ. A code whose distance is within a
+radius differs in some substring by no more than the radius over the number of tables (pigeonhole). So
+every table is probed with all keys that cost no more than that, each a lookup, and every code within the
+radius is retrieved. Retrieved rows with too many differing bits are left out and the others are measured
+on the original vectors in double precision.
 
 Lengths may differ: rows are scaled by the largest norm and lifted to the unit sphere, which turns the
 largest inner product into the smallest angle.
 
-The index is dealt into blocks of rows and the stated queries into blocks of queries; every pair of
-blocks is one task, which returns the best of its block for each query. The radius is learned on the
-sample; a query that finds fewer than it wants in a block widens its radius there.
+The index is dealt into blocks of rows, and every block answers the stated queries, which reach it in
+blocks, with its own best. The radius is learned on the sample; a query that finds fewer than it wants in
+a block widens its radius there.
 """
 
 from __future__ import annotations
@@ -25,24 +29,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quorate.llm.common import materialise
+
 BITS = 256
 PART = 16
 # Rows the rotations and the radius are learned on: those with the smallest hash of the id.
 SAMPLE = 4096
 ROUNDS = 20
-# Share of a sample query's true neighbours that lie within the radius.
-COVER = 0.97
+# Shares of a sample query's true neighbours that probing retrieves, and that differ in few enough bits to be measured.
+COVER, NEAR = 0.94, 0.985
 INDEX_ROWS = 16_384
 QUERY_ROWS = 2_048
-# Pairs of a query and a row that are looked at together.
-PAIRS = 1 << 20
+_BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
 
 
 @dataclass
 class Codes:
     turn: np.ndarray  # (dimension + 1) x BITS
     largest: float
-    radius: int
+    share: float  # of a query's whole margin that a probed key may cost in its table
+    radius: int  # bits in which a measured row may differ
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
         x = x / self.largest
@@ -52,6 +58,10 @@ class Codes:
         """Codes as 16-bit substrings, one row per vector."""
         return np.packbits(lifted @ self.turn > 0, axis=1).view(np.uint16)
 
+    def margins(self, lifted: np.ndarray) -> np.ndarray:
+        """How sure a query is of each bit: its distance from the bit's plane."""
+        return np.abs(lifted @ self.turn)
+
 
 def usable(vector: str) -> Column:
     """Whether a vector is there, has no null or non-finite component and is not zero."""
@@ -62,7 +72,7 @@ def usable(vector: str) -> Column:
 def learn(sample: np.ndarray, largest: float, rows: int, k: int, seed: int = 5) -> Codes:
     """Rotations and radius from a sample of ``rows`` vectors."""
     rng = np.random.default_rng(seed)
-    blank = Codes(np.zeros((0, 0)), largest, BITS)
+    blank = Codes(np.zeros((0, 0)), largest, 1.0, BITS)
     x = blank.lifted(sample)
     d = x.shape[1]
     values, axes = np.linalg.eigh(x.T @ x)
@@ -76,17 +86,25 @@ def learn(sample: np.ndarray, largest: float, rows: int, k: int, seed: int = 5)
             u, _, vt = np.linalg.svd(np.sign(z @ r).T @ z)
             r = (u @ vt).T
         turns.append(axes @ r)
-    codes = Codes(np.concatenate(turns, axis=1)[:, :BITS].reshape(d, -1), largest, BITS)
+    codes = Codes(np.concatenate(turns, axis=1)[:, :BITS].reshape(d, -1), largest, 1.0, BITS)
     asked = np.arange(0, len(sample), max(1, len(sample) // 256))
     near = min(max(3, math.ceil(k * len(sample) / max(rows, 1))), max(1, len(sample) - 1))
-    wide, own = _words(codes.of(x)), sample.astype(np.float64)
-    query = _words(codes.of(_query_side(own[asked])))
-    apart = []
-    for i, q in zip(asked, query):
+    if len(sample) < 2:
+        return codes
+    stored, own = codes.of(x), sample.astype(np.float64)
+    side = _query_side(own[asked])
+    query, margins = codes.of(side), codes.margins(side)
+    costs, apart = [], []
+    for i, q, m in zip(asked, query, margins):
         score = own @ own[i]
         score[i] = -np.inf
-        apart.append(np.bitwise_count(wide[np.argsort(-score)[:near]] ^ q).sum(axis=1))
-    codes.radius = int(np.ceil(np.quantile(np.concatenate(apart), COVER))) if len(sample) > 1 else BITS
+        differ = stored[np.argsort(-score)[:near]] ^ q
+        bits = np.unpackbits(differ.view(np.uint8), axis=1)
+        # The table in which a neighbour is cheapest finds it first.
+        costs.append((bits * m).reshape(len(differ), -1, PART).sum(axis=2).min(axis=1) / m.sum())
+        apart.append(bits.sum(axis=1))
+    codes.share = float(np.quantile(np.concatenate(costs), COVER))
+    codes.radius = int(np.ceil(np.quantile(np.concatenate(apart), NEAR)))
     return codes
 
 
@@ -100,55 +118,63 @@ def _words(codes: np.ndarray) -> np.ndarray:
 
 
 class Tables:
-    """Substring tables of one block of codes."""
+    """Substring tables of one block of codes: rows by key."""
 
     def __init__(self, codes: np.ndarray) -> None:
         self.words = _words(codes)
-        self.parts = [np.unique(codes[:, j], return_inverse=True) for j in range(codes.shape[1])]
-
-    def within(self, query: np.ndarray, radius: int) -> np.ndarray:
-        """(query, row) truth table: code distance at most ``radius``."""
-        m = len(self.parts)
-        found = np.zeros((len(query), len(self.words)), bool)
-        for j, (keys, where) in enumerate(self.parts):
-            # The budgets of the tables, each plus one, add up to more than the radius.
-            budget = radius // m - (j > radius % m)
-            if budget >= 0:
-                hit = np.bitwise_count(keys[None, :] ^ query[:, j, None]) <= budget
-                found |= hit[:, where]
-        q, row = np.nonzero(found)
-        far = np.zeros(len(q), np.uint16)
-        asked = _words(query)
-        for w in range(self.words.shape[1]):
-            far += np.bitwise_count(asked[q, w] ^ self.words[row, w])
-        found[q[far > radius], row[far > radius]] = False
+        self.rows, self.starts = [], []
+        for j in range(codes.shape[1]):
+            self.rows.append(np.argsort(codes[:, j], kind="stable"))
+            counts = np.bincount(codes[:, j], minlength=1 << PART)
+            self.starts.append(np.concatenate(([0], np.cumsum(counts))))
+
+    def probe(self, query: np.ndarray, margins: np.ndarray, budget: float) -> np.ndarray:
+        """Truth value for each row: some substring of its code costs the query at most ``budget``."""
+        found = np.zeros(len(self.words), bool)
+        for j, (rows, starts) in enumerate(zip(self.rows, self.starts)):
+            own = margins[j * PART : (j + 1) * PART]
+            keys = int(query[j]) ^ cheap_flips(own, budget)
+            since, sizes = starts[keys], starts[keys + 1] - starts[keys]
+            some = np.flatnonzero(sizes)
+            since, sizes = since[some], sizes[some]
+            upto = np.cumsum(sizes)
+            if len(upto):
+                found[rows[np.arange(upto[-1]) + np.repeat(since - (upto - sizes), sizes)]] = True
         return found
 
+    def differing(self, query: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Bits in which the codes of ``rows`` differ from the query's."""
+        return np.bitwise_count(self.words[rows] ^ _words(query[None])).sum(axis=1)
+
+
+def cheap_flips(margins: np.ndarray, budget: float) -> np.ndarray:
+    """All flips of a substring's bits whose margins sum up to at most ``budget``."""
+    low, high = _BYTE_BITS @ margins[:8], _BYTE_BITS @ margins[8:]
+    order = np.argsort(low)
+    counts = np.searchsorted(low[order], budget - high, side="right")
+    upto = np.cumsum(counts)
+    place = np.arange(upto[-1]) - np.repeat(upto - counts, counts)
+    return order[place] + (np.repeat(np.arange(256), counts) << 8)
+
 
-def best(ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, query_codes: np.ndarray, radius: int, k: int):
+def best(ids: np.ndarray, vectors: np.ndarray, tables: Tables, query_ids: np.ndarray, queries: np.ndarray, codes: Codes, k: int):
     """(query id, id, score): the ``k`` best rows of a block for each query, without the query's own row."""
-    tables = Tables(codes)
-    out = []
-    step = max(1, PAIRS // max(1, len(ids)))
-    for lo in range(0, len(queries), step):
-        asked = query_codes[lo : lo + step]
-        own = query_ids[lo : lo + step, None] == ids[None, :]
-        found = tables.within(asked, radius) & ~own
-        want = np.minimum(k, len(ids) - own.sum(axis=1))
-        wider = radius
-        while (few := found.sum(axis=1) < want).any():
-            # Fewer than asked for: these queries probe again with a wider radius.
-            wider = min(BITS, wider + 8)
-            found[few] = tables.within(asked[few], wider) & ~own[few]
-        q, row = np.nonzero(found)
-        score = np.empty(len(q))
-        for at in range(0, len(q), PAIRS // 16):
-            cut = slice(at, at + PAIRS // 16)
-            score[cut] = (queries[lo + q[cut]] * vectors[row[cut]]).sum(axis=1)
-        order = np.lexsort((ids[row], -score, q))
-        first = np.searchsorted(q[order], np.arange(len(asked)))
-        kept = order[np.arange(len(order)) - first[q[order]] < k]
-        out.append((query_ids[lo + q[kept]], ids[row[kept]], score[kept]))
+    side = _query_side(queries)
+    asked, margins = codes.of(side), codes.margins(side)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for i, own_id in enumerate(query_ids.tolist()):
+        want = min(k, len(ids) - int((ids == own_id).sum()))
+        budget, radius = codes.share * margins[i].sum(), codes.radius
+        while True:
+            row = np.flatnonzero(tables.probe(asked[i], margins[i], budget))
+            row = row[(tables.differing(asked[i], row) <= radius) & (ids[row] != own_id)]
+            if len(row) >= want:
+                break
+            # Fewer than asked for: this query probes again with a wider radius.
+            budget, radius = 1.5 * budget + 1e-3, radius + 16
+        score = (vectors[row] * queries[i]).sum(axis=1)
+        order = np.lexsort((ids[row], -score))[:k]
+        out.append((np.full(len(order), own_id), ids[row[order]], score[order]))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
@@ -168,6 +194,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     if length is None:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     rows = rows.where(F.size("v") == length["d"]).groupBy("id").agg(F.min("v").alias("v"), F.max("asks").alias("asks"))
+    rows = materialise(rows)
     squares = F.aggregate("v", F.lit(0.0), lambda a, v: a + v * v)
     n, asking, largest = rows.agg(F.count("*"), F.count(F.when(F.col("asks"), 1)), F.sqrt(F.max(squares))).first()
     picked = rows.select(F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(SAMPLE)
@@ -183,8 +210,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
         q = np.asarray(table.column("asks").to_pylist(), dtype=bool)
         if q.all() or not q.any():
             return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        stored_codes, asked_codes = codes.of(codes.lifted(v[~q])), codes.of(_query_side(v[q]))
-        found = best(ids[~q], v[~q], stored_codes, ids[q], v[q], asked_codes, codes.radius, k)
+        found = best(ids[~q], v[~q], Tables(codes.of(codes.lifted(v[~q]))), ids[q], v[q], codes, k)
         return pa.table(dict(zip(("query_id", "id", "score"), found)))
 
     found = stored.unionByName(asked).groupBy("b", "qb").applyInArrow(run, schema)

@@ -42,6 +42,8 @@ MAX_BITS = 7
 # Texts of one shingle that meet by a plain join, and texts of a block beyond.
 FEW = 32
 BLOCK = 2048
+# Shingles sent to all tasks at most, 8 to 16 bytes each.
+SHINGLES = 2_000_000
 
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 _BLANK = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
@@ -254,30 +256,34 @@ def _with_one(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return met.where(_close("x", "y")).select("a", "b")
 
 
-def unconnected(shared: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b): pairs of ``shared`` (s, root, t) that share a shingle, have different roots and pass by size and bitmap.
+def unconnected(shared: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): pairs of ``shared`` (s, key, root, n) that share a shingle, have different roots and pass by size and bitmap.
 
     Texts meet inside size bands. Few texts of a band meet by a join; more are dealt into blocks, each of
-    which meets the others as one bounded task.
+    which meets the others as one bounded task. Bitmaps are joined to the pairs of the first and to the rows of
+    the second only.
     """
     up, down = SIMILAR
     apart = shared.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("s")
     # A near copy is in the same band or the next: bands are a trifle wider than sizes may differ.
-    band = F.floor(F.log(down / up * (1 + 1e-9), F.greatest(F.col("t.n"), F.lit(1)).cast("double"))).cast("int")
-    rows = scratch.store(shared.join(broadcast_if_small(apart), "s", "left_semi").withColumn("own", band))
-    rows = rows.withColumn("band", F.explode(F.array("own", F.col("own") + 1)))
-    crowds = scratch.store(rows.groupBy("s", "band").agg(F.count("*").alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).where("x < y"))
-    rows = rows.join(broadcast_if_small(crowds.select("s", "band", "m")), ["s", "band"]).withColumn("guest", F.col("own") != F.col("band"))
-    few = rows.where(F.col("m") <= FEW).select("s", "band", "root", "t", "guest")
-    other = few.select("s", "band", F.col("root").alias("root_"), F.col("t").alias("u"), F.col("guest").alias("guest_"))
-    both = few.join(other, ["s", "band"]).where("not (guest and guest_) and t.key < u.key and root <> root_").where(_close("t", "u"))
-    pairs = both.select(F.col("t.key").alias("a"), F.col("u.key").alias("b"))
+    band = F.floor(F.log(down / up * (1 + 1e-9), F.greatest(F.col("n"), F.lit(1)).cast("double"))).cast("int")
+    rows = shared.join(broadcast_if_small(apart, SHINGLES), "s", "left_semi").withColumn("own", band)
+    rows = scratch.store(rows.withColumn("band", F.explode(F.array("own", F.col("own") + 1))))
+    crowds = rows.groupBy("s", "band").agg(F.count("*").alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).where("x < y")
+    crowds = scratch.store(crowds.select("s", "band", "m"))
+    rows = rows.join(broadcast_if_small(crowds), ["s", "band"]).withColumn("guest", F.col("own") != F.col("band"))
+    rows = scratch.store(rows.select("s", "band", "m", "key", "root", "n", "guest"))
+    few = rows.where(F.col("m") <= FEW).drop("m")
+    other = few.select("s", "band", *[F.col(c).alias(f"{c}_") for c in ("key", "root", "n", "guest")])
+    both = few.join(other, ["s", "band"]).where("not (guest and guest_) and key < key_ and root <> root_").where(_sized("n", "n_"))
+    pairs = _with_one(both.select(F.col("key").alias("a"), F.col("key_").alias("b")).distinct(), texts)
 
     many = rows.where(F.col("m") > FEW).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    block = F.when(~F.col("guest"), F.pmod(F.xxhash64("t.key"), F.col("blocks")).cast("int"))
+    many = many.join(texts.select("key", "bits"), "key")
+    block = F.when(~F.col("guest"), F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     many = many.withColumn("block", block)
     # Own texts meet their block and the ones before it; guests meet every block.
-    many = many.select("s", "band", "root", "t.*", "block", F.explode(F.sequence(F.lit(0), F.coalesce("block", F.col("blocks") - 1))).alias("at"))
+    many = many.select("s", "band", "root", "key", "n", "bits", "block", F.explode(F.sequence(F.lit(0), F.coalesce("block", F.col("blocks") - 1))).alias("at"))
     many = many.withColumn("left", F.coalesce("block", F.lit(-1)) == F.col("at"))
 
     def meet(table: pa.Table) -> pa.Table:
@@ -304,18 +310,17 @@ def links(rows: DataFrame, docs: DataFrame, width: int, scratch: Scratch) -> Dat
     """(a, b): links between text keys that connect all near copies, and no other texts. ``rows`` as ``described``."""
     texts = rows.groupBy("key").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bits").alias("bits"), F.min("h").alias("h"))
     texts = scratch.store(texts)
-    postings = rows.select("key", F.explode("prefix").alias("s"))
+    postings = rows.select("key", "n", F.explode("prefix").alias("s"))
     # Combined before the shuffle: a shingle of very many texts is one row of each task.
     met = postings.groupBy("s").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("s", "least")
     met = scratch.store(met)
-    shared = scratch.store(postings.join(broadcast_if_small(met.select("s")), "s", "left_semi").distinct())
-    stars = shared.join(met, "s").where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
+    shared = scratch.store(postings.join(broadcast_if_small(met.select("s"), SHINGLES), "s", "left_semi").distinct())
+    stars = shared.join(broadcast_if_small(met, SHINGLES), "s").where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
     first = scratch.store(simhash_pairs(texts).unionByName(stars).distinct())
     found = confirmed(_with_one(first, texts), texts, docs, width, scratch)
     roots = components(found)
-    one = texts.select("key", F.struct("key", "n", "bits").alias("t"))
-    named = shared.join(roots, shared["key"] == roots["node"], "left").select("s", "key", F.coalesce("root", "key").alias("root")).join(one, "key")
-    rest = unconnected(scratch.store(named.select("s", "root", "t")), scratch).join(first, ["a", "b"], "left_anti")
+    named = shared.join(broadcast_if_small(roots), shared["key"] == roots["node"], "left").select("s", "key", "n", F.coalesce("root", "key").alias("root"))
+    rest = unconnected(scratch.store(named), texts, scratch).join(first, ["a", "b"], "left_anti")
     return found.unionByName(confirmed(rest, texts, docs, width, scratch))
 
 

@@ -6,6 +6,7 @@ import itertools
 import math
 import re
 
+import pytest
 from pyspark.sql import types as T
 
 from quorate.llm import host_words as hw
@@ -82,3 +83,34 @@ def test_bayes_against_plain_counts(spark):
 def test_word_counts_skip_markup(spark):
     table = spark.createDataFrame([("<p class='q'>The été the&amp;House</p>",), (None,)], "html string")
     assert {r.word: r.n for r in hw.word_counts(table, "html").collect()} == {"the": 2, "house": 1}
+
+
+def test_bayes_says_what_the_list_does_not(spark, monkeypatch):
+    good = [f"http://{a}-{b}.org/news/1" for a in ("garden", "house", "farm", "river") for b in ("times", "post", "club")]
+    listed = [f"http://cheap-{w}.{tld}/offer/{i}" for i, w in enumerate(("pills", "poker", "loans", "casino")) for tld in ("org", "net")]
+    unlisted = ["http://cheap-deals.org/offer/9", "http://cheapmeds.net/offer/3"]
+    rows = [(i, u, "<p>cheap garden house farm river times post club deals meds</p>", "x", "y") for i, u in enumerate(good + listed + unlisted)]
+    table = spark.createDataFrame(rows, PAGES)
+    verdicts = {r.url: r.verdict for r in hw.judge(table, ()).collect()}
+    assert all(verdicts[u] == "block" for u in listed + unlisted) and all(verdicts[u] == "allow" for u in good)
+    # Without the list's own odds, the words that listed hosts share with other listed hosts still give them away.
+    monkeypatch.setattr(hw, "LISTED_ODDS", 0.0)
+    verdicts = {r.url: r.verdict for r in hw.judge(table, ()).collect()}
+    assert all(verdicts[u] == "block" for u in listed + unlisted) and all(verdicts[u] == "allow" for u in good)
+
+
+def test_unknown_words_say_nothing(spark):
+    """The given pages: a listed page is blocked, and hardly any other, since their words occur on no listed host."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    rows = hw.judge(pages, ()).collect()
+    listed = [r.verdict == "block" for r in rows if any(w in r.host for w in hw.UNWANTED)]
+    other = [r.verdict == "block" for r in rows if not any(w in r.host for w in hw.UNWANTED)]
+    assert sum(listed) >= 0.95 * len(listed) and sum(other) <= 0.02 * len(other), (sum(listed), len(listed), sum(other), len(other))
+
+
+def test_long_hosts_and_clashing_columns(spark):
+    rows = [(1, "http://" + "garden" * 3000 + ".org/" + "a/" * 20_000, HTML, "x", "y"), (2, "http://house.org/", HTML, "x", "y")]
+    got = {r.page_id: r for r in hw.judge(spark.createDataFrame(rows, PAGES), ()).collect()}
+    assert len(got[1].host) == 18_004 and len(got[1].path) == 40_001 and got[2].verdict == "allow"
+    with pytest.raises(ValueError):
+        hw.judge(spark.createDataFrame([("u", "h", 1)], "url string, html string, Verdict int"), ())

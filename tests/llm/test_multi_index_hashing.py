@@ -30,15 +30,49 @@ def collected(df):
 
 def test_tables_retrieve_every_code_within_the_radius():
     rng = np.random.default_rng(0)
-    codes = rng.integers(0, 1 << 16, (500, 16), dtype=np.uint16)
+    codes = rng.integers(0, 1 << 16, (700, 16), dtype=np.uint16)
     near = codes[:40].copy()
     for row in near:
         for bit in rng.choice(256, int(rng.integers(0, 60)), replace=False):
             row[bit // 16] ^= np.uint16(1 << (bit % 16))
     tables = mih.Tables(codes)
-    far = np.bitwise_count(codes[None] ^ near[:, None]).sum(axis=2)
-    for radius in (0, 3, 16, 37, 90, 120, 256):
-        assert (tables.within(near, radius) == (far <= radius)).all()
+    for query in near:
+        margins = rng.random(256) * rng.choice([0.1, 1, 3])
+        bits = np.unpackbits((codes ^ query).view(np.uint8), axis=1)
+        costs = (bits * margins).reshape(len(codes), 16, 16).sum(axis=2)
+        for share in (0.0, 0.01, 0.02, 0.04, 1.0):
+            budget = share * margins.sum()
+            found = tables.probe(query, margins, budget + 1e-12)
+            assert (found == (costs <= budget + 1e-12).any(axis=1)).all()
+            assert found[costs.sum(axis=1) <= 16 * budget].all()
+        assert (tables.differing(query, np.arange(700)) == bits.sum(axis=1)).all()
+
+
+def test_flips_are_all_that_the_budget_buys():
+    rng = np.random.default_rng(1)
+    margins = rng.random(16)
+    bits = np.unpackbits(np.arange(1 << 16, dtype="<u2").view(np.uint8).reshape(-1, 2), axis=1)
+    cost = bits @ margins
+    for budget in (-1.0, 0.0, 0.5, 2.0, 99.0):
+        assert sorted(mih.cheap_flips(margins, budget).tolist()) == np.flatnonzero(cost <= budget).tolist()
+
+
+def test_probing_touches_a_part_of_the_given_vectors(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").toArrow().to_pydict()
+    ids, x = np.array(table["vec_id"]), np.array(table["embedding"], dtype=np.float32).astype(np.float64)
+    codes = mih.learn(x, float(np.linalg.norm(x, axis=1).max()), len(x), 20)
+    tables = mih.Tables(codes.of(codes.lifted(x)))
+    touched, met = [], []
+    for i in np.flatnonzero(ids % 20 == 0):
+        side = mih._query_side(x[i][None])
+        margins = codes.margins(side)[0]
+        found = tables.probe(codes.of(side)[0], margins, codes.share * margins.sum())
+        score = x @ x[i]
+        score[i] = -np.inf
+        touched.append(found.mean())
+        met.append(found[np.argsort(-score)[:20]].mean())
+    assert np.mean(touched) < 0.36, np.mean(touched)
+    assert np.mean(met) > 0.9, np.mean(met)
 
 
 def test_recall_and_scores_on_the_given_vectors(spark):
