@@ -1,4 +1,4 @@
-"""Small numeric helpers on result rows: normal distribution and exact binomial bounds."""
+"""Numeric helpers on result rows: normal distribution, and exact binomial bounds as plain expressions."""
 
 from __future__ import annotations
 
@@ -6,10 +6,9 @@ import math
 from statistics import NormalDist
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F, types as T
 
-_BOUNDS = T.StructType([T.StructField("ci_lo", T.DoubleType()), T.StructField("ci_hi", T.DoubleType())])
-
 
 @F.pandas_udf(T.DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
@@ -21,59 +20,59 @@ def normal_quantile(p: pd.Series) -> pd.Series:
     return p.map(NormalDist().inv_cdf)
 
 
-def _binomial_tail(k: int, n: int, p: float) -> float:
-    """P(X >= k) for X ~ Binomial(n, p), through the regularised incomplete beta function."""
-    return _beta_cdf(p, k, n - k + 1)
-
-
-def _beta_cdf(x: float, a: float, b: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - _beta_cdf(1.0 - x, b, a)
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    )
-    tiny = 1e-300
-    c, d = 1.0, 1.0 / max(1.0 - (a + b) * x / (a + 1.0), tiny)
-    total = d
-    for m in range(1, 10_000):
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function of positive numbers: Stirling's series eight places further on."""
+    far = x + 8
+    series = (far - 0.5) * F.log(far) - far + 0.5 * math.log(2 * math.pi)
+    series = series + 1 / (12 * far) - 1 / (360 * F.pow(far, F.lit(3))) + 1 / (1260 * F.pow(far, F.lit(5))) - 1 / (1680 * F.pow(far, F.lit(7)))
+    for i in range(8):
+        series = series - F.log(x + i)
+    return series
+
+
+# Halvings of the unit interval that a bound takes.
+HALVINGS = 56
+
+
+def _beta_fraction(x: Column, a: Column, b: Column) -> Column:
+    """Continued fraction of the incomplete beta function (modified Lentz); terms grow with the root of a and b."""
+    safe = lambda v: F.when(F.abs(v) < 1e-300, 1e-300).otherwise(v)
+    first = 1 / safe(1 - (a + b) * x / (a + 1))
+
+    def step(acc: Column, i: Column) -> Column:
+        m = F.floor(i / 2)
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        d = 1.0 / (1.0 + even * d or tiny)
-        c = 1.0 + even / c or tiny
-        total *= c * d
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1.0 / (1.0 + odd * d or tiny)
-        c = 1.0 + odd / c or tiny
-        step = c * d
-        total *= step
-        if abs(step - 1.0) < 1e-14:
-            break
-    return front * total / a
-
-
-def _bisect(target: float, k: int, n: int) -> float:
-    lo, hi = 0.0, 1.0
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        if _binomial_tail(k, n, mid) < target:
-            lo = mid
-        else:
-            hi = mid
-    return (lo + hi) / 2
-
-
-def _exact_bounds(k: int, n: int, alpha: float) -> tuple[float, float]:
-    lo = _bisect(alpha / 2, k, n) if k > 0 else 0.0
-    hi = _bisect(1 - alpha / 2, k + 1, n) if k < n else 1.0
-    return lo, hi
-
-
-@F.pandas_udf(_BOUNDS)
-def clopper_pearson(k: pd.Series, n: pd.Series) -> pd.DataFrame:
-    """Exact 95 % interval of k successes in n, for the few rows of a result table."""
-    bounds = [_exact_bounds(int(a), int(b), 0.05) for a, b in zip(k, n)]
-    return pd.DataFrame(bounds, columns=["ci_lo", "ci_hi"])
+        term = F.when(i % 2 == 0, even).otherwise(odd)
+        d, c = 1 / safe(1 + term * acc["d"]), safe(1 + term / acc["c"])
+        return F.struct(c.alias("c"), d.alias("d"), (acc["t"] * c * d).alias("t"))
+
+    terms = F.sequence(F.lit(2), (80 + 8 * F.sqrt(F.greatest(a, b))).cast("int"))
+    start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("t"))
+    return F.aggregate(terms, start, step, lambda acc: acc["t"])
+
+
+def _bound(target: float, k: Column, n: Column) -> Column:
+    """The p with P(X >= k) = ``target`` for X ~ Binomial(n, p), 0 < k <= n, by bisection."""
+    a, b = k.cast("double"), (n - k + 1).cast("double")
+    scale = log_gamma(a + b) - log_gamma(a) - log_gamma(b)
+
+    def halve(acc: Column, _: Column) -> Column:
+        p = (acc["lo"] + acc["hi"]) / 2
+        turned = p > (a + 1) / (a + b + 2)
+        front = F.exp(scale + a * F.log(p) + b * F.log1p(-p))
+        near = front * _beta_fraction(p, a, b) / a
+        far = 1 - front * _beta_fraction(1 - p, b, a) / b
+        below = F.when(turned, far).otherwise(near) < target
+        return F.struct(F.when(below, p).otherwise(acc["lo"]).alias("lo"), F.when(below, acc["hi"]).otherwise(p).alias("hi"))
+
+    start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, halve, lambda acc: (acc["lo"] + acc["hi"]) / 2)
+
+
+def clopper_pearson(k: Column, n: Column, level: float = 0.95) -> Column:
+    """struct(ci_lo, ci_hi): exact interval of k successes in n; null without trials."""
+    tail = (1 - level) / 2
+    lo = F.when(k > 0, _bound(tail, k, n)).otherwise(0.0)
+    hi = F.when(k < n, _bound(1 - tail, k + 1, n)).otherwise(1.0)
+    return F.when(n > 0, F.struct(lo.alias("ci_lo"), hi.alias("ci_hi")))

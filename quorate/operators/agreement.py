@@ -108,6 +108,23 @@ def progress(draw: DataFrame, annotations: DataFrame) -> DataFrame:
     )
 
 
+def kappa_error(annotations: DataFrame) -> DataFrame:
+    """(kappa, se): Cohen's kappa of 0/1 labels and its large-sample standard error."""
+    pairs = judged(annotations).groupBy().agg(
+        F.count("*").cast("double").alias("n"),
+        *[F.avg(((F.col("judge") == i) & (F.col("human") == j)).cast("double")).alias(f"p{i}{j}") for i in (0, 1) for j in (0, 1)],
+    )
+    a, b = F.col("p10") + F.col("p11"), F.col("p01") + F.col("p11")
+    agree, chance = F.col("p00") + F.col("p11"), a * b + (1 - a) * (1 - b)
+    kappa = F.try_divide(agree - chance, 1 - chance)
+    miss = 1 - kappa
+    # Row and column shares of a cell's labels, on and off the diagonal.
+    on = F.col("p11") * F.pow(1 - (a + b) * miss, F.lit(2)) + F.col("p00") * F.pow(1 - (2 - a - b) * miss, F.lit(2))
+    off = F.pow(miss, F.lit(2)) * (F.col("p10") * F.pow(b + (1 - a), F.lit(2)) + F.col("p01") * F.pow((1 - b) + a, F.lit(2)))
+    square = on + off - F.pow(kappa - chance * miss, F.lit(2))
+    return pairs.select(kappa.alias("kappa"), (F.sqrt(square / F.col("n")) / (1 - chance)).alias("se"))
+
+
 def kappa_interval(annotations: DataFrame, replicas: int = 4000, seed: int = 42) -> DataFrame:
     """Percentile interval of kappa from multinomial draws on the four cells of 0/1 labels."""
     pairs = judged(annotations).select(F.col("judge").alias("a"), F.col("human").alias("b"))

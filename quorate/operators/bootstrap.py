@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from quorate.functions.stats import normal_cdf, normal_quantile
 from quorate.operators.prefix import running_totals
-from quorate.operators.selective import aurc_term
 from quorate.session import materialise
 
 # Replicas drawn at once and cells that a draw holds: a task has so many weights whatever the replicas and the data.
@@ -39,7 +38,12 @@ def compress(df: DataFrame, stratum: str | None, columns: Sequence[str]) -> Data
 
 
 def replica_weights(
-    cells: DataFrame, columns: Sequence[str], replicas: int, seed: int = 42, buckets: int | None = None
+    cells: DataFrame,
+    columns: Sequence[str],
+    replicas: int,
+    seed: int = 42,
+    buckets: int | None = None,
+    block: int = REPLICA_BLOCK,
 ) -> DataFrame:
     """(_s, columns, _n, _first, _w): weights of replicas _first, _first + 1, ... per cell.
 
@@ -60,7 +64,7 @@ def replica_weights(
     shaped = keyed.join(shape, "_s").withColumn("_sizes", F.col("_shape._bn")).withColumn(
         "_order", F.array_position(F.col("_shape._b"), F.col("_b")) - 1
     )
-    starts = F.sequence(F.lit(0), F.lit(replicas - 1), F.lit(REPLICA_BLOCK))
+    starts = F.sequence(F.lit(0), F.lit(replicas - 1), F.lit(block))
     shaped = shaped.withColumn("_first", F.explode(starts))
     kept = ["_s", *columns, "_n"]
     fields = {f.name: f.dataType.simpleString() for f in shaped.schema}
@@ -72,7 +76,7 @@ def replica_weights(
         base = _stratum_seed(pdf["_s"].iloc[0])
         pdf = pdf.sort_values(list(columns), kind="mergesort")
         counts = pdf["_n"].to_numpy(dtype=np.int64)
-        size = min(REPLICA_BLOCK, replicas - first)
+        size = min(block, replicas - first)
         picks = np.random.default_rng([seed, base, first, 0]).multinomial(int(sizes.sum()), sizes / sizes.sum(), size=size)
         weights = np.random.default_rng([seed, base, first, 1 + position]).multinomial(picks[:, position], counts / counts.sum())
         return pdf[kept].assign(_first=np.int32(first), _w=list(weights.T.astype(np.int32)))
@@ -276,40 +280,6 @@ def bca_interval(
     )
 
 
-def aurc_by_replica(weights: DataFrame, score: str, label: str) -> DataFrame:
-    """Area under the risk-coverage curve of each replica from weighted score levels."""
-    rows = replica_rows(weights)
-    compact = rows.groupBy("replica", score).agg(
-        F.sum("w").cast("bigint").alias("n"), F.sum(F.col("w") * F.col(label)).cast("bigint").alias("s")
-    )
-    cum = running_totals(
-        compact,
-        ["replica"],
-        score,
-        ["n", "s"],
-        descending=True,
-        bucket=F.floor(F.col(score) * 4).cast("int"),
-    )
-    term = aurc_term(F.col("n"), F.col("s"), F.col("before_n"), F.col("before_s"))
-    return cum.groupBy("replica").agg((F.sum(term) / F.sum("n")).alias("aurc"))
-
-
-def paired_aurc_delta(
-    paired: DataFrame, stratum: str | None, replicas: int = 10_000, seed: int = 42
-) -> DataFrame:
-    """Interval of AURC(a) - AURC(b) with shared replica weights.
-
-    ``paired`` has score_a, z_a, score_b, z_b per item; both areas use the same weights because a
-    weight belongs to the joint cell.
-    """
-    columns = ["score_a", "z_a", "score_b", "z_b"]
-    weights = replica_weights(compress(paired, stratum, columns), columns, replicas, seed)
-    a = aurc_by_replica(weights, "score_a", "z_a").withColumnRenamed("aurc", "a")
-    b = aurc_by_replica(weights, "score_b", "z_b").withColumnRenamed("aurc", "b")
-    delta = a.join(b, "replica").select("replica", (F.col("a") - F.col("b")).alias("delta_aurc"))
-    return percentile_interval(delta, ["delta_aurc"])
-
-
 def kappa_columns() -> dict[str, Column]:
     """Cohen's kappa of the 0/1 columns ``a`` and ``b`` as an aggregate over the weight ``w``."""
     n = F.sum("w").cast("double")
@@ -320,6 +290,27 @@ def kappa_columns() -> dict[str, Column]:
     return {"kappa": F.try_divide(agree - chance, F.lit(1.0) - chance)}
 
 
+# Kinds of rows that the audit metrics tell apart: label, refusal, its verdict and sufficiency of the context.
+KINDS = 2 * 2 * 8 * 8
+
+
+def _kind(z: Column, refusal: Column, verdict: Column, context: Column) -> Column:
+    """One number for the labels of a row; verdict and sufficiency from -1 to 5, or null. Odd for label 1."""
+    small = lambda c: F.coalesce(c + 2, F.lit(0))
+    return (z + 2 * refusal.cast("int") + 4 * small(verdict) + 32 * small(context)).cast("int")
+
+
+def _of_kind(kind: Column) -> list[Column]:
+    digit = lambda by: F.floor(kind / by) % 8
+    back = lambda d: F.when(d > 0, d - 2).cast("int")
+    return [
+        (kind % 2).cast("int").alias("z_winner"),
+        (F.floor(kind / 2) % 2 == 1).alias("textual_refusal"),
+        back(digit(4)).alias("refusal_verdict"),
+        back(digit(32)).alias("context_sufficiency"),
+    ]
+
+
 def metric_contrasts(
     items: DataFrame,
     pairs: Sequence[tuple[str, str]],
@@ -332,9 +323,10 @@ def metric_contrasts(
     """Contrasts of audit metrics over variant pairs and coverages with shared resamples.
 
     A weight belongs to the joint cell of the item over all variants, so variants stay paired.  Per
-    replica the response probability is recomputed from weighted score levels.
+    replica the response probability is recomputed from weighted score levels (``replica_curves``).
     """
     from quorate.operators.audit import decision_metrics
+    from quorate.operators.replica_curves import Curve, answered, replica_values
 
     names = sorted({v for pair in pairs for v in pair})
     parts = ["score", "z_winner", "textual_refusal", "refusal_verdict"]
@@ -344,21 +336,21 @@ def metric_contrasts(
     wide = wide.agg(
         *[F.max(F.when(F.col("variant") == v, F.col(c))).alias(f"{v}_{c}") for v in names for c in parts]
     )
-    columns = ["context_sufficiency", *[f"{v}_{c}" for v in names for c in parts]]
-    rows = replica_rows(
-        replica_weights(compress(wide, stratum, columns), columns, replicas, seed)
-    )
-    listed = F.array(
-        *[
-            F.struct(F.lit(v).alias("variant"), *[F.col(f"{v}_{c}").alias(c) for c in parts])
-            for v in names
-        ]
-    )
-    long = rows.select("replica", "w", "context_sufficiency", F.inline(listed))
-    compact = long.groupBy("replica", "variant", "context_sufficiency", *parts).agg(
-        F.sum("w").cast("bigint").alias("w")
-    )
-    values = _weighted_metrics(compact, coverages, ["replica"], decision_metrics)
+    kind = lambda v: _kind(F.col(f"{v}_z_winner"), F.col(f"{v}_textual_refusal"), F.col(f"{v}_refusal_verdict"), F.col("context_sufficiency"))
+    wide = wide.select(stratum, *[F.col(f"{v}_score").alias(f"{v}_score") for v in names], *[kind(v).alias(f"{v}_kind") for v in names])
+    columns = [f"{v}_{c}" for v in names for c in ("score", "kind")]
+    cells = materialise(compress(wide, stratum, columns))
+    total = cells.agg(F.sum("_n")).first()[0] or 0
+    curves = {v: Curve(f"{v}_score", f"{v}_kind") for v in names}
+    found = replica_values(cells, columns, curves, answered(coverages, total, KINDS), replicas, seed)
+    found = found.select("replica", F.col("curve").alias("variant"), (F.col("key") % KINDS).alias("kind"), F.floor(F.col("key") / KINDS).alias("c"), "value")
+    weights = found.where("c = 0").select("replica", "variant", "kind", F.col("value").alias("w"))
+    # The metrics are linear in the answered share, so the share of a kind stands for its rows.
+    listed = F.array(*[F.struct(F.lit(i + 1).alias("c"), F.lit(float(x)).alias("target_coverage")) for i, x in enumerate(coverages)])
+    shares = found.where("c > 0").groupBy("replica", "variant", "kind").agg(F.map_from_entries(F.collect_list(F.struct("c", "value"))).alias("taken"))
+    cellwise = weights.join(shares, ["replica", "variant", "kind"]).select("*", F.inline(listed))
+    cellwise = cellwise.withColumn("p", F.when(F.col("w") > 0, F.element_at("taken", F.col("c").cast("bigint")) / F.col("w")).otherwise(0.0))
+    values = decision_metrics(cellwise.select("*", *_of_kind(F.col("kind"))), F.col("p"), ["replica", "variant", "target_coverage"], F.col("w"))
     base = items.where(F.col("variant").isin(names)).groupBy(
         "variant", "context_sufficiency", *parts
     ).agg(F.count("*").alias("w"))
@@ -367,8 +359,8 @@ def metric_contrasts(
     delta = _contrast(values, pairs, metrics, ["replica"])
     bounds = (
         delta.groupBy("a", "b", "target_coverage", "metric")
-        .agg(F.percentile("delta", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-        .select("a", "b", "target_coverage", "metric", F.col("q")[0].alias("ci_lo"), F.col("q")[1].alias("ci_hi"))
+        .agg(F.percentile("delta", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.count("*").alias("n_resamples"))
+        .select("a", "b", "target_coverage", "metric", F.col("q")[0].alias("ci_lo"), F.col("q")[1].alias("ci_hi"), "n_resamples")
     )
     point = _contrast(points, pairs, metrics, []).withColumnRenamed("delta", "delta_a_minus_b")
     return point.join(bounds, ["a", "b", "target_coverage", "metric"], "left")

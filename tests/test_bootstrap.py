@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quorate.functions.stats import _exact_bounds
+from quorate.functions.stats import clopper_pearson, log_gamma
 from quorate.operators import audit as au
 from quorate.operators import bootstrap as bs
+from quorate.operators import replica_curves as rc
 
 
 def sample(n=400):
@@ -82,7 +85,8 @@ def test_paired_aurc_delta_against_resampling(spark):
         y = pd.Series(z[order].astype(float)).groupby(score[order]).transform("mean").to_numpy()
         return np.mean(1 - np.cumsum(y) / np.arange(1, len(y) + 1))
 
-    got = bs.paired_aurc_delta(spark.createDataFrame(pdf), "s", 400).first()
+    got = rc.paired_area_delta(spark.createDataFrame(pdf), "s", 400).first()
+    assert got.point == pytest.approx(area(pdf.score_a.to_numpy(), pdf.z_a.to_numpy()) - area(pdf.score_b.to_numpy(), pdf.z_b.to_numpy()))
     idx, draws = [np.flatnonzero(pdf.s), np.flatnonzero(~pdf.s)], []
     for _ in range(400):
         pick = np.concatenate([i[rng.integers(0, len(i), len(i))] for i in idx])
@@ -92,6 +96,55 @@ def test_paired_aurc_delta_against_resampling(spark):
     assert got.ci_lo == pytest.approx(lo, abs=0.02) and got.ci_hi == pytest.approx(hi, abs=0.02)
 
 
+def test_areas_of_replicas_are_those_of_copied_rows(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    n = 240
+    pdf = pd.DataFrame({"s": rng.random(n) < 0.4, "a": np.round(rng.random(n), 1), "b": np.round(rng.normal(size=n), 3)})
+    pdf["za"], pdf["zb"] = (rng.random(n) < 0.5).astype(int), (rng.random(n) < 0.6).astype(int)
+    df = spark.createDataFrame(pdf)
+    curves = {"a": rc.Curve("a", "za"), "b": rc.Curve("b", "zb")}
+    columns = ["a", "za", "b", "zb"]
+    rows = bs.replica_rows(bs.replica_weights(bs.compress(df, "s", columns), columns, 100, block=rc.BLOCK)).toPandas()
+    want = {}
+    for r, own in rows.groupby("replica"):
+        if r % 9:
+            continue
+        for name, curve in curves.items():
+            score, z = (np.repeat(own[c].to_numpy(), own.w) for c in (curve.score, curve.kind))
+            order = np.argsort(-score, kind="stable")
+            y = pd.Series(z[order].astype(float)).groupby(score[order]).transform("mean").to_numpy()
+            want[name, r] = np.mean(1 - np.cumsum(y) / np.arange(1, len(y) + 1))
+    for cells in (4096, 30):
+        monkeypatch.setattr(rc, "RANGE_CELLS", cells)
+        got = {(r.curve, r.replica): r.aurc for r in rc.area_replicas(df, "s", curves, 100).collect()}
+        assert len(got) == 200 and all(got[k] == pytest.approx(v, abs=1e-12) for k, v in want.items())
+
+
+def test_harmonic_numbers():
+    n = np.array([0, 1, 2, 63, 64, 65, 1000, 10**6])
+    want = [sum(1 / i for i in range(1, k + 1)) for k in n.tolist()]
+    assert rc.harmonic(n) == pytest.approx(want, rel=1e-14)
+
+
+def test_combinations_of_areas_and_missing_variants(spark):
+    from quorate.operators import ablation as ab
+
+    rng = np.random.default_rng(6)
+    rows = [(i, i % 3 == 0, v, float(np.round(rng.random(), 2)), int(rng.random() < p)) for i in range(200) for v, p in (("A1", 0.4), ("A4", 0.5), ("A5", 0.6), ("A7", 0.5), ("A0", 0.5))]
+    df = spark.createDataFrame(rows, "item_id int, has_doc_ref boolean, variant string, score double, z int")
+    areas = {r.variant: r.aurc for r in ab.aurc(df, ["variant"]).collect()}
+    one = ab.interaction_interval(df, replicas=400).first()
+    assert one.delta_aurc == pytest.approx(areas["A5"] - areas["A7"] - areas["A4"] + areas["A1"]) and one.ci_lo < one.delta_aurc < one.ci_hi and one.n_resamples == 400
+    found = {r.variant: r for r in ab.ablation_intervals(df, replicas=400).collect()}
+    assert found.keys() == {"A1", "A4", "A5", "A7"}
+    pairs = {(r.a, r.b): r for r in ab.pair_intervals(df, replicas=400).collect()}
+    assert len(pairs) == 20 and pairs["A5", "A0"].ci_lo == pytest.approx(found["A5"].ci_lo) and pairs["A0", "A5"].ci_hi == pytest.approx(-found["A5"].ci_lo)
+    se = {r.statistic: r.se for r in ab.area_jackknife(df, {"A5": {"A5": 1, "A0": -1}}, F.col("item_id") % 40).collect()}
+    assert se["A5"] == pytest.approx((found["A5"].ci_hi - found["A5"].ci_lo) / 3.92, rel=0.4)
+    with pytest.raises(ValueError):
+        ab.interaction_interval(df.where("not (variant = 'A5' and item_id = 7)"), replicas=200)
+
+
 def test_metric_contrasts_point_values(spark):
     rng = np.random.default_rng(4)
     rows = []
@@ -108,7 +161,29 @@ def test_metric_contrasts_point_values(spark):
     assert len(got) == 2
     for r in got:
         assert r.delta_a_minus_b == pytest.approx(table[r.a] - table[r.b])
-        assert r.ci_lo <= r.delta_a_minus_b <= r.ci_hi
+        assert r.ci_lo <= r.delta_a_minus_b <= r.ci_hi and r.n_resamples == 100
+
+
+def test_replicated_metrics_are_those_of_copied_rows(spark, monkeypatch):
+    """Every replica's metric against the one of its copied rows, through the same weights."""
+    rng = np.random.default_rng(9)
+    n = 150
+    pdf = pd.DataFrame({"item_id": range(n), "s": rng.random(n) < 0.5, "score": np.round(rng.random(n), 1), "z_winner": rng.integers(0, 2, n), "k": rng.integers(0, 3, n)})
+    df = spark.createDataFrame(pdf)
+    columns = ["v_score", "v_kind"]
+    wide = df.select("s", F.col("score").alias("v_score"), bs._kind(F.col("z_winner"), F.lit(False), F.lit(None).cast("int"), F.col("k")).alias("v_kind"))
+    cells = bs.compress(wide, "s", columns)
+    rows = bs.replica_rows(bs.replica_weights(cells, columns, 100, block=rc.BLOCK)).toPandas()
+    monkeypatch.setattr(rc, "RANGE_CELLS", 12)
+    found = rc.replica_values(cells, columns, {"v": rc.Curve("v_score", "v_kind")}, rc.answered([0.3], n, bs.KINDS), 100).toPandas()
+    for r in (0, 17, 99):
+        own = rows[rows.replica == r]
+        score, kind = np.repeat(own.v_score.to_numpy(), own.w), np.repeat(own.v_kind.to_numpy(), own.w)
+        levels = {x: (score > x).sum() for x in score}
+        p = np.array([np.clip((0.3 * n - levels[x]) / (score == x).sum(), 0, 1) for x in score])
+        got = found[found.replica == r].set_index("key").value
+        for k in set(kind.tolist()):
+            assert got[k] == (kind == k).sum() and got[bs.KINDS + k] == pytest.approx(p[kind == k].sum())
 
 
 def test_point_contrasts_use_given_probabilities(spark):
@@ -126,7 +201,21 @@ def test_point_contrasts_use_given_probabilities(spark):
         assert r.ci_lo < r.delta_a_minus_b < r.ci_hi
 
 
-def test_exact_binomial_bounds():
-    assert _exact_bounds(0, 10, 0.05) == pytest.approx((0.0, 0.308497), abs=1e-5)
-    assert _exact_bounds(8, 10, 0.05) == pytest.approx((0.443905, 0.974789), abs=1e-5)
-    assert _exact_bounds(10, 10, 0.05) == pytest.approx((0.691503, 1.0), abs=1e-5)
+def binomial_tail(k, n, p):
+    return sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k, n + 1))
+
+
+def test_exact_binomial_bounds(spark):
+    rows = [(0, 10), (8, 10), (10, 10), (1, 1), (0, 1), (37, 4000), (3990, 4000), (500, 1000), (1, 100_000), (0, 0)]
+    got = {(r.k, r.n): r.ci for r in spark.createDataFrame(rows, "k long, n long").select("k", "n", clopper_pearson(F.col("k"), F.col("n")).alias("ci")).collect()}
+    assert tuple(got[0, 10]) == pytest.approx((0.0, 0.308497), abs=1e-5)
+    assert tuple(got[8, 10]) == pytest.approx((0.443905, 0.974789), abs=1e-5)
+    assert tuple(got[10, 10]) == pytest.approx((0.691503, 1.0), abs=1e-5)
+    assert got[0, 0] is None
+    for k, n in rows[:-1]:
+        lo, hi = got[k, n]
+        assert lo == 0 if k == 0 else binomial_tail(k, n, lo) == pytest.approx(0.025, rel=1e-7)
+        assert hi == 1 if k == n else binomial_tail(k + 1, n, hi) == pytest.approx(0.975, rel=1e-7)
+    values = [0.1, 0.5, 1.0, 2.5, 17.0, 1e4]
+    out = spark.createDataFrame([(v,) for v in values], "x double").select("x", log_gamma(F.col("x")).alias("g")).collect()
+    assert all(r.g == pytest.approx(math.lgamma(r.x), abs=1e-9, rel=1e-13) for r in out)

@@ -6,24 +6,23 @@ from pyspark.sql import functions as F
 
 from quorate.functions import constants as C
 from quorate.functions.rand import draw_unit
+from quorate.operators import ablation as ab
 from quorate.operators import agreement as ag
 from quorate.operators import audit as au
 from quorate.operators import bootstrap as bs
 from quorate.operators import comparison as cp
 from quorate.operators import decisions as dec
 from quorate.operators import panel as pn
+from quorate.operators import replica_curves as rc
 from quorate.session import materialise
 from workload import fixtures as fx
 from workload.ctes import cte, r6, with_ctes
-from workload.metric_queries import _METRIC_SQL, audit_items, mean_decisions, variant_rows
+from workload.metric_queries import _METRIC_SQL, audit_items, item_group, lawful, mean_decisions, variant_rows
 from workload.decision_queries import _strata
 from workload.registry import query
 
 REPLICAS = 10_000
 KAPPA_REPLICAS = 4_000
-# Each replica of these recomputes ranks over all score levels.
-CURVE_REPLICAS = 1_000
-CONTRAST_REPLICAS = 200
 
 # Bootstrap ---------------------------------------------------------------------------------------
 #
@@ -128,20 +127,25 @@ def paired_scores(spark, sf_dir, a, b):
     )
 
 
-@query("bootstrap_aurc", "SELECT 'delta_aurc' AS statistic, CAST(1000 AS BIGINT) AS n_resamples, CAST(0 AS BIGINT) AS n_dropped, true AS holds")
+@query("bootstrap_aurc", r6("""
+SELECT 'delta_aurc' AS statistic, a.aurc - b.aurc AS point, CAST(10000 AS BIGINT) AS n_resamples, CAST(0 AS BIGINT) AS n_dropped, j.se,
+       true AS lower_as_normal, true AS upper_as_normal
+FROM fx_var_aurc a JOIN fx_var_aurc b ON a.variant = 'A5' AND b.variant = 'A7' JOIN fx_pair_jack j ON j.a = 'A5' AND j.b = 'A7'""", "point", "se"))
 def bootstrap_aurc(spark, sf_dir):
     paired = materialise(paired_scores(spark, sf_dir, "A5", "A7"))
-    return holding(bs.paired_aurc_delta(paired, "has_doc_ref", CURVE_REPLICAS))
+    rows = paired.select("item_id", F.inline(F.array(*[F.struct(F.lit(v).alias("variant"), F.col(f"score_{k}").alias("score"), F.col(f"z_{k}").alias("z")) for k, v in (("a", "A5"), ("b", "A7"))])))
+    se = ab.area_jackknife(rows, {"delta_aurc": {"A5": 1, "A7": -1}}, item_group())
+    return lawful(rc.paired_area_delta(paired, "has_doc_ref", REPLICAS).join(se, "statistic"), "point", "se")
 
 
-def _contrast_sql(metrics: str, pairs, names, extra: str = "") -> str:
+def _contrast_sql(metrics: str, pairs, names, extra: str = "", more: str = "") -> str:
     """Differences of the metrics of two variants from a statement with a row per variant (and ``extra`` column)."""
     listed = ", ".join(f"('{m}', x.{m} - y.{m})" for m in names)
     both = ", ".join(f"('{a}', '{b}')" for a, b in pairs)
     same = f" AND y.{extra} = x.{extra}" if extra else ""
     column = f"x.{extra}, " if extra else ""
     return f"""
-SELECT p.a, p.b, {column}v.metric, v.d AS delta_a_minus_b, true AS holds
+SELECT p.a, p.b, {column}v.metric, v.d AS delta_a_minus_b, {more}true AS holds
 FROM (VALUES {both}) p(a, b) JOIN ({metrics}) x ON x.variant = p.a JOIN ({metrics}) y ON y.variant = p.b{same}
 CROSS JOIN LATERAL (VALUES {listed}) v(metric, d)"""
 
@@ -155,11 +159,11 @@ JOIN fx_sufficiency s ON s.item_id = i.item_id
 LEFT JOIN fx_audit u ON u.item_id = i.item_id AND u.agent_id = i.agent_chosen""")
 
 
-@query("bootstrap_contrasts", r6(_contrast_sql(_BY_COVERAGE, C.CONTRAST_PAIRS, au.contrast_metrics("variants"), "target_coverage"), "delta_a_minus_b"))
+@query("bootstrap_contrasts", r6(_contrast_sql(_BY_COVERAGE, C.CONTRAST_PAIRS, au.contrast_metrics("variants"), "target_coverage", "CAST(10000 AS BIGINT) AS n_resamples, "), "delta_a_minus_b"))
 def bootstrap_contrasts(spark, sf_dir):
     items = materialise(audit_items(spark, sf_dir))
     found = bs.metric_contrasts(
-        items, C.CONTRAST_PAIRS, C.AUDIT_COVERAGES, au.contrast_metrics("variants"), "has_doc_ref", CONTRAST_REPLICAS
+        items, C.CONTRAST_PAIRS, C.AUDIT_COVERAGES, au.contrast_metrics("variants"), "has_doc_ref", REPLICAS
     )
     return holding(found, "delta_a_minus_b")
 
@@ -254,22 +258,50 @@ def kappa(spark, sf_dir):
     return ag.cohen_kappa(annotations(spark, sf_dir))
 
 
-@query("kappa_interval", "SELECT 'kappa' AS statistic, CAST(4000 AS BIGINT) AS n_resamples, CAST(0 AS BIGINT) AS n_dropped, true AS holds")
+@query("kappa_interval", r6("""
+SELECT 'kappa' AS statistic, kappa AS point, CAST(4000 AS BIGINT) AS n_resamples, CAST(0 AS BIGINT) AS n_dropped,
+       sqrt((p11 * (1 - (a + b) * (1 - kappa)) ** 2 + p00 * (1 - (2 - a - b) * (1 - kappa)) ** 2
+             + (1 - kappa) ** 2 * (p10 * (b + 1 - a) ** 2 + p01 * (1 - b + a) ** 2) - (kappa - pe * (1 - kappa)) ** 2) / n) / (1 - pe) AS se,
+       true AS lower_as_normal, true AS upper_as_normal
+FROM (SELECT *, (p00 + p11 - pe) / (1 - pe) AS kappa FROM (
+  SELECT *, a * b + (1 - a) * (1 - b) AS pe FROM (
+    SELECT count(*) AS n, avg(judge) AS a, avg(human) AS b, avg(CASE WHEN judge = 1 AND human = 1 THEN 1 ELSE 0 END) AS p11,
+           avg(CASE WHEN judge = 0 AND human = 0 THEN 1 ELSE 0 END) AS p00, avg(CASE WHEN judge = 1 AND human = 0 THEN 1 ELSE 0 END) AS p10,
+           avg(CASE WHEN judge = 0 AND human = 1 THEN 1 ELSE 0 END) AS p01
+    FROM fx_annotations WHERE human >= 0)))""", "point", "se"))
 def kappa_interval(spark, sf_dir):
-    return holding(ag.kappa_interval(annotations(spark, sf_dir), KAPPA_REPLICAS))
+    rows = materialise(annotations(spark, sf_dir))
+    law = ag.kappa_error(rows).select(F.lit("kappa").alias("statistic"), F.col("kappa").alias("point"), "se")
+    return lawful(law.join(ag.kappa_interval(rows, KAPPA_REPLICAS), "statistic"), "point", "se")
+
+
+# Bounds by halving, with the tail as the plain sum of its terms.
+_AGREEMENT = """
+WITH RECURSIVE agreement AS (
+  SELECT stratum, count(*) AS n, count(*) FILTER (WHERE judge = human) AS k FROM fx_annotations WHERE human >= 0 GROUP BY 1
+), halved AS (
+  SELECT stratum, n, k, 0 AS i, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi, t.first, t.target
+  FROM agreement, LATERAL (VALUES (k, CAST(0.025 AS DOUBLE)), (k + 1, CAST(0.975 AS DOUBLE))) t(first, target)
+  UNION ALL
+  SELECT stratum, n, k, i + 1, CASE WHEN tail < target THEN (lo + hi) / 2 ELSE lo END, CASE WHEN tail < target THEN hi ELSE (lo + hi) / 2 END, first, target
+  FROM (SELECT *, list_sum(list_transform(range(first, n + 1), lambda j:
+          exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln((lo + hi) / 2) + (n - j) * ln(1 - (lo + hi) / 2)))) AS tail
+        FROM halved WHERE i < 50)
+)
+SELECT a.stratum, a.n, a.k, CAST(a.k AS DOUBLE) / a.n AS agreement,
+       CASE WHEN a.k = 0 THEN 0 ELSE (l.lo + l.hi) / 2 END AS ci_lo, CASE WHEN a.k = a.n THEN 1 ELSE (h.lo + h.hi) / 2 END AS ci_hi
+FROM agreement a JOIN halved l ON l.stratum = a.stratum AND l.i = 50 AND l.target < 0.5 JOIN halved h ON h.stratum = a.stratum AND h.i = 50 AND h.target > 0.5
+"""
 
 
-@query("conditional_agreement", r6("""
-SELECT stratum, count(*) AS n, count(*) FILTER (WHERE judge = human) AS k,
-       avg(CASE WHEN judge = human THEN 1 ELSE 0 END) AS agreement
-FROM fx_annotations WHERE human >= 0 GROUP BY 1""", "agreement"))
+@query("conditional_agreement", r6(_AGREEMENT, "agreement", "ci_lo", "ci_hi"))
 def conditional_agreement(spark, sf_dir):
-    return ag.conditional_agreement(annotations(spark, sf_dir)).drop("ci_lo", "ci_hi")
+    return ag.conditional_agreement(annotations(spark, sf_dir))
 
 
-@query("clopper_pearson")
+@query("clopper_pearson", r6(f"SELECT stratum, ci_hi - ci_lo AS width, ci_lo, ci_hi FROM ({_AGREEMENT})", "width", "ci_lo", "ci_hi"))
 def clopper_pearson(spark, sf_dir):
-    return ag.conditional_agreement(annotations(spark, sf_dir))
+    return ag.conditional_agreement(annotations(spark, sf_dir)).select("stratum", (F.col("ci_hi") - F.col("ci_lo")).alias("width"), "ci_lo", "ci_hi")
 
 
 @query("disagreement_direction", with_ctes("""

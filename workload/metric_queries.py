@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quorate.functions import constants as C
+from quorate.functions.rand import draw_unit
 from quorate.operators import ablation as ab
 from quorate.operators import audit as au
 from quorate.operators import decisions as dec
@@ -338,13 +339,39 @@ def ablation_variants(spark, sf_dir):
     return variant_rows(spark, sf_dir)
 
 
-@query("ablation_logistic")
-def ablation_logistic(spark, sf_dir):
-    from quorate.operators.folds import fit_fold_lists
+cte("fx_log_features", """
+SELECT r.item_id, r.fold_k, max(CASE WHEN v.agent_chosen = r.agent_id THEN r.z END) AS z,
+       CAST(1 AS DOUBLE) AS intercept, avg(conf_calib) AS f_mean, min(conf_calib) AS f_min, max(conf_calib) AS f_max,
+       stddev_pop(conf_calib) AS f_std, CAST(sum(CASE WHEN r.refused THEN 1 ELSE 0 END) AS DOUBLE) AS f_refusals
+FROM fx_abl_rows r JOIN fx_variants v ON v.item_id = r.item_id AND v.variant = 'A1' GROUP BY 1, 2
+""")
 
-    panel = fx.folded_panel(spark, sf_dir)
-    scored = materialise(ab.scored_test_panel(panel, fx.roles(spark)))
-    return ab.logistic_variant(scored, fit_fold_lists())
+
+@query("ablation_logistic", r6("""
+SELECT CAST(exec_k AS INTEGER) AS exec_k, count(*) AS n_fit, sum(z * intercept) AS intercept, sum(z * f_mean) AS f_mean, sum(z * f_min) AS f_min,
+       sum(z * f_max) AS f_max, sum(z * f_std) AS f_std, sum(z * f_refusals) AS f_refusals
+FROM fx_log_features JOIN fx_roles USING (fold_k) WHERE role = 'fit' GROUP BY 1""", "intercept", "f_mean", "f_min", "f_max", "f_std", "f_refusals"))
+def ablation_logistic(spark, sf_dir):
+    """What makes a penalised model the best: on its fit rows each feature has the same sum under the fitted
+    probabilities, plus its coefficient, as under the labels; the labels' sums need no model."""
+    panel, roles = fx.folded_panel(spark, sf_dir), fx.roles(spark)
+    rows = materialise(ab.logistic_features(ab.scored_test_panel(panel, roles)))
+    models = ab.logistic_models(rows, roles)
+    named = models.select("exec_k", "n_fit", *[F.col(c).alias(f"b_{c}") for c in ("intercept", *ab.FEATURES)])
+    fit = rows.join(F.broadcast(roles.where("role = 'fit'").select("exec_k", "fold_k")), "fold_k").join(F.broadcast(named), "exec_k")
+    margin = sum((F.col(f"b_{c}") * F.col(c) for c in ab.FEATURES), F.col("b_intercept"))
+    p = 1 / (1 + F.exp(-margin))
+    sums = [(F.sum(p * F.col(c)) + F.max(f"b_{c}")).alias(c) for c in ab.FEATURES]
+    return fit.groupBy("exec_k").agg(F.max("n_fit").alias("n_fit"), F.sum(p).alias("intercept"), *sums)
+
+
+@query("ablation_with_logistic")
+def ablation_with_logistic(spark, sf_dir):
+    """The ablation table with A6 among its variants; its scores come from an iteration that has no SQL form."""
+    panel, roles = fx.folded_panel(spark, sf_dir), fx.roles(spark)
+    scored = materialise(ab.scored_test_panel(panel, roles))
+    rows = ab.variants(scored, dec.retrospective_best_agent(panel)).unionByName(ab.logistic_variant(scored, roles))
+    return ab.ablation_table(materialise(rows))
 
 
 cte("fx_var_levels", """
@@ -390,6 +417,74 @@ def interaction_2x2(spark, sf_dir):
     return ab.interaction(variant_rows(spark, sf_dir))
 
 
+# Draws differ between engines, so the checked columns are the point, the standard error by leaving out groups of
+# items, which needs no draws, and whether both bounds lie where that error puts them.
+
+cte("fx_var_jack", """
+SELECT g, variant, sum(list_sum(list_transform(range(1, n + 1), lambda j: 1 - (s0 + j * (CAST(s AS DOUBLE) / n)) / (n0 + j)))) / sum(n) AS aurc
+FROM (
+  SELECT g, variant, score, n, s, coalesce(sum(n) OVER w, 0) AS n0, coalesce(sum(s) OVER w, 0) AS s0
+  FROM (SELECT g, variant, score, count(*) AS n, sum(z) AS s
+        FROM (SELECT *, floor(CAST('0x' || substr(md5('11:' || item_id), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) * 40) AS own FROM fx_variants),
+             (SELECT unnest(range(0, 40)) AS g) WHERE own <> g GROUP BY 1, 2, 3)
+  WINDOW w AS (PARTITION BY g, variant ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+GROUP BY 1, 2
+""")
+cte("fx_pair_jack", """
+SELECT a.variant AS a, b.variant AS b, sqrt(var_pop(a.aurc - b.aurc) * (count(*) - 1)) AS se
+FROM fx_var_jack a JOIN fx_var_jack b ON a.g = b.g AND a.variant <> b.variant GROUP BY 1, 2
+""")
+
+
+def lawful(df, point, se):
+    """Bounds replaced by whether each lies within 0.6 standard errors, or two thousandths, of its place under a normal law.
+
+    Two variants that choose alike for almost all items differ by their few ties, which is no normal law.
+    """
+    near = lambda c, z: F.coalesce(F.abs(F.col(c) - (F.col(point) + z * F.col(se))) <= F.greatest(0.6 * F.col(se), F.lit(0.002)), F.lit(False))
+    return df.withColumns({"lower_as_normal": near("ci_lo", -1.959964), "upper_as_normal": near("ci_hi", 1.959964)}).drop("ci_lo", "ci_hi")
+
+
+def item_group():
+    return F.floor(draw_unit(F.col("item_id").cast("string"), 11) * ab.JACK_GROUPS).cast("int")
+
+
+_LAWFUL = "CAST(10000 AS BIGINT) AS n_resamples, CAST(0 AS BIGINT) AS n_dropped, true AS lower_as_normal, true AS upper_as_normal"
+
+
+@query("ablation_intervals", r6(f"""
+SELECT v.variant, v.aurc - o.aurc AS delta_aurc, j.se, {_LAWFUL}
+FROM fx_var_aurc v JOIN fx_var_aurc o ON o.variant = 'A0' AND v.variant <> 'A0' JOIN fx_pair_jack j ON j.a = v.variant AND j.b = 'A0'""", "delta_aurc", "se"))
+def ablation_intervals(spark, sf_dir):
+    rows = variant_rows(spark, sf_dir)
+    se = ab.area_jackknife(rows, ab._terms(rows, "A0"), item_group()).withColumnRenamed("statistic", "variant")
+    return lawful(ab.ablation_intervals(rows).join(se, "variant"), "delta_aurc", "se").drop("significant")
+
+
+@query("pair_intervals", r6(f"""
+SELECT a.variant AS a, b.variant AS b, a.aurc - b.aurc AS delta_aurc, {_LAWFUL}
+FROM fx_var_aurc a JOIN fx_var_aurc b ON a.variant <> b.variant""", "delta_aurc"))
+def pair_intervals(spark, sf_dir):
+    rows = variant_rows(spark, sf_dir)
+    names = [f"A{i}" for i in (0, 1, 2, 3, 4, 5, 7)] + ["B0"]
+    se = ab.area_jackknife(rows, {f"{a}|{b}": {a: 1, b: -1} for a in names for b in names if a != b}, item_group())
+    pair = F.split("statistic", "\\|")
+    found = ab.pair_intervals(rows).join(se.select(pair[0].alias("a"), pair[1].alias("b"), "se"), ["a", "b"])
+    return lawful(found, "delta_aurc", "se").drop("winner", "se")
+
+
+@query("interaction_interval", r6(f"""
+SELECT 'interaction' AS statistic, p.d AS delta_aurc, j.se, {_LAWFUL}
+FROM (SELECT sum(CASE WHEN variant IN ('A5', 'A1') THEN aurc WHEN variant IN ('A7', 'A4') THEN -aurc ELSE 0 END) AS d FROM fx_var_aurc) p,
+     (SELECT sqrt(var_pop(d) * (count(*) - 1)) AS se FROM (
+        SELECT g, sum(CASE WHEN variant IN ('A5', 'A1') THEN aurc WHEN variant IN ('A7', 'A4') THEN -aurc ELSE 0 END) AS d FROM fx_var_jack GROUP BY 1)) j""",
+  "delta_aurc", "se"))
+def interaction_interval(spark, sf_dir):
+    rows = variant_rows(spark, sf_dir)
+    se = ab.area_jackknife(rows, {"interaction": {"A5": 1, "A7": -1, "A4": -1, "A1": 1}}, item_group())
+    return lawful(ab.interaction_interval(rows).join(se, "statistic"), "delta_aurc", "se").drop("includes_zero")
+
+
 @query("progression", r6("""
 SELECT CAST(i AS INTEGER) AS step, system, count(*) AS n, avg(z) AS adequacy, avg(gain) AS delta FROM (
   SELECT v.* FROM (
