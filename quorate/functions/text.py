@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import html as _html
+import html.entities as _entities
+import json
 
-import pandas as pd
 from pyspark.sql import Column
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import functions as F
 
 from quorate.functions import constants as C
 
@@ -51,6 +52,8 @@ def sentences(text: Column) -> Column:
 
 
 _WINDOW = "struct<s:int,e:int>"
+# Closed windows that gather before they move to the list of all.
+RECENT_WINDOWS = 256
 
 
 def pack_windows(units: Column, counter, max_tokens: int, overlap: int) -> Column:
@@ -58,17 +61,18 @@ def pack_windows(units: Column, counter, max_tokens: int, overlap: int) -> Colum
 
     A unit above the limit stands alone.  When a window closes, the next one starts with the longest
     run of its last whole units that has at most ``overlap`` tokens.  The fold keeps only unit
-    positions and running token totals, so its state is small whatever the text length is.
+    positions and running token totals.  Closed windows gather in a short list, so that not all of them are
+    copied whenever one closes.
     """
     counted = F.transform(units, lambda u: F.struct(u.alias("u"), counter(u).alias("n")))
     start = F.struct(
-        F.lit(None).cast(f"array<{_WINDOW}>").alias("done"),
+        F.array().cast(f"array<array<{_WINDOW}>>").alias("done"),
+        F.array().cast(f"array<{_WINDOW}>").alias("recent"),
         F.lit(0).alias("i"),
         F.array().cast("array<int>").alias("open"),
         F.lit(0).alias("total"),
     )
-    start = start.withField("done", F.array().cast(f"array<{_WINDOW}>"))
-    empty = F.array().cast("array<int>")
+    empty, none = F.array().cast("array<int>"), F.array().cast(f"array<{_WINDOW}>")
 
     def window(s: Column, e: Column) -> Column:
         return F.array(F.struct(s.cast("int").alias("s"), e.cast("int").alias("e")))
@@ -78,31 +82,35 @@ def pack_windows(units: Column, counter, max_tokens: int, overlap: int) -> Colum
         has_open = F.size(open_) > 0
         used = F.when(has_open, total - F.element_at(open_, 1)).otherwise(0)
         closed = F.when(
-            has_open, F.concat(acc["done"], window(i - F.size(open_), i))
-        ).otherwise(acc["done"])
+            has_open, F.concat(acc["recent"], window(i - F.size(open_), i))
+        ).otherwise(acc["recent"])
         oversize = n > max_tokens
         flush = has_open & (used + n > max_tokens)
         kept = F.filter(open_, lambda before: total - before <= overlap)
-        done = (
+        recent = (
             F.when(oversize, F.concat(closed, window(i, i + 1)))
             .when(flush, closed)
-            .otherwise(acc["done"])
+            .otherwise(acc["recent"])
         )
+        # What was full before this unit moves on; the two lists are never both long.
+        full = F.size(acc["recent"]) >= RECENT_WINDOWS
+        done = F.when(full, F.concat(acc["done"], F.array(acc["recent"]))).otherwise(acc["done"])
+        kept_size = F.size(acc["recent"])
+        recent = F.when(full, F.slice(recent, kept_size + 1, F.size(recent))).otherwise(recent)
         next_open = (
             F.when(oversize, empty)
             .when(flush, F.concat(kept, F.array(total)))
             .otherwise(F.concat(open_, F.array(total)))
         )
         return F.struct(
-            done.alias("done"), (i + 1).alias("i"), next_open.alias("open"), (total + n).alias("total")
+            done.alias("done"), recent.alias("recent"), (i + 1).alias("i"), next_open.alias("open"), (total + n).alias("total")
         )
 
     def finish(acc: Column) -> Column:
         tail = F.when(
-            F.size(acc["open"]) > 0,
-            F.concat(acc["done"], window(acc["i"] - F.size(acc["open"]), acc["i"])),
-        ).otherwise(acc["done"])
-        return tail
+            F.size(acc["open"]) > 0, window(acc["i"] - F.size(acc["open"]), acc["i"])
+        ).otherwise(none)
+        return F.concat(F.flatten(acc["done"]), acc["recent"], tail)
 
     def render(bound: Column) -> Column:
         folded = F.aggregate(bound["c"], start, step, finish)
@@ -178,24 +186,81 @@ def article_pattern(anchor: Column) -> Column:
     return F.concat(F.lit(r"(?iu)art(?:igo)?\.?[" + WS + "]*0*"), quoted, F.lit(r"(?!\d)"))
 
 
-# Elements whose whole content is invisible.
-_HIDDEN = ("script", "style", "title", "head")
-_TAG = r"""<[A-Za-z/!?](?:[^>"']++|"[^"]*"|'[^']*')*+>"""
+# Elements whose content is raw text and invisible, and elements that hide what they hold.
+_RAW, _HIDING = "script|style", "title|head"
+_REST = r"""(?:[^>"']++|"[^"]*"|'[^']*')*+>"""
+_TAG = rf"<[A-Za-z/!?]{_REST}"
+_HIDING_TAG = rf"(?i)<(?:/?)(?:{_HIDING})(?=[\s/>]){_REST}"
+_REFERENCE = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+# Longest name that may stand without its semicolon.
+_SHORT = max(len(n) for n in _entities.html5 if not n.endswith(";"))
 
 
-@F.pandas_udf(T.StringType())
-def unescape_entities(text: pd.Series) -> pd.Series:
-    """Named and numeric character references to characters, by the standard table."""
-    return text.map(lambda t: _html.unescape(t) if t is not None and "&" in t else t)
+def _table(entries: dict) -> Column:
+    """A constant map, as one literal."""
+    return F.from_json(F.lit(json.dumps(entries)), "map<string,string>")
+
+
+def _numeric(reference: Column) -> Column:
+    """The character of a numeric reference by the rules of HTML: old code pages mended, what is no character dropped."""
+    digits = F.regexp_extract(reference, "^#[xX]?([0-9a-fA-F]+)", 1)
+    base16 = reference.rlike("^#[xX]")
+    short = F.regexp_replace(digits, "^0+(?=.)", "")
+    code = F.when(base16, F.conv(short, 16, 10)).otherwise(short).cast("bigint")
+    # The standard table's own answers for the first codes, which follow no rule.
+    first = {str(c): _html.unescape(f"&#{c};") for c in range(0xA0) if _html.unescape(f"&#{c};") != chr(c)}
+    lone = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return (
+        F.when((F.length(short) > 9) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), "\ufffd")
+        .when(code < 0xA0, F.coalesce(_table(first)[code.cast("string")], lone))
+        .when(code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE), "")
+        .otherwise(lone)
+    )
+
+
+def unescape_entities(text: Column) -> Column:
+    """Named and numeric character references to characters, by the standard table; unknown ones stay."""
+    names = _table(_entities.html5)
+    legacy = _table({n: c for n, c in _entities.html5.items() if not n.endswith(";")})
+
+    def resolved(part: Column) -> Column:
+        def read(b: Column) -> Column:
+            m, rest = b["m"], b["rest"]
+            prefix = [
+                F.when(F.length(m) > n, F.concat(legacy[F.substring(m, 1, n)], F.substr(m, F.lit(n + 1)), rest)) for n in range(_SHORT, 1, -1)
+            ]
+            named = F.coalesce(F.concat(names[m], rest), *prefix, F.concat(F.lit("&"), part))
+            return F.when(m == "", F.concat(F.lit("&"), part)).when(m.startswith("#"), F.concat(_numeric(m), rest)).otherwise(named)
+
+        m = F.regexp_extract(part, _REFERENCE, 1)
+        bound = F.array(F.struct(m.alias("m"), F.substr(part, F.length(m) + 1).alias("rest")))
+        return F.element_at(F.transform(bound, read), 1)
+
+    parts = F.split(text, "&")
+    later = F.transform(F.slice(parts, F.lit(2), F.size(parts)), resolved)
+    return F.when(F.contains(text, F.lit("&")), F.concat(parts[0], F.array_join(later, ""))).otherwise(text)
+
+
+def _shown(body: Column) -> Column:
+    """What stands outside of hiding elements: tags open and close them, and one left open hides all that follows."""
+    tags = F.regexp_extract_all(body, F.lit(f"({_HIDING_TAG})"), 1)
+    steps = F.transform(tags, lambda t: F.when(t.endswith("/>"), 0).when(t.startswith("</"), -1).otherwise(1))
+    start = F.struct(F.lit(0).alias("n"), F.array(F.lit(True)).alias("shown"))
+
+    def step(acc: Column, by: Column) -> Column:
+        n = F.greatest(acc["n"] + by, F.lit(0))
+        return F.struct(n.alias("n"), F.concat(acc["shown"], F.array(n == 0)).alias("shown"))
+
+    shown = F.aggregate(steps, start, step, lambda acc: acc["shown"])
+    return F.array_join(F.zip_with(F.split(body, _HIDING_TAG), shown, lambda p, ok: F.when(ok, p)), " ")
 
 
 def html_text(page: Column) -> Column:
-    """Visible text: hidden elements, comments and tags dropped, references resolved, white space
-    collapsed."""
+    """Visible text: comments, raw elements, what hiding elements hold, and tags dropped; references resolved,
+    white space collapsed.  An element that is left open hides the rest."""
     body = F.regexp_replace(page, r"(?s)<!--.*?-->", " ")
-    for name in _HIDDEN:
-        body = F.regexp_replace(body, rf"(?is)<{name}\b[^>]*>.*?</{name}[{WS}]*>", " ")
-    body = unescape_entities(F.regexp_replace(body, _TAG, " "))
+    body = F.regexp_replace(body, rf"(?is)<({_RAW})(?=[\s/>]){_REST}.*?(?:</\1[{WS}]*>|\z)", " ")
+    body = unescape_entities(F.regexp_replace(_shown(body), _TAG, " "))
     return F.trim(F.regexp_replace(body, f"[{WS}]+", " "))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quorate.functions import constants as C
 from quorate.functions.text import tokens
+from quorate.operators.prefix import running_totals
 from quorate.session import broadcast_if_small, materialise, spread
 
 # Parts of a lexical score are summed as integers in this unit, so equal chunks tie exactly in every sum
@@ -63,16 +64,24 @@ def corpus_stats(index: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def document_frequencies(index: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """(group, term, df): chunks of an index that hold each term."""
+    terms = index.select(*group, F.explode(F.array_distinct("tokens")).alias("term"))
+    return terms.groupBy(*group, "term").agg(F.count("*").alias("df"))
+
+
 def term_idf(
     index: DataFrame, group: Sequence[str] = (), epsilon: float = C.BM25_EPSILON
 ) -> DataFrame:
     """(group, term, idf, avgdl): a negative idf becomes epsilon times the mean idf of the index."""
-    counted = (
-        index.select(*group, F.explode(F.array_distinct("tokens")).alias("term"))
-        .groupBy(*group, "term")
-        .agg(F.count("*").alias("df"))
-    )
-    counted = _attach(counted, corpus_stats(index, group), group)
+    return idf_from(document_frequencies(index, group), corpus_stats(index, group), group, epsilon)
+
+
+def idf_from(
+    counted: DataFrame, stats: DataFrame, group: Sequence[str] = (), epsilon: float = C.BM25_EPSILON
+) -> DataFrame:
+    """``term_idf`` from document frequencies (group, term, df) and ``corpus_stats``."""
+    counted = _attach(counted, stats, group)
     raw = F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     scored = counted.select(*group, "term", "avgdl", raw.alias("idf"))
     mean = _attach(scored, scored.groupBy(*group).agg(F.avg("idf").alias("_mean")), group)
@@ -129,17 +138,19 @@ def lexical_scores(
 
 
 def lexical_search(
-    queries: DataFrame, index: DataFrame, k: int, group: Sequence[str] = ()
+    queries: DataFrame, index: DataFrame, k: int, group: Sequence[str] = (), idf: DataFrame | None = None
 ) -> DataFrame:
     """Top k per query (and group) by BM25 over a lexical index; ties go to the earlier chunk.
 
+    ``idf`` is that of the index, where it is known already (``versions.idf_of``).
+
     Chunks without any query term score zero and fill the free places in load order; a query
     without tokens gets nothing.  When the weights of all query terms are proven to fit a bounded
     matrix, tasks score the chunks they read and send k rows per query; otherwise term counts and
     query terms are joined.
     """
     group = list(group)
-    weights = materialise(query_weights(queries, term_idf(index, group), group))
+    weights = materialise(query_weights(queries, term_idf(index, group) if idf is None else idf, group))
     order = [F.col("score").desc(), F.col("load_order")]
     shape = weights.agg(
         F.count_distinct(F.struct(*group, "term")).alias("terms"), F.count_distinct("query_id").alias("queries")
@@ -183,25 +194,55 @@ def _first_chunks(queries: DataFrame, index: DataFrame, m: int, group: Sequence[
     return fill.select(*group, "query_id", F.explode("_f").alias("load_order"))
 
 
+# Ranges of the load order in which positions are counted.
+ORDER_RANGES = 1024
+
+
+def _positions(index: DataFrame, group: Sequence[str]) -> DataFrame:
+    """(group, load_order, pos): places of the chunks of each group in load order, from 0, without one task for all."""
+    slim = index.select(*group, "load_order", F.lit(1).cast("bigint").alias("_one"))
+    ends = slim.agg(F.min("load_order").alias("lo"), F.max("load_order").alias("hi")).first()
+    lo, hi = ends.lo or 0, ends.hi or 0
+    part = F.floor((F.col("load_order") - lo) / F.lit(hi - lo + 1) * ORDER_RANGES).cast("int")
+    cum = running_totals(slim, group, "load_order", ["_one"], bucket=part)
+    return cum.select(*group, "load_order", F.col("before__one").alias("pos"))
+
+
+def _free_places(scored: DataFrame, positions: DataFrame, asked: DataFrame, k: int, group: Sequence[str]) -> DataFrame:
+    """(group, query_id, load_order): the first k chunks without a score of every asked query, from the gaps.
+
+    ``v`` is the number of free chunks before a scored one. The j-th free chunk stands at j plus the
+    number of scored chunks with v of at most j, so a query needs only the counts of its first k values.
+    """
+    keys = [*group, "query_id"]
+    rows = scored.select(*keys, "load_order", F.lit(1).cast("bigint").alias("_one")).join(positions, [*group, "load_order"])
+    most = positions.agg(F.max("pos")).first()[0] or 0
+    cum = running_totals(rows, keys, "pos", ["_one"], bucket=F.floor(F.col("pos") / F.lit(most + 1) * ORDER_RANGES).cast("int"))
+    gaps = cum.select(*keys, (F.col("pos") - F.col("before__one")).alias("j")).where(F.col("j") < k)
+    gaps = gaps.groupBy(*keys, "j").agg(F.count("*").alias("n"))
+    places = asked.select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint"))).alias("j"))
+    places = places.join(gaps, [*keys, "j"], "left")
+    before = F.sum(F.coalesce("n", F.lit(0))).over(W.partitionBy(*keys).orderBy("j"))
+    places = places.select(*keys, (F.col("j") + before).alias("pos"))
+    return places.join(positions, [*group, "pos"]).select(*keys, "load_order")
+
+
 def _with_negative_scores(
     queries: DataFrame, index: DataFrame, weights: DataFrame, k: int, group: Sequence[str]
 ) -> DataFrame:
     """Top k when some term weight is negative, which takes an index whose mean idf is.
 
     A chunk without any query term then ranks above one that scored below zero, so each query needs
-    its first k chunks without a score: the stretch of the load order that is looked at doubles until
-    every query has them or the index ends.
+    its first k chunks without a score.
     """
     scored = materialise(lexical_scores(index, broadcast_if_small(weights), group))
-    keys = [*group, "query_id"]
-    total, m = index.count(), k
-    while True:
-        fill = materialise(_first_chunks(queries, index, m, group).join(scored, [*keys, "load_order"], "left_anti"))
-        asked = _first_chunks(queries, index, 1, group).select(*keys)
-        short = asked.join(fill.groupBy(*keys).count().where(F.col("count") >= k), keys, "left_anti")
-        if m >= total or not short.limit(1).count():
-            break
-        m *= 2
+    positions = materialise(_positions(index, group))
+    asked = queries.where(F.size(tokens(F.col("text"))) > 0).select("query_id").distinct()
+    if group:
+        # Groups are few: one idf each.
+        kinds = [tuple(r) for r in index.select(*group).distinct().collect()]
+        asked = asked.select("query_id", F.inline(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(group, kind)]) for kind in kinds]))) if kinds else asked.where("false")
+    fill = _free_places(scored, positions, asked, k, group)
     return _named(scored.unionByName(fill.withColumn("score", F.lit(0.0))), index, k, group)
 
 

@@ -201,7 +201,8 @@ def test_logistic_variant_matches_newton(spark):
     scored = frame(
         spark, "item_id int, fold_k int, has_doc_ref boolean, agent_id int, z int, refused boolean, conf_calib double", rows
     )
-    out = ab.logistic_variant(scored, {0: [1], 1: [0]}).toPandas().set_index("item_id").sort_index()
+    roles = frame(spark, "exec_k int, fold_k int, role string", [(0, 0, "test"), (0, 1, "fit"), (1, 1, "test"), (1, 0, "fit")])
+    out = ab.logistic_variant(scored, roles).toPandas().set_index("item_id").sort_index()
     feats = ab.logistic_features(scored).toPandas().set_index("item_id").sort_index()
     x = feats[["f_mean", "f_min", "f_max", "f_std", "f_refusals"]].to_numpy()
     x1, y, fold = np.c_[x, np.ones(len(x))], feats.z.to_numpy(), feats.fold_k.to_numpy()
@@ -212,7 +213,12 @@ def test_logistic_variant_matches_newton(spark):
             p = 1 / (1 + np.exp(-x1[fit] @ w))
             grad = x1[fit].T @ (p - y[fit]) + penalty @ w
             w -= np.linalg.solve(x1[fit].T * (p * (1 - p)) @ x1[fit] + penalty, grad)
-        assert np.allclose(out.score[fold == test], 1 / (1 + np.exp(-x1[fold == test] @ w)), atol=2e-3)
+        assert np.allclose(out.score[fold == test], 1 / (1 + np.exp(-x1[fold == test] @ w)), atol=1e-8)
+    # An execution without fit rows has no opinion; labels of one kind end as well.
+    alone = frame(spark, "exec_k int, fold_k int, role string", [(0, 0, "test"), (0, 7, "fit"), (1, 1, "test"), (1, 0, "fit")])
+    one_kind = scored.withColumn("z", F.lit(1))
+    got = ab.logistic_variant(one_kind, alone).toPandas().set_index("item_id").sort_index()
+    assert (got.score[got.fold_k == 0] == 0.5).all() and (got.score[got.fold_k == 1] > 0.99).all()
 
 
 def test_gates(spark):

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import html
+import html.entities
 import math
+from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
@@ -13,7 +16,9 @@ from quorate.functions import text as tx
 from quorate.operators import evaluation as ev
 from quorate.operators import fusion as fu
 from quorate.operators import retrieval as rt
+from quorate.operators import versions as vs
 from quorate.operators.chunking import chunk_documents
+from quorate.plans import ladder
 from quorate.sources import records as rec
 from quorate.sources import tables as tb
 from quorate.streaming import resume
@@ -94,6 +99,53 @@ def test_shared_runs(spark):
     assert check("a b", "c a  b d") and not check("a b", "a c b") and not check("", "a")
 
 
+class Visible(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.parts, self.hidden = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style", "head", "title")
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style", "head", "title") and self.hidden:
+            self.hidden -= 1
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.parts.append(data)
+
+
+def test_elements_left_open_hide_the_rest(spark):
+    pages = ["<p>a</p><script>var x = 1;", "<p>a</p><style>p{}", "<head><p>hidden", "<head><title>T</head>still hidden", "<head><title>T</title></head>seen",
+             "</head>seen</title> too", "<header>seen</header>", "<head/>seen <title />too", "<HEAD a='>'>x</HEAD>y<title>t", "a<script>1</script>b<SCRIPT>2</Script >c",
+             "<title><title>x</title>y</title>z", "<head></head><head>x", ""]
+    got = [r.v for r in spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, p string").select("i", tx.html_text(F.col("p")).alias("v")).orderBy("i").collect()]
+    for page, text in zip(pages, got):
+        parser = Visible()
+        parser.feed(page)
+        parser.close()
+        assert text == " ".join(" ".join(parser.parts).split()), page
+
+
+def test_references_are_those_of_the_standard(spark):
+    rng = np.random.default_rng(2)
+    names = sorted(html.entities.html5)
+    texts = ["&amp;lt; &lt &ltx &notit; &not; &nosuch; &; & &# &#; &#x; &#65; &#65 &#x41;b &#0; &#128; &#x80; &#xD800; &#1114112; &#99999999999; &#xFDD0; &#x1FFFE; &#11; &#127;", "plain", "", "&", "&&amp;&",
+             "&acE;&Aacute&AacuteX &#x1F642; &#128578; x&copy2024 &hellip;", "".join(f"&{n} " for n in names[::7]), "".join(f"&{n.rstrip(';')}z;" for n in names[::11])]
+    texts += ["".join(rng.choice(["&", "#", "x", ";", "amp", "lt", "6", "5", "a", " ", "not", "in"], 30)) for _ in range(60)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", tx.unescape_entities(F.col("t")).alias("v")).orderBy("i").collect()
+    assert [r.v for r in rows] == [html.unescape(t) for t in texts]
+
+
+def test_packing_moves_closed_windows_on(spark, monkeypatch):
+    monkeypatch.setattr(tx, "RECENT_WINDOWS", 3)
+    rng = np.random.default_rng(3)
+    units = [" ".join(["w"] * int(rng.integers(1, 15))) for _ in range(120)]
+    got = one(spark, tx.pack_windows(F.array(*[F.lit(u) for u in units]), tx.word_count, 10, 4))
+    assert got == pack_brute(units, 10, 4)
+
+
 def test_html_text(spark):
     page = '<html><head><title>T</title></head><body a=">"><script>var t="</p>";</script>Olá&nbsp;<b>m&atilde;o</b>&amp;lt; 1 < 2<!-- x --></body>'
     assert one(spark, tx.html_text(F.lit(page))) == "Olá mão &lt; 1 < 2"
@@ -282,3 +334,47 @@ def test_chunks_without_a_score_rank_above_negative_ones(spark):
     assert [(q, o) for q, o, _ in got] == [(1, 6), (1, 7), (1, 8)] and all(s == 0 for *_, s in got)
     got = _lexical(spark, chunks, [(1, "alfa"), (2, "beta")], 5)
     assert [o for q, o, _ in got if q == 1] == [6, 7, 8, 0, 1] and [o for q, o, _ in got if q == 2] == [0, 1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("k", [1, 3, 8])
+def test_free_places_are_the_first_chunks_without_a_score(spark, k):
+    rng = np.random.default_rng(k)
+    orders = sorted(rng.choice(10_000, 60, replace=False).tolist())
+    index = spark.createDataFrame([(g, o) for g in ("a", "b") for o in orders[: 60 if g == "a" else 5]], "g string, load_order long")
+    # One query scores nearly all chunks, one none, one every other.
+    rows = [(g, q, o) for g in ("a", "b") for q, keep in ((1, lambda i: i not in (7, 30, 31, 59)), (3, lambda i: i % 2)) for i, o in enumerate(orders[: 60 if g == "a" else 5]) if keep(i)]
+    scored = spark.createDataFrame([(*r, -1.0) for r in rows], "g string, query_id int, load_order long, score double")
+    asked = spark.createDataFrame([(g, q) for g in ("a", "b") for q in (1, 2, 3)], "g string, query_id int")
+    got = {}
+    for r in rt._free_places(scored, rt._positions(index, ["g"]), asked, k, ["g"]).collect():
+        got.setdefault((r.g, r.query_id), []).append(r.load_order)
+    taken = set(rows)
+    for g in ("a", "b"):
+        for q in (1, 2, 3):
+            want = [o for o in orders[: 60 if g == "a" else 5] if (g, q, o) not in taken][:k]
+            assert sorted(got.get((g, q), [])) == want, (g, q)
+
+
+def test_versions_share_the_base_and_mend_its_counts(spark):
+    rows = [("d1#0", "d1", 1, "casa rio monte"), ("d1#1", "d1", 2, "rio"), ("d2#0", "d2", 3, "casa casa verde"), ("d3#0", "d3", 4, "")]
+    schema = "chunk_id string, source_doc string, load_order long, text string"
+    base = vs.first_version(spark.createDataFrame(rows, schema))
+    new = [("d1#0", "d1", 1, "monte azul"), ("d4#0", "d4", 5, "rio azul azul")]
+    gone = spark.createDataFrame([("d1",), ("d4",), ("d3",)], "source_doc string")
+    second = vs.revised(base, spark.createDataFrame(new, schema), gone)
+    third = vs.revised(second, spark.createDataFrame([], schema), spark.createDataFrame([("d2",)], "source_doc string"))
+    for version, texts in ((base, rows), (second, [*new, rows[2]]), (third, new)):
+        index = rt.lexical_index(spark.createDataFrame(texts, schema))
+        want = {(r.term, round(r.idf, 12), round(r.avgdl, 12)) for r in rt.term_idf(index).collect()}
+        assert {(r.term, round(r.idf, 12), round(r.avgdl, 12)) for r in vs.idf_of(version).collect()} == want
+        assert sorted(r.chunk_id for r in version.rows.collect()) == sorted(t[0] for t in texts)
+    with pytest.raises(ValueError):
+        vs.revised(base, spark.createDataFrame(new, schema), gone.where("source_doc <> 'd4'"))
+
+
+def test_ladder_gains(spark):
+    served = spark.createDataFrame([(1, "R0", "c", "a", 1), (1, "R0'", "c", "a", 1), (1, "R0'", "e", "b", 2), (2, "R0'", "x", "z", 1)], "query_id int, rung string, chunk_id string, source_doc string, combined_rank int")
+    expected = spark.createDataFrame([(1, "a"), (1, "b"), (2, "q")], "query_id int, source_doc string")
+    got = {r.rung: r for r in ladder.gains(served, expected).collect()}
+    assert got["R0"].doc_recall == 0.25 and got["R0"].gain is None and got["R0'"].doc_recall == 0.5 and got["R0'"].gain == 0.25
+    assert got["R0"].n_items == 2 and got["R0'"].n_chunks == 1.5

@@ -8,6 +8,7 @@ from quorate.functions import text as tx
 from quorate.operators import evaluation as ev
 from quorate.operators import fusion as fu
 from quorate.operators import retrieval as rt
+from quorate.operators import versions as vs
 from quorate.session import materialise
 from workload import fixtures as fx
 from workload.ctes import cte, r6, with_ctes
@@ -63,6 +64,54 @@ def bm25_idf(spark, sf_dir):
     return rt.term_idf(fx.lexical_index(fx.chunks(spark, sf_dir)))
 
 
+# A repaired version of the corpus: the chunks of every seventh document end in more words, those of every
+# eleventh are gone. It shares the stored index of the original.
+
+cte("fx_chunks_repaired", """
+SELECT chunk_id, source_doc, load_order, CASE WHEN doc_id % 7 = 3 THEN text || ' reparo texto novo' ELSE text END AS text
+FROM fx_chunks WHERE doc_id % 11 <> 5
+""")
+cte("fx_rtokens", f"SELECT chunk_id, source_doc, load_order, {tokens_sql('text')} AS t FROM fx_chunks_repaired")
+cte("fx_rpostings", """
+SELECT chunk_id, source_doc, load_order, CAST(dl AS INTEGER) AS dl, term, count(*) AS tf
+FROM (SELECT chunk_id, source_doc, load_order, len(t) AS dl, unnest(t) AS term FROM fx_rtokens) GROUP BY 1, 2, 3, 4, 5
+""")
+cte("fx_rstats", "SELECT count(*) AS n_chunks, CAST(sum(len(t)) AS DOUBLE) / count(*) AS avgdl FROM fx_rtokens")
+cte("fx_rrawidf", """
+SELECT term, df, ln(n_chunks - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM fx_rpostings GROUP BY 1) CROSS JOIN fx_rstats
+""")
+cte("fx_ridf", "SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM fx_rrawidf) ELSE raw END AS idf FROM fx_rrawidf")
+
+
+def repaired_version(spark, sf_dir):
+    chunks = fx.written_chunks(spark, sf_dir)
+    doc = F.col("source_doc").cast("bigint")
+    longer = chunks.where((doc % 7 == 3) & (doc % 11 != 5)).withColumn("text", F.concat("text", F.lit(" reparo texto novo")))
+    replaced = chunks.where((doc % 7 == 3) | (doc % 11 == 5)).select("source_doc").distinct()
+    return vs.revised(vs.first_version(chunks), longer, replaced)
+
+
+@query("versioned_idf", r6("SELECT term, avgdl, idf FROM fx_ridf CROSS JOIN fx_rstats", "avgdl", "idf"))
+def versioned_idf(spark, sf_dir):
+    """Term weights of the repaired corpus, from the original's counts and those of the changed chunks."""
+    return vs.idf_of(repaired_version(spark, sf_dir))
+
+
+@query("versioned_topk", r6("""
+SELECT query_id, rank, chunk_id, source_doc, load_order, score FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, load_order) AS INTEGER) AS rank FROM (
+    SELECT q.query_id, p.chunk_id, p.source_doc, p.load_order, round(sum(q.qf * i.idf * (p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * p.dl / s.avgdl)))), 9) AS score
+    FROM fx_qterms q JOIN fx_ridf i USING (term) JOIN fx_rpostings p USING (term) CROSS JOIN fx_rstats s GROUP BY 1, 2, 3, 4
+    UNION ALL
+    SELECT q.query_id, c.chunk_id, c.source_doc, c.load_order, 0 FROM (SELECT DISTINCT query_id FROM fx_qterms) q
+    CROSS JOIN (SELECT * FROM fx_chunks_repaired ORDER BY load_order LIMIT 20) c
+    WHERE NOT EXISTS (SELECT 1 FROM fx_qterms t JOIN fx_rpostings p USING (term) WHERE t.query_id = q.query_id AND p.chunk_id = c.chunk_id)))
+WHERE rank <= 20""", "score"))
+def versioned_topk(spark, sf_dir):
+    version = repaired_version(spark, sf_dir)
+    return rt.lexical_search(fx.queries(spark, sf_dir), materialise(version.rows), 20, idf=vs.idf_of(version))
+
+
 @query("bm25_topk", r6("SELECT query_id, rank, chunk_id, source_doc, load_order, score FROM fx_lexical", "score"))
 def bm25_topk(spark, sf_dir):
     return rt.lexical_search(fx.queries(spark, sf_dir), fx.lexical_index(fx.chunks(spark, sf_dir)), 50)
@@ -146,14 +195,72 @@ SELECT query_id, 'lexical', rank, chunk_id, source_doc, source_type, score FROM
 """)
 
 
-def vector_pools(spark, sf_dir):
-    """Two pools of 50 per query over the vector table."""
-    vectors, asked = fx.vectors(spark, sf_dir), fx.vector_queries(spark, sf_dir)
+def pools_of(vectors, asked):
+    """Two pools of 50 per query over a table of vectors."""
     docs = vectors.select("chunk_id", "source_doc")
     even = F.transform("embedding", lambda x, i: F.when(i % 2 == 0, x).otherwise(F.lit(0.0).cast("float")))
     dense = rt.dense_search(vectors, asked, 50).join(docs, "chunk_id")
     lexical = rt.dense_search(vectors, asked.withColumn("embedding", even), 50).join(docs, "chunk_id")
-    return materialise(rt.pools(lexical, dense))
+    return rt.pools(lexical, dense)
+
+
+def vector_pools(spark, sf_dir):
+    return materialise(pools_of(fx.vectors(spark, sf_dir), fx.vector_queries(spark, sf_dir)))
+
+
+# The repaired corpus: every seventh vector is another one. Wordings of a question: its vector, and three vectors
+# with part of its dimensions.
+
+WORDINGS = 4
+cte("fx_vec_repaired", """
+SELECT chunk_id, source_doc, load_order, source_type, CASE WHEN load_order % 7 = 3 THEN list_reverse(e) ELSE e END AS e FROM fx_vec
+""")
+cte("fx_wordings", """
+SELECT query_id, variant, list_transform(e, lambda x, i: CASE WHEN variant = 0 OR variant = 1 AND i % 3 <> 0 OR variant = 2 AND i <= 40 OR variant = 3 AND i > 24 THEN x ELSE 0 END) AS e
+FROM fx_vecq CROSS JOIN (SELECT unnest(range(0, 4)) AS variant)
+""")
+
+
+def _pools_sql(corpus: str, part: str = "query_id, variant", where: str = "true") -> str:
+    one = """
+SELECT query_id, variant, '{name}' AS branch, rank, chunk_id, source_doc, source_type, score FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY {part} ORDER BY score DESC, load_order) AS INTEGER) AS rank FROM (
+    SELECT q.query_id, q.variant, v.chunk_id, v.source_doc, v.load_order, v.source_type, round(list_dot_product(v.e, {vector}), 9) AS score
+    FROM {corpus} v CROSS JOIN fx_wordings q WHERE {where})) WHERE rank <= 50"""
+    even = "list_transform(q.e, lambda x, i: CASE WHEN i % 2 = 1 THEN x ELSE 0 END)"
+    return " UNION ALL ".join(one.format(name=n, part=part, vector=v, corpus=corpus, where=where) for n, v in (("dense", "q.e"), ("lexical", even)))
+
+
+cte("fx_pools_repaired", _pools_sql("fx_vec_repaired", where="variant = 0"))
+cte("fx_pools_typed", _pools_sql("fx_vec_repaired", "query_id, variant, source_type"))
+cte("fx_pools_wordings", _pools_sql("fx_vec"))
+
+
+def repaired_vectors(spark, sf_dir):
+    changed = F.when(F.col("load_order") % 7 == 3, F.reverse("embedding")).otherwise(F.col("embedding"))
+    return fx.vectors(spark, sf_dir).withColumn("embedding", changed)
+
+
+def wordings(spark, sf_dir):
+    """All wordings of every question, numbered by ``query_id`` * WORDINGS + variant."""
+    asked = fx.vector_queries(spark, sf_dir).withColumn("variant", F.explode(F.array(*[F.lit(i) for i in range(WORDINGS)])))
+    v, kept = F.col("variant"), lambda i: (F.col("variant") == 0) | ((F.col("variant") == 1) & ((i + 1) % 3 != 0)) | ((F.col("variant") == 2) & (i < 40)) | ((F.col("variant") == 3) & (i >= 24))
+    some = F.transform("embedding", lambda x, i: F.when(kept(i), x).otherwise(F.lit(0.0).cast("float")))
+    return asked.select((F.col("query_id") * WORDINGS + v).alias("query_id"), some.alias("embedding"))
+
+
+def by_question(pools):
+    """Pools of wordings under the question's own number."""
+    return pools.withColumn("query_id", F.floor(F.col("query_id") / WORDINGS).cast("bigint"))
+
+
+def typed_pools(vectors, asked):
+    """Pools of one index for each source type."""
+    out = None
+    for kind in ("norm", "ruling"):
+        one = pools_of(vectors.where(F.col("source_type") == kind), asked).withColumn("source_type", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 cte("fx_union_all", """
@@ -249,33 +356,45 @@ def quota_retrieval(spark, sf_dir):
 
 
 @query("multi_query", r6("""
-SELECT item_id, chunk_id, source_doc, rrf_score, fused_rank FROM (
-  SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(rrf_score, 14) DESC, chunk_id) AS INTEGER) AS fused_rank FROM (
-    SELECT query_id // 4 AS item_id, chunk_id, source_doc, sum(CAST(1 AS DOUBLE) / (60 + rank)) AS rrf_score FROM fx_pools GROUP BY 1, 2, 3))
-WHERE fused_rank <= 100""", "rrf_score"))
+SELECT query_id, chunk_id, source_doc, rrf_score, fused_rank, rerank_score, combined_rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fused_rank) AS INTEGER) AS combined_rank FROM (
+    SELECT *, CAST('0x' || substr(md5('11:' || query_id || '|' || chunk_id), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS rerank_score FROM (
+      SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 14) DESC, chunk_id) AS INTEGER) AS fused_rank FROM (
+        SELECT query_id, chunk_id, source_doc, sum(CAST(1 AS DOUBLE) / (60 + rank)) AS rrf_score FROM fx_pools_wordings GROUP BY 1, 2, 3))
+    WHERE fused_rank <= 100)) WHERE combined_rank <= 7""", "rrf_score", "rerank_score"))
 def multi_query(spark, sf_dir):
-    """Four queries of an item, two branches each: eight lists fused under the item."""
-    lists = vector_pools(spark, sf_dir).withColumn("item_id", F.floor(F.col("query_id") / 4).cast("bigint"))
-    return fu.reciprocal_rank_fusion(lists, ["item_id"]).where("fused_rank <= 100")
+    """Four wordings of every question, two branches each: eight lists fused, the head reranked by the question itself."""
+    lists = materialise(by_question(pools_of(fx.vectors(spark, sf_dir), wordings(spark, sf_dir))))
+    fused = materialise(fu.reciprocal_rank_fusion(lists))
+    return fu.rerank(fused, fx.rerank_scores(fused))
 
 
-@query("served_contract_gate", with_ctes("SELECT count(DISTINCT query_id) AS n_queries, CAST(0 AS BIGINT) AS n_violations FROM fx_fused"))
+@query("served_contract_gate", with_ctes("""
+SELECT query_id, count(*) AS n, count(DISTINCT chunk_id) AS chunks, count(DISTINCT rank) AS ranks, min(rank) AS lo, max(rank) AS hi
+FROM (SELECT query_id, CASE WHEN query_id % 3 = 0 AND fused_rank = 2 THEN chunk_id || '!' ELSE chunk_id END AS chunk_id,
+             CASE WHEN query_id % 5 = 0 THEN fused_rank + 1 ELSE fused_rank END AS rank
+      FROM fx_fused WHERE fused_rank <= CASE WHEN query_id % 3 = 0 THEN 9 ELSE 7 END) GROUP BY 1
+HAVING count(*) > 7 OR count(DISTINCT chunk_id) <> count(*) OR count(DISTINCT rank) <> count(*) OR min(rank) <> 1 OR max(rank) <> count(*)"""))
 def served_contract_gate(spark, sf_dir):
-    served = materialise(fu.cut_fused(fu.reciprocal_rank_fusion(vector_pools(spark, sf_dir)), 7, 2))
-    broken = fu.contract_violations(served, 7).agg(F.count("*"))
-    return served.agg(F.count_distinct("query_id").alias("n_queries")).withColumn("n_violations", broken.scalar())
+    """Served lists of which some are too long and some have wrong ranks: the gate names exactly those."""
+    fused = materialise(fu.reciprocal_rank_fusion(vector_pools(spark, sf_dir)))
+    served = fused.where(F.col("fused_rank") <= F.when(F.col("query_id") % 3 == 0, 9).otherwise(7))
+    chunk = F.when((F.col("query_id") % 3 == 0) & (F.col("fused_rank") == 2), F.concat("chunk_id", F.lit("!"))).otherwise(F.col("chunk_id"))
+    rank = F.when(F.col("query_id") % 5 == 0, F.col("fused_rank") + 1).otherwise(F.col("fused_rank"))
+    return fu.contract_violations(served.select("query_id", chunk.alias("chunk_id"), rank.alias("combined_rank")), 7)
 
 
 @query("alignment_gate", with_ctes("""
 SELECT v.name AS "check", v.n FROM (
-  SELECT (SELECT count(*) FROM fx_chunks) - (SELECT count(*) FROM fx_chunks WHERE load_order % 2 = 0) AS a,
-         (SELECT count(*) FROM fx_postings WHERE false) AS b) CROSS JOIN LATERAL (VALUES
-  ('chunk_without_vector', a), ('vector_without_chunk', b), ('posting_without_chunk', b)) v(name, n)"""))
+  SELECT (SELECT count(*) FROM fx_chunks WHERE load_order % 5 <> 0 AND load_order % 2 <> 0) AS a,
+         (SELECT count(*) FROM fx_chunks WHERE load_order % 5 = 0 AND load_order % 2 = 0) AS b,
+         (SELECT count(DISTINCT chunk_id) FROM fx_postings WHERE load_order % 5 = 0) AS c) CROSS JOIN LATERAL (VALUES
+  ('chunk_without_vector', a), ('vector_without_chunk', b), ('posting_without_chunk', c)) v(name, n)"""))
 def alignment_gate(spark, sf_dir):
     from quorate.operators.gates import alignment_report
 
     chunks = fx.written_chunks(spark, sf_dir)
-    return alignment_report(chunks, chunks.where("load_order % 2 = 0"), rt.postings(chunks))
+    return alignment_report(chunks.where("load_order % 5 <> 0"), chunks.where("load_order % 2 = 0"), rt.postings(chunks))
 
 
 # Evaluation -------------------------------------------------------------------------------------------

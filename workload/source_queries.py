@@ -24,7 +24,7 @@ from workload import fixtures as fx
 from workload.ctes import cte, r6, with_ctes
 from workload.decision_queries import _strata
 from workload.registry import query
-from workload.retrieval_queries import served_lexical, vector_pools
+from workload.retrieval_queries import WORDINGS, by_question, pools_of, repaired_vectors, served_lexical, typed_pools, vector_pools, wordings
 
 
 def corpus_files(spark, sf_dir):
@@ -384,22 +384,80 @@ def recall_pairing(spark, sf_dir):
     )
 
 
-@query("retrieval_ladder", with_ctes("""
-SELECT query_id, 'R0' AS rung, chunk_id, combined_rank FROM fx_union_served WHERE setting = 0
-UNION ALL SELECT query_id, 'R1', chunk_id, fused_rank FROM fx_fused WHERE fused_rank <= 7
-UNION ALL SELECT query_id, 'R2', chunk_id, r FROM (
-  SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fused_rank) AS INTEGER) AS r FROM fx_reranked) WHERE r <= 7
-UNION ALL SELECT query_id, 'R3', chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, CASE source_type WHEN 'norm' THEN 0 ELSE 1 END, pos) AS INTEGER)
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source_type ORDER BY rerank_score DESC, fused_rank) AS pos FROM (
-  SELECT *, CAST('0x' || substr(md5('11:' || query_id || '|' || chunk_id), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS rerank_score FROM (
-    SELECT *, row_number() OVER (PARTITION BY query_id, source_type ORDER BY round(rrf_score, 14) DESC, chunk_id) AS typed FROM fx_fused) WHERE typed <= 100))
-WHERE pos <= CASE source_type WHEN 'norm' THEN 5 ELSE 2 END"""))
+_SCORE = "CAST('0x' || substr(md5('11:' || query_id || '|' || chunk_id), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE)"
+
+
+def _plain_rung(name: str, pools: str) -> str:
+    return f"""
+SELECT query_id, '{name}' AS rung, chunk_id, source_doc, combined_rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pos) AS INTEGER) AS combined_rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id, source_doc ORDER BY pos) AS seen FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN d IS NOT NULL AND l IS NOT NULL THEN 0 ELSE 1 END, d DESC NULLS LAST, chunk_id) AS pos FROM (
+        SELECT query_id, chunk_id, source_doc, max(CASE WHEN branch = 'dense' THEN score END) AS d, max(CASE WHEN branch = 'lexical' THEN score END) AS l
+        FROM {pools} WHERE rank <= 5 GROUP BY 1, 2, 3))) WHERE seen <= 1) WHERE combined_rank <= 10"""
+
+
+def _quota_rung(name: str, pools: str) -> str:
+    return f"""
+SELECT query_id, '{name}' AS rung, chunk_id, source_doc,
+       CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, CASE source_type WHEN 'norm' THEN 0 ELSE 1 END, pos) AS INTEGER) AS combined_rank
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source_type ORDER BY rerank_score DESC, typed) AS pos FROM (
+  SELECT *, {_SCORE} AS rerank_score FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id, source_type ORDER BY round(rrf_score, 14) DESC, chunk_id) AS typed FROM (
+      SELECT query_id, chunk_id, source_doc, source_type, sum(CAST(1 AS DOUBLE) / (60 + rank)) AS rrf_score FROM {pools} GROUP BY 1, 2, 3, 4)) WHERE typed <= 100))
+WHERE pos <= CASE source_type WHEN 'norm' THEN 5 ELSE 2 END"""
+
+
+cte("fx_rfused", """
+SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 14) DESC, chunk_id) AS INTEGER) AS fused_rank
+FROM (SELECT query_id, chunk_id, source_doc, sum(CAST(1 AS DOUBLE) / (60 + rank)) AS rrf_score FROM fx_pools_repaired GROUP BY 1, 2, 3)
+""")
+cte("fx_ladder", " UNION ALL ".join([
+    _plain_rung("R0", "fx_pools"), _plain_rung("R0''", "fx_pools_repaired"),
+    "SELECT query_id, 'R1', chunk_id, source_doc, fused_rank FROM fx_rfused WHERE fused_rank <= 7",
+    f"""SELECT query_id, 'R2', chunk_id, source_doc, r FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {_SCORE} DESC, fused_rank) AS INTEGER) AS r FROM fx_rfused WHERE fused_rank <= 100) WHERE r <= 7""",
+    _quota_rung("R3", "(SELECT * FROM fx_pools_typed WHERE variant = 0)"), _quota_rung("R5", "fx_pools_typed"),
+]))
+
+
+def ladder_served(spark, sf_dir):
+    """All six rungs: R0 on the original vectors, the others on the repaired ones."""
+    repaired = repaired_vectors(spark, sf_dir)
+    first = vector_pools(spark, sf_dir)
+    second = materialise(pools_of(repaired, fx.vector_queries(spark, sf_dir)))
+    worded = materialise(typed_pools(repaired, wordings(spark, sf_dir)))
+    single = worded.where(F.col("query_id") % WORDINGS == 0)
+    scores = materialise(fx.rerank_scores(second.select("query_id", "chunk_id").unionByName(by_question(worded).select("query_id", "chunk_id"))))
+    return materialise(ladder.climb({
+        "R0": (first, None), "R0'": (second, None), "R1": (second, None), "R2": (second, scores),
+        "R3": (by_question(single), scores), "R5": (by_question(worded), scores),
+    }))
+
+
+@query("retrieval_ladder", with_ctes("SELECT query_id, rung, chunk_id, combined_rank FROM fx_ladder"))
 def retrieval_ladder(spark, sf_dir):
-    kinds = fx.vectors(spark, sf_dir).select("chunk_id", "source_type")
-    pools = materialise(vector_pools(spark, sf_dir).join(kinds, "chunk_id"))
-    scores = fx.rerank_scores(pools)
-    served = ladder.climb({"R0": (pools, None), "R1": (pools, None), "R2": (pools, scores), "R3": (pools, scores)})
-    return served.select("query_id", "rung", "chunk_id", "combined_rank")
+    return ladder_served(spark, sf_dir).select("query_id", "rung", "chunk_id", "combined_rank")
+
+
+cte("fx_rungs", """
+SELECT rung, count(*) AS n_items, avg(n) AS n_chunks, avg(hit / CAST(2 AS DOUBLE)) AS doc_recall,
+       CASE rung WHEN 'R0''' THEN 'R0' WHEN 'R1' THEN 'R0''' WHEN 'R2' THEN 'R1' WHEN 'R3' THEN 'R2' WHEN 'R5' THEN 'R3' END AS previous
+FROM (SELECT r.rung, q.query_id, count(l.chunk_id) AS n,
+             count(DISTINCT CASE WHEN l.source_doc IN (CAST(q.query_id % 50 AS VARCHAR), CAST((q.query_id + 1) % 50 AS VARCHAR)) THEN l.source_doc END) AS hit
+      FROM (SELECT vec_id AS query_id FROM embeddings) q CROSS JOIN (SELECT DISTINCT rung FROM fx_ladder) r
+      LEFT JOIN fx_ladder l ON l.query_id = q.query_id AND l.rung = r.rung GROUP BY 1, 2) GROUP BY 1
+""")
+
+
+@query("ladder_gains", r6("""
+SELECT t.rung, t.n_items, t.n_chunks, t.doc_recall, t.previous, t.doc_recall - o.doc_recall AS gain
+FROM fx_rungs t LEFT JOIN fx_rungs o ON o.rung = t.previous""", "n_chunks", "doc_recall", "gain"))
+def ladder_gains(spark, sf_dir):
+    """Recall of two expected documents a question on every rung, and the gain over the rung before; the first gain is that of the repair."""
+    wanted = F.explode(F.array((F.col("query_id") % 50).cast("string"), ((F.col("query_id") + 1) % 50).cast("string")))
+    asked = fx.vector_queries(spark, sf_dir).select("query_id", wanted.alias("source_doc"))
+    return ladder.gains(ladder_served(spark, sf_dir), asked)
 
 
 @query("query_variants", with_ctes("""
