@@ -63,7 +63,8 @@ def materialise(df: DataFrame) -> DataFrame:
 class Scratch:
     """Written tables of one job with an owner that drops them: ``with Scratch(spark) as scratch``.
 
-    What outlives the block must be written elsewhere before it ends; nothing may read a table later.
+    What outlives the block must be written elsewhere before it ends; nothing may read a table later. Shuffle
+    files of a finished job are dropped when the driver collects its garbage; it is asked to after each table.
     """
 
     def __init__(self, spark: SparkSession) -> None:
@@ -76,6 +77,7 @@ class Scratch:
         self.tables += 1
         path = f"{self.folder}/{self.tables}"
         df.write.parquet(path)
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def __enter__(self) -> Scratch:
