@@ -10,9 +10,9 @@ repeats last, so that common passages are rarely in a prefix; any order finds al
 One pass over the texts writes, for every row, a key of its words, the size of its set, a fingerprint, the
 prefix and a bitmap of the set; all that follows reads those narrow rows. Size and bitmap bound the overlap of
 two sets from above, so only pairs that pass are compared as sets, and only their texts are read again.
-Texts meet first the text of smallest key of each shingle, which joins groups of copies by as many
-comparisons as they have members; then those that share a shingle and are not connected yet, in blocks of
-bounded size.
+Texts of a shingle that few share all meet; those of a crowded one meet first its text of smallest key, which
+joins groups of copies by as many comparisons as they have members, and then, where they are not connected
+yet, each other in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ COMMON = 50_000
 BITMAP = 16
 # Bits that SimHash links may differ in.
 MAX_BITS = 7
-# Texts of one shingle that meet by a plain join, and texts of a block beyond.
+# Rows with one shingle that all meet, and texts of a block beyond.
 FEW = 32
 BLOCK = 2048
 # Shingles sent to all tasks at most, 8 to 16 bytes each.
@@ -256,12 +256,23 @@ def _with_one(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return met.where(_close("x", "y")).select("a", "b")
 
 
+def few_pairs(shared: DataFrame) -> DataFrame:
+    """(a, b): all pairs of texts that share a shingle of few texts, as far as their sizes allow."""
+    up, down = SIMILAR
+    met = shared.groupBy("s").agg(F.collect_list(F.struct("key", "n")).alias("g"))
+
+    def with_later(x: Column, i: Column) -> Column:
+        near = lambda y: F.least(x["n"], y["n"]) * down >= F.greatest(x["n"], y["n"]) * up
+        later = F.filter(F.slice("g", i + 2, F.size("g")), near)
+        return F.transform(later, lambda y: F.struct(F.least(x["key"], y["key"]).alias("a"), F.greatest(x["key"], y["key"]).alias("b")))
+
+    return met.select(F.inline(F.flatten(F.transform("g", with_later)))).distinct()
+
+
 def unconnected(shared: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b): pairs of ``shared`` (s, key, root, n) that share a shingle, have different roots and pass by size and bitmap.
 
-    Texts meet inside size bands. Few texts of a band meet by a join; more are dealt into blocks, each of
-    which meets the others as one bounded task. Bitmaps are joined to the pairs of the first and to the rows of
-    the second only.
+    Texts meet inside size bands, dealt into blocks, each of which meets the others as one bounded task.
     """
     up, down = SIMILAR
     apart = shared.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("s")
@@ -270,16 +281,9 @@ def unconnected(shared: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFr
     rows = shared.join(broadcast_if_small(apart, SHINGLES), "s", "left_semi").withColumn("own", band)
     rows = scratch.store(rows.withColumn("band", F.explode(F.array("own", F.col("own") + 1))))
     crowds = rows.groupBy("s", "band").agg(F.count("*").alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).where("x < y")
-    crowds = scratch.store(crowds.select("s", "band", "m"))
-    rows = rows.join(broadcast_if_small(crowds), ["s", "band"]).withColumn("guest", F.col("own") != F.col("band"))
-    rows = scratch.store(rows.select("s", "band", "m", "key", "root", "n", "guest"))
-    few = rows.where(F.col("m") <= FEW).drop("m")
-    other = few.select("s", "band", *[F.col(c).alias(f"{c}_") for c in ("key", "root", "n", "guest")])
-    both = few.join(other, ["s", "band"]).where("not (guest and guest_) and key < key_ and root <> root_").where(_sized("n", "n_"))
-    pairs = _with_one(both.select(F.col("key").alias("a"), F.col("key_").alias("b")).distinct(), texts)
-
-    many = rows.where(F.col("m") > FEW).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    many = many.join(texts.select("key", "bits"), "key")
+    crowds = scratch.store(crowds.select("s", "band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
+    many = rows.join(broadcast_if_small(crowds, SHINGLES), ["s", "band"]).withColumn("guest", F.col("own") != F.col("band"))
+    many = many.select("s", "band", "blocks", "key", "root", "n", "guest").join(texts.select("key", "bits"), "key")
     block = F.when(~F.col("guest"), F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     many = many.withColumn("block", block)
     # Own texts meet their block and the ones before it; guests meet every block.
@@ -302,8 +306,7 @@ def unconnected(shared: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFr
         a, b = np.unique(np.concatenate(found, axis=1), axis=1)
         return pa.table({"a": a, "b": b})
 
-    pairs = pairs.unionByName(many.groupBy("s", "band", "at").applyInArrow(meet, "a bigint, b bigint"))
-    return pairs.distinct()
+    return many.groupBy("s", "band", "at").applyInArrow(meet, "a bigint, b bigint").distinct()
 
 
 def links(rows: DataFrame, docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
@@ -312,14 +315,15 @@ def links(rows: DataFrame, docs: DataFrame, width: int, scratch: Scratch) -> Dat
     texts = scratch.store(texts)
     postings = rows.select("key", "n", F.explode("prefix").alias("s"))
     # Combined before the shuffle: a shingle of very many texts is one row of each task.
-    met = postings.groupBy("s").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("s", "least")
-    met = scratch.store(met)
-    shared = scratch.store(postings.join(broadcast_if_small(met.select("s"), SHINGLES), "s", "left_semi").distinct())
-    stars = shared.join(broadcast_if_small(met, SHINGLES), "s").where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
-    first = scratch.store(simhash_pairs(texts).unionByName(stars).distinct())
+    met = postings.groupBy("s").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count("*").alias("rows")).where("least < most")
+    met = scratch.store(met.select("s", "least", (F.col("rows") > FEW).alias("crowded")))
+    shared = scratch.store(postings.join(broadcast_if_small(met, SHINGLES), "s").distinct())
+    stars = shared.where("crowded and key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
+    first = simhash_pairs(texts).unionByName(few_pairs(shared.where("not crowded"))).unionByName(stars)
+    first = scratch.store(first.distinct())
     found = confirmed(_with_one(first, texts), texts, docs, width, scratch)
     roots = components(found)
-    named = shared.join(broadcast_if_small(roots), shared["key"] == roots["node"], "left").select("s", "key", "n", F.coalesce("root", "key").alias("root"))
+    named = shared.where("crowded").join(broadcast_if_small(roots), shared["key"] == roots["node"], "left").select("s", "key", "n", F.coalesce("root", "key").alias("root"))
     rest = unconnected(scratch.store(named), texts, scratch).join(first, ["a", "b"], "left_anti")
     return found.unionByName(confirmed(rest, texts, docs, width, scratch))
 
