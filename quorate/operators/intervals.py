@@ -11,8 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorate.operators.bootstrap import interval_table, weighted_mean, weighted_ratio
+from quorate.operators.bootstrap import interval_table, percentile_interval, weighted_mean, weighted_ratio
 from quorate.operators.diversity import disagreement_items, selection_bias_rows
+from quorate.operators.replica_curves import auroc_replicas
+from quorate.operators.selective import auroc
+from quorate.session import materialise
 
 
 def verdict_share_intervals(verdicts: DataFrame, stratum: str | None = None, replicas: int = 10_000) -> DataFrame:
@@ -77,7 +80,8 @@ def system_intervals(decided: DataFrame, system: str, stratum: str, replicas: in
     """(system, statistic, ...): the decision summary of every system of a long table, one draw for all.
 
     A system is a stratum of its own, so each keeps its size; a system without abstentions has a null
-    abstention precision and lift.
+    abstention precision and lift. With a column ``eta`` there is an AUROC too, of eta for an error; a system
+    with a null eta has a null AUROC.
     """
     cells = decided.select(
         system, F.concat_ws("|", F.col(system), F.col(stratum).cast("string")).alias("_g"), "abst", "z"
@@ -98,4 +102,25 @@ def system_intervals(decided: DataFrame, system: str, stratum: str, replicas: in
     )
     kept = F.col("n_dropped") * 2 <= F.col("n_resamples")
     bounds = bounds.select(system, "statistic", F.when(kept, F.col("q")[0]).alias("ci_lo"), F.when(kept, F.col("q")[1]).alias("ci_hi"), "n_resamples", "n_dropped")
-    return points.join(bounds, [system, "statistic"], "left")
+    out = points.join(bounds, [system, "statistic"], "left")
+    return out.unionByName(_auroc_intervals(decided, system, stratum, replicas)) if "eta" in decided.columns else out
+
+
+def _auroc_intervals(decided: DataFrame, system: str, stratum: str, replicas: int) -> DataFrame:
+    rows = materialise(decided.select(system, stratum, "eta", (1 - F.col("z")).cast("int").alias("error")))
+    points = auroc(rows, [system], "eta", F.col("error")).select(system, F.col("auroc").alias("point"))
+    points = rows.select(system).distinct().join(points, system, "left").withColumn("statistic", F.lit("auroc"))
+    bounds = None
+    # Systems are a short list; each has a curve of its own.
+    complete = rows.groupBy(system).agg(F.count_if(F.col("eta").isNull()).alias("n")).where("n = 0")
+    for name in sorted(r[system] for r in complete.collect()):
+        values = auroc_replicas(rows.where(F.col(system) == name), stratum, "eta", "error", replicas)
+        one = percentile_interval(values, ["auroc"]).withColumn(system, F.lit(name))
+        bounds = one if bounds is None else bounds.unionByName(one)
+    columns = (system, "statistic", "point", "ci_lo", "ci_hi", "n_resamples", "n_dropped")
+    if bounds is None:
+        nothing = F.lit(None).cast("double")
+        return points.select(system, "statistic", "point", nothing.alias("ci_lo"), nothing.alias("ci_hi"), F.lit(replicas).cast("bigint").alias("n_resamples"), F.lit(replicas).cast("bigint").alias("n_dropped"))
+    joined = points.join(bounds, [system, "statistic"], "left")
+    # A system without eta drew nothing that has a value.
+    return joined.withColumns({c: F.coalesce(c, F.lit(replicas).cast("bigint")) for c in ("n_resamples", "n_dropped")}).select(*columns)

@@ -72,6 +72,12 @@ def area(matrix: Matrix) -> dict[int, np.ndarray]:
     return {0: np.where(n > 0, term, 0.0).sum(axis=0)}
 
 
+def discrimination(matrix: Matrix) -> dict[int, np.ndarray]:
+    """What an AUROC needs, keys 0 to 2: pairs won by odd kinds (half for a tie), rows of odd kinds, rows of even kinds."""
+    n, s, _, s0 = matrix.levels()
+    return {0: ((n - s) * (s0 + s / 2)).sum(axis=0), 1: s.sum(axis=0, dtype=np.float64), 2: (n - s).sum(axis=0, dtype=np.float64)}
+
+
 def answered(coverages: Sequence[float], total: int, kinds: int) -> Fold:
     """Weight and answered weight of each kind at each coverage: keys kind, and (1 + coverage) * kinds + kind.
 
@@ -209,6 +215,14 @@ def area_replicas(wide: DataFrame, stratum: str | None, curves: dict[str, Curve]
     return found.select("curve", "replica", (F.col("value") / F.lit(total)).alias("aurc"))
 
 
+def auroc_replicas(rows: DataFrame, stratum: str | None, score: str, label: str, replicas: int, seed: int = 42) -> DataFrame:
+    """(replica, auroc) of a score for a 0/1 label; null where a replica has rows of one label only."""
+    cells = compress(rows, stratum, [score, label])
+    found = replica_values(cells, [score, label], {"auroc": Curve(score, label)}, discrimination, replicas, seed)
+    part = {k: F.max(F.when(F.col("key") == k, F.col("value"))) for k in range(3)}
+    return found.groupBy("replica").agg(F.try_divide(part[0], part[1] * part[2]).alias("auroc"))
+
+
 def widened(rows: DataFrame, names: Sequence[str], parts: Sequence[str], by: Sequence[str]) -> DataFrame:
     """One row per item with the ``parts`` of every variant as ``<variant>_<part>``."""
     rows = rows.where(F.col("variant").isin(list(names)))

@@ -73,16 +73,19 @@ def bias_intervals(spark, sf_dir):
 @query("system_intervals", r6(f"""
 SELECT s.system, v.statistic, v.point, CAST({REPLICAS} AS BIGINT) AS n_resamples, v.point IS NOT NULL AS holds FROM (
   SELECT system, avg(1 - a) AS c, sum((1 - a) * e) / sum(1 - a) AS r, avg((1 - a) * (1 - e)) AS u, CASE WHEN sum(a) > 0 THEN sum(a * e) / CAST(sum(a) AS DOUBLE) END AS p,
-         avg(e) AS b, CAST(sum(a) AS DOUBLE) AS k
-  FROM (SELECT 'c_min ' || c_min AS system, CAST(abstained AS INTEGER) AS a, 1 - z_winner AS e FROM fx_mean_decisions
-        UNION ALL SELECT 'agent 1', 0, 1 - z FROM fx_panel WHERE agent_id = 1) GROUP BY 1) s
+         avg(e) AS b, CAST(sum(a) AS DOUBLE) AS k,
+         CASE WHEN count(eta) = count(*) THEN sum(e * (below + ties / 2.0)) / (CAST(sum(e) AS DOUBLE) * sum(1 - e)) END AS auc
+  FROM (SELECT *, coalesce(sum(1 - e) OVER (PARTITION BY system ORDER BY eta RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)
+                  - sum(1 - e) OVER (PARTITION BY system, eta) AS below, sum(1 - e) OVER (PARTITION BY system, eta) AS ties
+        FROM (SELECT 'c_min ' || c_min AS system, CAST(abstained AS INTEGER) AS a, 1 - z_winner AS e, eta FROM fx_mean_decisions
+              UNION ALL SELECT 'agent 1', 0, 1 - z, NULL FROM fx_panel WHERE agent_id = 1)) GROUP BY 1) s
 CROSS JOIN LATERAL (VALUES ('coverage', c), ('risk_selective', r), ('adequacy_useful', u), ('precision_abstention', p), ('base_rate_inadequacy', b),
-  ('lift_pp', (p - b) * 100), ('n_abstentions', k)) v(statistic, point)""", "point"))
+  ('lift_pp', (p - b) * 100), ('n_abstentions', k), ('auroc', auc)) v(statistic, point)""", "point"))
 def system_intervals(spark, sf_dir):
     """Decision summary of three thresholded systems and of one agent that never abstains."""
     decided = mean_decisions(spark, sf_dir).select(
         F.concat(F.lit("c_min "), F.col("c_min").cast("string")).alias("system"), "has_doc_ref",
-        F.col("abstained").cast("int").alias("abst"), F.col("z_winner").alias("z"),
+        F.col("abstained").cast("int").alias("abst"), F.col("z_winner").alias("z"), "eta",
     )
-    always = fx.panel(spark, sf_dir).where("agent_id = 1").select(F.lit("agent 1").alias("system"), "has_doc_ref", F.lit(0).alias("abst"), "z")
+    always = fx.panel(spark, sf_dir).where("agent_id = 1").select(F.lit("agent 1").alias("system"), "has_doc_ref", F.lit(0).alias("abst"), "z", F.lit(None).cast("double").alias("eta"))
     return holding(iv.system_intervals(decided.unionByName(always), "system", "has_doc_ref", REPLICAS), "point").drop("n_dropped")

@@ -13,11 +13,13 @@ from quorate.operators import panel as pn
 from quorate.operators import prompts as pr
 from quorate.operators import retrieval as rt
 from quorate.session import shared_folder
+from quorate.sources import snapshots as sn
 from quorate.sources import tables as tb
 from quorate.streaming import resume
 from workload import fixtures as fx
 from workload.ctes import r6, with_ctes
 from workload.registry import query
+from workload.retrieval_queries import pools_of
 from workload.source_queries import served_documents
 
 
@@ -135,3 +137,14 @@ def item_export(spark, sf_dir):
     rows = mean_decisions(spark, sf_dir).select(F.col("agent_chosen").alias("agent_id"), "c_min", "fold_k", "item_id", F.col("z_winner").alias("z"))
     tb.export_items_csv(rows, path)
     return spark.read.option("header", True).csv(path).select("agent_id", "c_min", "item_id", "z")
+
+@query("stored_pools", r6("""
+SELECT sha256(CAST(query_id AS VARCHAR)) AS query_hash, query_id, branch, rank, chunk_id, source_doc, score FROM fx_pools""", "score"))
+def stored_pools(spark, sf_dir):
+    """Pools of all questions stored in two instalments under the hash of their text, and read back by number."""
+    asked = fx.vector_queries(spark, sf_dir).withColumn("text", F.col("query_id").cast("string"))
+    base, vectors = f"{shared_folder(spark)}/pools-{uuid.uuid4().hex}", fx.vectors(spark, sf_dir)
+    search = lambda todo: pools_of(vectors, todo)
+    sn.store_pools(asked.where("query_id % 3 = 0"), base, search)
+    sn.store_pools(asked, base, search)
+    return sn.pools_for(asked, base)
