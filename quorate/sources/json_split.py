@@ -271,7 +271,9 @@ def read_json_values(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     # An empty list or object has one blank record; beside a comma something must stand.
     failed = F.raise_error(F.concat(F.lit("nothing stands beside a comma: "), F.col("path"))).cast("string")
     told = F.when(_blank(F.col("raw")) & ~((F.col("pos") == 0) & F.col("closes")), failed).otherwise(F.col("raw"))
-    whole = cut.where("whole").select("path", "pos", "kind", F.col("raw").cast("string").alias("raw"))
+    # A part of a record stays null even where the planner evaluates a later parser before the filter.
+    own = F.when(F.col("whole"), F.col("raw").cast("string"))
+    whole = cut.where("whole").select("path", "pos", "kind", own.alias("raw"))
     found = whole.unionByName(parts.select("path", "pos", "kind", told.alias("raw")))
     return found.where(~_blank(F.col("raw"))).select(*_names(F.col("path")), "kind", "pos", "raw")
 

@@ -123,3 +123,18 @@ def test_layouts_give_the_same_records(spark, tmp_path):
     assert [r[:2] for r in read("one.json")] == [("f.txt", "inner")]
     both = rec.read_corpora(spark, [str(tmp_path / n) for n in ("one.json", "map.json", "l.jsonl")]).collect()
     assert len(both) == 51 and {r.load_order // rec.FILE_POSITIONS for r in both} == {0, 1}
+
+
+def test_parts_of_records_are_not_parsed_alone(spark, tmp_path, ranges):
+    values = [{"id": f"d{i}", "n": [1, {"x": "}"}], "texto": "some text " * (i % 90)} for i in range(60)]
+    for name, whole in (("list", values), ("object", {v["id"]: {"content": v["texto"]} for v in values})):
+        (tmp_path / f"{name}.json").write_text(json.dumps(whole), encoding="utf-8")
+    before = spark.conf.get("spark.sql.codegen.wholeStage")
+    # The filters of a plan that is not compiled as a whole evaluate what they share before they decide.
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    try:
+        found = rec.read_curated_corpus(spark, [str(tmp_path / "list.json")]).collect()
+        assert {r.doc_id: r.text for r in found} == {v["id"]: v["texto"].strip() for v in values if v["texto"]}
+        assert rec.read_curated_corpus(spark, [str(tmp_path / "object.json")]).count() == 60
+    finally:
+        spark.conf.set("spark.sql.codegen.wholeStage", before)
