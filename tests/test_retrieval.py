@@ -378,3 +378,20 @@ def test_ladder_gains(spark):
     got = {r.rung: r for r in ladder.gains(served, expected).collect()}
     assert got["R0"].doc_recall == 0.25 and got["R0"].gain is None and got["R0'"].doc_recall == 0.5 and got["R0'"].gain == 0.25
     assert got["R0"].n_items == 2 and got["R0'"].n_chunks == 1.5
+
+
+def test_dense_search_in_blocks_of_both_sides(spark, monkeypatch):
+    for name, value in (("SHIPPED_QUERIES", 10), ("VECTOR_BLOCK", 150), ("QUERY_BLOCK", 60), ("LEAST_BLOCK", 20), ("PRODUCT_QUERIES", 16), ("MATRIX_CELLS", 700)):
+        monkeypatch.setattr(rt, name, value)
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(400, 8)).astype(np.float32)
+    v[::4] = v[3]
+    v[5] *= 1e-3
+    # A vector of each kind of query; some components are never asked for.
+    q = np.r_[v[:90], np.zeros((1, 8), np.float32)] * np.array([1, 1, 0, 1, 1, 0, 1, 1], np.float32)
+    listed = lambda rows, n: spark.createDataFrame([(f"c{i}" if n == "chunk_id" else i, i, x.tolist()) for i, x in enumerate(rows)], f"{n} {'string' if n == 'chunk_id' else 'int'}, load_order long, embedding array<float>")
+    got = rt.dense_search(listed(v, "chunk_id"), listed(q, "query_id").drop("load_order"), 7).toPandas()
+    scores = np.round(v.astype(float) @ q.T.astype(float), 9)
+    for i in range(len(q)):
+        want = sorted(range(400), key=lambda j: (-scores[j, i], j))[:7]
+        assert got[got.query_id == i].sort_values("rank").load_order.tolist() == want
