@@ -34,10 +34,11 @@ def word_count(text: Column) -> Column:
 
 def tokens(text: Column, remove_stop_words: bool = True) -> Column:
     """Lexical tokens: lower case, punctuation to blanks, stop words and single letters dropped."""
-    clean = words(F.regexp_replace(F.lower(text), NOT_WORD, " "))
+    clean = F.regexp_replace(F.lower(text), NOT_WORD, " ")
     if not remove_stop_words:
-        return clean
-    return F.filter(clean, lambda t: (F.length(t) > 1) & ~t.isin(*C.STOP_WORDS))
+        return words(clean)
+    # Empty parts have no letter either, so one pass does.
+    return F.filter(F.split(clean, f"[{WS}]+"), lambda t: (F.length(t) > 1) & ~t.isin(*C.STOP_WORDS))
 
 
 def paragraphs(text: Column, separator: str = C.PARAGRAPH_SEPARATOR) -> Column:

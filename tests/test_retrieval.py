@@ -380,6 +380,21 @@ def test_ladder_gains(spark):
     assert got["R0"].n_items == 2 and got["R0'"].n_chunks == 1.5
 
 
+def test_chunks_by_words_are_those_of_the_expressions(spark):
+    from quorate.operators import chunking as ck
+
+    rng = np.random.default_rng(8)
+    parts = ["um", "Dois.", "três!", "\n", "\n", " ", " ", " ", "\x1c", "Quatro", "x" * 9, "　Cinco?", "seis", ""]
+    texts = [" ".join(rng.choice(parts, rng.integers(0, 160))) for _ in range(80)] + ["", " \n ", None, "a " * 70 + ". B" * 90]
+    rows = spark.createDataFrame([(i, t, i, "k") for i, t in enumerate(texts)], "doc_id long, text string, load_order long, source_type string")
+    for most, overlap in ((64, 8), (10, 4), (5, 5), (3, 0)):
+        ours = ck.chunk_documents(rows, most, overlap, "\n")
+        plain = ck.chunk_documents(rows, most, overlap, "\n", lambda c: tx.word_count(c))
+        assert "mapInArrow" in ours._jdf.queryExecution().toString().replace("MapInArrow", "mapInArrow")
+        assert ours.dtypes == plain.dtypes
+        assert sorted(map(tuple, ours.drop("section_path").collect())) == sorted(map(tuple, plain.drop("section_path").collect()))
+
+
 def test_dense_search_in_blocks_of_both_sides(spark, monkeypatch):
     for name, value in (("SHIPPED_QUERIES", 10), ("VECTOR_BLOCK", 150), ("QUERY_BLOCK", 60), ("LEAST_BLOCK", 20), ("PRODUCT_QUERIES", 16), ("MATRIX_CELLS", 700)):
         monkeypatch.setattr(rt, name, value)
