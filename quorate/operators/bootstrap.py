@@ -10,8 +10,9 @@ seeded by (seed, stratum, block, bucket), so a retried task draws the same numbe
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,41 @@ def compress(df: DataFrame, stratum: str | None, columns: Sequence[str]) -> Data
     return df.groupBy(s.alias("_s"), *columns).agg(F.count("*").alias("_n"))
 
 
+def bucketed(cells: DataFrame, columns: Sequence[str], buckets: int) -> DataFrame:
+    """``cells`` with the bucket ``_b`` of each."""
+    return cells.withColumn("_b", F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int"))
+
+
+def block_starts(replicas: int, block: int) -> Column:
+    return F.sequence(F.lit(0), F.lit(replicas - 1), F.lit(block))
+
+
+def bucket_picks(keyed: DataFrame, replicas: int, seed: int, block: int) -> DataFrame:
+    """(_s, _b, _first, _order, _picks): picks of a stratum that fall into each bucket in the replicas of a block, one row a bucket.
+
+    The numbers of a stratum's buckets are split once for each block; cells do not carry them.
+    """
+    totals = keyed.groupBy("_s", "_b").agg(F.sum("_n").alias("_bn"))
+    shape = totals.groupBy("_s").agg(F.array_sort(F.collect_list(F.struct("_b", "_bn"))).alias("_shape"))
+    shape = shape.select("_s", F.col("_shape._b").alias("_buckets"), F.col("_shape._bn").alias("_sizes"), F.explode(block_starts(replicas, block)).alias("_first"))
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for s, listed, sizes, first in zip(pdf["_s"], pdf["_buckets"], pdf["_sizes"], pdf["_first"].tolist()):
+                sizes = np.asarray(sizes, dtype=np.int64)
+                rng = np.random.default_rng([seed, _stratum_seed(s), first, 0])
+                picks = rng.multinomial(int(sizes.sum()), sizes / sizes.sum(), size=min(block, replicas - first))
+                yield pd.DataFrame({"_s": s, "_b": listed, "_first": first, "_order": np.arange(len(sizes)), "_picks": list(picks.T)})
+
+    return shape.mapInPandas(split, "_s string, _b int, _first int, _order int, _picks array<bigint>")
+
+
+def bucket_weights(seed: int, stratum: str, first: int, order: int, picks: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(replica, cell): how the picks of a bucket spread over its cells."""
+    rng = np.random.default_rng([seed, _stratum_seed(stratum), first, 1 + order])
+    return rng.multinomial(np.asarray(picks, dtype=np.int64), counts / counts.sum())
+
+
 def replica_weights(
     cells: DataFrame,
     columns: Sequence[str],
@@ -55,33 +91,21 @@ def replica_weights(
     if buckets is None:
         cells = materialise(cells)
         buckets = max(1, -(-cells.count() // BUCKET_CELLS))
-    keyed = cells.withColumn("_b", F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int"))
-    totals = keyed.groupBy("_s", "_b").agg(F.sum("_n").alias("_bn"))
-    shape = totals.groupBy("_s").agg(
-        F.array_sort(F.collect_list(F.struct("_b", "_bn"))).alias("_shape")
-    )
-    # At most ``buckets`` entries per stratum travel with each cell.
-    shaped = keyed.join(shape, "_s").withColumn("_sizes", F.col("_shape._bn")).withColumn(
-        "_order", F.array_position(F.col("_shape._b"), F.col("_b")) - 1
-    )
-    starts = F.sequence(F.lit(0), F.lit(replicas - 1), F.lit(block))
-    shaped = shaped.withColumn("_first", F.explode(starts))
+    keyed = bucketed(cells, columns, buckets)
+    shaped = keyed.withColumn("_first", F.explode(block_starts(replicas, block)))
     kept = ["_s", *columns, "_n"]
     fields = {f.name: f.dataType.simpleString() for f in shaped.schema}
     schema = ", ".join(f"`{c}` {fields[c]}" for c in kept) + ", _first int, _w array<int>"
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        sizes = np.asarray(pdf["_sizes"].iloc[0], dtype=np.int64)
-        position, first = int(pdf["_order"].iloc[0]), int(pdf["_first"].iloc[0])
-        base = _stratum_seed(pdf["_s"].iloc[0])
+    def draw(pdf: pd.DataFrame, split: pd.DataFrame) -> pd.DataFrame:
+        first = int(split["_first"].iloc[0])
         pdf = pdf.sort_values(list(columns), kind="mergesort")
-        counts = pdf["_n"].to_numpy(dtype=np.int64)
-        size = min(block, replicas - first)
-        picks = np.random.default_rng([seed, base, first, 0]).multinomial(int(sizes.sum()), sizes / sizes.sum(), size=size)
-        weights = np.random.default_rng([seed, base, first, 1 + position]).multinomial(picks[:, position], counts / counts.sum())
+        weights = bucket_weights(seed, split["_s"].iloc[0], first, int(split["_order"].iloc[0]), split["_picks"].iloc[0], pdf["_n"].to_numpy(dtype=np.int64))
         return pdf[kept].assign(_first=np.int32(first), _w=list(weights.T.astype(np.int32)))
 
-    return shaped.groupBy("_s", "_b", "_first").applyInPandas(draw, schema)
+    group = ["_s", "_b", "_first"]
+    picks = bucket_picks(keyed, replicas, seed, block)
+    return shaped.groupBy(*group).cogroup(picks.groupBy(*group)).applyInPandas(draw, schema)
 
 
 def replica_rows(weights: DataFrame) -> DataFrame:
@@ -311,6 +335,38 @@ def _of_kind(kind: Column) -> list[Column]:
     ]
 
 
+# Half width, in square roots of the number of rows, of the band around a coverage's cut inside which scores stay apart. The weight above
+# a score varies by half such a root at most, so one replica in some 10^13 leaves the band; that is noticed, and the band doubled.
+MARGIN = 4.0
+
+
+def far_merged(cells: DataFrame, curves: dict, coverages: Sequence[float], total: int, margin: float) -> DataFrame:
+    """``cells`` with one score for all levels of a curve that lie between the same cuts, more than ``margin`` rows away from each.
+
+    Such levels are answered all or none in a replica, so the metrics need their total only. KINDS is added to their kinds.
+    """
+    each = F.array(*[F.struct(F.lit(v).alias("curve"), F.col(c.score).alias("score"), F.col("_n").alias("n")) for v, c in curves.items()])
+    levels = cells.select(F.inline(each)).groupBy("curve", "score").agg(F.sum("n").alias("n"))
+    levels = running_totals(levels, ["curve"], "score", ["n"], descending=True, bucket=F.floor(F.col("score") * 1024).cast("int"))
+    # The last level ends at the total in every replica, so full coverage cuts nothing.
+    cuts = [c * total for c in coverages if c < 1]
+    near, zone = F.lit(False), F.lit(0)
+    for cut in cuts:
+        near = near | ((F.col("before_n") <= cut + margin) & (F.col("before_n") + F.col("n") >= cut - margin))
+        zone = zone + (F.col("before_n") > cut).cast("int")
+    zones = levels.where(~near).groupBy("curve", zone.alias("zone")).agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    for z in zones.collect():
+        curve = curves[z["curve"]]
+        inside = F.col(curve.score).between(z["lo"], z["hi"]) & (F.col(curve.kind) < KINDS)
+        cells = cells.withColumns({curve.score: F.when(inside, F.lit(z["hi"])).otherwise(F.col(curve.score)), curve.kind: F.when(inside, F.col(curve.kind) + KINDS).otherwise(F.col(curve.kind))})
+    return cells
+
+
+def compress_again(cells: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``cells`` whose columns have become equal as one."""
+    return cells.groupBy("_s", *columns).agg(F.sum("_n").alias("_n"))
+
+
 def metric_contrasts(
     items: DataFrame,
     pairs: Sequence[tuple[str, str]],
@@ -342,7 +398,13 @@ def metric_contrasts(
     cells = materialise(compress(wide, stratum, columns))
     total = cells.agg(F.sum("_n")).first()[0] or 0
     curves = {v: Curve(f"{v}_score", f"{v}_kind") for v in names}
-    found = replica_values(cells, columns, curves, answered(coverages, total, KINDS), replicas, seed)
+    fold, width = answered(coverages, total, KINDS), MARGIN
+    while True:
+        drawn = compress_again(far_merged(cells, curves, coverages, total, width * math.sqrt(total)), columns)
+        found = materialise(replica_values(drawn, columns, curves, fold, replicas, seed))
+        if found.where(F.isnan("value")).isEmpty():
+            break
+        width *= 2
     found = found.select("replica", F.col("curve").alias("variant"), (F.col("key") % KINDS).alias("kind"), F.floor(F.col("key") / KINDS).alias("c"), "value")
     weights = found.where("c = 0").select("replica", "variant", "kind", F.col("value").alias("w"))
     # The metrics are linear in the answered share, so the share of a kind stands for its rows.

@@ -11,7 +11,7 @@ All curves of a cell share its weights, so differences between curves are paired
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,12 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorate.operators.bootstrap import compress, percentile_interval, replica_weights
+from quorate.operators.bootstrap import BUCKET_CELLS, block_starts, bucket_picks, bucket_weights, bucketed, compress, percentile_interval
 from quorate.session import materialise
 
 # Cells of a key range, and replicas of a block: a task holds a matrix of that size.
 RANGE_CELLS = 4096
 BLOCK = 500
+# Buckets of cells that a task draws for its block, and bytes of summed weights that it keeps before it passes them on.
+TASK_BUCKETS = 64
+KEPT_BYTES = 64 << 20
 EULER = 0.5772156649015329
 SMALL = 64
 _HARMONIC = np.concatenate(([0.0], np.cumsum(1.0 / np.arange(1, SMALL))))
@@ -82,21 +85,23 @@ def answered(coverages: Sequence[float], total: int, kinds: int) -> Fold:
     """Weight and answered weight of each kind at each coverage: keys kind, and (1 + coverage) * kinds + kind.
 
     Rows are answered from the best score down until the coverage's share of the total is reached; the
-    level at the cut answers with a fraction.
+    level at the cut answers with a fraction. Kinds from ``kinds`` on mark a level that stands for several, which cannot
+    be cut: a replica that does has no value (NaN).
     """
 
     def fold(matrix: Matrix) -> dict[int, np.ndarray]:
         n, _, n0, _ = matrix.levels()
         of_row = np.repeat(np.arange(len(matrix.firsts)), np.diff(np.append(matrix.firsts, len(matrix.kinds))))
-        out = {}
+        out, many, own = {}, matrix.kinds[matrix.firsts] >= kinds, matrix.kinds % kinds
         for i, c in enumerate([None, *coverages]):
             if c is None:
                 part = matrix.weights
             else:
                 share = np.clip(np.divide(c * total - n0, n, out=np.zeros(n.shape), where=n > 0), 0, 1)
+                share[:, ((share > 0) & (share < 1) & many[:, None]).any(axis=0)] = np.nan
                 part = matrix.weights * share[of_row]
-            for kind in np.unique(matrix.kinds).tolist():
-                out[i * kinds + kind] = part[matrix.kinds == kind].sum(axis=0, dtype=np.float64)
+            for kind in np.unique(own).tolist():
+                out[i * kinds + kind] = part[own == kind].sum(axis=0, dtype=np.float64)
         return out
 
     return fold
@@ -114,48 +119,89 @@ def _edges(cells: DataFrame, curves: dict[str, Curve], ranges: int) -> dict[str,
 LEVEL = "curve string, _range int, _first int, score double, kind int, w binary"
 
 
-def _drawn(cells: DataFrame, columns: Sequence[str], curves: dict[str, Curve], replicas: int, seed: int, edges: dict[str, np.ndarray]) -> DataFrame:
-    """One row for each score and kind of each curve in each bucket of cells and block of replicas."""
-    weights = replica_weights(cells, columns, replicas, seed, block=BLOCK)
-
-    def split(batches):
-        for batch in batches:
-            first = batch.column("_first").to_numpy()
-            listed = batch.column("_w")
-            for block in np.unique(first).tolist():
-                own = np.flatnonzero(first == block)
-                matrix = np.array(listed.take(pa.array(own)).flatten()).reshape(len(own), -1)
-                for name, curve in curves.items():
-                    score = batch.column(curve.score).take(pa.array(own)).to_numpy(zero_copy_only=False).astype(np.float64)
-                    kind = batch.column(curve.kind).take(pa.array(own)).to_numpy(zero_copy_only=False).astype(np.int64)
-                    order = np.lexsort((kind, -score))
-                    score, kind = score[order], kind[order]
-                    new = np.append(True, (score[1:] != score[:-1]) | (kind[1:] != kind[:-1]))
-                    at = np.flatnonzero(new)
-                    sums = np.add.reduceat(matrix[order], at).astype(np.int32)
-                    size = sums.shape[1] * 4
-                    place = len(edges[name]) - np.searchsorted(edges[name], score[at], side="right")
-                    bounds = pa.py_buffer((np.arange(len(at) + 1) * size).astype(np.int32))
-                    w = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, bounds, pa.py_buffer(np.ascontiguousarray(sums))])
-                    n = len(at)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * n), pa.array(place.astype(np.int32)), pa.array(np.full(n, block, np.int32)), pa.array(score[at]), pa.array(kind[at].astype(np.int32)), w],
-                        names=["curve", "_range", "_first", "score", "kind", "w"],
-                    )
-
-    return weights.mapInArrow(split, LEVEL)
-
-
-def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(weights, kinds, first row of each level) of the rows of a range, best first; rows of other buckets are added up."""
-    score, kind = table.column("score").to_numpy(), table.column("kind").to_numpy()
-    flat = np.frombuffer(b"".join(v.as_buffer() for v in table.column("w").combine_chunks()), np.int32).reshape(len(score), -1)
+def _summed(score: np.ndarray, kind: np.ndarray, weights: np.ndarray, dtype: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of equal score and kind added up, best score first."""
     order = np.lexsort((kind, -score))
     score, kind = score[order], kind[order]
     at = np.flatnonzero(np.append(True, (score[1:] != score[:-1]) | (kind[1:] != kind[:-1])))
-    weights = np.add.reduceat(flat[order].astype(np.int64), at)
-    level = np.flatnonzero(np.append(True, score[at][1:] != score[at][:-1]))
-    return weights, kind[at].astype(np.int64), level
+    return score[at], kind[at], np.add.reduceat(weights[order], at, dtype=dtype)
+
+
+def _drawn(cells: DataFrame, columns: Sequence[str], curves: dict[str, Curve], replicas: int, seed: int, edges: dict[str, np.ndarray], buckets: int, dtype: type) -> DataFrame:
+    """Weights of scores and kinds of each curve in blocks of replicas, added up over the buckets of a task; drawn as by ``replica_weights``."""
+    keyed = bucketed(cells, columns, buckets)
+    tasks = -(-buckets // TASK_BUCKETS)
+    picks = bucket_picks(keyed, replicas, seed, BLOCK)
+    rows = keyed.select("_s", "_b", F.explode(block_starts(replicas, BLOCK)).alias("_first"), *columns, "_n").unionByName(picks, allowMissingColumns=True)
+    rows = rows.withColumn("_task", F.col("_b") % tasks)
+    # The picks of a bucket stand before its cells.
+    parts = 3 * tasks * -(-replicas // BLOCK)
+    dealt = rows.repartition(parts, "_first", "_task").sortWithinPartitions("_first", "_task", "_s", "_b", F.col("_picks").isNull(), *columns)
+
+    def level_rows(first: int, kept: dict[str, list]) -> Iterator[pa.RecordBatch]:
+        for name, listed in kept.items():
+            for score, kind, sums in listed:
+                n, size = len(score), sums.shape[1] * sums.itemsize
+                place = len(edges[name]) - np.searchsorted(edges[name], score, side="right")
+                bounds = pa.py_buffer((np.arange(n + 1) * size).astype(np.int32))
+                w = pa.BinaryArray.from_buffers(pa.binary(), n, [None, bounds, pa.py_buffer(np.ascontiguousarray(sums))])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * n), pa.array(place.astype(np.int32)), pa.array(np.full(n, first, np.int32)), pa.array(score), pa.array(kind.astype(np.int32)), w],
+                    names=["curve", "_range", "_first", "score", "kind", "w"],
+                )
+
+    def buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """One table for each bucket and block, its picks in the first row."""
+        parts: list[pa.RecordBatch] = []
+        for batch in batches:
+            at = [*np.flatnonzero(batch.column("_picks").is_valid().to_numpy(zero_copy_only=False)).tolist(), batch.num_rows]
+            parts.append(batch.slice(0, at[0]))
+            for lo, hi in zip(at, at[1:]):
+                if sum(p.num_rows for p in parts):
+                    yield pa.Table.from_batches(parts)
+                parts = [batch.slice(lo, hi - lo)]
+        if sum(p.num_rows for p in parts):
+            yield pa.Table.from_batches(parts)
+
+    def compacted(kept: dict[str, list]) -> dict[str, list]:
+        return {name: [_summed(*map(np.concatenate, zip(*listed)), dtype)] for name, listed in kept.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, list] = {}
+        size, block = 0, None
+        for table in buckets_of(batches):
+            s, first, order, picked = (table.column(c)[0].as_py() for c in ("_s", "_first", "_order", "_picks"))
+            if block is not None and first != block:
+                yield from level_rows(block, compacted(kept))
+                kept, size = {}, 0
+            block, own = first, table.slice(1).combine_chunks()
+            weights = bucket_weights(seed, s, first, order, picked, own.column("_n").to_numpy()).T
+            for name, curve in curves.items():
+                score, kind = own.column(curve.score).to_numpy().astype(np.float64), own.column(curve.kind).to_numpy().astype(np.int64)
+                kept.setdefault(name, []).append(_summed(score, kind, weights, dtype))
+                size += kept[name][-1][2].nbytes
+            if size > KEPT_BYTES:
+                kept = compacted(kept)
+                size = sum(listed[0][2].nbytes for listed in kept.values())
+                if 2 * size > KEPT_BYTES:
+                    yield from level_rows(block, kept)
+                    kept, size = {}, 0
+        if kept:
+            yield from level_rows(block, compacted(kept))
+
+    return dealt.mapInArrow(run, LEVEL)
+
+
+def _flat(column: pa.ChunkedArray, dtype: type) -> np.ndarray:
+    """(row, replica) of written weights."""
+    return np.frombuffer(b"".join(v.as_buffer() for v in column.combine_chunks()), dtype).reshape(len(column), -1)
+
+
+def _matrix(table: pa.Table, dtype: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weights, kinds, first row of each level) of the rows of a range, best first; rows of other tasks are added up."""
+    score, kind, weights = _summed(table.column("score").to_numpy(), table.column("kind").to_numpy(), _flat(table.column("w"), dtype), np.int64)
+    level = np.flatnonzero(np.append(True, score[1:] != score[:-1]))
+    return weights, kind.astype(np.int64), level
 
 
 def replica_values(cells: DataFrame, columns: Sequence[str], curves: dict[str, Curve], fold: Fold, replicas: int, seed: int = 42) -> DataFrame:
@@ -164,12 +210,14 @@ def replica_values(cells: DataFrame, columns: Sequence[str], curves: dict[str, C
     ``cells`` is as ``bootstrap.compress`` makes it. Scores must not be null.
     """
     cells = materialise(cells)
-    ranges = max(1, -(-cells.count() // RANGE_CELLS))
-    levels = _drawn(cells, columns, curves, replicas, seed, _edges(cells, curves, ranges))
+    count, total = cells.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    ranges, buckets = max(1, -(-count // RANGE_CELLS)), max(1, -(-count // BUCKET_CELLS))
+    dtype = np.int32 if total < 1 << 31 else np.int64
+    levels = _drawn(cells, columns, curves, replicas, seed, _edges(cells, curves, ranges), buckets, dtype)
     group = ["curve", "_range", "_first"]
 
     def values(table: pa.Table, before: np.ndarray | None) -> pa.Table:
-        weights, kinds, firsts = _matrix(table)
+        weights, kinds, firsts = _matrix(table, dtype)
         zero = np.zeros((2, weights.shape[1]), np.int64)
         found = fold(Matrix(weights, kinds, firsts, zero if before is None else before))
         n = len(found)
@@ -184,16 +232,23 @@ def replica_values(cells: DataFrame, columns: Sequence[str], curves: dict[str, C
     else:
         levels = materialise(levels)
 
-        def totals(table: pa.Table) -> pa.Table:
-            weights, kinds, _ = _matrix(table)
-            sums = [weights.sum(axis=0), weights[(kinds & 1) == 1].sum(axis=0)]
-            head = {c: table.column(c)[:1] for c in group}
-            return pa.table(head | {k: pa.array([v.tolist()], pa.list_(pa.int64())) for k, v in zip(("n", "s"), sums)})
-
-        summed = levels.groupBy(*group).applyInArrow(totals, "curve string, _range int, _first int, n array<bigint>, s array<bigint>")
+        def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                table = pa.Table.from_batches([batch])
+                for head in table.select(group).group_by(group).aggregate([]).to_pylist():
+                    mine = np.logical_and.reduce([np.asarray(table.column(c)) == head[c] for c in group])
+                    own = table.filter(pa.array(mine))
+                    weights, odd = _flat(own.column("w"), dtype).astype(np.int64), own.column("kind").to_numpy() & 1 == 1
+                    sums = {"n": weights.sum(axis=0), "s": weights[odd].sum(axis=0)}
+                    out = {"curve": pa.array([head["curve"]]), **{c: pa.array([head[c]], pa.int32()) for c in group[1:]}, **{c: pa.array([v.tolist()], pa.list_(pa.int64())) for c, v in sums.items()}}
+                    yield pa.RecordBatch.from_pydict(out)
+
+        # Weights are summed where they are read; only the sums are shuffled.
+        summed = levels.mapInArrow(totals, "curve string, _range int, _first int, n array<bigint>, s array<bigint>")
         one = summed.select(*group, F.posexplode(F.arrays_zip("n", "s")).alias("_i", "t"))
+        one = one.groupBy(*group, "_i").agg(F.sum("t.n").alias("n"), F.sum("t.s").alias("s"))
         before = Window.partitionBy("curve", "_first", "_i").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-        one = one.select(*group, "_i", *[F.coalesce(F.sum(f"t.{c}").over(before), F.lit(0)).alias(c) for c in ("n", "s")])
+        one = one.select(*group, "_i", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("n", "s")])
         starts = one.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_i", "n", "s"))).alias("b"))
         starts = starts.select(*group, F.col("b.n").alias("n"), F.col("b.s").alias("s"))
 

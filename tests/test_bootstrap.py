@@ -219,3 +219,55 @@ def test_exact_binomial_bounds(spark):
     values = [0.1, 0.5, 1.0, 2.5, 17.0, 1e4]
     out = spark.createDataFrame([(v,) for v in values], "x double").select("x", log_gamma(F.col("x")).alias("g")).collect()
     assert all(r.g == pytest.approx(math.lgamma(r.x), abs=1e-9, rel=1e-13) for r in out)
+
+
+def test_tasks_add_up_buckets_before_they_pass_levels_on(spark):
+    """6 000 cells of ten scores: before, every bucket passed on its own rows of every score."""
+    df = spark.range(6000).select((F.col("id") % 10 / 10.0).alias("score"), (F.col("id") % 2).cast("int").alias("z"), F.col("id").alias("other"))
+    columns = ["score", "z", "other"]
+    cells = bs.compress(df, None, columns)
+    drawn = rc._drawn(cells, columns, {"v": rc.Curve("score", "z")}, 100, 42, {"v": np.zeros(0)}, 3, np.int32).collect()
+    assert len(drawn) == 10 and sum(np.frombuffer(r.w, np.int32).sum() for r in drawn) == 6000 * 100
+    rows = bs.replica_rows(bs.replica_weights(cells, columns, 100, buckets=3, block=rc.BLOCK)).groupBy("score", "replica").agg(F.sum("w").alias("w")).toPandas()
+    for r in drawn:
+        want = rows[rows.score == r.score].set_index("replica").w.reindex(range(100), fill_value=0)
+        assert (np.frombuffer(r.w, np.int32) == want.to_numpy()).all()
+
+
+def test_scores_far_from_the_cuts_are_merged_and_answered_alike(spark):
+    rng = np.random.default_rng(11)
+    n = 4000
+    pdf = pd.DataFrame({"s": rng.random(n) < 0.5, "a_score": np.round(rng.random(n), 4), "a_kind": rng.integers(0, 4, n).astype("int32")})
+    cells = bs.compress(spark.createDataFrame(pdf), "s", ["a_score", "a_kind"])
+    merged = bs.compress_again(bs.far_merged(cells, {"a": rc.Curve("a_score", "a_kind")}, [0.3, 0.7, 1.0], n, 60), ["a_score", "a_kind"]).toPandas()
+    assert merged._n.sum() == n and len(merged) < 600 < 3000 < cells.count()
+    pdf = pdf.sort_values("a_score", ascending=False, kind="stable")
+    edges = np.sort(merged.a_score.unique())
+    to = edges[np.searchsorted(edges, pdf.a_score.to_numpy())]
+    far = np.isin(to, merged.a_score[merged.a_kind >= bs.KINDS])
+    zero, values = np.zeros((2, 50), np.int64), []
+    w = rng.multinomial(n, np.full(n, 1 / n), size=50).T
+    for score, kind in ((pdf.a_score.to_numpy(), pdf.a_kind.to_numpy()), (to, pdf.a_kind.to_numpy() + bs.KINDS * far)):
+        score, kind, weights = rc._summed(score, kind.astype(np.int64), w, np.int64)
+        firsts = np.flatnonzero(np.append(True, score[1:] != score[:-1]))
+        values.append(rc.answered([0.3, 0.7, 1.0], n, bs.KINDS)(rc.Matrix(weights, kind, firsts, zero)))
+    assert values[0].keys() == values[1].keys()
+    cut_in_far = np.isnan(values[1][bs.KINDS]) | np.isnan(values[1][2 * bs.KINDS])
+    assert cut_in_far.sum() < 25
+    for key, value in values[0].items():
+        assert values[1][key][~cut_in_far] == pytest.approx(value[~cut_in_far])
+
+
+def test_contrasts_widen_the_band_that_a_replica_leaves(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    n = 300
+    rows = [(i, i % 2 == 0, v, float(np.round(rng.random(), 3)), int(rng.random() < p), False, None, i % 3) for i in range(n) for v, p in (("A", 0.7), ("B", 0.5))]
+    df = spark.createDataFrame(rows, "item_id int, s boolean, variant string, score double, z_winner int, textual_refusal boolean, refusal_verdict int, context_sufficiency int")
+    found = []
+    for margin in (4.0, 0.05):
+        monkeypatch.setattr(bs, "MARGIN", margin)
+        found.append({r.metric: r for r in bs.metric_contrasts(df, [("A", "B")], [0.5], ["effective_coverage", "conventional_risk"], "s", 400).collect()})
+    for metric, r in found[0].items():
+        again = found[1][metric]
+        assert again.n_resamples == r.n_resamples == 400 and again.delta_a_minus_b == pytest.approx(r.delta_a_minus_b)
+        assert again.ci_lo == pytest.approx(r.ci_lo, abs=0.04) and again.ci_hi == pytest.approx(r.ci_hi, abs=0.04)
