@@ -131,3 +131,19 @@ def test_repeated_rows_and_long_texts(spark):
     rows = [(1, long), (2, long + " end"), (3, "x" * 300_000), (4, "x" * 300_000)] + [(7, "same text here")] * 300
     kept = sj.keep_one(spark.createDataFrame([(*r, "x", "y") for r in rows], DOCS))
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, long), (3, "x" * 300_000), (7, "same text here")]
+
+
+def test_rare_shingle_of_different_texts_makes_no_pair(spark):
+    """Places and sketches rule out what sizes alone allowed: before, every two texts with one passage met."""
+    def text(i, n, shared):
+        own = [f"t{i}x{j}" for j in range(n)]
+        own[n // 2 : n // 2 + 6] = [f"passage{shared}x{j}" for j in range(6)]
+        return own
+
+    texts = [text(i, n, n) for n in (60, 400) for i in range(8)]
+    near = [[*texts[0][:-1], "changed"], ["changed", *texts[8][1:]]]
+    rows = spark.createDataFrame([(i, " ".join(t), "x", "y") for i, t in enumerate(texts + near)], DOCS)
+    described = sj.described(rows).select("doc_id", F.col("key").alias("k"), "n", *sj.sketch(F.col("bits")), F.posexplode("prefix").alias("at", "s"))
+    pairs = sj.few_pairs(described.withColumnRenamed("k", "key")).collect()
+    keys = {r.doc_id: r.k for r in described.select("doc_id", "k").distinct().collect()}
+    assert {(r.a, r.b) for r in pairs} == {tuple(sorted((keys[i], keys[j]))) for i, j in ((0, 16), (8, 17))}
