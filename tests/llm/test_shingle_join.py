@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
 import numpy as np
@@ -147,3 +148,62 @@ def test_rare_shingle_of_different_texts_makes_no_pair(spark):
     pairs = sj.few_pairs(described.withColumnRenamed("k", "key")).collect()
     keys = {r.doc_id: r.k for r in described.select("doc_id", "k").distinct().collect()}
     assert {(r.a, r.b) for r in pairs} == {tuple(sorted((keys[i], keys[j]))) for i, j in ((0, 16), (8, 17))}
+
+
+def test_wide_bitmaps_bound_and_part_large_sets():
+    """Sets of thousands of shingles fill the narrow bitmaps, which let all of them pass; the wide ones do not."""
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (40, 1000, 1025, 2500, 3900, 4100, 4200, 9000)]
+    sets += [np.unique(np.concatenate((s[len(s) // 10 :], rng.integers(0, 1 << 63, len(s) // 10).astype(np.uint64)))) for s in sets]
+    sizes = np.array([len(s) for s in sets])
+    value, text = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    flat, words = sj._wide_bitmaps(value, text, sizes)
+    wide = np.split(flat, np.cumsum(words)[:-1])
+    narrow = sj._bitmaps(value, text, len(sets))
+    assert [len(w) for w in wide[:8]] == [0, 0, 32, 64, 64, 128, 128, 256]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            apart = sj.wide_apart(wide[i], wide[j])
+            assert apart == sj.wide_apart(wide[j], wide[i]) <= len(np.setxor1d(a, b))
+            most = sj.most_apart(len(a), len(b))
+            if sj.similar(a, b):
+                assert apart <= most
+            elif min(len(a), len(b)) >= 2500 and max(len(a), len(b)) * 4 <= min(len(a), len(b)) * 5:
+                assert int(np.bitwise_count(narrow[i] ^ narrow[j]).sum()) <= most < apart
+
+
+def test_sets_of_long_texts_with_one_passage_are_not_read(spark, monkeypatch):
+    """Before, every long text that shared a passage was read again and its set sent with each of its pairs."""
+    monkeypatch.setattr(sj, "SAMPLE", 1)
+    rng = random.Random(3)
+    passage = [f"passage{j}" for j in range(40)]
+    texts = [[f"t{i}x{j}" for j in range(1500)] + passage + [f"t{i}y{j}" for j in range(1500 + rng.randrange(50))] for i in range(12)]
+    texts.append(["changed", *texts[4][1:]])
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    read, plain = [], sj.wanted_sets
+
+    def counted(docs, wanted, width):
+        read.append(wanted.select("h").distinct().count())
+        return plain(docs, wanted, width)
+
+    monkeypatch.setattr(sj, "wanted_sets", counted)
+    monkeypatch.setattr(sj, "sampled_texts", lambda docs: docs.select("text").limit(0))
+    kept = sj.keep_one(spark.createDataFrame([(*r, "x", "y") for r in rows], DOCS))
+    assert sorted(r.doc_id for r in kept.collect()) == plain_keepers(rows) == list(range(12))
+    assert sum(read) == 2
+
+
+def test_shingles_of_frequent_words_come_last(spark):
+    """Shingles that chance repeats, since their words are frequent, are in no prefix of a text that has others."""
+    rng = random.Random(4)
+    texts = []
+    for i in range(30):
+        words = [f"rare{i}x{j}" for j in range(60)]
+        for at in range(0, 60, 12):
+            words[at : at + 6] = [rng.choice(["the", "of", "and", "in"]) for _ in range(6)]
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], DOCS)
+    frequent = spark.createDataFrame([(i, " ".join(w), "x", "y") for i, w in enumerate(itertools.product(["the", "of", "and", "in"], repeat=5))], DOCS)
+    common = [r.s for r in sj.described(frequent).select(F.explode("prefix").alias("s")).distinct().collect()]
+    prefixes = sj.described(docs).select(F.explode("prefix").alias("s"))
+    assert prefixes.where(F.col("s").isin(common)).count() == 0
