@@ -410,3 +410,33 @@ def test_dense_search_in_blocks_of_both_sides(spark, monkeypatch):
     for i in range(len(q)):
         want = sorted(range(400), key=lambda j: (-scores[j, i], j))[:7]
         assert got[got.query_id == i].sort_values("rank").load_order.tolist() == want
+
+
+def test_vectors_stream_past_blocks_of_queries(spark, monkeypatch):
+    """A task ends with whole lists over any number of vectors: before, each block of these sent k rows a query to be ranked again."""
+    for name, value in (("SHIPPED_QUERIES", 10), ("VECTOR_BLOCK", 100), ("QUERY_BLOCK", 60), ("LEAST_BLOCK", 20), ("PRODUCT_QUERIES", 16), ("PRODUCT_ROWS", 24), ("HELD_VECTORS", 90), ("HELD_PAIRS", 30), ("HELD_ROWS", 50)):
+        monkeypatch.setattr(rt, name, value)
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(500, 9)).astype(np.float32)
+    v[::5] = v[4]
+    # Rows that enter again and again, and queries with the same components in no order.
+    v = v[np.argsort(v @ v[4])]
+    masks = np.array([[1] * 9, [1, 0, 1] * 3, [0] * 9, [0, 1, 0] * 3], np.float32)
+    q = v[:130] * masks[rng.integers(0, 4, 130)]
+    vectors = spark.createDataFrame([(f"c{i}", i, f"d{i % 7}", x.tolist()) for i, x in enumerate(v)], "chunk_id string, load_order long, source_doc string, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id int, embedding array<float>")
+    scores = np.round(v.astype(float) @ q.T.astype(float), 9)
+    for parts in (1, 3):
+        monkeypatch.setattr(rt, "_blocks", lambda *_, parts=parts: (parts, 4))
+        found = rt.dense_search(vectors, queries, 7, ["source_doc"])
+        assert ("Window" in found._jdf.queryExecution().toString()) == (parts > 1)
+        got = found.toPandas()
+        assert (got.source_doc == "d" + (got.load_order % 7).astype(str)).all() and (got.chunk_id == "c" + got.load_order.astype(str)).all()
+        for i in range(len(q)):
+            want = sorted(range(500), key=lambda j: (-scores[j, i], j))[:7]
+            mine = got[got.query_id == i].sort_values("rank")
+            assert mine.load_order.tolist() == want and mine["rank"].tolist() == list(range(1, 8))
+    monkeypatch.undo()
+    # All neighbours of 615 000 vectors in four wordings: one part. A few questions to many vectors: these are sent once.
+    assert rt._blocks(615_000, 4 * 615_000, 64, 50, 12) == (1, 48)
+    assert rt._blocks(100_000_000, 5000, 64, 50, 12) == (24, 1)
