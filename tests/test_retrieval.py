@@ -440,3 +440,22 @@ def test_vectors_stream_past_blocks_of_queries(spark, monkeypatch):
     # All neighbours of 615 000 vectors in four wordings: one part. A few questions to many vectors: these are sent once.
     assert rt._blocks(615_000, 4 * 615_000, 64, 50, 12) == (1, 48)
     assert rt._blocks(100_000_000, 5000, 64, 50, 12) == (24, 1)
+
+
+def test_ladder_asks_for_scores_of_reranked_heads_only(spark, monkeypatch):
+    """Before, every pair of every list was scored, reranked or not."""
+    monkeypatch.setattr(ladder.C, "RERANK_POOL", 3)
+    lists = [(q, r, f"c{(q * 3 + r) % 9}", b) for q in range(4) for b in ("dense", "lexical") for r in range(1, 8)]
+    pools = spark.createDataFrame(lists, "query_id int, rank int, chunk_id string, branch string").withColumn("source_doc", F.col("chunk_id"))
+    pools = pools.withColumn("source_type", F.when(F.col("chunk_id") < "c4", "norm").otherwise("ruling"))
+    asked = []
+
+    def given(pairs):
+        asked.append({(r.query_id, r.chunk_id) for r in pairs.collect()})
+        return pairs.withColumn("rerank_score", F.crc32("chunk_id").cast("double"))
+
+    every = pools.select("query_id", "chunk_id").distinct().withColumn("rerank_score", F.crc32("chunk_id").cast("double"))
+    for name, most in (("R2", 3), ("R3", 6)):
+        served = sorted(ladder.serve(ladder.RUNGS[name], pools, given).collect())
+        assert served == sorted(ladder.serve(ladder.RUNGS[name], pools, every).collect()) != []
+        assert len(asked[-1]) <= 4 * most < every.count()
